@@ -86,16 +86,19 @@ def family_summary(ranked: DataFrame) -> DataFrame:
 
 
 def best_per_type(results: DataFrame, metric: str, higher_is_better: bool = True) -> DataFrame:
-    """Best baseline vs best RLT; accuracy gain % or error reduction %."""
-    typ = family(F.col("model"))
-    pick = F.max_by if higher_is_better else F.min_by
-    best_v = F.max if higher_is_better else F.min
-    t = results.withColumn("type", typ)
-    agg = t.agg(
-        pick("model", F.when(F.col("type") == "Baseline", F.col(metric))).alias("best_baseline"),
-        best_v(F.when(F.col("type") == "Baseline", F.col(metric))).alias("baseline_score"),
-        pick("model", F.when(F.col("type") == "RLT", F.col(metric))).alias("best_rlt"),
-        best_v(F.when(F.col("type") == "RLT", F.col(metric))).alias("rlt_score"))
+    """Best baseline vs best RLT; accuracy gain % or error reduction %.
+
+    Ties on the metric go to the smaller model name (the leaderboard order)."""
+    t = results.withColumn("type", family(F.col("model")))
+    key = -F.col(metric) if higher_is_better else F.col(metric)
+
+    def pick(kind):
+        order = F.when(F.col("type") == kind, F.struct(key.alias("k"), F.col("model").alias("m")))
+        return F.min_by(F.struct(F.col("model").alias("model"), F.col(metric).alias("score")), order)
+
+    agg = t.agg(pick("Baseline").alias("b"), pick("RLT").alias("r")).select(
+        F.col("b.model").alias("best_baseline"), F.col("b.score").alias("baseline_score"),
+        F.col("r.model").alias("best_rlt"), F.col("r.score").alias("rlt_score"))
     if higher_is_better:
         imp = (F.col("rlt_score") - F.col("baseline_score")) / F.nullif(F.col("baseline_score"), F.lit(0.0))
     else:
@@ -111,7 +114,10 @@ def rep_summary(errors: DataFrame) -> DataFrame:
 
 def result_matrix(summary: DataFrame, p_values=(200, 500, 1000)) -> DataFrame:
     """rows = (scenario, model), one column per p, cells 'mean (std)' to 3 decimals."""
-    cell = F.format_string("%.3f (%.3f)", F.col("mean"), F.col("std"))
+    def snap3(c):  # half-up on the value itself, so every engine prints the same digits
+        return F.floor(F.col(c) * F.lit(1000.0) + F.lit(0.5)) / F.lit(1000.0)
+
+    cell = F.format_string("%.3f (%.3f)", snap3("mean"), snap3("std"))
     wide = (summary.withColumn("cell", cell).groupBy("scenario", "model")
             .pivot("p", list(p_values)).agg(F.first("cell")))
     return wide.select("scenario", "model", *[F.col(str(p)).alias(f"p_{p}") for p in p_values])

@@ -363,6 +363,12 @@ def feature_report(spark, sf):
     return rounded(compare.feature_report(muted, combine.pair_plan_banded(muted)))
 
 
+def flagship(spark, sf):
+    """Section 7.1 slice: embeddings -> long form -> ANOVA F -> normalised VI -> adaptive muting."""
+    return rounded(muting.mute(emb_vi(spark, sf), "moderate").select(
+        "feature", "idx", "vi", "rank", "kept", "threshold"))
+
+
 def variant_grid(spark, sf):
     """The muting x n_comb x nmin grid, resolved against the embeddings data.
 
@@ -399,4 +405,5 @@ QUERIES = {
     "rep_summary": rep_summary, "rep_matrix": rep_matrix, "best_per_scenario": best_per_scenario,
     "best_per_scenario_p": best_per_scenario_p, "top3_auto": top3_auto, "time_totals": time_totals,
     "parts_completed": parts_completed, "feature_report": feature_report, "variant_grid": variant_grid,
+    "flagship": flagship,
 }

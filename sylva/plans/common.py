@@ -11,9 +11,16 @@ from sylva.sources import fixtures as fx
 DIGITS = 6
 
 
+def snap(c, digits: int = DIGITS):
+    """floor(x * 10^d + 0.5) / 10^d: the same IEEE operations in Spark and DuckDB,
+    so equal inputs give bit-equal outputs (``round`` differs between engines on ties)."""
+    scale = float(10 ** digits)
+    return F.floor(c * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+
+
 def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
-    """Round every double column (both engines round the same way before comparing)."""
-    return df.select(*[F.round(F.col(f"`{n}`"), digits).alias(n) if t in ("double", "float") else F.col(f"`{n}`")
+    """Snap every double column to a decimal grid (the oracle snaps the same way)."""
+    return df.select(*[snap(F.col(f"`{n}`"), digits).alias(n) if t in ("double", "float") else F.col(f"`{n}`")
                        for n, t in df.dtypes])
 
 

@@ -11,8 +11,10 @@ from sylva.sources.fixtures import EMB_DIM, LINE_FEATURES, with_fixtures
 R = 6  # rounding digits (same as the Spark side)
 
 
-def r(x: str) -> str:
-    return f"round({x}, {R})"
+def r(x: str, digits: int = R) -> str:
+    """The oracle twin of ``sylva.plans.common.snap``."""
+    scale = float(10 ** digits)
+    return f"(floor(({x}) * {scale} + 0.5) / {scale})"
 
 
 LINE_REG_COLS = list(LINE_FEATURES) + ["revenue"]
@@ -235,3 +237,308 @@ SELECT """ + ", ".join([r("q1") + " AS q1", r("q2") + " AS median", r("q3") + "
                         "CAST(sum(CASE WHEN revenue IS NOT NULL AND NOT (revenue BETWEEN q1 - 1.5 * (q3 - q1) "
                         "AND q3 + 1.5 * (q3 - q1)) THEN 1 ELSE 0 END) AS BIGINT) AS n_outliers"])
     + " FROM line_reg, q GROUP BY q1, q2, q3", "line_reg").replace("\n, q AS", ", q AS", 1)
+
+
+# ---------------------------------------------------------------- D: preparation
+def _cols(cols, src_alias=""):
+    return ", ".join(cols)
+
+
+ORACLE["prep_dedupe"] = with_fixtures(
+    "SELECT DISTINCT l_linenumber, l_returnflag, l_linestatus, " + r("l_quantity") + " AS l_quantity FROM line_dup",
+    "line_dup")
+ORACLE["prep_impute_num"] = with_fixtures(
+    "SELECT row_id, " + r("l_quantity") + " AS l_quantity, " + r("l_extendedprice") + " AS l_extendedprice, "
+    + r("coalesce(l_discount, (SELECT quantile_cont(l_discount, 0.5) FROM line_null))") + " AS l_discount, "
+    + r("l_tax") + " AS l_tax, l_linenumber, " + r("revenue") + " AS revenue FROM line_null", "line_null")
+ORACLE["prep_impute_cat"] = with_fixtures(
+    "SELECT row_id, " + r("o_totalprice") + " AS o_totalprice, "
+    "coalesce(o_orderpriority, (SELECT o_orderpriority FROM order_null WHERE o_orderpriority IS NOT NULL "
+    "GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderpriority, "
+    "coalesce(o_orderstatus, (SELECT o_orderstatus FROM order_null WHERE o_orderstatus IS NOT NULL "
+    "GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)) AS o_orderstatus FROM order_null", "order_null")
+# TPC-H order priorities (fixed values of the data generator); the first sorted one is dropped.
+_PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+ORACLE["prep_onehot"] = with_fixtures(
+    "SELECT row_id, " + r("o_totalprice") + " AS o_totalprice, "
+    + ", ".join(f"CAST(o_orderpriority = '{v}' AS DOUBLE) AS \"o_orderpriority_{v}\"" for v in _PRIORITIES[1:])
+    + ", o_orderstatus FROM order_cat", "order_cat")
+ORACLE["prep_label"] = with_fixtures(
+    "SELECT row_id, " + ", ".join(r(c) + f" AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax"))
+    + ", l_linenumber, l_linestatus, CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS DOUBLE) AS label "
+    "FROM line_multi", "line_multi")
+ORACLE["prep_scale"] = with_fixtures(
+    "SELECT row_id, " + ", ".join(
+        r(f"(CAST({c} AS DOUBLE) - avg(CAST({c} AS DOUBLE)) OVER ()) / "
+          f"coalesce(nullif(stddev_pop(CAST({c} AS DOUBLE)) OVER (), 0), 1.0)") + f" AS {c}" for c in LINE_FEATURES)
+    + ", " + r("revenue") + " AS revenue FROM line_reg", "line_reg")
+
+
+def _h52(key: str, seed: int = 42) -> str:
+    return f"CAST(('0x' || substr(md5({key} || '|{seed}'), 1, 13)) AS BIGINT)"
+
+
+ORACLE["prep_split"] = with_fixtures(
+    f"SELECT row_id, row_number() OVER (ORDER BY {_h52('row_id')}, row_id) <= ceil(0.2 * count(*) OVER ()) AS is_test "
+    "FROM line_reg", "line_reg")
+ORACLE["prep_stratified"] = with_fixtures(
+    f"SELECT row_id, l_returnflag, row_number() OVER (PARTITION BY l_returnflag ORDER BY {_h52('row_id')}, row_id) "
+    "<= floor(0.2 * count(*) OVER (PARTITION BY l_returnflag) + 0.5) AS is_test FROM line_multi", "line_multi")
+ORACLE["prep_sample_anti"] = with_fixtures(
+    f"SELECT row_id, row_number() OVER (ORDER BY {_h52('row_id')}, row_id) <= "
+    "least(150, floor(0.7 * count(*) OVER ())) AS is_train FROM line_reg", "line_reg")
+
+
+def _noise_sql(p: int = 5, target_p: int = 500, seed: int = 42, weight: float = 0.5) -> str:
+    from sylva.functions.hashing import sql_gaussian
+    src = f"CAST(('0x' || substr(md5('{seed}|' || CAST(j AS VARCHAR)), 1, 8)) AS BIGINT) % {p}"
+    feat = "CASE src " + " ".join(f"WHEN {i} THEN CAST({c} AS DOUBLE)" for i, c in enumerate(LINE_FEATURES)) + " END"
+    g = sql_gaussian(seed, "row_id || '|' || CAST(j AS VARCHAR)")
+    return with_fixtures(f"""
+, js AS (SELECT CAST(j AS INTEGER) AS j, CAST({src} AS INTEGER) AS src FROM range({p}, {target_p}) t(j)),
+nz AS (SELECT printf('nz%04d', js.j) AS feature, js.src, {weight} * {feat} + {1.0 - weight} * {g} AS value
+       FROM line_reg CROSS JOIN js)
+SELECT feature, count(value) AS n, {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS std, src
+FROM nz GROUP BY feature, src""", "line_reg").replace("\n, js AS", ", js AS", 1)
+
+
+ORACLE["prep_noise"] = _noise_sql()
+
+# ---------------------------------------------------------------- E: importance
+ORACLE["vi_anova"] = _wrap(EMB_VI_CTES, f"SELECT feature, {r('f_stat')} AS f_stat FROM emb_anova", "emb_long")
+ORACLE["vi_anova_line"] = _wrap(line_multi_vi_ctes(), f"SELECT feature, {r('f_stat')} AS f_stat FROM lm_anova",
+                                "line_multi")
+ORACLE["vi_pearson"] = with_fixtures(" UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {r('abs(' + _corr_expr(c, 'revenue') + ')')} AS abs_corr FROM line_reg"
+    for c in LINE_FEATURES), "line_reg")
+_VI_COLS = f"feature, idx, {r('vi_model')} AS vi_model, {r('vi_stat')} AS vi_stat, {r('vi')} AS vi, rank"
+ORACLE["vi_blend"] = _wrap(EMB_VI_CTES, f"SELECT {_VI_COLS} FROM vi", "emb_long")
+ORACLE["vi_stats"] = _wrap(EMB_VI_CTES, f"SELECT {r('median(vi)')} AS median, {r('avg(vi)')} AS mean, "
+                                        f"{r('stddev_pop(vi)')} AS std, count(*) AS n FROM vi", "emb_long")
+ORACLE["vi_top"] = _wrap(EMB_VI_CTES, f"SELECT {_VI_COLS} FROM vi WHERE rank <= 15", "emb_long")
+
+# ---------------------------------------------------------------- M: muting
+ORACLE["mute_levels"] = _wrap(
+    EMB_VI_CTES + "," + mute_ctes(level="no", name="m_no") + "," + mute_ctes(level="moderate", name="m_mod") + ","
+    + mute_ctes(level="aggressive", name="m_agg"),
+    " UNION ALL ".join(f"SELECT feature, '{lv}' AS level, kept, {r('threshold')} AS threshold FROM {n}"
+                       for lv, n in (("no", "m_no"), ("moderate", "m_mod"), ("aggressive", "m_agg"))), "emb_long")
+ORACLE["mute_floor"] = _wrap(line_multi_vi_ctes() + "," + mute_ctes(),
+                             f"SELECT feature, rank, {r('vi')} AS vi, kept, {r('threshold')} AS threshold FROM muted",
+                             "line_multi")
+ORACLE["mute_nofloor"] = _wrap(EMB_VI_CTES + "," + mute_ctes(min_features=0, fallback_all=True),
+                               f"SELECT feature, kept, {r('threshold')} AS threshold FROM muted", "emb_long")
+ORACLE["mute_report"] = _wrap(
+    EMB_VI_CTES + "," + mute_ctes(),
+    "SELECT count(*) AS n_total, CAST(sum(CAST(kept AS INTEGER)) AS BIGINT) AS n_kept, "
+    "count(*) - CAST(sum(CAST(kept AS INTEGER)) AS BIGINT) AS n_muted, "
+    + r("sum(CAST(kept AS INTEGER)) / count(*) * 100.0") + " AS pct_kept, "
+    + r("(count(*) - sum(CAST(kept AS INTEGER))) / count(*) * 100.0") + " AS pct_muted, "
+    + r("max(threshold)") + " AS threshold FROM muted", "emb_long")
+ORACLE["mute_schedule"] = _wrap(
+    EMB_VI_CTES, f"SELECT feature, idx, {r('vi')} AS vi, row_number() OVER (ORDER BY vi, idx DESC) AS last_step, "
+                 "count(*) OVER () AS n_features FROM vi", "emb_long")
+
+# ---------------------------------------------------------------- G: combinations
+_PLAN_COLS = f"name, i, j, f1, f2, {r('w1')} AS w1, {r('w2')} AS w2"
+_EMB_MUTED = EMB_VI_CTES + "," + mute_ctes()
+ORACLE["pairs_banded"] = _wrap(_EMB_MUTED + "," + banded_ctes(), f"SELECT {_PLAN_COLS} FROM plan", "emb_long")
+ORACLE["pairs_capped"] = _wrap(
+    _EMB_MUTED + "," + banded_ctes(order="asc", cap="(SELECT count(*) FROM muted WHERE kept)"),
+    f"SELECT {_PLAN_COLS} FROM plan", "emb_long")
+ORACLE["pairs_positional"] = _wrap(_EMB_MUTED + "," + banded_ctes(order="asc", positional=True),
+                                   f"SELECT {_PLAN_COLS} FROM plan", "emb_long")
+ORACLE["pairs_all"] = _wrap(_EMB_MUTED + "," + all_pairs_ctes(), f"SELECT {_PLAN_COLS} FROM plan", "emb_long")
+ORACLE["lc_columns"] = _wrap(
+    _EMB_MUTED + "," + banded_ctes(),
+    "SELECT e1.row_id, p.name, " + r("p.w1 * e1.value + p.w2 * e2.value") + " AS value FROM plan p "
+    "JOIN emb_long e1 ON e1.feature = p.f1 JOIN emb_long e2 ON e2.row_id = e1.row_id AND e2.feature = p.f2",
+    "emb_long")
+ORACLE["flagship"] = _wrap(
+    _EMB_MUTED, f"SELECT feature, idx, {r('vi')} AS vi, rank, kept, {r('threshold')} AS threshold FROM muted",
+    "emb_long")
+
+# ---------------------------------------------------------------- I: metrics
+_CLF_METRICS = """
+conf AS (SELECT {g}label AS y, prediction AS p, count(*) AS c FROM {src} GROUP BY ALL),
+by_true AS (SELECT {g}y AS cls, sum(c) AS support, sum(CASE WHEN y = p THEN c ELSE 0 END) AS tp FROM conf GROUP BY ALL),
+by_pred AS (SELECT {g}p AS cls, sum(c) AS npred FROM conf GROUP BY ALL),
+per AS (SELECT {gt}t.support, t.tp, coalesce(t.tp / nullif(pr.npred, 0), 0.0) AS prec, t.tp / t.support AS rec
+        FROM by_true t LEFT JOIN by_pred pr ON t.cls = pr.cls {gj}),
+per2 AS (SELECT *, coalesce(2 * prec * rec / nullif(prec + rec, 0), 0.0) AS f1 FROM per),
+agg AS (SELECT {g}sum(support) AS n, sum(tp) AS correct, sum(support * prec) AS wp, sum(support * rec) AS wr,
+        sum(support * f1) AS wf FROM per2 GROUP BY ALL)"""
+
+
+def _clf_sql(src: str, group: str | None = None) -> str:
+    g = f"{group}, " if group else ""
+    gt = f"t.{group}, " if group else ""
+    gj = f"AND t.{group} = pr.{group}" if group else ""
+    return _CLF_METRICS.format(g=g, gt=gt, gj=gj, src=src)
+
+
+ORACLE["metrics_clf"] = _wrap(
+    _clf_sql("pred_pairs"),
+    f"SELECT n, {r('correct / n')} AS accuracy, {r('1 - correct / n')} AS error, {r('wp / n')} AS precision, "
+    f"{r('wr / n')} AS recall, {r('wf / n')} AS f1_score FROM agg", "pred_pairs")
+
+
+def _u32(expr: str) -> str:
+    return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
+
+
+ORACLE["metrics_auc"] = with_fixtures(f"""
+, sc AS (SELECT p.row_id, p.label, CAST(c.k AS DOUBLE) AS cls,
+                {_u32("p.row_id || '|auc|' || CAST(c.k AS VARCHAR)")} / 4294967296.0 AS score
+         FROM pred_pairs p CROSS JOIN range(3) c(k)),
+rk AS (SELECT cls, label, score, rank() OVER (PARTITION BY cls ORDER BY score) AS r0,
+              count(*) OVER (PARTITION BY cls, score) AS tie FROM sc),
+per AS (SELECT cls, (sum(CASE WHEN label = cls THEN r0 + (tie - 1) / 2.0 END)
+                     - sum(CASE WHEN label = cls THEN 1 ELSE 0 END) * (sum(CASE WHEN label = cls THEN 1 ELSE 0 END) + 1) / 2.0)
+                    / nullif(sum(CASE WHEN label = cls THEN 1 ELSE 0 END) * sum(CASE WHEN label <> cls THEN 1 ELSE 0 END), 0)
+                    AS auc FROM rk GROUP BY cls)
+SELECT cls, {r('auc')} AS auc FROM per UNION ALL SELECT -1.0 AS cls, {r('avg(auc)')} AS auc FROM per""",
+                                      "pred_pairs").replace("\n, sc AS", ", sc AS", 1)
+_REG = ("count(*) AS n, {mse} AS mse, {rmse} AS rmse, {mae} AS mae, {r2} AS r2")
+
+
+def _reg_cols(y: str, p: str) -> str:
+    res = f"({y} - {p})"
+    return _REG.format(mse=r(f"avg({res} * {res})"), rmse=r(f"sqrt(avg({res} * {res}))"), mae=r(f"avg(abs({res}))"),
+                       r2=r(f"1 - sum({res} * {res}) / nullif(var_pop({y}) * count({y}), 0)"))
+
+
+ORACLE["metrics_reg"] = with_fixtures(
+    f"SELECT {_reg_cols('revenue', 'l_extendedprice * 0.95')} FROM line_reg", "line_reg")
+ORACLE["metrics_grouped"] = (
+    f"SELECT l_linestatus, {_reg_cols('l_extendedprice * (1 - l_discount)', 'l_extendedprice * 0.95')} "
+    "FROM lineitem GROUP BY l_linestatus")
+
+# ---------------------------------------------------------------- J: result tables
+_BOARD = """
+board AS (SELECT model, CAST(count(DISTINCT rep) AS INTEGER) AS features,
+                 avg(CASE WHEN error < 150 THEN 1.0 ELSE 0.0 END) AS train_accuracy,
+                 avg(CASE WHEN error < 100 THEN 1.0 ELSE 0.0 END) AS test_accuracy,
+                 sum(error) / 1000.0 AS train_time,
+                 CASE WHEN contains(model, 'RLT') THEN 'RLT' ELSE 'Baseline' END AS type
+          FROM event_errors GROUP BY model),
+lb AS (SELECT *, row_number() OVER (ORDER BY test_accuracy DESC, model) AS rank FROM board)"""
+_BOARD_COLS = (f"model, features, {r('train_accuracy')} AS train_accuracy, {r('test_accuracy')} AS test_accuracy, "
+               f"{r('train_time')} AS train_time, type")
+ORACLE["board_rank"] = _wrap(_BOARD, f"SELECT {_BOARD_COLS}, rank FROM lb", "event_errors")
+ORACLE["board_best"] = _wrap(_BOARD, f"SELECT {_BOARD_COLS}, rank FROM lb WHERE rank = 1", "event_errors")
+ORACLE["board_position"] = _wrap(_BOARD + """,
+pa AS (SELECT count(*) AS n_models, min(CASE WHEN contains(model, 'RLT') THEN rank END) AS pos FROM lb),
+pp AS (SELECT CAST(coalesce(pa.pos, pa.n_models) AS INTEGER) AS position, pa.n_models,
+              coalesce(lb.test_accuracy, 0.0) AS score FROM pa LEFT JOIN lb ON lb.rank = pa.pos)""",
+    f"SELECT position, n_models, {r('score')} AS score, CASE WHEN position = 1 THEN 'winner' "
+    "WHEN position <= 3 THEN 'top3' ELSE 'other' END AS tier FROM pp", "event_errors")
+ORACLE["board_stats"] = _wrap(_BOARD, f"SELECT {r('max(test_accuracy)')} AS best, {r('min(test_accuracy)')} AS worst, "
+                                      f"{r('avg(test_accuracy)')} AS mean, {r('stddev_samp(test_accuracy)')} AS std "
+                                      "FROM board", "event_errors")
+ORACLE["board_improvement"] = _wrap(_BOARD + """,
+ia AS (SELECT max(CASE WHEN contains(model, 'RLT') THEN test_accuracy END) AS rlt_score,
+              max(CASE WHEN NOT contains(model, 'RLT') THEN test_accuracy END) AS best_other FROM board)""",
+    f"SELECT {r('rlt_score')} AS rlt_score, {r('best_other')} AS best_other, "
+    f"{r('(rlt_score - best_other) / nullif(best_other, 0) * 100.0')} AS improvement_pct, "
+    "CASE WHEN rlt_score > best_other THEN 'better' WHEN abs(rlt_score - best_other) < 0.01 THEN 'equivalent' "
+    "ELSE 'worse' END AS verdict FROM ia", "event_errors")
+_RANKED = """
+me AS (SELECT model, avg(error) AS error FROM event_errors GROUP BY model),
+rel AS (SELECT model, error, error / min(error) OVER () AS relative_error FROM me),
+ranked AS (SELECT *, row_number() OVER (ORDER BY relative_error, model) AS rank FROM rel),
+ranked2 AS (SELECT *, CASE rank WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' END AS medal,
+                   count(*) OVER () AS n_all FROM ranked)"""
+_RANKED_COLS = f"model, {r('error')} AS error, {r('relative_error')} AS relative_error, rank, medal"
+ORACLE["rel_error"] = _wrap(_RANKED, f"SELECT {_RANKED_COLS} FROM ranked2", "event_errors")
+ORACLE["rel_head_tail"] = _wrap(_RANKED, f"SELECT {_RANKED_COLS} FROM ranked2 WHERE rank <= 3 OR rank > n_all - 2",
+                                "event_errors")
+ORACLE["top5_relative"] = _wrap(_RANKED, f"SELECT {_RANKED_COLS} FROM ranked2 WHERE rank <= 5", "event_errors")
+ORACLE["family_summary"] = _wrap(
+    _RANKED, "SELECT CASE WHEN starts_with(model, 'RLT-') AND model <> 'RLT-naive' THEN 'RLT variants' "
+             f"ELSE 'Baseline' END AS family, count(*) AS n, {r('min(relative_error)')} AS best, "
+             f"{r('max(relative_error)')} AS worst, {r('avg(relative_error)')} AS mean FROM ranked2 GROUP BY 1",
+    "event_errors")
+
+
+def _best_per_type_sql(src_ctes: str, src: str, metric: str, higher: bool) -> str:
+    order = f"{metric} DESC, model" if higher else f"{metric}, model"
+    imp = ("(r.score - b.score) / nullif(b.score, 0)" if higher else "(b.score - r.score) / nullif(b.score, 0)")
+    return _wrap(src_ctes + f""",
+typed AS (SELECT model, {metric} AS score, CASE WHEN contains(model, 'RLT') THEN 'RLT' ELSE 'Baseline' END AS type,
+                 row_number() OVER (PARTITION BY CASE WHEN contains(model, 'RLT') THEN 'RLT' ELSE 'Baseline' END
+                                    ORDER BY {order}) AS rn FROM {src}),
+b AS (SELECT * FROM typed WHERE type = 'Baseline' AND rn = 1),
+rr AS (SELECT * FROM typed WHERE type = 'RLT' AND rn = 1),
+one AS (SELECT 1 AS k)""",
+                 f"SELECT b.model AS best_baseline, {r('b.score')} AS baseline_score, r.model AS best_rlt, "
+                 f"{r('r.score')} AS rlt_score, {r(imp + ' * 100.0')} AS improvement_pct "
+                 "FROM one LEFT JOIN b ON TRUE LEFT JOIN rr r ON TRUE", "event_errors")
+
+
+ORACLE["best_per_type"] = _best_per_type_sql(_BOARD, "board", "test_accuracy", True)
+ORACLE["best_per_type_error"] = _best_per_type_sql(
+    "\nme AS (SELECT model, avg(error) AS error FROM event_errors GROUP BY model)", "me", "error", False)
+_REP = """
+rs AS (SELECT scenario, p, model, avg(error) AS mean, stddev_pop(error) AS std, count(*) AS n_reps
+       FROM event_errors GROUP BY scenario, p, model)"""
+ORACLE["rep_summary"] = _wrap(_REP, f"SELECT scenario, p, model, {r('mean')} AS mean, {r('std')} AS std, n_reps FROM rs",
+                              "event_errors")
+
+
+def _cell(p: int) -> str:
+    m, s = r("mean", 3), r("std", 3)
+    return f"max(CASE WHEN p = {p} THEN printf('%.3f (%.3f)', {m}, {s}) END) AS p_{p}"
+
+
+ORACLE["rep_matrix"] = _wrap(_REP, "SELECT scenario, model, " + ", ".join(_cell(p) for p in (200, 500, 1000))
+                             + " FROM rs GROUP BY scenario, model", "event_errors")
+ORACLE["best_per_scenario"] = _wrap(
+    _REP, f"SELECT scenario, arg_min(model, (mean, model)) AS best_model, {r('min(mean)')} AS best_error "
+          "FROM rs WHERE p = 200 GROUP BY scenario", "event_errors")
+ORACLE["best_per_scenario_p"] = _wrap(
+    _REP, f"SELECT scenario, p, arg_min(model, (mean, model)) AS best_model, {r('min(mean)')} AS best_error "
+          "FROM rs GROUP BY scenario, p", "event_errors")
+ORACLE["top3_auto"] = _wrap(
+    _BOARD + ",\nlb_train AS (SELECT *, row_number() OVER (ORDER BY train_accuracy DESC, model) AS rank FROM board)",
+    f"SELECT model, type, features, {r('train_accuracy')} AS train_accuracy, {r('test_accuracy')} AS test_accuracy, "
+    f"{r('train_time')} AS train_time, rank FROM lb_train WHERE rank <= 3", "event_errors")
+ORACLE["time_totals"] = _wrap(
+    _BOARD, f"SELECT coalesce(type, 'ALL') AS type, {r('sum(train_time)')} AS seconds, "
+            f"{r('sum(train_time) / 60.0')} AS minutes FROM board GROUP BY ROLLUP (type)", "event_errors")
+ORACLE["parts_completed"] = ("SELECT CAST(CASE WHEN count(*) > 0 THEN 3 ELSE 0 END AS BIGINT) AS parts_completed, "
+                             "3 AS parts_total FROM events")
+ORACLE["feature_report"] = _wrap(
+    _EMB_MUTED + "," + banded_ctes() + """,
+fr AS (SELECT count(*) AS n_original, sum(CAST(kept AS INTEGER)) AS n_kept, (SELECT count(*) FROM plan) AS n_pairs
+       FROM muted)""",
+    "SELECT n_original, CAST(n_kept AS BIGINT) AS n_kept, CAST(n_pairs AS BIGINT) AS n_pairs, "
+    "CAST(n_kept + n_pairs AS BIGINT) AS n_final, " + r("n_kept / n_original * 100.0") + " AS pct_kept, "
+    + r("(1 - n_kept / n_original) * 100.0") + " AS pct_reduction FROM fr", "emb_long")
+
+
+def _grid_sql() -> str:
+    levels = (("no", "m_no", 0), ("moderate", "m_mod", 1), ("aggressive", "m_agg", 2))
+    ctes = EMB_VI_CTES + "," + ",".join(mute_ctes(level=lv, name=n) for lv, n, _ in levels)
+    per = " UNION ALL ".join(
+        f"SELECT '{lv}' AS level, CAST(count(*) AS INTEGER) AS n_kept, md5(string_agg(feature, ',' ORDER BY feature)) "
+        f"AS kept_sig FROM {n} WHERE kept" for lv, n, _ in levels)
+    ctes += f""",
+per_level AS ({per}),
+ntr AS (SELECT least(150, floor(0.7 * count(*))) AS n_train FROM embeddings),
+nm AS (SELECT 'nmin=2' AS nmin_label, 2 AS nmin
+       UNION ALL SELECT 'nmin=n^1/3=' || CAST(CAST(greatest(2, floor(pow(n_train, 1.0 / 3.0))) AS INTEGER) AS VARCHAR),
+                        CAST(greatest(2, floor(pow(n_train, 1.0 / 3.0))) AS INTEGER) FROM ntr),
+g0 AS (SELECT l.level, CAST(c.n_comb AS INTEGER) AS n_comb, nm.nmin_label, CAST(nm.nmin AS INTEGER) AS nmin,
+              l.n_kept, l.kept_sig
+       FROM per_level l CROSS JOIN (SELECT unnest([1, 2, 3, 4, 5]) AS n_comb) c CROSS JOIN nm),
+g1 AS (SELECT *, CAST(least(CASE WHEN least(n_kept, 10) >= 7 THEN 10 WHEN least(n_kept, 10) <= 1 THEN 0
+                                 ELSE 2 * least(n_kept, 10) - 3 END, n_comb * n_kept) AS INTEGER) AS n_pairs FROM g0)"""
+    body = ("SELECT 'RLT-' || upper(substr(level, 1, 1)) || substr(level, 2, 2) || '-LC' || CAST(n_comb AS VARCHAR) "
+            "|| '-' || nmin_label AS model, level, n_comb, nmin_label, nmin, n_kept, n_pairs, "
+            "n_kept + n_pairs AS n_features, "
+            "md5(concat_ws('|', kept_sig, CAST(n_pairs AS VARCHAR), CAST(nmin AS VARCHAR))) AS fit_key FROM g1")
+    return _wrap(ctes, body, "emb_long")
+
+
+ORACLE["variant_grid"] = _grid_sql()
