@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sylva.frame import Frame, categorical_cols, numeric_cols
-from sylva.functions.hashing import gaussian, hash_key
+from sylva.functions.hashing import hash_key, hash_u32
 from sylva.functions.stats import exact_quantiles, kth_values, to_long
 
 MAX_LEVELS = 10_000  # guard for collected category / class lists
@@ -201,8 +201,13 @@ def train_test(flagged: DataFrame, flag: str = "is_test") -> tuple[DataFrame, Da
 
 
 # ------------------------------------------------------------------ noise
+def noise_source_col(j: Column, p: int, seed: int = 42) -> Column:
+    """Source feature of added column j: md5('seed|j') mod p (same rule in SQL)."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), j.cast("string"))), 1, 8), 16, 10).cast("bigint")
+    return (h % F.lit(p)).cast("int")
+
+
 def noise_sources(p: int, target_p: int, seed: int = 42) -> list[int]:
-    """Source feature of each added column j (p <= j < target_p): md5(seed|j) mod p."""
     return [int(hashlib.md5(f"{seed}|{j}".encode()).hexdigest()[:8], 16) % p for j in range(p, target_p)]
 
 
@@ -210,17 +215,68 @@ def noise_name(j: int) -> str:
     return f"nz{j:04d}"
 
 
-def expand_with_noise(fr: Frame, target_p: int = 500, weight: float = 0.5, seed: int = 42) -> Frame:
-    """Append features until p = target_p; column j is
-    weight * (a source feature) + (1 - weight) * N(0, 1), all in one projection."""
+def _np_mix32(x):
+    import numpy as np
+    from sylva.functions.hashing import MASK32, MIX_MUL
+    x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX_MUL)) & np.uint64(MASK32)
+    x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX_MUL)) & np.uint64(MASK32)
+    return (x >> np.uint64(16)) ^ x
+
+
+def _np_gaussians(rk, js):
+    """NumPy twin of ``stream_gaussian``: rows x columns standard normals."""
+    import numpy as np
+    from sylva.functions.hashing import MASK32, STRIDE, TWO_32
+    rk = rk.astype(np.uint64)[:, None]
+
+    def u(c):
+        x = (rk + c.astype(np.uint64)[None, :] * np.uint64(STRIDE)) & np.uint64(MASK32)
+        return (_np_mix32(x).astype(np.float64) + 0.5) / TWO_32
+
+    u1, u2 = u(js * 2), u(js * 2 + 1)
+    return np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * math.pi * u2)
+
+
+def expand_with_noise(fr: Frame, target_p: int = 500, weight: float = 0.5, seed: int = 42,
+                      as_array: str | None = None, chunk: int = 2048) -> Frame:
+    """Append features until p = target_p; column j (p <= j < target_p) is
+    weight * x[src(j)] + (1 - weight) * N(0, 1).
+
+    The row key is one md5 of (row id, seed) in Spark; the draws per column are
+    integer mixing of that key, vectorised in NumPy inside ``mapInPandas``
+    (rows x new columns per Arrow batch, in chunks), so nothing is shuffled and
+    the result is the same on any cluster layout.  With ``as_array`` the
+    features come back as one ``array<double>`` column of that name (what the
+    model fits consume); otherwise as wide ``nzNNNN`` columns."""
+    import numpy as np
+    import pandas as pd
     p = fr.p
     if p >= target_p:
         return fr
-    id_col = fr.id_cols[0]
-    src = noise_sources(p, target_p, seed)
-    new = [(F.lit(weight) * F.col(fr.feature_cols[s]).cast("double")
-            + F.lit(1.0 - weight) * gaussian(seed, F.col(id_col), F.lit(j))).alias(noise_name(j))
-           for j, s in zip(range(p, target_p), src)]
-    names = tuple(noise_name(j) for j in range(p, target_p))
-    df = fr.df.select(*fr.id_cols, *fr.feature_cols, *new, fr.target_col)
+    js = np.arange(p, target_p, dtype=np.int64)
+    src = np.array(noise_sources(p, target_p, seed), dtype=np.int64)
+    feats = list(fr.feature_cols)
+    out_col = as_array or "_x"
+    base = fr.df.select(*fr.id_cols, *[F.col(c).cast("double").alias(c) for c in feats], fr.target_col,
+                        hash_u32(F.col(fr.id_cols[0]), F.lit(seed)).alias("_rk"))
+    keep = [f for f in base.schema.fields if f.name != "_rk"]
+    schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.DoubleType(), False))])
+
+    def fn(batches):
+        for pdf in batches:
+            for s0 in range(0, len(pdf), chunk):
+                part = pdf.iloc[s0:s0 + chunk]
+                x = part[feats].to_numpy(dtype=np.float64)
+                g = _np_gaussians(part["_rk"].to_numpy(), js)
+                full = np.concatenate([x, weight * x[:, src] + (1.0 - weight) * g], axis=1)
+                out = part.drop(columns=["_rk"]).reset_index(drop=True)
+                out[out_col] = pd.Series(list(full))
+                yield out
+
+    arr = base.mapInPandas(fn, schema)
+    names = tuple(noise_name(int(j)) for j in js)
+    if as_array:
+        return Frame(arr, fr.feature_cols, fr.target_col, fr.id_cols, fr.problem_type)
+    df = arr.select(*fr.id_cols, *feats, *[F.col(out_col)[int(j)].alias(n) for j, n in zip(js, names)],
+                    fr.target_col)
     return Frame(df, fr.feature_cols + names, fr.target_col, fr.id_cols, fr.problem_type)

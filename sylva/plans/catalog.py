@@ -135,15 +135,14 @@ def prep_sample_anti(spark, sf):
 
 
 def prep_noise(spark, sf):
+    """D11 over every lineitem row: per added column, its source, count, mean and std."""
     fr = fx.line_reg(spark, sf)
-    ex = prepare.expand_with_noise(fr, 500, 0.5, 42)
-    new = list(ex.feature_cols[fr.p:])
-    src = prepare.noise_sources(fr.p, 500, 42)
-    long = ex.df.select(*new).unpivot([], new, "feature", "value")
-    stats = long.groupBy("feature").agg(F.count("value").alias("n"), F.avg("value").alias("mean"),
-                                        F.stddev_pop("value").alias("std"))
-    srcdf = spark.createDataFrame([(n, s) for n, s in zip(new, src)], "feature string, src int")
-    return rounded(stats.join(F.broadcast(srcdf), "feature"))
+    ex = prepare.expand_with_noise(fr, 500, 0.5, 42, as_array="x")
+    long = ex.df.select(F.posexplode("x").alias("j", "value")).where(F.col("j") >= fr.p)
+    stats = long.groupBy("j").agg(F.count("value").alias("n"), F.avg("value").alias("mean"),
+                                  F.stddev_pop("value").alias("std"))
+    return rounded(stats.select(F.format_string("nz%04d", "j").alias("feature"), "n", "mean", "std",
+                                prepare.noise_source_col(F.col("j"), fr.p, 42).alias("src")))
 
 
 # --------------------------------------------------------------- E: importance

@@ -290,14 +290,15 @@ ORACLE["prep_sample_anti"] = with_fixtures(
 
 
 def _noise_sql(p: int = 5, target_p: int = 500, seed: int = 42, weight: float = 0.5) -> str:
-    from sylva.functions.hashing import sql_gaussian
+    from sylva.functions.hashing import sql_hash_u32, sql_stream_gaussian
     src = f"CAST(('0x' || substr(md5('{seed}|' || CAST(j AS VARCHAR)), 1, 8)) AS BIGINT) % {p}"
     feat = "CASE src " + " ".join(f"WHEN {i} THEN CAST({c} AS DOUBLE)" for i, c in enumerate(LINE_FEATURES)) + " END"
-    g = sql_gaussian(seed, "row_id || '|' || CAST(j AS VARCHAR)")
+    g = sql_stream_gaussian("rk", "js.j")
     return with_fixtures(f"""
-, js AS (SELECT CAST(j AS INTEGER) AS j, CAST({src} AS INTEGER) AS src FROM range({p}, {target_p}) t(j)),
+, js AS (SELECT CAST(j AS BIGINT) AS j, CAST({src} AS INTEGER) AS src FROM range({p}, {target_p}) t(j)),
+lr AS (SELECT *, {sql_hash_u32("concat_ws('|', row_id, '" + str(seed) + "')")} AS rk FROM line_reg),
 nz AS (SELECT printf('nz%04d', js.j) AS feature, js.src, {weight} * {feat} + {1.0 - weight} * {g} AS value
-       FROM line_reg CROSS JOIN js)
+       FROM lr CROSS JOIN js)
 SELECT feature, count(value) AS n, {r('avg(value)')} AS mean, {r('stddev_pop(value)')} AS std, src
 FROM nz GROUP BY feature, src""", "line_reg").replace("\n, js AS", ", js AS", 1)
 
