@@ -104,12 +104,91 @@ def _label_stats(y: np.ndarray, task: str, k: int) -> np.ndarray:
     return np.array([len(y), y.sum(), (y * y).sum()], dtype=np.float64)
 
 
-def _choose(rng, mins, maxs, mtry):
-    """Random feature order, constants skipped, first ``mtry`` usable ones with thresholds."""
-    order = rng.permutation(len(mins))
-    usable = [f for f in order if maxs[f] > mins[f]][:mtry]
-    thr = [float(rng.uniform(mins[f], maxs[f])) for f in usable]
-    return usable, thr
+def _mix(x):
+    from sylva.functions.hashing import MASK32, MIX_MUL
+    x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX_MUL)) & np.uint64(MASK32)
+    x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX_MUL)) & np.uint64(MASK32)
+    return (x >> np.uint64(16)) ^ x
+
+
+def _hash(*parts):
+    """Counter-based hash of integer arrays/scalars (broadcast) -> uint64 in [0, 2^32)."""
+    from sylva.functions.hashing import MASK32, STRIDE
+    h = np.uint64(0x2545F491)
+    for v in parts:
+        v = np.asarray(v).astype(np.uint64) & np.uint64(MASK32)
+        h = _mix((h + v * np.uint64(STRIDE) + np.uint64(1)) & np.uint64(MASK32))
+    return h
+
+
+def _draws(seed, tree, root, nodes, p):
+    """Per node: a random feature order key and a threshold uniform, both (A, p)."""
+    nodes = np.asarray(nodes)[:, None]
+    f = np.arange(p)[None, :]
+    order_key = _hash(seed, tree, root, nodes, f, 0)
+    u = (_hash(seed, tree, root, nodes, f, 1).astype(np.float64) + 0.5) / 4294967296.0
+    return order_key, u
+
+
+def _candidates(mins, maxs, order_key, u, mtry):
+    """(A, m) candidate features (-1 = none) and thresholds: features in random
+    order, constants skipped, the first ``mtry`` usable ones."""
+    a, p = mins.shape
+    perm = np.argsort(order_key, axis=1, kind="stable")
+    usable = np.take_along_axis(maxs > mins, perm, axis=1)
+    rank = np.cumsum(usable, axis=1)
+    take = usable & (rank <= mtry)
+    m = min(mtry, p)
+    cand = np.full((a, m), -1, dtype=np.int64)
+    rows, cols = np.nonzero(take)
+    slot = rank[rows, cols] - 1
+    cand[rows, slot] = perm[rows, cols]
+    safe = np.maximum(cand, 0)
+    lo = np.take_along_axis(mins, safe, axis=1)
+    hi = np.take_along_axis(maxs, safe, axis=1)
+    thr = lo + np.take_along_axis(u, safe, axis=1) * (hi - lo)
+    return cand, thr
+
+
+def _left_stats(x, y, a, cand, thr, task, k, n_nodes):
+    """Left-side label statistics per (node, candidate): (A, m, K) or (A, m, 3)."""
+    m = cand.shape[1]
+    cf = cand[a]
+    valid = cf >= 0
+    go = (np.take_along_axis(x, np.maximum(cf, 0), axis=1) <= thr[a]) & valid
+    slot = a[:, None] * m + np.arange(m)[None, :]
+    if task == "classification":
+        idx = (slot * k + y.astype(np.int64)[:, None]).ravel()
+        out = np.bincount(idx, weights=go.ravel().astype(np.float64), minlength=n_nodes * m * k)
+        return out.reshape(n_nodes, m, k)
+    g = go.astype(np.float64)
+    size = n_nodes * m
+    out = np.stack([np.bincount(slot.ravel(), weights=g.ravel(), minlength=size),
+                    np.bincount(slot.ravel(), weights=(g * y[:, None]).ravel(), minlength=size),
+                    np.bincount(slot.ravel(), weights=(g * (y * y)[:, None]).ravel(), minlength=size)], axis=1)
+    return out.reshape(n_nodes, m, 3)
+
+
+def _node_stats(y, a, task, k, n_nodes):
+    if task == "classification":
+        return np.bincount(a * k + y.astype(np.int64), minlength=n_nodes * k).reshape(n_nodes, k).astype(np.float64)
+    return np.stack([np.bincount(a, minlength=n_nodes).astype(np.float64),
+                     np.bincount(a, weights=y, minlength=n_nodes),
+                     np.bincount(a, weights=y * y, minlength=n_nodes)], axis=1)
+
+
+def _best_vec(total, left, cand, task, min_leaf):
+    """Best valid candidate per node (vectorised): (index, decrease), -1 if none."""
+    right = total[:, None, :] - left
+    n, imp = _impurity(total, task)
+    nl, il = _impurity(left, task)
+    nr, ir = _impurity(right, task)
+    dec = n[:, None] * imp[:, None] - nl * il - nr * ir
+    ok = (cand >= 0) & (nl >= min_leaf) & (nr >= min_leaf)
+    dec = np.where(ok, dec, -np.inf)
+    b = np.argmax(dec, axis=1) if dec.shape[1] else np.zeros(len(dec), dtype=np.int64)
+    best = dec[np.arange(len(dec)), b] if dec.shape[1] else np.full(len(dec), -np.inf)
+    return np.where(np.isfinite(best), b, -1), np.where(np.isfinite(best), best, 0.0)
 
 
 def _best(total, left_stats, task, min_leaf):
@@ -133,39 +212,64 @@ def _is_terminal(stats, task, depth, min_leaf, max_depth):
 
 
 def grow_local(x, y, task, k, mtry, min_leaf, max_depth, seed, tree, root, root_depth):
-    """Grow the subtree of one node in NumPy; returns local node records and importances."""
+    """Grow the subtree of one node in NumPy, one whole level per iteration
+    (Python work per level, not per node); returns node records and importances."""
+    n, p = x.shape
     out = TreeArrays()
-    imp = np.zeros(x.shape[1])
-    stack = [(np.arange(len(y)), out.add(root_depth), 0)]
-    while stack:
-        idx, nid, local = stack.pop()
-        stats = _label_stats(y[idx], task, k)
-        out.value[nid] = _leaf_value(stats, task)
-        if _is_terminal(stats, task, out.depth[nid], min_leaf, max_depth):
-            continue
-        xs = x[idx]
-        rng = np.random.default_rng([seed, tree, root, local])
-        feats, thrs = _choose(rng, xs.min(axis=0), xs.max(axis=0), mtry)
-        if not feats:
-            continue
-        go = xs[:, feats] <= np.asarray(thrs)[None, :]
-        if task == "classification":
-            onehot = np.eye(k)[y[idx].astype(np.int64)]
-            left = go.T.astype(np.float64) @ onehot
-        else:
-            yy = y[idx]
-            left = np.stack([go.sum(axis=0), go.T @ yy, go.T @ (yy * yy)], axis=1).astype(np.float64)
-        b, dec = _best(stats, left, task, min_leaf)
-        if b < 0:
-            continue
-        out.feat[nid], out.thr[nid] = int(feats[b]), thrs[b]
-        imp[feats[b]] += dec
-        li, ri = idx[go[:, b]], idx[~go[:, b]]
-        out.left[nid] = out.add(out.depth[nid] + 1)
-        out.right[nid] = out.add(out.depth[nid] + 1)
-        # local ids for the random streams follow creation order
-        stack.append((ri, out.right[nid], out.right[nid]))
-        stack.append((li, out.left[nid], out.left[nid]))
+    out.add(root_depth)
+    imp = np.zeros(p)
+    node_of = np.zeros(n, dtype=np.int64)
+    active = np.array([0], dtype=np.int64)
+    rows = np.arange(n)
+    while len(active) and len(rows):
+        amap = np.full(len(out.feat), -1, dtype=np.int64)
+        amap[active] = np.arange(len(active))
+        a = amap[node_of[rows]]
+        keep = a >= 0
+        rows, a = rows[keep], a[keep]
+        xa, ya = x[rows], y[rows]
+        n_act = len(active)
+        st = _node_stats(ya, a, task, k, n_act)
+        nn, im = _impurity(st, task)
+        for i, nd in enumerate(active):
+            out.value[nd] = _leaf_value(st[i], task)
+        depth = np.asarray(out.depth)[active]
+        terminal = (nn < 2) | (nn < 2 * min_leaf) | (im <= 1e-12)
+        if max_depth is not None:
+            terminal |= depth >= max_depth
+        mins = np.full((n_act, p), np.inf)
+        maxs = np.full((n_act, p), -np.inf)
+        np.minimum.at(mins, a, xa)
+        np.maximum.at(maxs, a, xa)
+        okey, u = _draws(seed, tree, root, active + 1, p)
+        cand, thr = _candidates(mins, maxs, okey, u, mtry)
+        cand[terminal] = -1
+        left = _left_stats(xa, ya, a, cand, thr, task, k, n_act)
+        b, dec = _best_vec(st, left, cand, task, min_leaf)
+        split = np.nonzero(b >= 0)[0]
+        if not len(split):
+            break
+        sf = cand[split, b[split]]
+        st_thr = thr[split, b[split]]
+        np.add.at(imp, sf, dec[split])
+        first = len(out.feat)
+        lefts = first + 2 * np.arange(len(split))
+        for i, s_i in enumerate(split):
+            nd = active[s_i]
+            out.feat[nd], out.thr[nd] = int(sf[i]), float(st_thr[i])
+            out.left[nd], out.right[nd] = int(lefts[i]), int(lefts[i] + 1)
+            out.add(out.depth[nd] + 1)
+            out.add(out.depth[nd] + 1)
+        # route the rows of split nodes one level down
+        smap = np.full(n_act, -1, dtype=np.int64)
+        smap[split] = np.arange(len(split))
+        sr = smap[a]
+        moving = sr >= 0
+        r_rows, r_s = rows[moving], sr[moving]
+        go = x[r_rows, sf[r_s]] <= st_thr[r_s]
+        node_of[r_rows] = np.where(go, lefts[r_s], lefts[r_s] + 1)
+        rows = r_rows
+        active = np.arange(first, len(out.feat), dtype=np.int64)
     return out, imp
 
 
@@ -205,8 +309,8 @@ class ExtraTreesModel:
         parts = []
         sc = df.sparkSession.sparkContext
         for batch in batches:
-            packed = [(t.packed(), np.asarray([v if v is not None else [0.0] * width for v in t.value]))
-                      for t in batch]
+            packed = [(t.packed(), np.asarray([v if v is not None else [0.0] * width for v in t.value],
+                                              dtype=np.float64).reshape(-1, width)) for t in batch]
             bc = sc.broadcast(packed)
 
             def score(it, bc=bc):
@@ -320,10 +424,11 @@ class ExtraTrees:
                 tree.value[nd] = _leaf_value(info["stats"], task)
                 if _is_terminal(info["stats"], task, tree.depth[nd], min_leaf, max_depth):
                     continue
-                rng = np.random.default_rng([seed, ti, nd, 0])
-                feats, thrs = _choose(rng, info["mn"], info["mx"], mtry)
-                if feats:
-                    cands[(ti, nd)] = (feats, thrs)
+                okey, u = _draws(seed, ti, -1, [nd], p)
+                cf, ct = _candidates(info["mn"][None, :], info["mx"][None, :], okey, u, mtry)
+                usable = cf[0] >= 0
+                if usable.any():
+                    cands[(ti, nd)] = ([int(f) for f in cf[0][usable]], [float(t) for t in ct[0][usable]])
             if not cands:
                 break
             cand_by_tree: dict[int, dict] = {}
@@ -419,38 +524,47 @@ class ExtraTrees:
                     if m.any():
                         yield pd.DataFrame({"tree": ti, "node": nd[m], "x": list(x[m]), "y": y[m]})
 
-        out_schema = ("tree int, node int, local int, feat int, thr double, lft int, rgt int, "
-                      "value array<double>, imp array<double>")
+        out_schema = ("tree int, node int, feat array<int>, thr array<double>, lft array<int>, "
+                      "rgt array<int>, value array<double>, imp array<double>")
+        width = k if task == "classification" else 1
 
         def grow(key, pdf):
             ti, nd = int(key[0]), int(key[1])
             x = np.stack(pdf["x"].to_numpy())
             sub, imp = grow_local(x, pdf["y"].to_numpy(), task, k, mtry, min_leaf, max_depth, seed, ti, nd,
                                   depths[(ti, nd)])
-            n = len(sub.feat)
-            return pd.DataFrame({"tree": ti, "node": nd, "local": np.arange(n), "feat": sub.feat, "thr": sub.thr,
-                                 "lft": sub.left, "rgt": sub.right, "value": sub.value,
-                                 "imp": [imp] + [None] * (n - 1)})
-
-        rows = (data.mapInPandas(assign, row_schema).groupBy("tree", "node")
-                .applyInPandas(grow, out_schema).collect())
-        subtrees: dict = {}
-        for r in rows:
-            subtrees.setdefault((r["tree"], r["node"]), []).append(r)
-        for (ti, nd), recs in subtrees.items():
-            recs.sort(key=lambda r: r["local"])
-            tree = trees[ti]
-            base = len(tree.feat)
-            gid = {0: nd}
-            for r in recs[1:]:
-                gid[r["local"]] = base + r["local"] - 1
-            for r in recs[1:]:
-                tree.add(tree.depth[nd])  # depth bookkeeping is not needed after growth
-            for r in recs:
-                g = gid[r["local"]]
-                tree.feat[g], tree.thr[g] = r["feat"], r["thr"]
-                tree.left[g] = gid[r["lft"]] if r["lft"] >= 0 else -1
-                tree.right[g] = gid[r["rgt"]] if r["rgt"] >= 0 else -1
-                tree.value[g] = list(r["value"])
-                if r["local"] == 0 and r["imp"] is not None:
-                    importances[ti] += np.asarray(r["imp"])
+            vals = np.asarray([v if v is not None else [0.0] * width for v in sub.value], dtype=np.float64)
+            return pd.DataFrame({"tree": [ti], "node": [nd], "feat": [np.asarray(sub.feat, dtype=np.int32)],
+                                 "thr": [np.asarray(sub.thr)], "lft": [np.asarray(sub.left, dtype=np.int32)],
+                                 "rgt": [np.asarray(sub.right, dtype=np.int32)], "value": [vals.ravel()],
+                                 "imp": [imp]})
+
+        # one row per subtree (arrays), so the driver assembles whole blocks
+        subtrees = (data.mapInPandas(assign, row_schema).groupBy("tree", "node")
+                    .applyInPandas(grow, out_schema).toPandas())
+        frozen = {}
+        for ti, tree in enumerate(trees):
+            vals = np.asarray([v if v is not None else [0.0] * width for v in tree.value], dtype=np.float64)
+            frozen[ti] = [np.asarray(tree.feat, dtype=np.int32), np.asarray(tree.thr, dtype=np.float64),
+                          np.asarray(tree.left, dtype=np.int32), np.asarray(tree.right, dtype=np.int32),
+                          vals.reshape(-1, width)]
+        for r in subtrees.itertuples(index=False):
+            ti, nd = int(r.tree), int(r.node)
+            feat, thr, lft, rgt, vals = frozen[ti]
+            n = len(r.feat)
+            base = len(feat)
+            gid = np.concatenate([[nd], base + np.arange(n - 1)]).astype(np.int32)
+            sl = np.asarray(r.lft, dtype=np.int64)
+            sr = np.asarray(r.rgt, dtype=np.int64)
+            g_l = np.where(sl >= 0, gid[np.maximum(sl, 0)], -1).astype(np.int32)
+            g_r = np.where(sr >= 0, gid[np.maximum(sr, 0)], -1).astype(np.int32)
+            sv = np.asarray(r.value, dtype=np.float64).reshape(n, width)
+            sfeat = np.asarray(r.feat, dtype=np.int32)
+            sthr = np.asarray(r.thr, dtype=np.float64)
+            feat[nd], thr[nd], lft[nd], rgt[nd], vals[nd] = sfeat[0], sthr[0], g_l[0], g_r[0], sv[0]
+            frozen[ti] = [np.concatenate([feat, sfeat[1:]]), np.concatenate([thr, sthr[1:]]),
+                          np.concatenate([lft, g_l[1:]]), np.concatenate([rgt, g_r[1:]]),
+                          np.concatenate([vals, sv[1:]])]
+            importances[ti] += np.asarray(r.imp)
+        for ti, tree in enumerate(trees):
+            tree.feat, tree.thr, tree.left, tree.right, tree.value = frozen[ti]

@@ -406,3 +406,195 @@ QUERIES = {
     "parts_completed": parts_completed, "feature_report": feature_report, "variant_grid": variant_grid,
     "flagship": flagship,
 }
+
+
+# --------------------------------------------------------------- H: models (rows-only checks)
+# Each query fits on the whole fixture: Part 1 protocol (standardise, 80/20 hash
+# split) on lineitem, or Part 3 protocol (noise expansion to p = 500, a
+# 150-row training sample and every other row as test).
+
+
+def _assembled_split(fr, test=0.2, seed=42, stratify=False):
+    from sylva.models.registry import assemble
+    from sylva.session import cut_lineage
+    fr = prepare.standardize(fr)
+    flagged = prepare.split(fr, test, seed, stratify=stratify)
+    data = assemble(fr.with_df(flagged)).join(flagged.select("row_id", "is_test"), "row_id")
+    data = cut_lineage(data)  # reused by every fit of the query
+    return data.where(~F.col("is_test")).drop("is_test"), data.where(F.col("is_test")).drop("is_test")
+
+
+def _part3(spark, sf, target_p=500, n_train=150, seed=42):
+    from sylva.models.registry import assemble
+    from sylva.session import cut_lineage
+    fr = prepare.standardize(fx.line_reg(spark, sf))
+    ex = prepare.expand_with_noise(fr, target_p, 0.5, seed, as_array="x")
+    data = ex.df.select("row_id", "x", F.col(fr.target_col).cast("double").alias("label"))
+    flagged = prepare.sample_split(
+        type(fr)(data, (), "label", ("row_id",), fr.problem_type), n_train, 0.7, seed)
+    from pyspark.ml.functions import array_to_vector
+    flagged = cut_lineage(flagged.withColumn("features", array_to_vector("x")))
+    names = list(fr.feature_cols) + [prepare.noise_name(j) for j in range(fr.p, target_p)]
+    _ = assemble
+    return (flagged.where(F.col("is_train")).drop("is_train"), flagged.where(~F.col("is_train")).drop("is_train"),
+            names)
+
+
+def _fit_one(spark, sf, learner_fn, task="classification"):
+    from sylva.models.registry import run_models
+    fr = fx.line_bin(spark, sf) if task == "classification" else fx.line_reg(spark, sf)
+    tr, te = _assembled_split(fr)
+    return run_models(tr, te, [learner_fn(task, fr.p)], task, fr.p)
+
+
+def model_et(spark, sf):
+    from sylva.models.registry import extra_trees
+    return _fit_one(spark, sf, lambda t, p: extra_trees(t, name="Extra Trees"))
+
+
+def model_rf(spark, sf):
+    from sylva.models.registry import random_forest
+    return _fit_one(spark, sf, lambda t, p: random_forest(t, strategy=None, p=p, name="Random Forest"))
+
+
+def model_rf_sqrt(spark, sf):
+    from sylva.models.registry import random_forest
+    return _fit_one(spark, sf, lambda t, p: random_forest(t, strategy="sqrt", p=p, name="RF (mtry=sqrt(p))"))
+
+
+def model_rf_log(spark, sf):
+    from sylva.models.registry import random_forest
+    return _fit_one(spark, sf, lambda t, p: random_forest(t, strategy="log", p=p, name="RF (mtry=log(p))"))
+
+
+def model_l1_logistic(spark, sf):
+    from sylva.models.registry import l1_logistic
+    return _fit_one(spark, sf, lambda t, p: l1_logistic(name="LASSO"))
+
+
+def model_logistic(spark, sf):
+    from sylva.models.registry import l2_logistic
+    return _fit_one(spark, sf, lambda t, p: l2_logistic(name="Lasso/Linear"))
+
+
+def model_lasso(spark, sf):
+    from sylva.models.registry import lasso
+    return _fit_one(spark, sf, lambda t, p: lasso(name="LASSO"), task="regression")
+
+
+def model_xgb(spark, sf):
+    from sylva.models.registry import boosting
+    return _fit_one(spark, sf, lambda t, p: boosting(t, 100, 6, 0.1, "XGBoost"))
+
+
+def model_gb(spark, sf):
+    from sylva.models.registry import boosting
+    return _fit_one(spark, sf, lambda t, p: boosting(t, 100, 3, 0.1, "Gradient Boosting"), task="regression")
+
+
+def model_adaboost(spark, sf):
+    from sylva.models.registry import adaboost
+    return _fit_one(spark, sf, lambda t, p: adaboost(100, 0.1, "AdaBoost"))
+
+
+def model_bart(spark, sf):
+    from sylva.models.registry import bart_alias
+    return _fit_one(spark, sf, lambda t, p: bart_alias(t))
+
+
+def model_nmin(spark, sf):
+    """H13 on the Part 3 protocol: Extra-Trees with min leaf 2 and floor(n^(1/3))."""
+    from sylva.models.registry import extra_trees, run_models
+    tr, te, names = _part3(spark, sf)
+    n = tr.count()
+    cube = max(2, int(n ** (1.0 / 3.0)))
+    ls = [extra_trees("regression", min_leaf=2, name="ET-nmin=2"),
+          extra_trees("regression", min_leaf=cube, name=f"ET-nmin=n^1/3={cube}")]
+    return run_models(tr, te, ls, "regression", len(names))
+
+
+def model_mtry(spark, sf):
+    """H5 for the feature counts in play: 5 lineitem features, the embedding width, 500."""
+    dims = load(spark, sf, "embeddings").select(F.size("embedding").alias("p")).distinct()
+    ps = dims.unionByName(spark.range(1).select(F.lit(5).alias("p"))).unionByName(
+        spark.range(1).select(F.lit(500).alias("p"))).distinct()
+    return ps.select(F.col("p").cast("int").alias("p"),
+                     F.greatest(F.lit(1), F.floor(F.sqrt("p"))).cast("int").alias("mtry_sqrt"),
+                     F.greatest(F.lit(1), F.floor(F.log("p"))).cast("int").alias("mtry_log"))
+
+
+def rlt_flagship(spark, sf):
+    """RLT-ExtraTrees (VI -> mute -> LC -> ET) next to plain Extra-Trees (RLT-naive)."""
+    from sylva.models.registry import extra_trees, run_models
+    from sylva.models.rlt import rlt
+    fr = fx.line_bin(spark, sf)
+    tr, te = _assembled_split(fr)
+    return run_models(tr, te, [rlt("classification", list(fr.feature_cols)),
+                               extra_trees("classification", name="RLT-naive")], "classification")
+
+
+def rlt_grid(spark, sf):
+    """H15 on the Part 3 protocol: 3 muting levels x 5 n_comb x 2 nmin, importance
+    computed once and every distinct resolved plan fitted once; relative errors."""
+    from sylva.models.registry import run_models
+    from sylva.models.rlt import frame_of, importance, rlt
+    from sylva.plans.studies import resolved_grid
+    tr, te, names = _part3(spark, sf)
+    vi = importance(tr, names, "regression").cache()
+    grid = resolved_grid(spark, frame_of(tr, names, "regression"), vi).collect()  # 30 rows
+    fits = {}
+    for g in grid:
+        fits.setdefault(g["fit_key"], g)
+    learners = [rlt("regression", names, g["level"], n_comb=g["n_comb"], min_leaf=g["nmin"], order="asc",
+                    positional=True, name=g["fit_key"], vi=vi) for g in fits.values()]
+    res = run_models(tr, te, learners, "regression")
+    errors = res.select(F.col("model").alias("fit_key"), (F.col("rmse") * F.col("rmse")).alias("error"))
+    gdf = spark.createDataFrame([(g["model"], g["fit_key"]) for g in grid], "model string, fit_key string")
+    return compare.relative_errors(gdf.join(errors, "fit_key").drop("fit_key"))
+
+
+def embedded_study(spark, sf):
+    from sylva.models.rlt import embedded_study as study
+    fr = fx.line_bin(spark, sf)
+    tr, te = _assembled_split(fr)
+    return study(tr, te, list(fr.feature_cols), "classification")
+
+
+def optimised_study(spark, sf):
+    from sylva.models.rlt import embedded_study as study
+    fr = fx.line_bin(spark, sf)
+    tr, te = _assembled_split(fr)
+    return study(tr, te, list(fr.feature_cols), "classification", optimised=True)
+
+
+def vi_model(spark, sf):
+    """Extra-Trees importance blended 50/50 with the ANOVA statistic."""
+    from sylva.models.rlt import importance
+    fr = fx.line_bin(spark, sf)
+    tr, _ = _assembled_split(fr)
+    return importance(tr, list(fr.feature_cols), "classification")
+
+
+def vi_model_only(spark, sf):
+    """Normalised forest importance only."""
+    from sylva.models.rlt import importance
+    fr = fx.line_reg(spark, sf)
+    tr, _ = _assembled_split(fr)
+    return importance(tr, list(fr.feature_cols), "regression", w_model=1.0, w_stat=0.0)
+
+
+def progressive(spark, sf):
+    from sylva.models.rlt import progressive_muting
+    fr = fx.line_bin(spark, sf)
+    tr, te = _assembled_split(fr)
+    return progressive_muting(tr, te, list(fr.feature_cols), "classification")
+
+
+QUERIES.update({
+    "model_et": model_et, "model_rf": model_rf, "model_rf_sqrt": model_rf_sqrt, "model_rf_log": model_rf_log,
+    "model_l1_logistic": model_l1_logistic, "model_logistic": model_logistic, "model_lasso": model_lasso,
+    "model_xgb": model_xgb, "model_gb": model_gb, "model_adaboost": model_adaboost, "model_bart": model_bart,
+    "model_nmin": model_nmin, "model_mtry": model_mtry, "rlt_flagship": rlt_flagship, "rlt_grid": rlt_grid,
+    "embedded_study": embedded_study, "optimised_study": optimised_study, "vi_model": vi_model,
+    "vi_model_only": vi_model_only, "progressive": progressive,
+})

@@ -543,3 +543,8 @@ g1 AS (SELECT *, CAST(least(CASE WHEN least(n_kept, 10) >= 7 THEN 10 WHEN least(
 
 
 ORACLE["variant_grid"] = _grid_sql()
+
+ORACLE["model_mtry"] = (
+    "SELECT CAST(p AS INTEGER) AS p, CAST(greatest(1, floor(sqrt(p))) AS INTEGER) AS mtry_sqrt, "
+    "CAST(greatest(1, floor(ln(p))) AS INTEGER) AS mtry_log FROM "
+    "(SELECT DISTINCT len(embedding) AS p FROM embeddings UNION SELECT 5 UNION SELECT 500)")
