@@ -378,13 +378,15 @@ class ExtraTrees:
 
         while open_nodes:
             packed = [t.packed() for t in trees]
-            open_by_tree: dict[int, list[int]] = {}
-            for ti, nd in open_nodes:
+            open_by_tree: dict[int, np.ndarray] = {}
+            for ti, nd in sorted(open_nodes):
                 open_by_tree.setdefault(ti, []).append(nd)
-            # ---- pass A: per (tree, node, key) min / max / sum
+            open_by_tree = {ti: np.asarray(v, dtype=np.int64) for ti, v in open_by_tree.items()}
+            # ---- pass A: per (tree, node, key) min / max / sum, vectorised per tree
             stat_schema = "tree int, node int, key int, mn double, mx double, s double"
 
             def pass_a(it, packed=packed, open_by_tree=open_by_tree):
+                keys = np.arange(p + width) - width
                 for pdf in it:
                     if not len(pdf):
                         continue
@@ -393,17 +395,26 @@ class ExtraTrees:
                     rows = []
                     for ti, nodes in open_by_tree.items():
                         nd = route(x, packed[ti])
-                        for n in nodes:
-                            m = nd == n
-                            if not m.any():
-                                continue
-                            xs = x[m]
-                            st = _label_stats(y[m], task, k)
-                            rows.append(pd.DataFrame({
-                                "tree": ti, "node": n, "key": np.arange(p + width) - width,
-                                "mn": np.concatenate([np.zeros(width), xs.min(axis=0)]),
-                                "mx": np.concatenate([np.zeros(width), xs.max(axis=0)]),
-                                "s": np.concatenate([st, np.zeros(p)])}))
+                        amap = np.full(len(packed[ti][0]), -1, dtype=np.int64)
+                        amap[nodes] = np.arange(len(nodes))
+                        a = amap[nd]
+                        sel = a >= 0
+                        if not sel.any():
+                            continue
+                        a, xa = a[sel], x[sel]
+                        order = np.argsort(a, kind="stable")
+                        a_s, xs = a[order], xa[order]
+                        starts = np.flatnonzero(np.r_[True, a_s[1:] != a_s[:-1]])
+                        ids = a_s[starts]
+                        st = _node_stats(y[sel], a, task, k, len(nodes))[ids]
+                        mn = np.minimum.reduceat(xs, starts, axis=0)
+                        mx = np.maximum.reduceat(xs, starts, axis=0)
+                        g = len(ids)
+                        rows.append(pd.DataFrame({
+                            "tree": ti, "node": np.repeat(nodes[ids], p + width), "key": np.tile(keys, g),
+                            "mn": np.concatenate([np.zeros((g, width)), mn], axis=1).ravel(),
+                            "mx": np.concatenate([np.zeros((g, width)), mx], axis=1).ravel(),
+                            "s": np.concatenate([st, np.zeros((g, p))], axis=1).ravel()}))
                     if rows:
                         yield pd.concat(rows, ignore_index=True)
 
@@ -431,10 +442,19 @@ class ExtraTrees:
                     cands[(ti, nd)] = ([int(f) for f in cf[0][usable]], [float(t) for t in ct[0][usable]])
             if not cands:
                 break
-            cand_by_tree: dict[int, dict] = {}
-            for (ti, nd), (fs, ths) in cands.items():
-                cand_by_tree.setdefault(ti, {})[nd] = (np.asarray(fs), np.asarray(ths))
-            # ---- pass B: per (tree, node, candidate, key) left-side sums
+            cand_by_tree: dict[int, tuple] = {}
+            grouped: dict[int, list] = {}
+            for (ti, nd), (fs, ths) in sorted(cands.items()):
+                grouped.setdefault(ti, []).append((nd, fs, ths))
+            m_max = max(len(fs) for fs, _ in cands.values())
+            for ti, items in grouped.items():
+                nodes = np.asarray([it[0] for it in items], dtype=np.int64)
+                cf = np.full((len(items), m_max), -1, dtype=np.int64)
+                ct = np.zeros((len(items), m_max))
+                for i, (_, fs, ths) in enumerate(items):
+                    cf[i, :len(fs)], ct[i, :len(ths)] = fs, ths
+                cand_by_tree[ti] = (nodes, cf, ct)
+            # ---- pass B: per (tree, node, candidate, key) left-side sums, vectorised per tree
             cand_schema = "tree int, node int, cand int, key int, s double"
 
             def pass_b(it, packed=packed, cand_by_tree=cand_by_tree):
@@ -444,21 +464,21 @@ class ExtraTrees:
                     x = np.stack(pdf["x"].to_numpy())
                     y = pdf["y"].to_numpy()
                     rows = []
-                    for ti, nodes in cand_by_tree.items():
+                    for ti, (nodes, cf, ct) in cand_by_tree.items():
                         nd = route(x, packed[ti])
-                        for n, (fs, ths) in nodes.items():
-                            m = nd == n
-                            if not m.any():
-                                continue
-                            go = x[m][:, fs] <= ths[None, :]
-                            ym = y[m]
-                            if task == "classification":
-                                left = go.T.astype(np.float64) @ np.eye(k)[ym.astype(np.int64)]
-                            else:
-                                left = np.stack([go.sum(axis=0), go.T @ ym, go.T @ (ym * ym)], axis=1)
-                            c, kk = np.meshgrid(np.arange(len(fs)), np.arange(width), indexing="ij")
-                            rows.append(pd.DataFrame({"tree": ti, "node": n, "cand": c.ravel(),
-                                                      "key": kk.ravel(), "s": left.ravel().astype(np.float64)}))
+                        amap = np.full(len(packed[ti][0]), -1, dtype=np.int64)
+                        amap[nodes] = np.arange(len(nodes))
+                        a = amap[nd]
+                        sel = a >= 0
+                        if not sel.any():
+                            continue
+                        left = _left_stats(x[sel], y[sel], a[sel], cf, ct, task, k, len(nodes))
+                        ids = np.unique(a[sel])
+                        g, m = len(ids), cf.shape[1]
+                        rows.append(pd.DataFrame({
+                            "tree": ti, "node": np.repeat(nodes[ids], m * width),
+                            "cand": np.tile(np.repeat(np.arange(m), width), g),
+                            "key": np.tile(np.arange(width), g * m), "s": left[ids].ravel()}))
                     if rows:
                         yield pd.concat(rows, ignore_index=True)
 
@@ -467,8 +487,10 @@ class ExtraTrees:
             left_stats: dict = {}
             for r in agg_b:
                 ti, nd = r["tree"], r["node"]
-                arr = left_stats.setdefault((ti, nd), np.zeros((len(cands[(ti, nd)][0]), width)))
-                arr[r["cand"], r["key"]] = r["s"]
+                n_c = len(cands[(ti, nd)][0])
+                arr = left_stats.setdefault((ti, nd), np.zeros((n_c, width)))
+                if r["cand"] < n_c:
+                    arr[r["cand"], r["key"]] = r["s"]
             # ---- apply the best split per node
             new_open = set()
             for (ti, nd), (fs, ths) in cands.items():
