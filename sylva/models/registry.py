@@ -156,31 +156,33 @@ def adaboost(rounds: int = N_TREES, rate: float = 0.1, name: str = "AdaBoost", s
     def fit(train: DataFrame):
         k = _n_classes(train)
         n = train.count()
-        cur = train.select("row_id", "features", "label").withColumn("w", F.lit(1.0 / n))
+        cur = train.select("row_id", "features", "label").withColumn("w", F.lit(1.0 / n)).persist()
         stumps = []
         for r in range(rounds):
             stump = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + r).fit(cur)
-            pred = stump.transform(cur).select("row_id", "features", "label", "w", "prediction")
-            err_row = pred.agg((F.sum(F.when(F.col("prediction") != F.col("label"), F.col("w")).otherwise(0.0))
-                                / F.sum("w")).alias("e")).first()
-            err = float(err_row["e"] or 0.0)
+            pred = stump.transform(cur).withColumn("miss", F.col("prediction") != F.col("label"))
+            # weights sum to 1 after every update, so one aggregate gives the weighted error
+            err = float(pred.agg(F.sum(F.when(F.col("miss"), F.col("w")).otherwise(0.0))).first()[0] or 0.0)
             if err >= 1.0 - 1.0 / k:
                 break
-            alpha = rate * (math.log((1.0 - err) / max(err, 1e-300)) + math.log(k - 1.0)) if err > 0 else rate * 10.0
-            stumps.append((stump, alpha))
             if err <= 0:
+                stumps.append((stump, 1.0))
                 break
-            cur = pred.select("row_id", "features", "label", F.when(
-                F.col("prediction") != F.col("label"), F.col("w") * F.lit(math.exp(alpha))).otherwise(F.col("w"))
-                .alias("w"))
-            total = cur.agg(F.sum("w")).first()[0]
-            cur = cur.withColumn("w", F.col("w") / F.lit(total))
-            if (r + 1) % checkpoint_every == 0:
-                cur = cut_lineage(cur)
+            alpha = rate * (math.log((1.0 - err) / err) + math.log(k - 1.0))
+            stumps.append((stump, alpha))
+            boost = math.exp(alpha)
+            total = (1.0 - err) + err * boost          # new weight total, known analytically
+            nxt = pred.select("row_id", "features", "label", (F.when(
+                F.col("miss"), F.col("w") * F.lit(boost)).otherwise(F.col("w")) / F.lit(total)).alias("w"))
+            nxt = cut_lineage(nxt) if (r + 1) % checkpoint_every == 0 else nxt.persist()
+            cur.unpersist()
+            cur = nxt
+        cur.unpersist()
 
         def score(df: DataFrame) -> DataFrame:
+            # one small plan per stump, unioned: votes are summed per (row, class)
             votes = None
-            for i, (stump, alpha) in enumerate(stumps):
+            for stump, alpha in stumps:
                 v = stump.transform(df.select("row_id", "features")).select(
                     "row_id", F.col("prediction").cast("int").alias("c"), F.lit(alpha).alias("a"))
                 votes = v if votes is None else votes.unionByName(v)
