@@ -32,19 +32,24 @@ def to_long(df: DataFrame, ids: list[str], cols: list[str], key: str = "feature"
 
 
 def kth_values(base: DataFrame, targets: list[tuple[str, int]], buckets: int = 1024,
-               pick_limit: int = 4096, max_rounds: int = 64) -> dict[tuple[str, int], float]:
+               pick_limit: int = 4096, max_rounds: int = 64, stats: dict | None = None,
+               ties: dict | None = None) -> dict[tuple[str, int], float]:
     """Exact k-th smallest values per key.
 
     ``base`` has columns ``k`` (string) and ``v`` (double, non-null).  ``targets``
-    lists ``(key, rank)`` with 0-based ranks.  The driver only ever holds one
-    row per target.
+    lists ``(key, rank)`` with 0-based ranks.  ``stats`` may give the known
+    ``{key: (n, min, max)}`` (e.g. a hash range) to skip the first pass.  When
+    ``ties`` is a dict it receives, per target, ``(n_below, n_equal)``: rows
+    strictly below the value and rows equal to it.  The driver only ever holds
+    one row per target.
     """
     spark = base.sparkSession
     if not targets:
         return {}
-    stats = {r["k"]: (r["n"], r["mn"], r["mx"]) for r in
-             base.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("mn"),
-                                   F.max("v").alias("mx")).collect()}
+    if stats is None:
+        stats = {r["k"]: (r["n"], r["mn"], r["mx"]) for r in
+                 base.groupBy("k").agg(F.count("v").alias("n"), F.min("v").alias("mn"),
+                                       F.max("v").alias("mx")).collect()}
     state = {}
     result: dict[tuple[str, int], float] = {}
     for tid, (k, r) in enumerate(sorted(set(targets))):
@@ -54,6 +59,8 @@ def kth_values(base: DataFrame, targets: list[tuple[str, int]], buckets: int = 1
             continue
         if mn == mx:
             result[(k, r)] = mn
+            if ties is not None:
+                ties[(k, r)] = (0, n)
             continue
         state[tid] = {"k": k, "r": r, "lo": mn, "hi": mx, "below": 0, "cnt": n}
 
@@ -66,15 +73,19 @@ def kth_values(base: DataFrame, targets: list[tuple[str, int]], buckets: int = 1
             tdf = spark.createDataFrame(
                 [(t, s["k"], float(s["lo"]), float(s["hi"]), int(s["r"] - s["below"])) for t, s in small.items()],
                 "tid int, k string, lo double, hi double, need long")
-            w = Window.partitionBy("tid").orderBy("v")
+            w = Window.partitionBy("tid").orderBy("v")  # at most pick_limit rows per target
             picked = (base.join(F.broadcast(tdf), "k")
                       .where((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
                       .withColumn("rn", F.row_number().over(w) - 1)
+                      .withColumn("rk", F.rank().over(w) - 1)
+                      .withColumn("eq", F.count(F.lit(1)).over(Window.partitionBy("tid", "v")))
                       .where(F.col("rn") == F.col("need"))
-                      .select("tid", "v").collect())
+                      .select("tid", "v", "rk", "eq").collect())
             for row in picked:
                 s = small[row["tid"]]
                 result[(s["k"], s["r"])] = row["v"]
+                if ties is not None:
+                    ties[(s["k"], s["r"])] = (s["below"] + row["rk"], row["eq"])
             for t in small:
                 state.pop(t)
         if large:
@@ -107,6 +118,8 @@ def kth_values(base: DataFrame, targets: list[tuple[str, int]], buckets: int = 1
                 s["lo"], s["hi"], s["cnt"] = row["mn"], row["mx"], row["c"]
                 if row["mn"] == row["mx"]:
                     result[(s["k"], s["r"])] = row["mn"]
+                    if ties is not None:
+                        ties[(s["k"], s["r"])] = (s["below"], row["c"])
                     state.pop(row["tid"])
     return result
 

@@ -142,30 +142,46 @@ def split_hash(id_cols, seed) -> Column:
     return F.conv(F.substring(hash_key(*id_cols, F.lit(seed)), 1, 13), 16, 10).cast("bigint")
 
 
+HASH_TOP = float(2 ** 52)
+
+
 def smallest_k_flag(df: DataFrame, h: str, id_col: str, k_by_group: dict, group: str | None = None,
-                    flag: str = "is_test") -> DataFrame:
+                    flag: str = "is_test", counts: dict | None = None) -> DataFrame:
     """Flag the k smallest ``(h, id)`` rows of each group, without a global sort.
 
     The k-th smallest hash per group comes from the distributed order-statistic
-    search; only rows tied on that exact hash (a handful at most) are ranked by id.
+    search over the known hash range; rows below it are flagged by a
+    projection.  Only when several rows share that exact hash (rare for a
+    52-bit hash) are those few ranked by id and broadcast back.
     """
     gcol = F.col(group).cast("string") if group else F.lit("*")
     base = df.select(gcol.alias("k"), F.col(h).cast("double").alias("v"))
     targets = [(str(g), int(k) - 1) for g, k in k_by_group.items() if k > 0]
-    kth = kth_values(base, targets)
+    known = {str(g): (n, 0.0, HASH_TOP) for g, n in counts.items()} if counts else None
+    tie_info: dict = {}
+    kth = kth_values(base, targets, stats=known, ties=tie_info)
     spark = df.sparkSession
-    th = spark.createDataFrame([(g, float(kth[(g, r)]), r + 1) for g, r in targets if kth.get((g, r)) is not None],
-                               "k string, t double, need long")
-    tagged = df.withColumn("_k", gcol).join(F.broadcast(th), F.col("_k") == th["k"], "left").drop("k")
-    below = (tagged.where(F.col(h) < F.col("t")).groupBy("_k").count()
-             .withColumnRenamed("count", "n_below"))
-    tie_w = Window.partitionBy("_k").orderBy(id_col)
-    ties = (tagged.where(F.col(h) == F.col("t")).join(F.broadcast(below), "_k", "left")
-            .withColumn("_r", F.row_number().over(tie_w) + F.coalesce("n_below", F.lit(0)))
-            .where(F.col("_r") <= F.col("need")).select(id_col, F.lit(True).alias("_tie")))
-    out = tagged.join(ties, id_col, "left")
-    return out.select(*df.columns, (F.coalesce(F.col(h) < F.col("t"), F.lit(False)) |
-                                    F.coalesce(F.col("_tie"), F.lit(False))).alias(flag))
+    thr = {g: (kth[(g, r)], r + 1) for g, r in targets if kth.get((g, r)) is not None}
+    if not thr:
+        return df.withColumn(flag, F.lit(False))
+    th = spark.createDataFrame([(g, float(t), int(need)) for g, (t, need) in thr.items()],
+                               "_k string, _t double, _need long")   # one row per group
+    tagged = df.withColumn("_k", gcol).join(F.broadcast(th), "_k", "left")
+    # all rows equal to the threshold are taken unless that would exceed k
+    partial = {g for g, r in targets if (g, r) in tie_info and tie_info[(g, r)][0] + tie_info[(g, r)][1] > r + 1}
+    below = F.coalesce(F.col(h) < F.col("_t"), F.lit(False))
+    at = F.coalesce(F.col(h) == F.col("_t"), F.lit(False))
+    if not partial:
+        return tagged.select(*df.columns, (below | at).alias(flag))
+    n_below = {g: tie_info[(g, r)][0] for g, r in targets if g in partial}
+    nb = spark.createDataFrame([(g, int(v)) for g, v in n_below.items()], "_k string, _nb long")
+    tie_w = Window.partitionBy("_k").orderBy(id_col)   # only rows sharing the exact k-th hash
+    ties = (tagged.where(at & F.col("_k").isin(list(partial))).join(F.broadcast(nb), "_k")
+            .withColumn("_r", F.row_number().over(tie_w) + F.col("_nb"))
+            .where(F.col("_r") <= F.col("_need")).select(id_col, F.lit(True).alias("_tie")))
+    out = tagged.join(F.broadcast(ties), id_col, "left")
+    full = at & ~F.col("_k").isin(list(partial))
+    return out.select(*df.columns, (below | full | F.coalesce(F.col("_tie"), F.lit(False))).alias(flag))
 
 
 def split(fr: Frame, test: float = 0.2, seed: int = 42, stratify: bool = False) -> DataFrame:
@@ -178,9 +194,9 @@ def split(fr: Frame, test: float = 0.2, seed: int = 42, stratify: bool = False)
         counts = {r[0]: r[1] for r in df.groupBy(F.col(fr.target_col).cast("string")).count().collect()}
         if counts and min(counts.values()) >= 2:
             k = {g: int(math.floor(test * n + 0.5)) for g, n in counts.items()}
-            return smallest_k_flag(df, "_h", id_col, k, group=fr.target_col).drop("_h")
+            return smallest_k_flag(df, "_h", id_col, k, group=fr.target_col, counts=counts).drop("_h")
     n = df.count()
-    return smallest_k_flag(df, "_h", id_col, {"*": int(math.ceil(test * n))}).drop("_h")
+    return smallest_k_flag(df, "_h", id_col, {"*": int(math.ceil(test * n))}, counts={"*": n}).drop("_h")
 
 
 def sample_split(fr: Frame, n_max: int = 150, frac: float = 0.7, seed: int = 42) -> DataFrame:
@@ -189,7 +205,7 @@ def sample_split(fr: Frame, n_max: int = 150, frac: float = 0.7, seed: int = 42)
     n = fr.df.count()
     n_train = min(n_max, int(math.floor(frac * n)))
     df = fr.df.withColumn("_h", split_hash([id_col], seed))
-    flagged = smallest_k_flag(df, "_h", id_col, {"*": n_train}, flag="is_train")
+    flagged = smallest_k_flag(df, "_h", id_col, {"*": n_train}, flag="is_train", counts={"*": n})
     return flagged.drop("_h")
 
 
