@@ -259,13 +259,12 @@ def expand_with_noise(fr: Frame, target_p: int = 500, weight: float = 0.5, seed:
     weight * x[src(j)] + (1 - weight) * N(0, 1).
 
     The row key is one md5 of (row id, seed) in Spark; the draws per column are
-    integer mixing of that key, vectorised in NumPy inside ``mapInPandas``
+    integer mixing of that key, vectorised in NumPy inside ``mapInArrow``
     (rows x new columns per Arrow batch, in chunks), so nothing is shuffled and
     the result is the same on any cluster layout.  With ``as_array`` the
     features come back as one ``array<double>`` column of that name (what the
     model fits consume); otherwise as wide ``nzNNNN`` columns."""
     import numpy as np
-    import pandas as pd
     p = fr.p
     if p >= target_p:
         return fr
@@ -279,17 +278,21 @@ def expand_with_noise(fr: Frame, target_p: int = 500, weight: float = 0.5, seed:
     schema = T.StructType(keep + [T.StructField(out_col, T.ArrayType(T.DoubleType(), False))])
 
     def fn(batches):
-        for pdf in batches:
-            for s0 in range(0, len(pdf), chunk):
-                part = pdf.iloc[s0:s0 + chunk]
-                x = part[feats].to_numpy(dtype=np.float64)
-                g = _np_gaussians(part["_rk"].to_numpy(), js)
+        import pyarrow as pa
+        for batch in batches:
+            for s0 in range(0, batch.num_rows, chunk):
+                part = batch.slice(s0, chunk)
+                n = part.num_rows
+                x = np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in feats]).astype(
+                    np.float64).reshape(n, len(feats))
+                g = _np_gaussians(part.column("_rk").to_numpy(zero_copy_only=False), js)
                 full = np.concatenate([x, weight * x[:, src] + (1.0 - weight) * g], axis=1)
-                out = part.drop(columns=["_rk"]).reset_index(drop=True)
-                out[out_col] = pd.Series(list(full))
-                yield out
+                offsets = pa.array(np.arange(n + 1, dtype=np.int32) * full.shape[1])
+                arr = pa.ListArray.from_arrays(offsets, pa.array(full.ravel()))
+                cols = [part.column(f.name) for f in keep] + [arr]
+                yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in keep] + [out_col])
 
-    arr = base.mapInPandas(fn, schema)
+    arr = base.mapInArrow(fn, schema)
     names = tuple(noise_name(int(j)) for j in js)
     if as_array:
         return Frame(arr, fr.feature_cols, fr.target_col, fr.id_cols, fr.problem_type)
