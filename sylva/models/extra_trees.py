@@ -4,7 +4,7 @@ MLlib has no Extra-Trees, so the forest is grown level by level over a cached
 ``(row_id, x array<double>, label double)`` DataFrame:
 
 * **Distributed levels** (nodes holding more than ``local_rows`` rows): pass A
-  routes every row through the partial forest inside ``mapInPandas`` and emits
+  routes every row through the partial forest inside ``mapInArrow`` and emits
   per (tree, node, feature) partial min/max plus label statistics; pass B emits
   per (tree, node, candidate) partial left-side statistics.  Both are summed by
   ``groupBy`` (map-side partial aggregation), so only
@@ -77,6 +77,33 @@ def route(x: np.ndarray, packed) -> np.ndarray:
     return node
 
 
+def _xy(batch, xcol: str = "x", ycol: str | None = "y"):
+    """Feature matrix (from a fixed-length list column) and label of an Arrow batch."""
+    n = batch.num_rows
+    flat = batch.column(xcol).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    x = flat.reshape(n, -1) if n else np.zeros((0, 0))
+    y = batch.column(ycol).to_numpy(zero_copy_only=False).astype(np.float64) if ycol else None
+    return x, y
+
+
+def _list_array(mat: np.ndarray):
+    import pyarrow as pa
+    n, w = mat.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w),
+                                    pa.array(np.ascontiguousarray(mat, dtype=np.float64).ravel()))
+
+
+def _arrow_schema(ddl: str):
+    import pyarrow as pa
+    kinds = {"int": pa.int32(), "double": pa.float64()}
+    return pa.schema([(n, kinds[t]) for n, t in (f.strip().split() for f in ddl.split(","))])
+
+
+def _to_batch(pdf: pd.DataFrame, ddl: str):
+    import pyarrow as pa
+    return pa.RecordBatch.from_pandas(pdf, schema=_arrow_schema(ddl), preserve_index=False)
+
+
 def _impurity(stats: np.ndarray, task: str):
     """stats: (..., K) class counts or (..., 3) [n, sum, sumsq] -> (n, impurity)."""
     if task == "classification":
@@ -314,15 +341,18 @@ class ExtraTreesModel:
             bc = sc.broadcast(packed)
 
             def score(it, bc=bc):
+                import pyarrow as pa
                 forest = bc.value
-                for pdf in it:
-                    x = np.stack(pdf[features].to_numpy()) if len(pdf) else np.zeros((0, 1))
-                    acc = np.zeros((len(pdf), width))
-                    for pk, vals in forest:
-                        acc += vals[route(x, pk)]
-                    yield pd.DataFrame({id_col: pdf[id_col].to_numpy(), "_acc": list(acc)})
-
-            parts.append(df.select(id_col, features).mapInPandas(score, partial_schema))
+                for batch in it:
+                    x, _ = _xy(batch, features, None)
+                    acc = np.zeros((batch.num_rows, width))
+                    if batch.num_rows:
+                        for pk, vals in forest:
+                            acc += vals[route(x, pk)]
+                    yield pa.RecordBatch.from_arrays([batch.column(id_col), _list_array(acc)],
+                                                     names=[id_col, "_acc"])
+
+            parts.append(df.select(id_col, features).mapInArrow(score, partial_schema))
         acc = parts[0]
         if len(parts) > 1:
             for p in parts[1:]:
@@ -387,11 +417,10 @@ class ExtraTrees:
 
             def pass_a(it, packed=packed, open_by_tree=open_by_tree):
                 keys = np.arange(p + width) - width
-                for pdf in it:
-                    if not len(pdf):
+                for batch in it:
+                    if not batch.num_rows:
                         continue
-                    x = np.stack(pdf["x"].to_numpy())
-                    y = pdf["y"].to_numpy()
+                    x, y = _xy(batch)
                     rows = []
                     for ti, nodes in open_by_tree.items():
                         nd = route(x, packed[ti])
@@ -416,9 +445,9 @@ class ExtraTrees:
                             "mx": np.concatenate([np.zeros((g, width)), mx], axis=1).ravel(),
                             "s": np.concatenate([st, np.zeros((g, p))], axis=1).ravel()}))
                     if rows:
-                        yield pd.concat(rows, ignore_index=True)
+                        yield _to_batch(pd.concat(rows, ignore_index=True), stat_schema)
 
-            agg_a = (data.mapInPandas(pass_a, stat_schema).groupBy("tree", "node", "key")
+            agg_a = (data.mapInArrow(pass_a, stat_schema).groupBy("tree", "node", "key")
                      .agg(F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sum("s").alias("s")).collect())
             node_info: dict = {}
             for r in agg_a:
@@ -458,11 +487,10 @@ class ExtraTrees:
             cand_schema = "tree int, node int, cand int, key int, s double"
 
             def pass_b(it, packed=packed, cand_by_tree=cand_by_tree):
-                for pdf in it:
-                    if not len(pdf):
+                for batch in it:
+                    if not batch.num_rows:
                         continue
-                    x = np.stack(pdf["x"].to_numpy())
-                    y = pdf["y"].to_numpy()
+                    x, y = _xy(batch)
                     rows = []
                     for ti, (nodes, cf, ct) in cand_by_tree.items():
                         nd = route(x, packed[ti])
@@ -480,9 +508,9 @@ class ExtraTrees:
                             "cand": np.tile(np.repeat(np.arange(m), width), g),
                             "key": np.tile(np.arange(width), g * m), "s": left[ids].ravel()}))
                     if rows:
-                        yield pd.concat(rows, ignore_index=True)
+                        yield _to_batch(pd.concat(rows, ignore_index=True), cand_schema)
 
-            agg_b = (data.mapInPandas(pass_b, cand_schema).groupBy("tree", "node", "cand", "key")
+            agg_b = (data.mapInArrow(pass_b, cand_schema).groupBy("tree", "node", "cand", "key")
                      .agg(F.sum("s").alias("s")).collect())
             left_stats: dict = {}
             for r in agg_b:
@@ -535,16 +563,18 @@ class ExtraTrees:
         row_schema = "tree int, node int, x array<double>, y double"
 
         def assign(it, packed=packed, targets=targets):
-            for pdf in it:
-                if not len(pdf):
+            import pyarrow as pa
+            for batch in it:
+                if not batch.num_rows:
                     continue
-                x = np.stack(pdf["x"].to_numpy())
-                y = pdf["y"].to_numpy()
+                x, y = _xy(batch)
                 for ti, nodes in targets.items():
                     nd = route(x, packed[ti])
                     m = np.isin(nd, nodes)
                     if m.any():
-                        yield pd.DataFrame({"tree": ti, "node": nd[m], "x": list(x[m]), "y": y[m]})
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(int(m.sum()), ti, dtype=np.int32)), pa.array(nd[m].astype(np.int32)),
+                             _list_array(x[m]), pa.array(y[m])], names=["tree", "node", "x", "y"])
 
         out_schema = ("tree int, node int, feat array<int>, thr array<double>, lft array<int>, "
                       "rgt array<int>, value array<double>, imp array<double>")
@@ -562,7 +592,7 @@ class ExtraTrees:
                                  "imp": [imp]})
 
         # one row per subtree (arrays), so the driver assembles whole blocks
-        subtrees = (data.mapInPandas(assign, row_schema).groupBy("tree", "node")
+        subtrees = (data.mapInArrow(assign, row_schema).groupBy("tree", "node")
                     .applyInPandas(grow, out_schema).toPandas())
         frozen = {}
         for ti, tree in enumerate(trees):
