@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 LOCAL_ROWS = 20_000
+TIE_RTOL = 1e-9
 MAX_BROADCAST_NODES = 2_000_000
 
 
@@ -213,7 +214,12 @@ def _best_vec(total, left, cand, task, min_leaf):
     dec = n[:, None] * imp[:, None] - nl * il - nr * ir
     ok = (cand >= 0) & (nl >= min_leaf) & (nr >= min_leaf)
     dec = np.where(ok, dec, -np.inf)
-    b = np.argmax(dec, axis=1) if dec.shape[1] else np.zeros(len(dec), dtype=np.int64)
+    if dec.shape[1]:
+        top = dec.max(axis=1, keepdims=True)
+        scale = np.abs(np.where(np.isfinite(top), top, 0.0)) + (n * imp)[:, None]
+        b = np.argmax(dec >= top - TIE_RTOL * scale, axis=1)
+    else:
+        b = np.zeros(len(dec), dtype=np.int64)
     best = dec[np.arange(len(dec)), b] if dec.shape[1] else np.full(len(dec), -np.inf)
     return np.where(np.isfinite(best), b, -1), np.where(np.isfinite(best), best, 0.0)
 
@@ -229,7 +235,11 @@ def _best(total, left_stats, task, min_leaf):
     if not ok.any():
         return -1, 0.0
     dec = np.where(ok, dec, -np.inf)
-    b = int(np.argmax(dec))
+    best = dec.max()
+    # candidates within rounding noise of the best (relative to the node's total
+    # impurity) count as tied and the first wins, so partial sums merged in any
+    # order pick the same split
+    b = int(np.argmax(dec >= best - TIE_RTOL * (abs(best) + n * imp)))
     return b, float(dec[b])
 
 
@@ -242,6 +252,9 @@ def grow_local(x, y, task, k, mtry, min_leaf, max_depth, seed, tree, root, root_
     """Grow the subtree of one node in NumPy, one whole level per iteration
     (Python work per level, not per node); returns node records and importances."""
     n, p = x.shape
+    # rows arrive in shuffle order: sort them so every float sum runs in one order
+    order = np.lexsort(np.column_stack([x, y]).T[::-1]) if n else np.arange(0)
+    x, y = x[order], y[order]
     out = TreeArrays()
     out.add(root_depth)
     imp = np.zeros(p)
@@ -307,6 +320,8 @@ class ExtraTreesModel:
     n_classes: int
     trees: list
     importances: np.ndarray
+    y_shift: float = 0.0     # regression targets are standardised during growth
+    y_scale: float = 1.0
 
     @property
     def n_nodes(self) -> int:
@@ -366,7 +381,8 @@ class ExtraTreesModel:
             pred = F.array_position(F.col("_avg"), F.array_max("_avg")) - 1
             return scored.withColumn("probability", F.col("_avg")).withColumn(
                 "prediction", pred.cast("double")).drop("_avg")
-        return scored.withColumn("prediction", F.col("_avg")[0]).drop("_avg")
+        pred = F.col("_avg")[0] * F.lit(self.y_scale) + F.lit(self.y_shift)
+        return scored.withColumn("prediction", pred).drop("_avg")
 
 
 class ExtraTrees:
@@ -395,6 +411,13 @@ class ExtraTrees:
         k = k or 0
         width = k if task == "classification" else 3
         mtry = self._mtry(p)
+        shift, scale = 0.0, 1.0
+        if task != "classification":
+            # sums of y and y^2 are merged across partitions: standardising y keeps
+            # the variance arithmetic well conditioned and the splits layout-independent
+            mom = data.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
+            shift, scale = float(mom["m"] or 0.0), float(mom["s"] or 0.0) or 1.0
+            data = data.select("x", ((F.col("y") - F.lit(shift)) / F.lit(scale)).alias("y"))
         data = data.persist()
         trees = [TreeArrays() for _ in range(self.n_trees)]
         for t in trees:
@@ -459,7 +482,7 @@ class ExtraTrees:
                     info["mn"][r["key"]], info["mx"][r["key"]] = r["mn"], r["mx"]
             # ---- choose candidates on the driver (bounded by open nodes x mtry)
             cands: dict = {}
-            for (ti, nd), info in node_info.items():
+            for (ti, nd), info in sorted(node_info.items(), key=lambda kv: kv[0]):  # layout-independent ids
                 tree = trees[ti]
                 tree.value[nd] = _leaf_value(info["stats"], task)
                 if _is_terminal(info["stats"], task, tree.depth[nd], min_leaf, max_depth):
@@ -521,7 +544,7 @@ class ExtraTrees:
                     arr[r["cand"], r["key"]] = r["s"]
             # ---- apply the best split per node
             new_open = set()
-            for (ti, nd), (fs, ths) in cands.items():
+            for (ti, nd), (fs, ths) in sorted(cands.items(), key=lambda kv: kv[0]):
                 total = node_info[(ti, nd)]["stats"]
                 ls = left_stats.get((ti, nd), np.zeros((len(fs), width)))
                 b, dec = _best(total, ls, task, min_leaf)
@@ -550,7 +573,7 @@ class ExtraTrees:
         imp = per_tree.mean(axis=0)
         imp = imp / imp.sum() if imp.sum() > 0 else imp
         _ = cut_lineage  # lineage is short here: every level re-reads the persisted input
-        return ExtraTreesModel(task, p, k, trees, imp)
+        return ExtraTreesModel(task, p, k, trees, imp, shift, scale)
 
     def _finish(self, data, trees, importances, local_nodes, p, k, mtry):
         """Shuffle rows of small nodes to one group each and grow the subtrees there."""
@@ -600,6 +623,7 @@ class ExtraTrees:
             frozen[ti] = [np.asarray(tree.feat, dtype=np.int32), np.asarray(tree.thr, dtype=np.float64),
                           np.asarray(tree.left, dtype=np.int32), np.asarray(tree.right, dtype=np.int32),
                           vals.reshape(-1, width)]
+        subtrees = subtrees.sort_values(["tree", "node"], kind="stable")  # deterministic node ids
         for r in subtrees.itertuples(index=False):
             ti, nd = int(r.tree), int(r.node)
             feat, thr, lft, rgt, vals = frozen[ti]

@@ -46,3 +46,23 @@ def test_bakeoff_regression(spark, sf):
     for r in res:
         assert r["test_r2"] > 0.9
         assert r["train_time"] >= 0
+
+
+def test_extra_trees_partition_invariant(spark, sf):
+    """Classification sums are exact counts: the forest is identical on any layout."""
+    fr, tr, _ = _split(spark, sf, fx.line_bin)
+    a = ExtraTrees("classification", n_trees=3, seed=7, local_rows=500, n_classes=2).fit(tr.repartition(1))
+    b = ExtraTrees("classification", n_trees=3, seed=7, local_rows=500, n_classes=2).fit(tr.repartition(5))
+    assert a.n_nodes == b.n_nodes
+    assert np.allclose(a.importances, b.importances)
+    for ta, tb in zip(a.trees, b.trees):
+        assert np.array_equal(np.asarray(ta.feat), np.asarray(tb.feat))
+        assert np.allclose(np.asarray(ta.thr), np.asarray(tb.thr))
+
+
+def test_extra_trees_regression_layout_stable(spark, sf):
+    """Regression sums merge in any order; ties are broken by rule, so importances agree."""
+    fr, tr, _ = _split(spark, sf, fx.line_reg)
+    a = ExtraTrees("regression", n_trees=3, seed=7, local_rows=500).fit(tr.repartition(1))
+    b = ExtraTrees("regression", n_trees=3, seed=7, local_rows=500).fit(tr.repartition(5))
+    assert np.allclose(a.importances, b.importances, rtol=1e-3, atol=1e-6)
