@@ -42,11 +42,11 @@ def mtry(p: int) -> tuple[int, int]:
     return max(1, int(math.sqrt(p))), max(1, int(math.log(p))) if p > 0 else 1
 
 
-def assemble(fr: Frame, label_col: str | None = None) -> DataFrame:
-    """row_id, x array<double>, features vector, label double (one projection)."""
+def assemble(fr: Frame, label_col: str | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
+    """row_id, x array<double>, features vector, label double (+ ``keep``), one projection."""
     x = F.array(*[F.col(f"`{c}`").cast("double") for c in fr.feature_cols])
     lab = F.col(label_col or fr.target_col).cast("double")
-    return fr.df.select(F.col(fr.id_cols[0]).alias("row_id"), x.alias("x"), lab.alias("label")).withColumn(
+    return fr.df.select(F.col(fr.id_cols[0]).alias("row_id"), x.alias("x"), lab.alias("label"), *keep).withColumn(
         "features", array_to_vector("x"))
 
 

@@ -425,8 +425,7 @@ def _assembled_split(fr, test=0.2, seed=42, stratify=False):
     from sylva.session import cut_lineage
     fr = prepare.standardize(fr)
     flagged = prepare.split(fr, test, seed, stratify=stratify)
-    data = assemble(fr.with_df(flagged)).join(flagged.select("row_id", "is_test"), "row_id")
-    data = cut_lineage(data)  # reused by every fit of the query
+    data = cut_lineage(assemble(fr.with_df(flagged), keep=("is_test",)))  # reused by every fit of the query
     return data.where(~F.col("is_test")).drop("is_test"), data.where(F.col("is_test")).drop("is_test")
 
 
