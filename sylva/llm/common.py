@@ -44,3 +44,9 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in {c.lower() for c in df.columns}:
         name = f"_{name}"
     return name
+
+
+def row_keys(id_col: str = "doc_id", text_col: str = "text", names: tuple[str, str] = ("k1", "k2")) -> list:
+    """Two 64-bit columns that tell rows apart by id and text, never null; exact repeats of a row share them."""
+    i, t = F.col(id_col), F.col(text_col)
+    return [F.xxhash64(i, t).alias(names[0]), F.xxhash64(F.lit(1), t, i).alias(names[1])]

@@ -1,3 +1,46 @@
 """DuckDB SQL of the operators that SQL can express."""
 
-ORACLE: dict[str, str] = {}
+_WORDS4 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP4 = rf"""
+WITH d AS (SELECT doc_id, {_WORDS4} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS4} AS w FROM benchmark),
+pattern AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') AS t
+            FROM b, unnest(generate_series(1, greatest(1, len(w) - 12))) AS s(i) WHERE len(w) > 0),
+place AS (SELECT doc_id, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') AS t
+          FROM (SELECT DISTINCT n FROM pattern) AS size, d, unnest(generate_series(1, len(w) - n + 1)) AS s(i)),
+hit AS (SELECT DISTINCT doc_id, i, place.n, item_id FROM place JOIN pattern ON place.t = pattern.t AND place.n = pattern.n),
+counted AS (SELECT doc_id, count(DISTINCT j) AS n_hit, count(DISTINCT item_id) AS n_items FROM hit, unnest(generate_series(i, i + n - 1)) AS s(j) GROUP BY doc_id),
+named AS (SELECT doc_id, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hit) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN counted ON d.doc_id = counted.doc_id LEFT JOIN named ON d.doc_id = named.doc_id
+"""
+
+OP6 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+run AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 34), ' ') AS t FROM d, unnest(generate_series(1, len(w) - 34)) AS s(i)),
+twice AS (SELECT t FROM run GROUP BY t HAVING count(*) > 1),
+gone AS (SELECT DISTINCT doc_id, j FROM run JOIN twice ON run.t = twice.t, unnest(generate_series(i, i + 34)) AS s(j)),
+word AS (SELECT doc_id, j, w[j] AS v FROM d, unnest(generate_series(1, len(w))) AS s(j)),
+kept AS (SELECT word.doc_id, count(*) AS n, string_agg(v, ' ' ORDER BY word.j) AS t
+         FROM word LEFT JOIN gone ON word.doc_id = gone.doc_id AND word.j = gone.j WHERE gone.j IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept ON d.doc_id = kept.doc_id
+"""
+
+OP8 = r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url,
+                  translate(regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                  regexp_extract(coalesce(url, ''), '^(?s:.*?)://([^/?#]*)([^?#]*)', 2) AS path FROM pages),
+rule(rule_host, rule_path, action) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                                              ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+best AS (SELECT page_id, host, path, max(struct_pack(n := length(rule_host || rule_path), rule := rule_host || rule_path, action := action)) AS r
+         FROM p JOIN rule ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path) GROUP BY ALL)
+SELECT p.page_id, p.host, p.path, r.rule AS rule,
+       coalesce(r.action, CASE WHEN regexp_matches(translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '(^|[^a-z0-9])(ads-track|spam-farm|casino-win|adult-x|cheap-pills|free-bets)([^a-z0-9]|$)') THEN 'block' ELSE 'allow' END) AS verdict
+FROM p LEFT JOIN best ON p.page_id = best.page_id AND p.host = best.host AND p.path = best.path
+"""
+
+ORACLE: dict[str, str] = {"op4_decontaminate": OP4, "op6_substring_dedup": OP6, "op8_url_filter": OP8}
