@@ -28,7 +28,8 @@ from sylva.llm.common import WORD_TABLE, saved
 
 WINDOW = 13
 BLOCK_CHARS = 4_000_000
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: A word in a text that has not been lower-cased.
+_WORD = re.compile(r"[0-9A-Za-z\u0080-\U0010FFFF]+")
 
 
 def normal(text: str) -> bytes:

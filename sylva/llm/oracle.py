@@ -1,5 +1,20 @@
 """DuckDB SQL of the operators that SQL can express."""
 
+OP2 = r"""
+WITH line AS (SELECT doc_id, i, l, trim(l, ' ' || chr(9) || chr(13)) AS t
+              FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), unnest(ls) WITH ORDINALITY AS s(l, i)),
+solid AS (SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS r FROM line WHERE t <> ''),
+run AS (SELECT doc_id, r, string_agg(t, chr(10)) OVER w AS t, count(*) OVER w AS n
+        FROM solid WINDOW w AS (PARTITION BY doc_id ORDER BY r ROWS BETWEEN CURRENT ROW AND 2 FOLLOWING)),
+later AS (SELECT doc_id, r FROM (SELECT doc_id, r, row_number() OVER (PARTITION BY t ORDER BY doc_id, r) AS k FROM run WHERE n = 3) WHERE k > 1),
+gone AS (SELECT DISTINCT solid.doc_id, solid.i FROM later, solid WHERE solid.doc_id = later.doc_id AND solid.r BETWEEN later.r AND later.r + 2),
+kept AS (SELECT line.doc_id, count(*) AS n_lines, count(gone.i) AS n_removed,
+                sha256(coalesce(string_agg(CASE WHEN gone.i IS NULL THEN l END, chr(10) ORDER BY line.i), '')) AS text_sha256
+         FROM line LEFT JOIN gone ON line.doc_id = gone.doc_id AND line.i = gone.i GROUP BY line.doc_id)
+SELECT documents.doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(text_sha256, sha256('')) AS text_sha256
+FROM documents LEFT JOIN kept ON documents.doc_id = kept.doc_id
+"""
+
 _WORDS4 = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 OP4 = rf"""
@@ -43,4 +58,4 @@ SELECT p.page_id, p.host, p.path, r.rule AS rule,
 FROM p LEFT JOIN best ON p.page_id = best.page_id AND p.host = best.host AND p.path = best.path
 """
 
-ORACLE: dict[str, str] = {"op4_decontaminate": OP4, "op6_substring_dedup": OP6, "op8_url_filter": OP8}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2, "op4_decontaminate": OP4, "op6_substring_dedup": OP6, "op8_url_filter": OP8}

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylva.llm import ann, decontaminate, packing, quality, secret_scan, simhash, substring_dedup, token_store, url_filter
+from sylva.llm import ann, decontaminate, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, token_store, url_filter
 from sylva.llm.common import scratch_path
 from sylva.llm.url_filter import Rule
 
@@ -34,12 +34,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", _held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= GOOD_SCORE).cast("int").alias("predicted"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Deletes later repeats of runs of three lines or more."""
+    left = line_dedup.remove_repeated_runs(_table(spark, sf_dir, "documents").select("doc_id", "text"), run=3)
+    return left.select("doc_id", "lines.n_lines", "lines.n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("text_sha256"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Finds secrets in every text."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     found = secret_scan.find_secrets(docs, RANKS, public_tokenizers.PATTERN)
     base = F.filter("secrets", lambda s: s.kind != "random")
-    number = [F.size(F.filter("secrets", lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    number = [secret_scan.count_of("secrets", k).cast("long").alias(f"n_{k}") for k in ("assign", "access", "hex")]
     return found.select("doc_id", *number, F.sha2(secret_scan.joined(base).cast("binary"), 256).alias("base_sha256"), secret_scan.joined("secrets").alias("spans"))
 
 
@@ -84,4 +90,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, bits=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op3_secret_scan, op4_decontaminate, op5_token_store, op6_substring_dedup, op7_ann, op8_url_filter, op9_best_fit, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_secret_scan, op4_decontaminate, op5_token_store, op6_substring_dedup, op7_ann, op8_url_filter, op9_best_fit, op10_simhash)}

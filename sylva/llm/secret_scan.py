@@ -95,3 +95,8 @@ def find_secrets(docs: DataFrame, vocabulary: str, pattern: str, out_col: str =
 def joined(spans):
     """kind:start:end of an array of spans, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start.cast("string"), s.end.cast("string"))), ",")
+
+
+def count_of(spans, kind: str):
+    """How many spans are of a kind."""
+    return F.size(F.filter(spans, lambda s: s.kind == kind))
