@@ -7,8 +7,9 @@ covering radius 1 of one.  A fingerprint goes to every anchor within radius plus
 halves differ in at most ``t`` bits share the anchor nearest to one of them.  At an anchor all 64 bits are compared.
 
 Equal fingerprints are merged before, so copies cost nothing.  At an anchor a search over those not
-yet reached gives a spanning forest of the links, not all pairs.  An anchor with very many fingerprints is
-first dealt anew by the bytes of the other half (four bytes, at most three differing bits: one is equal).
+yet reached gives a spanning forest of the links, not all pairs.  A task that meets more fingerprints at an anchor than
+``dense`` does not compare them but passes them on, and they are dealt anew by the bytes of the other half (four bytes, at
+most three differing bits: one is equal).
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; repeated
 rows are returned each, with the same values; component_id is the smallest id that is not null, null if
@@ -30,7 +31,7 @@ from sylva.llm.common import LOWER_TABLE, fresh, row_keys, saved
 from sylva.llm.components import components
 
 SEED = 42
-#: An anchor with more fingerprints than this is dealt anew by bytes of the other half.
+#: Anchors with more fingerprints than this are dealt anew by bytes of the other half.
 DENSE = 4096
 _CODE_BITS, _CHECKS = 31, 5
 
@@ -106,51 +107,68 @@ def _linked(fps: np.ndarray, bits: int) -> list[tuple[int, int]]:
     return out
 
 
-def links(fps: DataFrame, bits: int, dense: int = DENSE) -> DataFrame:
-    """(a, b) links among different fingerprints, enough of them to join all within ``bits`` of each other."""
-    keyed = anchored(fps, bits // 2)
-    heavy = keyed.groupBy("anchor").count().where(F.col("count") > dense).select("anchor", F.lit(True).alias("heavy"))
-    shift = F.when(F.col("anchor") >= (1 << 32), 32).otherwise(0)
-    octet = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda k: k * 256 + F.call_function("shiftrightunsigned", F.col("fp"), (shift + 8 * k).cast("int")).bitwiseAND(255).cast("int"))
-    cells = (keyed.join(heavy, "anchor", "left")
-             .select("anchor", F.explode(F.when(F.col("heavy"), octet).otherwise(F.array(F.lit(-1)))).alias("cell"), "fp"))
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def groups(rows: np.ndarray) -> list[tuple[int, int]]:
-            new = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
-            at = np.concatenate([[0], new, [rows.shape[1]]])
-            size = np.diff(at)
-            two = at[:-1][size == 2]  # most groups that have a pair at all
-            two = two[np.bitwise_count((rows[2, two] ^ rows[2, two + 1]).view(np.uint64)) <= bits]
-            out = list(zip(rows[2, two].tolist(), rows[2, two + 1].tolist(), strict=True))
-            for i, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
-                out += _linked(rows[2, i : i + n], bits)
-            return out
-
+def _groups(rows: np.ndarray, bits: int, dense: int) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
+    """Links inside each group of whole groups (key rows, fingerprints last), and the groups larger than ``dense``."""
+    new = np.flatnonzero((np.diff(rows[:-1], axis=1) != 0).any(axis=0)) + 1
+    at = np.concatenate([[0], new, [rows.shape[1]]])
+    size = np.diff(at)
+    two = at[:-1][size == 2]  # most groups that have a pair at all
+    two = two[np.bitwise_count((rows[-1, two] ^ rows[-1, two + 1]).view(np.uint64)) <= bits]
+    out = list(zip(rows[-1, two].tolist(), rows[-1, two + 1].tolist(), strict=True))
+    large = []
+    for i, n in zip(at[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
+        if n > dense:
+            large.append(rows[:, i : i + n])
+        else:
+            out += _linked(rows[-1, i : i + n], bits)
+    return out, large
+
+
+def _compare(bits: int, dense: int):
+    """From rows sorted by their keys (fingerprint last): (cell -1, a, b) for links, (cell, anchor, fp) for what is dealt anew."""
+    def table(found: list[tuple[int, int]], large: list[np.ndarray]) -> pa.RecordBatch:
+        parts = [(np.full(len(found), -1), *np.array(found, dtype=np.int64).reshape(-1, 2).T)]
+        for rows in large:
+            anchor, fp = rows[0], rows[-1]
+            shift = np.where(anchor >= 1 << 32, 32, 0).astype(np.uint64)  # the half that this anchor does not cover
+            parts += [(256 * k + (fp.view(np.uint64) >> (shift + np.uint64(8 * k)) & np.uint64(255)).astype(np.int64), anchor, fp) for k in range(4)]
+        cell, a, b = (np.concatenate(c) for c in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, passed = None, None  # the last group so far; the key of a group that is being passed on
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
+            if passed is not None:
+                same = (rows[:-1] == passed[:, None]).all(axis=0)
+                if same.any():
+                    yield table([], [rows[:, same]])
+                    rows = rows[:, ~same]
             if not rows.shape[1]:
                 continue
-            if held and (held[0][:2, 0] != rows[:2, -1]).any() or not held:
-                rows = np.concatenate([*held, rows], axis=1)
-                last = (rows[:2] != rows[:2, -1:]).any(axis=0)
-                cut = int(np.flatnonzero(last)[-1]) + 1 if last.any() else 0
-                held = [rows[:, cut:]]
-                if cut:
-                    yield table(groups(rows[:, :cut]))
-            else:
-                held.append(rows)  # the group goes on
-        if held:
-            yield table(groups(np.concatenate(held, axis=1)))
-
-    def table(found: list[tuple[int, int]]) -> pa.RecordBatch:
-        a, b = zip(*found, strict=True) if found else ((), ())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return (cells.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", "fp")
-            .mapInArrow(compare, "a long, b long"))
+            passed = None
+            rows = rows if held is None else np.concatenate([held, rows], axis=1)
+            ended = np.flatnonzero((rows[:-1] != rows[:-1, -1:]).any(axis=0))
+            cut = int(ended[-1]) + 1 if len(ended) else 0
+            if cut:
+                yield table(*_groups(rows[:, :cut], bits, dense))
+            held = rows[:, cut:]
+            if held.shape[1] > dense:
+                yield table([], [held])
+                held, passed = None, held[:-1, 0]
+        if held is not None:
+            yield table(*_groups(held, bits, dense))
+
+    return run
+
+
+def links(fps: DataFrame, bits: int, dense: int = DENSE) -> DataFrame:
+    """(a, b) links among different fingerprints, enough of them to join all within ``bits`` of each other."""
+    schema = "cell int, a long, b long"
+    found, _ = saved(anchored(fps, bits // 2).repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare(bits, dense), schema), "compared")
+    anew = (found.where("cell >= 0").select(F.col("a").alias("anchor"), "cell", F.col("b").alias("fp"))
+            .repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", "fp").mapInArrow(_compare(bits, 1 << 62), schema))
+    return found.where("cell < 0").select("a", "b").union(anew.select("a", "b"))
 
 
 def _labelled(docs: DataFrame, shingle: int, bits: int, id_col: str, text_col: str) -> DataFrame:
