@@ -36,6 +36,11 @@ def variant_name(level: Column, n_comb: Column, nmin_label: Column | None = None
     return F.concat(*parts)
 
 
+def long_variant_name(level: Column, n_comb: Column) -> Column:
+    """S1, long form: 'RLT-<Level>-LC<n>' with the whole level, capitalised."""
+    return F.concat(F.lit(VARIANT_PREFIX), F.initcap(level), F.lit("-LC"), n_comb.cast("string"))
+
+
 def medal(rank: Column) -> Column:
     """Gold / silver / bronze for ranks 1-3."""
     return (F.when(rank == 1, F.lit(MEDALS[0])).when(rank == 2, F.lit(MEDALS[1]))

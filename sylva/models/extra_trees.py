@@ -1,646 +1,587 @@
 """Extra-Trees (extremely randomized trees) grown on Spark.
 
-MLlib has no Extra-Trees, so the forest is grown level by level over a cached
-``(row_id, x array<double>, label double)`` DataFrame:
-
-* **Distributed levels** (nodes holding more than ``local_rows`` rows): pass A
-  routes every row through the partial forest inside ``mapInArrow`` and emits
-  per (tree, node, feature) partial min/max plus label statistics; pass B emits
-  per (tree, node, candidate) partial left-side statistics.  Both are summed by
-  ``groupBy`` (map-side partial aggregation), so only
-  ``open nodes x features`` rows ever reach the driver, never data rows.
-* **Local finish**: rows of a node with at most ``local_rows`` rows are
-  shuffled to ``groupBy(tree, node).applyInPandas`` and the subtree is grown in
-  NumPy with the same random rules.  Every group is bounded by ``local_rows``.
-
-Randomness is a NumPy generator seeded by (seed, tree, node[, local node]), so
-the forest does not depend on partitioning.  Per node: features are visited in
-a random order, constant ones skipped, until ``mtry`` usable features are
-found; each gets a threshold uniform in [min, max] of the node; the candidate
-with the largest impurity decrease (Gini / variance) that leaves at least
-``min_leaf`` rows on both sides wins.  Importance = impurity decrease per
-feature, normalised per tree, averaged over trees, normalised again.
-
-Scoring broadcasts the forest in batches of trees whose total node count is
-checked against ``max_broadcast_nodes``; several batches are summed per row by
-one aggregation.
+MLlib has no Extra-Trees.  Per node, features are visited in a random order, constant ones skipped, until ``mtry``
+usable features are found; each gets a threshold uniform in [min, max] of the node; the candidate with the largest
+impurity decrease (Gini / variance) that leaves at least ``min_leaf`` rows on both sides wins.  All draws are hashes of the node's
+path from the root, so a forest depends on the data, the seed and its settings only: not on partitions, and not on where
+a node is grown.
+
+* **Distributed levels**, for nodes with more than ``local_rows`` rows.  Rows carry their current node of each tree.  A pass
+  gathers label sums and the features' ranges per (tree, node), a group step draws the candidates, a second pass gathers the
+  candidates' left sides, and a second group step picks the split.  Both group steps run on executors over one row per
+  (feature | candidate, statistic); the chosen splits are a table.
+* **Local finish**: the rows of a smaller node meet in one group, and the subtree below is grown there in NumPy, a whole
+  level at a time.  ``local_rows`` follows from a bound on a group's numbers.
+* Trees are grown in batches, so that the open nodes of a level, which go to every task, stay below ``OPEN_NUMBERS``.
+* The forest is two tables in the shared folder: splits of the distributed levels, and one row per subtree.  The driver
+  gets its size and the importances, no nodes.
+* Scoring sends the forest to the tasks if it has at most ``BROADCAST_NODES`` nodes, else rows and subtrees meet by (tree, node).
+  Rows keep all their columns and are never joined by an id of theirs.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-LOCAL_ROWS = 20_000
-TIE_RTOL = 1e-9
-MAX_BROADCAST_NODES = 2_000_000
-
-
-@dataclass
-class TreeArrays:
-    feat: list = field(default_factory=list)      # -1 for leaves / unresolved
-    thr: list = field(default_factory=list)
-    left: list = field(default_factory=list)
-    right: list = field(default_factory=list)
-    value: list = field(default_factory=list)     # class fractions (K) or [mean]
-    depth: list = field(default_factory=list)
-
-    def add(self, depth, value=None) -> int:
-        self.feat.append(-1)
-        self.thr.append(0.0)
-        self.left.append(-1)
-        self.right.append(-1)
-        self.value.append(value)
-        self.depth.append(depth)
-        return len(self.feat) - 1
-
-    def packed(self):
-        return (np.asarray(self.feat, dtype=np.int32), np.asarray(self.thr, dtype=np.float64),
-                np.asarray(self.left, dtype=np.int32), np.asarray(self.right, dtype=np.int32))
+from sylva.session import saved
 
+LOCAL_NUMBERS = 4_000_000
+OPEN_NUMBERS = 4_000_000
+TREES_AT_ONCE = 32
+BROADCAST_NODES = 2_000_000
+TIE_RTOL = 1e-9
+OPEN, LEAF, LOCAL = 0, 1, 2  # a row's state in a tree; LOCAL + depth of the node
 
-def route(x: np.ndarray, packed) -> np.ndarray:
-    """Node reached by every row (descend while the node is split)."""
-    feat, thr, left, right = packed
-    node = np.zeros(len(x), dtype=np.int32)
-    active = np.nonzero(feat[node] >= 0)[0]
-    while len(active):
-        nd = node[active]
-        go_left = x[active, feat[nd]] <= thr[nd]
-        node[active] = np.where(go_left, left[nd], right[nd])
-        active = active[feat[node[active]] >= 0]
-    return node
+SPLITS = ("tree int, node long, depth int, feature int, threshold double, gain double, n_left double, n_right double, "
+          "left_state int, right_state int, left_value array<double>, right_value array<double>")
+SUBTREES = "tree int, node long, feat array<int>, thr array<double>, left array<int>, value array<double>, imp array<double>"
 
 
-def _xy(batch, xcol: str = "x", ycol: str | None = "y"):
-    """Feature matrix (from a fixed-length list column) and label of an Arrow batch."""
-    n = batch.num_rows
-    flat = batch.column(xcol).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    x = flat.reshape(n, -1) if n else np.zeros((0, 0))
-    y = batch.column(ycol).to_numpy(zero_copy_only=False).astype(np.float64) if ycol else None
-    return x, y
+# ------------------------------------------------------------------ draws
+def _mix(x):
+    """A 64-bit finaliser (public constants)."""
+    with np.errstate(over="ignore"):
+        x = np.asarray(x, dtype=np.uint64)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+        x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+        return x ^ (x >> np.uint64(33))
 
 
-def _list_array(mat: np.ndarray):
-    import pyarrow as pa
-    n, w = mat.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w),
-                                    pa.array(np.ascontiguousarray(mat, dtype=np.float64).ravel()))
+def root_key(seed: int, tree: int) -> int:
+    return int(_mix(_mix(np.uint64(seed)) + np.uint64(tree + 1)).astype(np.int64))
 
 
-def _arrow_schema(ddl: str):
-    import pyarrow as pa
-    kinds = {"int": pa.int32(), "double": pa.float64()}
-    return pa.schema([(n, kinds[t]) for n, t in (f.strip().split() for f in ddl.split(","))])
+def child_keys(keys: np.ndarray, side: int) -> np.ndarray:
+    """Keys of the left (0) or right (1) children."""
+    return _mix(keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(side + 1)).astype(np.int64)
 
 
-def _to_batch(pdf: pd.DataFrame, ddl: str):
-    import pyarrow as pa
-    return pa.RecordBatch.from_pandas(pdf, schema=_arrow_schema(ddl), preserve_index=False)
+def draws(keys: np.ndarray, p: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per node and feature: a key of the random order, and a uniform number."""
+    k, f = keys.astype(np.uint64)[:, None], np.arange(p, dtype=np.uint64)[None, :]
+    order = _mix(_mix(k + f * np.uint64(2)) ^ k)
+    u = _mix(_mix(k + f * np.uint64(2) + np.uint64(1)) ^ k)
+    return order, ((u >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
+# ------------------------------------------------------------------ rules shared by both phases
 def _impurity(stats: np.ndarray, task: str):
-    """stats: (..., K) class counts or (..., 3) [n, sum, sumsq] -> (n, impurity)."""
-    if task == "classification":
-        n = stats.sum(axis=-1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            frac = stats / n[..., None]
-            g = 1.0 - np.nansum(frac * frac, axis=-1)
-        return n, np.where(n > 0, g, 0.0)
-    n, s, ss = stats[..., 0], stats[..., 1], stats[..., 2]
+    """(..., K) class counts or (..., 3) [n, sum, sum of squares] -> rows, impurity."""
     with np.errstate(invalid="ignore", divide="ignore"):
-        v = ss / n - (s / n) ** 2
-    return n, np.where(n > 0, np.maximum(v, 0.0), 0.0)
+        if task == "classification":
+            n = stats.sum(axis=-1)
+            frac = stats / n[..., None]
+            imp = 1.0 - np.nansum(frac * frac, axis=-1)
+        else:
+            n = stats[..., 0]
+            imp = np.maximum(stats[..., 2] / n - (stats[..., 1] / n) ** 2, 0.0)
+    return n, np.where(n > 0, imp, 0.0)
 
 
-def _leaf_value(stats: np.ndarray, task: str) -> list:
-    if task == "classification":
-        n = stats.sum()
-        return list(stats / n) if n > 0 else list(stats)
-    return [stats[1] / stats[0] if stats[0] > 0 else 0.0]
+def _value(stats: np.ndarray, task: str) -> np.ndarray:
+    """Class shares or mean, (..., width)."""
+    n = stats.sum(axis=-1) if task == "classification" else stats[..., 0]
+    top = stats if task == "classification" else stats[..., 1:2]
+    return top / np.maximum(n, 1)[..., None]
 
 
-def _label_stats(y: np.ndarray, task: str, k: int) -> np.ndarray:
-    if task == "classification":
-        return np.bincount(y.astype(np.int64), minlength=k).astype(np.float64)
-    return np.array([len(y), y.sum(), (y * y).sum()], dtype=np.float64)
+def _terminal(stats, task, depth, min_leaf, max_depth):
+    n, imp = _impurity(stats, task)
+    out = (n < 2) | (n < 2 * min_leaf) | (imp <= 1e-12)
+    return out if max_depth is None else out | (np.asarray(depth) >= max_depth)
 
 
-def _mix(x):
-    from sylva.functions.hashing import MASK32, MIX_MUL
-    x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX_MUL)) & np.uint64(MASK32)
-    x = (((x >> np.uint64(16)) ^ x) * np.uint64(MIX_MUL)) & np.uint64(MASK32)
-    return (x >> np.uint64(16)) ^ x
-
-
-def _hash(*parts):
-    """Counter-based hash of integer arrays/scalars (broadcast) -> uint64 in [0, 2^32)."""
-    from sylva.functions.hashing import MASK32, STRIDE
-    h = np.uint64(0x2545F491)
-    for v in parts:
-        v = np.asarray(v).astype(np.uint64) & np.uint64(MASK32)
-        h = _mix((h + v * np.uint64(STRIDE) + np.uint64(1)) & np.uint64(MASK32))
-    return h
-
-
-def _draws(seed, tree, root, nodes, p):
-    """Per node: a random feature order key and a threshold uniform, both (A, p)."""
-    nodes = np.asarray(nodes)[:, None]
-    f = np.arange(p)[None, :]
-    order_key = _hash(seed, tree, root, nodes, f, 0)
-    u = (_hash(seed, tree, root, nodes, f, 1).astype(np.float64) + 0.5) / 4294967296.0
-    return order_key, u
-
-
-def _candidates(mins, maxs, order_key, u, mtry):
-    """(A, m) candidate features (-1 = none) and thresholds: features in random
-    order, constants skipped, the first ``mtry`` usable ones."""
-    a, p = mins.shape
-    perm = np.argsort(order_key, axis=1, kind="stable")
-    usable = np.take_along_axis(maxs > mins, perm, axis=1)
+def _candidates(low, high, order, u, mtry):
+    """(A, m) candidate features (-1: none) and thresholds."""
+    a, p = low.shape
+    perm = np.argsort(order, axis=1, kind="stable")
+    usable = np.take_along_axis(high > low, perm, axis=1)
     rank = np.cumsum(usable, axis=1)
-    take = usable & (rank <= mtry)
-    m = min(mtry, p)
-    cand = np.full((a, m), -1, dtype=np.int64)
-    rows, cols = np.nonzero(take)
-    slot = rank[rows, cols] - 1
-    cand[rows, slot] = perm[rows, cols]
+    rows, cols = np.nonzero(usable & (rank <= mtry))
+    cand = np.full((a, min(mtry, p)), -1, dtype=np.int64)
+    cand[rows, rank[rows, cols] - 1] = perm[rows, cols]
     safe = np.maximum(cand, 0)
-    lo = np.take_along_axis(mins, safe, axis=1)
-    hi = np.take_along_axis(maxs, safe, axis=1)
-    thr = lo + np.take_along_axis(u, safe, axis=1) * (hi - lo)
-    return cand, thr
+    lo, hi = np.take_along_axis(low, safe, axis=1), np.take_along_axis(high, safe, axis=1)
+    return cand, lo + np.take_along_axis(u, safe, axis=1) * (hi - lo)
+
+
+def _node_stats(y, a, task, k, n_nodes):
+    if task == "classification":
+        return np.bincount(a * k + y.astype(np.int64), minlength=n_nodes * k).reshape(n_nodes, k).astype(np.float64)
+    return np.stack([np.bincount(a, weights=w, minlength=n_nodes) for w in (None, y, y * y)], axis=1).astype(np.float64)
 
 
 def _left_stats(x, y, a, cand, thr, task, k, n_nodes):
     """Left-side label statistics per (node, candidate): (A, m, K) or (A, m, 3)."""
     m = cand.shape[1]
-    cf = cand[a]
-    valid = cf >= 0
-    go = (np.take_along_axis(x, np.maximum(cf, 0), axis=1) <= thr[a]) & valid
+    feature = cand[a]
+    go = ((np.take_along_axis(x, np.maximum(feature, 0), axis=1) <= thr[a]) & (feature >= 0)).astype(np.float64)
     slot = a[:, None] * m + np.arange(m)[None, :]
     if task == "classification":
-        idx = (slot * k + y.astype(np.int64)[:, None]).ravel()
-        out = np.bincount(idx, weights=go.ravel().astype(np.float64), minlength=n_nodes * m * k)
-        return out.reshape(n_nodes, m, k)
-    g = go.astype(np.float64)
-    size = n_nodes * m
-    out = np.stack([np.bincount(slot.ravel(), weights=g.ravel(), minlength=size),
-                    np.bincount(slot.ravel(), weights=(g * y[:, None]).ravel(), minlength=size),
-                    np.bincount(slot.ravel(), weights=(g * (y * y)[:, None]).ravel(), minlength=size)], axis=1)
-    return out.reshape(n_nodes, m, 3)
-
+        index = (slot * k + y.astype(np.int64)[:, None]).ravel()
+        return np.bincount(index, weights=go.ravel(), minlength=n_nodes * m * k).reshape(n_nodes, m, k)
+    parts = [np.bincount(slot.ravel(), weights=(go * w[:, None]).ravel(), minlength=n_nodes * m) for w in (np.ones_like(y), y, y * y)]
+    return np.stack(parts, axis=1).reshape(n_nodes, m, 3)
 
-def _node_stats(y, a, task, k, n_nodes):
-    if task == "classification":
-        return np.bincount(a * k + y.astype(np.int64), minlength=n_nodes * k).reshape(n_nodes, k).astype(np.float64)
-    return np.stack([np.bincount(a, minlength=n_nodes).astype(np.float64),
-                     np.bincount(a, weights=y, minlength=n_nodes),
-                     np.bincount(a, weights=y * y, minlength=n_nodes)], axis=1)
 
+def _best(total, left, cand, task, min_leaf):
+    """Best valid candidate per node (-1: none) and its decrease.
 
-def _best_vec(total, left, cand, task, min_leaf):
-    """Best valid candidate per node (vectorised): (index, decrease), -1 if none."""
-    right = total[:, None, :] - left
+    Candidates within rounding noise of the best (relative to the node's impurity) count as tied and the first wins, so sums merged
+    in any order pick the same split.
+    """
     n, imp = _impurity(total, task)
     nl, il = _impurity(left, task)
-    nr, ir = _impurity(right, task)
-    dec = n[:, None] * imp[:, None] - nl * il - nr * ir
-    ok = (cand >= 0) & (nl >= min_leaf) & (nr >= min_leaf)
-    dec = np.where(ok, dec, -np.inf)
-    if dec.shape[1]:
-        top = dec.max(axis=1, keepdims=True)
-        scale = np.abs(np.where(np.isfinite(top), top, 0.0)) + (n * imp)[:, None]
-        b = np.argmax(dec >= top - TIE_RTOL * scale, axis=1)
-    else:
-        b = np.zeros(len(dec), dtype=np.int64)
-    best = dec[np.arange(len(dec)), b] if dec.shape[1] else np.full(len(dec), -np.inf)
+    nr, ir = _impurity(total[:, None, :] - left, task)
+    gain = n[:, None] * imp[:, None] - nl * il - nr * ir
+    gain = np.where((cand >= 0) & (nl >= min_leaf) & (nr >= min_leaf), gain, -np.inf)
+    if not gain.shape[1]:
+        return np.full(len(gain), -1), np.zeros(len(gain))
+    top = gain.max(axis=1, keepdims=True)
+    noise = TIE_RTOL * (np.abs(np.where(np.isfinite(top), top, 0.0)) + (n * imp)[:, None])
+    b = np.argmax(gain >= top - noise, axis=1)
+    best = gain[np.arange(len(gain)), b]
     return np.where(np.isfinite(best), b, -1), np.where(np.isfinite(best), best, 0.0)
 
 
-def _best(total, left_stats, task, min_leaf):
-    """Index of the best valid candidate and its weighted decrease, or (-1, 0)."""
-    right_stats = total[None, :] - left_stats
-    n, imp = _impurity(total, task)
-    nl, il = _impurity(left_stats, task)
-    nr, ir = _impurity(right_stats, task)
-    dec = n * imp - nl * il - nr * ir
-    ok = (nl >= min_leaf) & (nr >= min_leaf)
-    if not ok.any():
-        return -1, 0.0
-    dec = np.where(ok, dec, -np.inf)
-    best = dec.max()
-    # candidates within rounding noise of the best (relative to the node's total
-    # impurity) count as tied and the first wins, so partial sums merged in any
-    # order pick the same split
-    b = int(np.argmax(dec >= best - TIE_RTOL * (abs(best) + n * imp)))
-    return b, float(dec[b])
-
-
-def _is_terminal(stats, task, depth, min_leaf, max_depth):
-    n, imp = _impurity(stats, task)
-    return n < 2 or n < 2 * min_leaf or imp <= 1e-12 or (max_depth is not None and depth >= max_depth)
-
-
-def grow_local(x, y, task, k, mtry, min_leaf, max_depth, seed, tree, root, root_depth):
-    """Grow the subtree of one node in NumPy, one whole level per iteration
-    (Python work per level, not per node); returns node records and importances."""
+# ------------------------------------------------------------------ local growth
+def grow(x, y, task, k, mtry, min_leaf, max_depth, key, depth):
+    """The subtree of one node: feat (-1: leaf), thr, left (right is left + 1), value, importances."""
     n, p = x.shape
-    # rows arrive in shuffle order: sort them so every float sum runs in one order
-    order = np.lexsort(np.column_stack([x, y]).T[::-1]) if n else np.arange(0)
+    order = np.lexsort(np.column_stack([x, y]).T[::-1]) if n else np.arange(0)  # sums run in one order for any row order
     x, y = x[order], y[order]
-    out = TreeArrays()
-    out.add(root_depth)
-    imp = np.zeros(p)
-    node_of = np.zeros(n, dtype=np.int64)
-    active = np.array([0], dtype=np.int64)
-    rows = np.arange(n)
-    while len(active) and len(rows):
-        amap = np.full(len(out.feat), -1, dtype=np.int64)
-        amap[active] = np.arange(len(active))
-        a = amap[node_of[rows]]
-        keep = a >= 0
-        rows, a = rows[keep], a[keep]
+    keys, rows, start = np.array([key], dtype=np.int64), np.arange(n), np.array([0])
+    feat, thr, left, value, imp, first = [], [], [], [], np.zeros(p), 0
+    while len(keys):
+        n_nodes = len(keys)
+        a = np.repeat(np.arange(n_nodes), np.diff(np.append(start, len(rows))))
         xa, ya = x[rows], y[rows]
-        n_act = len(active)
-        st = _node_stats(ya, a, task, k, n_act)
-        nn, im = _impurity(st, task)
-        for i, nd in enumerate(active):
-            out.value[nd] = _leaf_value(st[i], task)
-        depth = np.asarray(out.depth)[active]
-        terminal = (nn < 2) | (nn < 2 * min_leaf) | (im <= 1e-12)
-        if max_depth is not None:
-            terminal |= depth >= max_depth
-        mins = np.full((n_act, p), np.inf)
-        maxs = np.full((n_act, p), -np.inf)
-        np.minimum.at(mins, a, xa)
-        np.maximum.at(maxs, a, xa)
-        okey, u = _draws(seed, tree, root, active + 1, p)
-        cand, thr = _candidates(mins, maxs, okey, u, mtry)
-        cand[terminal] = -1
-        left = _left_stats(xa, ya, a, cand, thr, task, k, n_act)
-        b, dec = _best_vec(st, left, cand, task, min_leaf)
-        split = np.nonzero(b >= 0)[0]
-        if not len(split):
-            break
-        sf = cand[split, b[split]]
-        st_thr = thr[split, b[split]]
-        np.add.at(imp, sf, dec[split])
-        first = len(out.feat)
-        lefts = first + 2 * np.arange(len(split))
-        for i, s_i in enumerate(split):
-            nd = active[s_i]
-            out.feat[nd], out.thr[nd] = int(sf[i]), float(st_thr[i])
-            out.left[nd], out.right[nd] = int(lefts[i]), int(lefts[i] + 1)
-            out.add(out.depth[nd] + 1)
-            out.add(out.depth[nd] + 1)
-        # route the rows of split nodes one level down
-        smap = np.full(n_act, -1, dtype=np.int64)
-        smap[split] = np.arange(len(split))
-        sr = smap[a]
-        moving = sr >= 0
-        r_rows, r_s = rows[moving], sr[moving]
-        go = x[r_rows, sf[r_s]] <= st_thr[r_s]
-        node_of[r_rows] = np.where(go, lefts[r_s], lefts[r_s] + 1)
-        rows = r_rows
-        active = np.arange(first, len(out.feat), dtype=np.int64)
-    return out, imp
-
-
-@dataclass
+        stats = _node_stats(ya, a, task, k, n_nodes)
+        u_order, u = draws(keys, p)
+        cand, cut = _candidates(np.minimum.reduceat(xa, start, axis=0), np.maximum.reduceat(xa, start, axis=0), u_order, u, mtry)
+        cand[_terminal(stats, task, depth, min_leaf, max_depth)] = -1
+        b, gain = _best(stats, _left_stats(xa, ya, a, cand, cut, task, k, n_nodes), cand, task, min_leaf)
+        split = np.flatnonzero(b >= 0)
+        f, t = np.full(n_nodes, -1), np.zeros(n_nodes)
+        f[split], t[split] = cand[split, b[split]], cut[split, b[split]]
+        np.add.at(imp, f[split], gain[split])
+        lefts = np.full(n_nodes, -1)
+        lefts[split] = first + n_nodes + 2 * np.arange(len(split))
+        for column, v in zip((feat, thr, left, value), (f, t, lefts, _value(stats, task)), strict=True):
+            column.append(v)
+        first, depth = first + n_nodes, depth + 1
+        moving = f[a] >= 0
+        rows, a = rows[moving], a[moving]
+        rank = np.full(n_nodes, -1)
+        rank[split] = np.arange(len(split))
+        child = 2 * rank[a] + (x[rows, f[a]] > t[a])
+        by_child = np.argsort(child, kind="stable")
+        rows = rows[by_child]
+        start = np.searchsorted(child[by_child], np.arange(2 * len(split)))
+        keys = np.stack([child_keys(keys[split], 0), child_keys(keys[split], 1)], axis=1).ravel()
+    return [np.concatenate(c) for c in (feat, thr, left, value)] + [imp]
+
+
+def _route(x, feat, thr, left) -> np.ndarray:
+    """The leaf of each row in one subtree."""
+    at = np.zeros(len(x), dtype=np.int64)
+    rows = np.arange(len(x))
+    while len(rows):
+        f = feat[at[rows]]
+        rows, f = rows[f >= 0], f[f >= 0]
+        at[rows] = left[at[rows]] + (x[rows, f] > thr[at[rows]])
+    return at
+
+
+# ------------------------------------------------------------------ Arrow helpers
+def _matrix(column) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+def _lists(matrix: np.ndarray, kind=None) -> pa.Array:
+    n, w = matrix.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * w), pa.array(np.ascontiguousarray(matrix).ravel(), kind))
+
+
+def _batch(schema: T.StructType, *columns) -> pa.RecordBatch:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields, strict=True)], names=schema.names)
+
+
+def _table(ddl: str, rows: list[tuple]) -> pa.Table:
+    schema = _struct(ddl)
+    columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.fields]
+    return pa.Table.from_batches([_batch(schema, *(list(c) for c in columns))])
+
+
+def _struct(ddl: str) -> T.StructType:
+    """The type of a column list; works in tasks, where no session is."""
+    kinds = {"int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType()}
+    kinds |= {f"array<{k}>": T.ArrayType(v) for k, v in kinds.items()}
+    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+class _Splits:
+    """Splits of the distributed levels, by tree, for vectorised routing."""
+
+    def __init__(self, table: pa.Table):
+        self.by_tree = {}
+        tree = table.column("tree").to_numpy()
+        for t in np.unique(tree):
+            part = table.filter(pa.array(tree == t)).sort_by("node")
+            numbers = [part.column(c).to_numpy() for c in ("node", "feature", "threshold", "left_state", "right_state")]
+            self.by_tree[int(t)] = (*numbers, _matrix(part.column("left_value")), _matrix(part.column("right_value")))
+
+    def advance(self, tree: int, x, node, state, value=None) -> np.ndarray:
+        """Moves open rows one level down (in place); which rows moved.  Open rows without a split become leaves."""
+        open_ = np.flatnonzero(state == OPEN)
+        if not len(open_):
+            return open_
+        if tree not in self.by_tree:
+            state[open_] = LEAF
+            return open_[:0]
+        keys, feature, threshold, left_state, right_state, left_value, right_value = self.by_tree[tree]
+        at = np.minimum(np.searchsorted(keys, node[open_]), len(keys) - 1)
+        has = keys[at] == node[open_]
+        state[open_[~has]] = LEAF
+        open_, at = open_[has], at[has]
+        right = x[open_, feature[at]] > threshold[at]
+        old = node[open_]
+        node[open_] = np.where(right, child_keys(old, 1), child_keys(old, 0))
+        state[open_] = np.where(right, right_state[at], left_state[at])
+        if value is not None:
+            value[open_] = np.where(right[:, None], right_value[at], left_value[at])
+        return open_
+
+
 class ExtraTreesModel:
-    task: str
-    n_features: int
-    n_classes: int
-    trees: list
-    importances: np.ndarray
-    y_shift: float = 0.0     # regression targets are standardised during growth
-    y_scale: float = 1.0
-
-    @property
-    def n_nodes(self) -> int:
-        return sum(len(t.feat) for t in self.trees)
+    def __init__(self, task, n_features, n_classes, n_trees, seed, splits, subtrees, root_state, root_value, n_nodes, importances, shift=0.0, scale=1.0):
+        self.task, self.n_features, self.n_classes, self.n_trees, self.seed = task, n_features, n_classes, n_trees, seed
+        self.splits, self.subtrees, self.root_state, self.root_value = splits, subtrees, root_state, root_value
+        self.n_nodes, self.importances, self.shift, self.scale = n_nodes, importances, shift, scale
 
     def feature_importances(self, spark, names) -> DataFrame:
         """``(feature, vi_model_raw)`` for the importance blend."""
-        return spark.createDataFrame([(n, float(v)) for n, v in zip(names, self.importances)],
-                                     "feature string, vi_model_raw double")
-
-    def transform(self, df: DataFrame, features: str = "x", id_col: str = "row_id",
-                  max_broadcast_nodes: int = MAX_BROADCAST_NODES) -> DataFrame:
-        """``prediction`` (and ``probability`` array for classification) per row."""
-        batches, cur, size = [], [], 0
-        for t in self.trees:
-            if cur and size + len(t.feat) > max_broadcast_nodes:
-                batches.append(cur)
-                cur, size = [], 0
-            cur.append(t)
-            size += len(t.feat)
-        if cur:
-            batches.append(cur)
-        task, k, n_trees = self.task, self.n_classes, len(self.trees)
-        width = k if task == "classification" else 1
-        partial_schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType),
-                                       T.StructField("_acc", T.ArrayType(T.DoubleType(), False))])
-        parts = []
-        sc = df.sparkSession.sparkContext
-        for batch in batches:
-            packed = [(t.packed(), np.asarray([v if v is not None else [0.0] * width for v in t.value],
-                                              dtype=np.float64).reshape(-1, width)) for t in batch]
-            bc = sc.broadcast(packed)
-
-            def score(it, bc=bc):
-                import pyarrow as pa
-                forest = bc.value
-                for batch in it:
-                    x, _ = _xy(batch, features, None)
-                    acc = np.zeros((batch.num_rows, width))
-                    if batch.num_rows:
-                        for pk, vals in forest:
-                            acc += vals[route(x, pk)]
-                    yield pa.RecordBatch.from_arrays([batch.column(id_col), _list_array(acc)],
-                                                     names=[id_col, "_acc"])
-
-            parts.append(df.select(id_col, features).mapInArrow(score, partial_schema))
-        acc = parts[0]
-        if len(parts) > 1:
-            for p in parts[1:]:
-                acc = acc.unionByName(p)
-            acc = acc.groupBy(id_col).agg(F.aggregate(
-                F.collect_list("_acc"), F.array_repeat(F.lit(0.0), width),
-                lambda a, b: F.zip_with(a, b, lambda u, v: u + v)).alias("_acc"))
-        avg = F.transform("_acc", lambda v: v / F.lit(float(n_trees)))
-        scored = df.join(acc.select(id_col, avg.alias("_avg")), id_col)
-        if task == "classification":
-            pred = F.array_position(F.col("_avg"), F.array_max("_avg")) - 1
-            return scored.withColumn("probability", F.col("_avg")).withColumn(
-                "prediction", pred.cast("double")).drop("_avg")
-        pred = F.col("_avg")[0] * F.lit(self.y_scale) + F.lit(self.y_shift)
-        return scored.withColumn("prediction", pred).drop("_avg")
+        return spark.createDataFrame([(n, float(v)) for n, v in zip(names, self.importances, strict=True)], "feature string, vi_model_raw double")
+
+    def transform(self, df: DataFrame, features: str = "x", broadcast_nodes: int = BROADCAST_NODES) -> DataFrame:
+        """The rows of ``df`` with ``prediction`` (and ``probability``, an array, for classification)."""
+        if self.n_nodes <= broadcast_nodes:
+            votes = self._votes_by_broadcast(df, features)
+        else:
+            votes = self._votes_by_join(df, features)
+        mean = F.transform("_votes", lambda v: v / F.lit(float(self.n_trees)))
+        if self.task == "classification":
+            return (votes.withColumn("probability", mean).drop("_votes")
+                    .withColumn("prediction", (F.array_position("probability", F.array_max("probability")) - 1).cast("double")))
+        return votes.withColumn("prediction", mean[0] * F.lit(self.scale) + F.lit(self.shift)).drop("_votes")
+
+    def _top(self):
+        """Routes rows of a matrix through the distributed levels of one tree."""
+        held = self.splits.sparkSession.sparkContext.broadcast(self.splits.toArrow())  # trees x rows / local_rows nodes
+        seed, root_state, root_value = self.seed, self.root_state, self.root_value
+
+        def top():
+            splits = _Splits(held.value)
+
+            def route(tree: int, x):
+                node, state = np.full(len(x), root_key(seed, tree)), np.full(len(x), root_state)
+                value = np.tile(np.asarray(root_value, dtype=np.float64), (len(x), 1))
+                while len(splits.advance(tree, x, node, state, value)):
+                    pass
+                return node, state, value
+
+            return route
+
+        return top
+
+    def _votes_by_broadcast(self, df: DataFrame, features: str) -> DataFrame:
+        top, n_trees, at = self._top(), self.n_trees, df.columns.index(features)
+        held = df.sparkSession.sparkContext.broadcast(self.subtrees.drop("imp").toArrow())
+        schema = T.StructType([*df.schema.fields, T.StructField("_votes", T.ArrayType(T.DoubleType()))])
+        width = len(self.root_value)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            route, trees = top(), {}
+            for r in held.value.to_batches(1024):
+                for i, (t, node) in enumerate(zip(r.column("tree").to_pylist(), r.column("node").to_pylist(), strict=True)):
+                    feat, thr, left, value = (r.column(c)[i].values.to_numpy() for c in ("feat", "thr", "left", "value"))
+                    trees.setdefault(t, []).append((node, feat, thr, left, value.reshape(-1, width)))
+            for batch in batches:
+                x = _matrix(batch.column(at))
+                votes = np.zeros((len(x), width))
+                for t in range(n_trees) if len(x) else ():
+                    node, state, value = route(t, x)
+                    for key, feat, thr, left, values in trees.get(t, ()):
+                        rows = np.flatnonzero((node == key) & (state >= LOCAL))
+                        value[rows] = values[_route(x[rows], feat, thr, left)]
+                    votes += value
+                yield pa.RecordBatch.from_arrays([*batch.columns, _lists(votes)], names=schema.names)
+
+        return df.mapInArrow(run, schema)
+
+    def _votes_by_join(self, df: DataFrame, features: str) -> DataFrame:
+        """Rows and subtrees meet by (tree, node); a subtree comes first and the rows stream past it."""
+        top, n_trees, width = self._top(), self.n_trees, len(self.root_value)
+        rows = saved(df.withColumn("_row", F.monotonically_increasing_id()), "scored-rows")
+        order = _struct(f"{SUBTREES}, kind int, _row long, x array<double>").names
+        told = "tree int, node long, kind int, _row long, x array<double>, value array<double>"
+
+        def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            route = top()
+            for batch in batches:
+                x, ids = _matrix(batch.column(1)), batch.column(0)
+                for t in range(n_trees) if len(x) else ():
+                    node, state, value = route(t, x)
+                    local = state >= LOCAL
+                    value[local] = 0
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(x), t, dtype=np.int32)), pa.array(node), pa.array(np.where(local, 1, 2).astype(np.int32)), ids, _lists(x), _lists(value)],
+                        names=["tree", "node", "kind", "_row", "x", "value"])
+
+        def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            key = sub = None
+            for batch in batches:
+                ids, votes = [], []
+                kinds = np.array(batch.column("kind").to_pylist())
+                place = list(zip(batch.column("tree").to_pylist(), batch.column("node").to_pylist(), strict=True))
+                bounds = [0, *(i for i in range(1, len(place)) if place[i] != place[i - 1] or kinds[i] != kinds[i - 1]), len(place)]
+                for a, b in zip(bounds, bounds[1:], strict=False):
+                    if kinds[a] == 0:
+                        key = place[a]
+                        feat, thr, left, value = (batch.column(c)[a].values.to_numpy() for c in ("feat", "thr", "left", "value"))
+                        sub = (feat, thr, left, value.reshape(-1, width))
+                    elif place[a] == key:
+                        x = _matrix(batch.column("x").slice(a, b - a))
+                        ids += batch.column("_row").slice(a, b - a).to_pylist()
+                        votes.append(sub[3][_route(x, *sub[:3])])
+                if ids:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(np.concatenate(votes))], names=["_row", "value"])
+
+        given = rows.select("_row", F.col(features).alias("x")).mapInArrow(spread, told)
+        done = given.where("kind = 2").select("_row", "value")
+        empty = {c: F.lit(None).cast(t) for c, t in (("feat", "array<int>"), ("thr", "array<double>"), ("left", "array<int>"), ("value", "array<double>"), ("imp", "array<double>"))}
+        asked = given.where("kind = 1").drop("value").withColumns(empty).select(order)
+        trees = self.subtrees.withColumns({"kind": F.lit(0), "_row": F.lit(0).cast("long"), "x": F.array().cast("array<double>")}).select(order)
+        met = trees.union(asked).repartition("tree", "node").sortWithinPartitions("tree", "node", "kind").mapInArrow(finish, "_row long, value array<double>")
+        total = done.union(met).groupBy("_row").agg(F.array(*[F.sum(F.col("value")[i]) for i in range(width)]).alias("_votes"))
+        return rows.join(total, "_row").drop("_row")
 
 
 class ExtraTrees:
-    """Estimator.  ``fit(df)`` expects ``row_id``, ``x array<double>``, ``label double``."""
+    """``fit(df)`` expects ``x array<double>`` and ``label double`` (classes 0..K-1)."""
 
-    def __init__(self, task: str, n_trees: int = 100, mtry: int | None = None, min_leaf: int = 1,
-                 max_depth: int | None = None, seed: int = 42, local_rows: int = LOCAL_ROWS,
-                 n_classes: int | None = None):
+    def __init__(self, task: str, n_trees: int = 100, mtry: int | None = None, min_leaf: int = 1, max_depth: int | None = None,
+                 seed: int = 42, local_rows: int | None = None, n_classes: int | None = None):
         self.task, self.n_trees, self.mtry, self.min_leaf = task, n_trees, mtry, max(1, min_leaf)
         self.max_depth, self.seed, self.local_rows, self.n_classes = max_depth, seed, local_rows, n_classes
 
-    def _mtry(self, p: int) -> int:
-        if self.mtry:
-            return max(1, min(p, int(self.mtry)))
-        return max(1, int(math.sqrt(p))) if self.task == "classification" else p
-
     def fit(self, df: DataFrame, features: str = "x", label: str = "label") -> ExtraTreesModel:
-        from sylva.session import cut_lineage
+        spark, task, seed = df.sparkSession, self.task, self.seed
         data = df.select(F.col(features).alias("x"), F.col(label).cast("double").alias("y"))
-        first = data.select(F.size("x").alias("p")).first()
-        p = int(first["p"]) if first else 0
-        task = self.task
-        k = self.n_classes
-        if task == "classification" and k is None:
-            k = int(data.agg(F.max("y")).first()[0]) + 1  # labels are encoded 0..K-1
-        k = k or 0
-        width = k if task == "classification" else 3
-        mtry = self._mtry(p)
-        shift, scale = 0.0, 1.0
-        if task != "classification":
-            # sums of y and y^2 are merged across partitions: standardising y keeps
-            # the variance arithmetic well conditioned and the splits layout-independent
-            mom = data.agg(F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
-            shift, scale = float(mom["m"] or 0.0), float(mom["s"] or 0.0) or 1.0
+        facts = data.agg(F.max(F.size("x")).alias("p"), F.count("*").alias("n"), F.max("y").alias("top"), F.avg("y").alias("m"), F.stddev_pop("y").alias("s")).first()
+        p, n = facts.p or 0, facts.n
+        shift, scale, k = 0.0, 1.0, 0
+        if task == "classification":
+            k = self.n_classes or int(facts.top or 0) + 1
+        else:
+            shift, scale = float(facts.m or 0.0), float(facts.s or 0.0) or 1.0  # well-conditioned sums
             data = data.select("x", ((F.col("y") - F.lit(shift)) / F.lit(scale)).alias("y"))
-        data = data.persist()
-        trees = [TreeArrays() for _ in range(self.n_trees)]
-        for t in trees:
-            t.add(0)
-        importances = np.zeros((self.n_trees, p))
-        # status per (tree, node): "open" (distributed), "local" (finish in a group)
-        open_nodes = {(ti, 0) for ti in range(self.n_trees)}
-        root_stats = None
-        local_nodes: set = set()
-        min_leaf, max_depth, local_rows, seed = self.min_leaf, self.max_depth, self.local_rows, self.seed
-
-        while open_nodes:
-            packed = [t.packed() for t in trees]
-            open_by_tree: dict[int, np.ndarray] = {}
-            for ti, nd in sorted(open_nodes):
-                open_by_tree.setdefault(ti, []).append(nd)
-            open_by_tree = {ti: np.asarray(v, dtype=np.int64) for ti, v in open_by_tree.items()}
-            # ---- pass A: per (tree, node, key) min / max / sum, vectorised per tree
-            stat_schema = "tree int, node int, key int, mn double, mx double, s double"
-
-            def pass_a(it, packed=packed, open_by_tree=open_by_tree):
-                keys = np.arange(p + width) - width
-                for batch in it:
-                    if not batch.num_rows:
-                        continue
-                    x, y = _xy(batch)
-                    rows = []
-                    for ti, nodes in open_by_tree.items():
-                        nd = route(x, packed[ti])
-                        amap = np.full(len(packed[ti][0]), -1, dtype=np.int64)
-                        amap[nodes] = np.arange(len(nodes))
-                        a = amap[nd]
-                        sel = a >= 0
-                        if not sel.any():
-                            continue
-                        a, xa = a[sel], x[sel]
-                        order = np.argsort(a, kind="stable")
-                        a_s, xs = a[order], xa[order]
-                        starts = np.flatnonzero(np.r_[True, a_s[1:] != a_s[:-1]])
-                        ids = a_s[starts]
-                        st = _node_stats(y[sel], a, task, k, len(nodes))[ids]
-                        mn = np.minimum.reduceat(xs, starts, axis=0)
-                        mx = np.maximum.reduceat(xs, starts, axis=0)
-                        g = len(ids)
-                        rows.append(pd.DataFrame({
-                            "tree": ti, "node": np.repeat(nodes[ids], p + width), "key": np.tile(keys, g),
-                            "mn": np.concatenate([np.zeros((g, width)), mn], axis=1).ravel(),
-                            "mx": np.concatenate([np.zeros((g, width)), mx], axis=1).ravel(),
-                            "s": np.concatenate([st, np.zeros((g, p))], axis=1).ravel()}))
-                    if rows:
-                        yield _to_batch(pd.concat(rows, ignore_index=True), stat_schema)
-
-            agg_a = (data.mapInArrow(pass_a, stat_schema).groupBy("tree", "node", "key")
-                     .agg(F.min("mn").alias("mn"), F.max("mx").alias("mx"), F.sum("s").alias("s")).collect())
-            node_info: dict = {}
-            for r in agg_a:
-                info = node_info.setdefault((r["tree"], r["node"]), {
-                    "stats": np.zeros(width), "mn": np.zeros(p), "mx": np.zeros(p)})
-                if r["key"] < 0:
-                    info["stats"][r["key"] + width] = r["s"]
-                else:
-                    info["mn"][r["key"]], info["mx"][r["key"]] = r["mn"], r["mx"]
-            # ---- choose candidates on the driver (bounded by open nodes x mtry)
-            cands: dict = {}
-            for (ti, nd), info in sorted(node_info.items(), key=lambda kv: kv[0]):  # layout-independent ids
-                tree = trees[ti]
-                tree.value[nd] = _leaf_value(info["stats"], task)
-                if _is_terminal(info["stats"], task, tree.depth[nd], min_leaf, max_depth):
-                    continue
-                okey, u = _draws(seed, ti, -1, [nd], p)
-                cf, ct = _candidates(info["mn"][None, :], info["mx"][None, :], okey, u, mtry)
-                usable = cf[0] >= 0
-                if usable.any():
-                    cands[(ti, nd)] = ([int(f) for f in cf[0][usable]], [float(t) for t in ct[0][usable]])
-            if not cands:
-                break
-            cand_by_tree: dict[int, tuple] = {}
-            grouped: dict[int, list] = {}
-            for (ti, nd), (fs, ths) in sorted(cands.items()):
-                grouped.setdefault(ti, []).append((nd, fs, ths))
-            m_max = max(len(fs) for fs, _ in cands.values())
-            for ti, items in grouped.items():
-                nodes = np.asarray([it[0] for it in items], dtype=np.int64)
-                cf = np.full((len(items), m_max), -1, dtype=np.int64)
-                ct = np.zeros((len(items), m_max))
-                for i, (_, fs, ths) in enumerate(items):
-                    cf[i, :len(fs)], ct[i, :len(ths)] = fs, ths
-                cand_by_tree[ti] = (nodes, cf, ct)
-            # ---- pass B: per (tree, node, candidate, key) left-side sums, vectorised per tree
-            cand_schema = "tree int, node int, cand int, key int, s double"
-
-            def pass_b(it, packed=packed, cand_by_tree=cand_by_tree):
-                for batch in it:
-                    if not batch.num_rows:
-                        continue
-                    x, y = _xy(batch)
-                    rows = []
-                    for ti, (nodes, cf, ct) in cand_by_tree.items():
-                        nd = route(x, packed[ti])
-                        amap = np.full(len(packed[ti][0]), -1, dtype=np.int64)
-                        amap[nodes] = np.arange(len(nodes))
-                        a = amap[nd]
-                        sel = a >= 0
-                        if not sel.any():
-                            continue
-                        left = _left_stats(x[sel], y[sel], a[sel], cf, ct, task, k, len(nodes))
-                        ids = np.unique(a[sel])
-                        g, m = len(ids), cf.shape[1]
-                        rows.append(pd.DataFrame({
-                            "tree": ti, "node": np.repeat(nodes[ids], m * width),
-                            "cand": np.tile(np.repeat(np.arange(m), width), g),
-                            "key": np.tile(np.arange(width), g * m), "s": left[ids].ravel()}))
-                    if rows:
-                        yield _to_batch(pd.concat(rows, ignore_index=True), cand_schema)
-
-            agg_b = (data.mapInArrow(pass_b, cand_schema).groupBy("tree", "node", "cand", "key")
-                     .agg(F.sum("s").alias("s")).collect())
-            left_stats: dict = {}
-            for r in agg_b:
-                ti, nd = r["tree"], r["node"]
-                n_c = len(cands[(ti, nd)][0])
-                arr = left_stats.setdefault((ti, nd), np.zeros((n_c, width)))
-                if r["cand"] < n_c:
-                    arr[r["cand"], r["key"]] = r["s"]
-            # ---- apply the best split per node
-            new_open = set()
-            for (ti, nd), (fs, ths) in sorted(cands.items(), key=lambda kv: kv[0]):
-                total = node_info[(ti, nd)]["stats"]
-                ls = left_stats.get((ti, nd), np.zeros((len(fs), width)))
-                b, dec = _best(total, ls, task, min_leaf)
-                if b < 0:
-                    continue
-                tree = trees[ti]
-                tree.feat[nd], tree.thr[nd] = int(fs[b]), float(ths[b])
-                importances[ti, fs[b]] += dec
-                for child_stats in (ls[b], total - ls[b]):
-                    c = tree.add(tree.depth[nd] + 1, _leaf_value(child_stats, task))
-                    if tree.left[nd] < 0:
-                        tree.left[nd] = c
-                    else:
-                        tree.right[nd] = c
-                    if _is_terminal(child_stats, task, tree.depth[c], min_leaf, max_depth):
-                        continue
-                    n_child = child_stats.sum() if task == "classification" else child_stats[0]
-                    (new_open if n_child > local_rows else local_nodes).add((ti, c))
-            open_nodes = new_open
-
-        if local_nodes:
-            self._finish(data, trees, importances, local_nodes, p, k, mtry)
+        self._k, self._width = k, (k if task == "classification" else 3)
+        self._m = max(1, min(p, int(self.mtry or (math.sqrt(p) if task == "classification" else p)))) if p else 1
+        local_rows = self.local_rows or max(1000, LOCAL_NUMBERS // (p + 1))
+        open_nodes = 2 * n // local_rows + 1
+        per_batch = max(1, min(self.n_trees, TREES_AT_ONCE, OPEN_NUMBERS // max(1, open_nodes * (2 * p + self._m * self._width))))
+        data = data.repartition(max(spark.sparkContext.defaultParallelism, n * (p + 1) // LOCAL_NUMBERS + 1), F.xxhash64("x", "y")).persist()
+
+        if task == "classification":
+            total = {int(r.y): r["count"] for r in data.groupBy("y").count().collect()}  # a row per class
+            stats = np.array([total.get(c, 0) for c in range(k)], dtype=np.float64)
+        else:
+            s = data.agg(F.sum("y").alias("s"), F.sum(F.col("y") * F.col("y")).alias("q")).first()
+            stats = np.array([n, s.s or 0.0, s.q or 0.0])
+        root_state = LEAF if p == 0 or _terminal(stats[None], task, 0, self.min_leaf, self.max_depth)[0] else OPEN if n > local_rows else LOCAL
+        splits, subtrees = [], []
+        if root_state != LEAF:
+            for first in range(0, self.n_trees, per_batch):
+                trees = list(range(first, min(first + per_batch, self.n_trees)))
+                top, low = self._grow_batch(data, trees, p, local_rows, root_state)
+                splits += top
+                subtrees.append(low)
         data.unpersist()
-        totals = importances.sum(axis=1, keepdims=True)
-        per_tree = np.divide(importances, totals, out=np.zeros_like(importances), where=totals > 0)
-        imp = per_tree.mean(axis=0)
+
+        def together(parts, ddl):
+            out = parts[0] if parts else spark.createDataFrame([], ddl)
+            for x in parts[1:]:
+                out = out.union(x)
+            return out
+
+        top, low = together(splits, SPLITS), together(subtrees, SUBTREES)
+        gains = (top.select("tree", "feature", "gain").union(low.select("tree", F.posexplode("imp").alias("feature", "gain")))
+                 .groupBy("tree", "feature").agg(F.sum("gain").alias("g")))
+        totals = gains.groupBy("tree").agg(F.sum("g").alias("t"))
+        shares = gains.join(totals, "tree").where("t > 0").groupBy("feature").agg(F.sum(F.col("g") / F.col("t")).alias("v")).collect()  # a row per feature
+        imp = np.zeros(p)
+        for r in shares:
+            imp[r.feature] = r.v
         imp = imp / imp.sum() if imp.sum() > 0 else imp
-        _ = cut_lineage  # lineage is short here: every level re-reads the persisted input
-        return ExtraTreesModel(task, p, k, trees, imp, shift, scale)
-
-    def _finish(self, data, trees, importances, local_nodes, p, k, mtry):
-        """Shuffle rows of small nodes to one group each and grow the subtrees there."""
-        packed = [t.packed() for t in trees]
-        targets: dict[int, list[int]] = {}
-        for ti, nd in local_nodes:
-            targets.setdefault(ti, []).append(nd)
-        task, min_leaf, max_depth, seed = self.task, self.min_leaf, self.max_depth, self.seed
-        depths = {(ti, nd): trees[ti].depth[nd] for ti, nd in local_nodes}
-        row_schema = "tree int, node int, x array<double>, y double"
-
-        def assign(it, packed=packed, targets=targets):
-            import pyarrow as pa
-            for batch in it:
-                if not batch.num_rows:
-                    continue
-                x, y = _xy(batch)
-                for ti, nodes in targets.items():
-                    nd = route(x, packed[ti])
-                    m = np.isin(nd, nodes)
-                    if m.any():
-                        yield pa.RecordBatch.from_arrays(
-                            [pa.array(np.full(int(m.sum()), ti, dtype=np.int32)), pa.array(nd[m].astype(np.int32)),
-                             _list_array(x[m]), pa.array(y[m])], names=["tree", "node", "x", "y"])
-
-        out_schema = ("tree int, node int, feat array<int>, thr array<double>, lft array<int>, "
-                      "rgt array<int>, value array<double>, imp array<double>")
-        width = k if task == "classification" else 1
-
-        def grow(key, pdf):
-            ti, nd = int(key[0]), int(key[1])
-            x = np.stack(pdf["x"].to_numpy())
-            sub, imp = grow_local(x, pdf["y"].to_numpy(), task, k, mtry, min_leaf, max_depth, seed, ti, nd,
-                                  depths[(ti, nd)])
-            vals = np.asarray([v if v is not None else [0.0] * width for v in sub.value], dtype=np.float64)
-            return pd.DataFrame({"tree": [ti], "node": [nd], "feat": [np.asarray(sub.feat, dtype=np.int32)],
-                                 "thr": [np.asarray(sub.thr)], "lft": [np.asarray(sub.left, dtype=np.int32)],
-                                 "rgt": [np.asarray(sub.right, dtype=np.int32)], "value": [vals.ravel()],
-                                 "imp": [imp]})
-
-        # one row per subtree (arrays), so the driver assembles whole blocks
-        subtrees = (data.mapInArrow(assign, row_schema).groupBy("tree", "node")
-                    .applyInPandas(grow, out_schema).toPandas())
-        frozen = {}
-        for ti, tree in enumerate(trees):
-            vals = np.asarray([v if v is not None else [0.0] * width for v in tree.value], dtype=np.float64)
-            frozen[ti] = [np.asarray(tree.feat, dtype=np.int32), np.asarray(tree.thr, dtype=np.float64),
-                          np.asarray(tree.left, dtype=np.int32), np.asarray(tree.right, dtype=np.int32),
-                          vals.reshape(-1, width)]
-        subtrees = subtrees.sort_values(["tree", "node"], kind="stable")  # deterministic node ids
-        for r in subtrees.itertuples(index=False):
-            ti, nd = int(r.tree), int(r.node)
-            feat, thr, lft, rgt, vals = frozen[ti]
-            n = len(r.feat)
-            base = len(feat)
-            gid = np.concatenate([[nd], base + np.arange(n - 1)]).astype(np.int32)
-            sl = np.asarray(r.lft, dtype=np.int64)
-            sr = np.asarray(r.rgt, dtype=np.int64)
-            g_l = np.where(sl >= 0, gid[np.maximum(sl, 0)], -1).astype(np.int32)
-            g_r = np.where(sr >= 0, gid[np.maximum(sr, 0)], -1).astype(np.int32)
-            sv = np.asarray(r.value, dtype=np.float64).reshape(n, width)
-            sfeat = np.asarray(r.feat, dtype=np.int32)
-            sthr = np.asarray(r.thr, dtype=np.float64)
-            feat[nd], thr[nd], lft[nd], rgt[nd], vals[nd] = sfeat[0], sthr[0], g_l[0], g_r[0], sv[0]
-            frozen[ti] = [np.concatenate([feat, sfeat[1:]]), np.concatenate([thr, sthr[1:]]),
-                          np.concatenate([lft, g_l[1:]]), np.concatenate([rgt, g_r[1:]]),
-                          np.concatenate([vals, sv[1:]])]
-            importances[ti] += np.asarray(r.imp)
-        for ti, tree in enumerate(trees):
-            tree.feat, tree.thr, tree.left, tree.right, tree.value = frozen[ti]
+        size = low.agg(F.sum(F.size("feat")).alias("n")).first().n or 0
+        return ExtraTreesModel(task, p, k, self.n_trees, seed, top, low, root_state, [float(v) for v in _value(stats[None], task)[0]],
+                               size + 2 * top.count() + self.n_trees, imp, shift, scale)
+
+    def _grow_batch(self, data: DataFrame, trees: list[int], p: int, local_rows: int, root_state: int) -> tuple[list[DataFrame], DataFrame]:
+        """Split tables of each distributed level, and the subtrees, of a batch of trees."""
+        task, k, m, width, min_leaf, max_depth, seed = self.task, self._k, self._m, self._width, self.min_leaf, self.max_depth, self.seed
+        spark, n_trees = data.sparkSession, len(trees)
+        roots = [root_key(seed, t) for t in trees]
+        schema = _struct("x array<double>, y double, node array<long>, state array<int>")
+        state = data.select("x", "y", F.array(*[F.lit(r).cast("long") for r in roots]).alias("node"), F.array_repeat(F.lit(root_state), n_trees).alias("state"))
+
+        def read(batch: pa.RecordBatch):
+            ints = [batch.column(c).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, n_trees) for c in (2, 3)]
+            return _matrix(batch.column(0)), batch.column(1).to_numpy(zero_copy_only=False), *ints
+
+        def sums(visitor, names):
+            """A map function: adds up, over a task's rows, what ``visitor()`` gives per (tree, node); long form."""
+            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                held, visit = {}, visitor()
+                for batch in batches:
+                    if batch.num_rows:
+                        x, y, node, at = read(batch)
+                        for i, t in enumerate(trees):
+                            rows = np.flatnonzero(at[:, i] == OPEN)
+                            if len(rows):
+                                keys, a = np.unique(node[rows, i], return_inverse=True)
+                                visit(held, t, keys, a, x[rows], y[rows])
+                for (t, key), (low, high, add) in held.items():
+                    size = len(add)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(size, t, dtype=np.int32)), pa.array(np.full(size, key)), pa.array(np.arange(size, dtype=np.int32)), pa.array(low), pa.array(high), pa.array(add)], names=names)
+
+            return run
+
+        def ranges(held, t, keys, a, x, y):
+            order = np.argsort(a, kind="stable")
+            start = np.searchsorted(a[order], np.arange(len(keys)))
+            low, high = np.minimum.reduceat(x[order], start, axis=0), np.maximum.reduceat(x[order], start, axis=0)
+            stats = _node_stats(y, a, task, k, len(keys))
+            for i, key in enumerate(keys.tolist()):
+                zero = np.zeros(width)
+                new = (np.concatenate([zero, low[i]]), np.concatenate([zero, high[i]]), np.concatenate([stats[i], np.zeros(p)]))
+                old = held.get((t, key))
+                held[t, key] = new if old is None else (np.minimum(old[0], new[0]), np.maximum(old[1], new[1]), old[2] + new[2])
+
+        names = ["tree", "node", "slot", "low", "high", "total"]
+        ddl = "tree int, node long, slot int, low double, high double, total double"
+        cand_ddl = "tree int, node long, depth int, stats array<double>, feature array<int>, threshold array<double>"
+        found, depth = [], 0
+        earlier = None
+        while root_state == OPEN:
+            state = state.persist()
+
+            level_depth = depth
+
+            def draw(table: pa.Table) -> pa.Table:
+                table = table.sort_by("slot")
+                low, high, total = (table.column(c).to_numpy() for c in ("low", "high", "total"))
+                t, key, stats = table.column("tree")[0].as_py(), table.column("node")[0].as_py(), total[:width]
+                order, u = draws(np.array([key], dtype=np.int64), p)
+                cand, thr = _candidates(low[None, width:], high[None, width:], order, u, m)
+                good = cand[0] >= 0
+                return _table(cand_ddl, [(t, key, level_depth, stats.tolist(), cand[0][good].tolist(), thr[0][good].tolist())])
+
+            gathered = (state.mapInArrow(sums(lambda: ranges, names), ddl).groupBy("tree", "node", "slot")
+                        .agg(F.min("low").alias("low"), F.max("high").alias("high"), F.sum("total").alias("total")))
+            cands = saved(gathered.groupBy("tree", "node").applyInArrow(draw, cand_ddl), "candidates")
+            if earlier is not None:
+                earlier.unpersist()
+            held_cands = spark.sparkContext.broadcast(cands.drop("stats", "depth").toArrow())  # at most OPEN_NUMBERS numbers
+
+            def visitor(held_cands=held_cands):
+                known = {(r["tree"], r["node"]): (r["feature"], r["threshold"]) for r in held_cands.value.to_pylist()}
+
+                def lefts(held, t, keys, a, x, y):
+                    cand, thr = np.full((len(keys), m), -1, dtype=np.int64), np.zeros((len(keys), m))
+                    for i, key in enumerate(keys.tolist()):
+                        f, v = known.get((t, key), ((), ()))
+                        cand[i, : len(f)], thr[i, : len(f)] = f, v
+                    stats = _left_stats(x, y, a, cand, thr, task, k, len(keys)).reshape(len(keys), -1)
+                    zero = np.zeros(m * width)
+                    for i, key in enumerate(keys.tolist()):
+                        old = held.get((t, key))
+                        held[t, key] = (zero, zero, stats[i] if old is None else old[2] + stats[i])
+
+                return lefts
+
+            def pick(sides: pa.Table, listed: pa.Table) -> pa.Table:
+                if not len(sides) or not len(listed):
+                    return _table(SPLITS, [])
+                c = listed.to_pylist()[0]
+                left = sides.sort_by("slot").column("total").to_numpy().reshape(1, m, width)
+                total = np.array([c["stats"]])
+                cand, thr = np.full((1, m), -1, dtype=np.int64), np.zeros((1, m))
+                cand[0, : len(c["feature"])], thr[0, : len(c["feature"])] = c["feature"], c["threshold"]
+                b, gain = _best(total, left, cand, task, min_leaf)
+                if b[0] < 0:
+                    return _table(SPLITS, [])
+                children = np.stack([left[0, b[0]], total[0] - left[0, b[0]]])
+                rows, _ = _impurity(children, task)
+                leaf = _terminal(children, task, c["depth"] + 1, min_leaf, max_depth)
+                states = [LEAF if e else OPEN if r > local_rows else LOCAL + c["depth"] + 1 for e, r in zip(leaf, rows, strict=True)]
+                values = _value(children, task).tolist()
+                return _table(SPLITS, [(c["tree"], c["node"], c["depth"], int(cand[0, b[0]]), float(thr[0, b[0]]), float(gain[0]), float(rows[0]), float(rows[1]), *states, *values)])
+
+            sides = state.mapInArrow(sums(visitor, names), ddl).groupBy("tree", "node", "slot").agg(F.sum("total").alias("total"))
+            level = saved(sides.groupBy("tree", "node").cogroup(cands.groupBy("tree", "node")).applyInArrow(pick, SPLITS), "splits")
+            found.append(level)
+            left_open = level.where(f"left_state = {OPEN} or right_state = {OPEN}").limit(1).count()
+            held_level = spark.sparkContext.broadcast(level.toArrow())  # open nodes of this batch
+
+            def move(batches: Iterator[pa.RecordBatch], held_level=held_level) -> Iterator[pa.RecordBatch]:
+                splits = _Splits(held_level.value)
+                for batch in batches:
+                    if batch.num_rows:
+                        x, _, node, at = read(batch)
+                        node, at = node.copy(), at.copy()
+                        for i, t in enumerate(trees):
+                            mine, states = node[:, i].copy(), at[:, i].copy()
+                            splits.advance(t, x, mine, states)
+                            node[:, i], at[:, i] = mine, states
+                        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(node), _lists(at.astype(np.int32))], names=schema.names)
+
+            earlier, state, depth = state, state.mapInArrow(move, schema), depth + 1
+            if not left_open:
+                break
+
+        row_ddl = "tree int, node long, depth int, x array<double>, y double"
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x, y, node, at = read(batch)
+                    for i, t in enumerate(trees):
+                        rows = np.flatnonzero(at[:, i] >= LOCAL)
+                        if len(rows):
+                            yield pa.RecordBatch.from_arrays(
+                                [pa.array(np.full(len(rows), t, dtype=np.int32)), pa.array(node[rows, i]), pa.array((at[rows, i] - LOCAL).astype(np.int32)), _lists(x[rows]), pa.array(y[rows])],
+                                names=["tree", "node", "depth", "x", "y"])
+
+        def finish(table: pa.Table) -> pa.Table:
+            t, key, at = (table.column(c)[0].as_py() for c in ("tree", "node", "depth"))
+            feat, thr, left, value, imp = grow(_matrix(table.column("x")), table.column("y").to_numpy(), task, k, m, min_leaf, max_depth, key, at)
+            return pa.Table.from_batches([_batch(_struct(SUBTREES), [t], [key], *[_lists(v[None], kind) for v, kind in
+                                          ((feat.astype(np.int32), pa.int32()), (thr, None), (left.astype(np.int32), pa.int32()), (value.ravel(), None), (imp, None))])])
+
+        low = saved(state.mapInArrow(deal, row_ddl).groupBy("tree", "node").applyInArrow(finish, SUBTREES), "subtrees")
+        if earlier is not None:
+            earlier.unpersist()
+        return found, low

@@ -18,12 +18,13 @@ from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, Lo
                                        RandomForestClassifier)
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.frame import CLASSIFICATION, Frame
 from sylva.models.extra_trees import ExtraTrees
-from sylva.operators.metrics import classification_metrics, regression_metrics
+from sylva.operators.metrics import auc_macro, auc_ovr, classification_metrics, regression_metrics
+from sylva.session import saved
 
 # Fixed values of the reference's model settings.
 N_TREES = 100
@@ -33,8 +34,9 @@ L1_C = 10.0          # C = 1 / 0.1
 L2_C = 1.0
 LASSO_ALPHA = 0.1
 MAX_ITER = 1000
-# MLlib trees are capped at depth 30 and bin features; the reference grows to purity.
-MLLIB_MAX_DEPTH = 12
+# The reference grows to purity on raw thresholds; MLlib's own limits are depth 30 and binned features.
+MLLIB_MAX_DEPTH = 30
+MLLIB_BINS = 128
 
 
 def mtry(p: int) -> tuple[int, int]:
@@ -54,6 +56,7 @@ def assemble(fr: Frame, label_col: str | None = None, keep: tuple[str, ...] = ()
 class Learner:
     name: str
     fit: Callable[[DataFrame], Callable[[DataFrame], DataFrame]]
+    max_depth: int | None = None
 
 
 def _mllib(estimator, classification: bool):
@@ -63,8 +66,10 @@ def _mllib(estimator, classification: bool):
         def score(df: DataFrame) -> DataFrame:
             out = model.transform(df)
             cols = ["row_id", "label", "prediction"]
-            if classification and "probability" in out.columns:
-                out = out.withColumn("probability", vector_to_array("probability"))
+            # one-vs-rest models have a raw score per class and no probability: either ranks rows within a class
+            given = next((c for c in ("probability", "rawPrediction") if c in out.columns), None)
+            if classification and given:
+                out = out.withColumn("probability", vector_to_array(given))
                 cols.append("probability")
             return out.select(*cols)
         return score
@@ -92,16 +97,17 @@ def extra_trees(task: str, n_trees: int = N_TREES, mtry_: int | None = None, min
 
 
 def random_forest(task: str, n_trees: int = N_TREES, strategy: str | None = None, p: int | None = None,
-                  name: str = "RF", seed: int = 42, max_depth: int = MLLIB_MAX_DEPTH) -> Learner:
-    """H2-H4: strategy None (library default), 'sqrt' or 'log' (natural log counts)."""
+                  name: str = "RF", seed: int = 42, max_depth: int = MLLIB_MAX_DEPTH, bins: int = MLLIB_BINS) -> Learner:
+    """H2-H4: strategy None (square root for classes, all features for numbers), 'sqrt' or 'log' (natural log counts)."""
     if strategy in ("sqrt", "log") and p:
         s, lg = mtry(p)
         fss = str(s if strategy == "sqrt" else lg)
     else:
-        fss = "auto"
+        fss = "sqrt" if task == CLASSIFICATION else "all"
     cls = RandomForestClassifier if task == CLASSIFICATION else RandomForestRegressor
-    est = cls(numTrees=n_trees, featureSubsetStrategy=fss, maxDepth=max_depth, seed=seed, bootstrap=True)
-    return Learner(name, _mllib(est, task == CLASSIFICATION))
+    est = cls(numTrees=n_trees, featureSubsetStrategy=fss, maxDepth=max_depth, maxBins=bins, seed=seed, bootstrap=True,
+              maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
+    return Learner(name, _mllib(est, task == CLASSIFICATION), max_depth)
 
 
 def _binary_or_ovr(est, k: int):
@@ -133,7 +139,7 @@ def l2_logistic(c: float = L2_C, name: str = "Logistic") -> Learner:
     """H8: plain (L2) logistic regression, C = 1."""
     def fit(train: DataFrame):
         n = train.count()
-        est = LogisticRegression(elasticNetParam=0.0, regParam=1.0 / (c * n), maxIter=MAX_ITER)
+        est = LogisticRegression(elasticNetParam=0.0, regParam=1.0 / (c * n), standardization=False, maxIter=MAX_ITER)
         return _mllib(est, True)(train)
     return Learner(name, fit)
 
@@ -144,52 +150,61 @@ def lasso(alpha: float = LASSO_ALPHA, name: str = "LASSO") -> Learner:
     return Learner(name, _mllib(est, False))
 
 
+def _stump(model) -> tuple[int, float, int, int]:
+    """A depth-1 tree as (feature, threshold, class left, class right); one leaf predicts the same on both sides."""
+    root = model._java_obj.rootNode()
+    if model.numNodes == 1:
+        return 0, math.inf, int(root.prediction()), int(root.prediction())
+    split = root.split()
+    return split.featureIndex(), split.threshold(), int(root.leftChild().prediction()), int(root.rightChild().prediction())
+
+
+def _says(stump) -> Column:
+    feature, threshold, left, right = stump
+    return F.when(F.col("x")[feature] <= F.lit(threshold), F.lit(left)).otherwise(F.lit(right))
+
+
 def adaboost(rounds: int = N_TREES, rate: float = 0.1, name: str = "AdaBoost", seed: int = 42,
              checkpoint_every: int = 10) -> Learner:
     """SAMME with decision stumps; sample weights live in a column.
 
-    Each round is one stump fit plus one projection updating the weights; the
-    weight column is checkpointed (reliably, to the shared checkpoint folder)
-    every ``checkpoint_every`` rounds so lineage stays short."""
+    Each round is one stump fit, one aggregate and one projection updating the weights, which are checkpointed (to the
+    shared folder) every ``checkpoint_every`` rounds so that lineage stays short.  A first stump no better than chance stays as the
+    only one.  Scoring is one projection: a sum of comparisons per class."""
     from sylva.session import cut_lineage
 
     def fit(train: DataFrame):
         k = _n_classes(train)
         n = train.count()
-        cur = train.select("row_id", "features", "label").withColumn("w", F.lit(1.0 / n)).persist()
-        stumps = []
+        cur = train.select("x", "features", "label").withColumn("w", F.lit(1.0 / max(1, n))).persist()
+        stumps, before = [], None
         for r in range(rounds):
-            stump = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + r).fit(cur)
-            pred = stump.transform(cur).withColumn("miss", F.col("prediction") != F.col("label"))
+            stump = _stump(DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + r).fit(cur))  # fills the cache of cur
+            if before is not None:
+                before.unpersist()
+            miss = _says(stump) != F.col("label")
             # weights sum to 1 after every update, so one aggregate gives the weighted error
-            err = float(pred.agg(F.sum(F.when(F.col("miss"), F.col("w")).otherwise(0.0))).first()[0] or 0.0)
-            if err >= 1.0 - 1.0 / k:
-                break
-            if err <= 0:
-                stumps.append((stump, 1.0))
+            err = float(cur.agg(F.sum(F.when(miss, F.col("w")).otherwise(0.0))).first()[0] or 0.0)
+            if err >= 1.0 - 1.0 / k or err <= 0:
+                if err <= 0 or not stumps:
+                    stumps.append((stump, 1.0))
                 break
             alpha = rate * (math.log((1.0 - err) / err) + math.log(k - 1.0))
             stumps.append((stump, alpha))
             boost = math.exp(alpha)
             total = (1.0 - err) + err * boost          # new weight total, known analytically
-            nxt = pred.select("row_id", "features", "label", (F.when(
-                F.col("miss"), F.col("w") * F.lit(boost)).otherwise(F.col("w")) / F.lit(total)).alias("w"))
-            nxt = cut_lineage(nxt) if (r + 1) % checkpoint_every == 0 else nxt.persist()
-            cur.unpersist()
-            cur = nxt
-        cur.unpersist()
+            nxt = cur.select("x", "features", "label", (F.when(miss, F.col("w") * F.lit(boost)).otherwise(F.col("w")) / F.lit(total)).alias("w"))
+            before, cur = cur, (cut_lineage(nxt) if (r + 1) % checkpoint_every == 0 else nxt).persist()
+        for frame in (before, cur):
+            if frame is not None:
+                frame.unpersist()
 
         def score(df: DataFrame) -> DataFrame:
-            # one small plan per stump, unioned: votes are summed per (row, class)
-            votes = None
-            for stump, alpha in stumps:
-                v = stump.transform(df.select("row_id", "features")).select(
-                    "row_id", F.col("prediction").cast("int").alias("c"), F.lit(alpha).alias("a"))
-                votes = v if votes is None else votes.unionByName(v)
-            per = votes.groupBy("row_id", "c").agg(F.sum("a").alias("a"))
-            best = per.groupBy("row_id").agg(F.max_by("c", F.struct("a", -F.col("c"))).alias("c"))
-            return df.select("row_id", "label").join(best, "row_id", "left").select(
-                "row_id", "label", F.coalesce(F.col("c"), F.lit(0)).cast("double").alias("prediction"))
+            votes = [sum((F.when(_says(s) == c, F.lit(a)).otherwise(F.lit(0.0)) for s, a in stumps), F.lit(0.0)) for c in range(k)]
+            voted = df.select("row_id", "label", F.array(*votes).alias("probability"))
+            best = F.array_position("probability", F.array_max("probability")) - 1
+            return voted.select("row_id", "label", best.cast("double").alias("prediction"), "probability")
+        score.stumps = stumps
         return score
     return Learner(name, fit)
 
@@ -221,29 +236,30 @@ def baseline_registry(task: str, p: int, n_trees: int = N_TREES) -> list[Learner
 
 
 def run_models(train: DataFrame, test: DataFrame, learners: list[Learner], task: str,
-               n_features: dict | int | None = None) -> DataFrame:
+               n_features: dict | int | None = None, with_time: bool = True, with_auc: bool = False) -> DataFrame:
     """Fit, score train and test, then one grouped metric job.
 
-    ``train_time`` is wall-clock of the fit plus both scorings (materialised),
-    as in the reference; predictions of all models are unioned and scored by
-    ``groupBy(model, part)``."""
+    Columns of the leaderboard contract; ``max_depth`` is the depth limit a learner was given (null: none).  ``train_time``
+    is the seconds of the fit alone; predictions are written afterwards.  Without ``with_time`` the result depends on data and
+    seeds only.  A learner that engineers features reports how many it used.  ``with_auc`` adds one-vs-rest ROC-AUC on the test part."""
     spark = train.sparkSession
-    preds, timing = None, []
+    preds, timing, counts = None, [], []
+    keep = ["row_id", "label", "prediction"]
     for lr in learners:
         t0 = time.time()
         score = lr.fit(train)
-        p_tr = score(train).select("row_id", "label", "prediction")
-        p_te = score(test).select("row_id", "label", "prediction")
-        both = (p_tr.withColumn("part", F.lit("train")).unionByName(p_te.withColumn("part", F.lit("test")))
-                .withColumn("model", F.lit(lr.name)))
-        from sylva.session import cut_lineage
-        both = cut_lineage(both)  # materialised: the timer covers fit + both predictions
         timing.append((lr.name, time.time() - t0))
+        given = n_features.get(lr.name) if isinstance(n_features, dict) else n_features
+        counts.append((lr.name, len(score.features) if hasattr(score, "features") else given, lr.max_depth))
+        scored = [score(df) for df in (train, test)]
+        both = None
+        for part, out in zip(("train", "test"), scored, strict=True):
+            chance = F.col("probability") if with_auc and "probability" in out.columns else F.lit(None).cast("array<double>")
+            out = out.select(*keep, chance.alias("probability"), F.lit(part).alias("part"), F.lit(lr.name).alias("model"))
+            both = out if both is None else both.unionByName(out)
+        both = saved(both, "predictions")
         preds = both if preds is None else preds.unionByName(both)
-    times = spark.createDataFrame(timing, "model string, train_time double")
-    nf = n_features if isinstance(n_features, dict) else {lr.name: n_features for lr in learners}
-    feats = spark.createDataFrame([(k, int(v) if v is not None else None) for k, v in nf.items()],
-                                  "model string, features int")
+    feats = spark.createDataFrame([(k, None if v is None else int(v), d) for k, v, d in counts], "model string, features int, max_depth int")
     if task == CLASSIFICATION:
         m = classification_metrics(preds, group=["model", "part"])
         wide = m.groupBy("model").agg(
@@ -252,6 +268,10 @@ def run_models(train: DataFrame, test: DataFrame, learners: list[Learner], task:
             F.max(F.when(F.col("part") == "test", F.col("precision"))).alias("precision"),
             F.max(F.when(F.col("part") == "test", F.col("recall"))).alias("recall"),
             F.max(F.when(F.col("part") == "test", F.col("f1_score"))).alias("f1_score"))
+        if with_auc:
+            long = (preds.where("part = 'test' AND probability IS NOT NULL")
+                    .select("model", "label", F.posexplode("probability").alias("cls", "score")).withColumn("cls", F.col("cls").cast("double")))
+            wide = wide.join(auc_macro(auc_ovr(long, group=["model"]), ["model"]), "model", "left")
     else:
         m = regression_metrics(preds, group=["model", "part"])
         wide = m.groupBy("model").agg(
@@ -260,5 +280,8 @@ def run_models(train: DataFrame, test: DataFrame, learners: list[Learner], task:
             F.max(F.when(F.col("part") == "test", F.col("rmse"))).alias("rmse"),
             F.max(F.when(F.col("part") == "test", F.col("mae"))).alias("mae"))
     from sylva.functions.naming import family
-    return (wide.join(F.broadcast(times), "model").join(F.broadcast(feats), "model", "left")
-            .withColumn("type", family(F.col("model"))).withColumn("cpu_time", F.col("train_time")))
+    out = wide.join(feats, "model", "left").withColumn("type", family(F.col("model")))  # a row per model
+    if not with_time:
+        return out
+    times = spark.createDataFrame(timing, "model string, train_time double")
+    return out.join(times, "model").withColumn("cpu_time", F.col("train_time"))

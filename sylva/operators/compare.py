@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sylva.functions.stats import exact_mean
+
 from sylva.functions.naming import FAMILY_TAG, family, is_family, is_variant, medal
 
 EQUIVALENT_GAP = 0.01  # fixed value: |difference| below this is "equivalent"
@@ -109,11 +111,13 @@ def best_per_type(results: DataFrame, metric: str, higher_is_better: bool = True
 def rep_summary(errors: DataFrame) -> DataFrame:
     """Mean and population std of the error per (scenario, p, model)."""
     return errors.groupBy("scenario", "p", "model").agg(
-        F.avg("error").alias("mean"), F.stddev_pop("error").alias("std"), F.count(F.lit(1)).alias("n_reps"))
+        exact_mean(F.col("error")).alias("mean"), F.stddev_pop("error").alias("std"), F.count(F.lit(1)).alias("n_reps"))
 
 
-def result_matrix(summary: DataFrame, p_values=(200, 500, 1000)) -> DataFrame:
-    """rows = (scenario, model), one column per p, cells 'mean (std)' to 3 decimals."""
+def result_matrix(summary: DataFrame, p_values=None) -> DataFrame:
+    """rows = (scenario, model), one column per p of the table (or per given p), cells 'mean (std)' to 3 decimals."""
+    if p_values is None:
+        p_values = sorted(r.p for r in summary.select("p").distinct().collect())  # as many as the result has columns
     def snap3(c):  # half-up on the value itself, so every engine prints the same digits
         return F.floor(F.col(c) * F.lit(1000.0) + F.lit(0.5)) / F.lit(1000.0)
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.frame import CLASSIFICATION, Frame, detect_problem_type
-from sylva.functions.stats import pearson, to_long
+from sylva.functions.stats import pearson_pairs, to_long
 
 # Fixed values of the reference's importance blend.
 VI_THRESHOLD = 0.01
@@ -48,12 +48,8 @@ def anova_f(long: DataFrame) -> DataFrame:
 
 
 def abs_pearson(fr: Frame) -> DataFrame:
-    """|corr(feature, y)| per feature, null-safe, one aggregate pass."""
-    y = F.col(fr.target_col).cast("double")
-    feats = list(fr.feature_cols)
-    wide = fr.df.agg(*[F.abs(pearson(F.col(c).cast("double"), y)).alias(f"c{i}") for i, c in enumerate(feats)])
-    stack = ", ".join(f"'{c}', c{i}" for i, c in enumerate(feats))
-    return wide.selectExpr(f"stack({len(feats)}, {stack}) as (feature, abs_corr)")
+    """|corr(feature, y)| per feature, null-safe, partial sums per feature."""
+    return pearson_pairs(fr.df, list(fr.feature_cols), fr.target_col).select(F.col("a").alias("feature"), F.abs("corr").alias("abs_corr"))
 
 
 def normalize(scores: DataFrame, col: str, out: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-AUC_BUCKETS = 4096
+AUC_BUCKETS = 128
 
 
 def confusion(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -61,16 +61,21 @@ def auc_ovr(scores: DataFrame, label: str = "label", score: str = "score", cls:
             group: list[str] | None = None, buckets: int = AUC_BUCKETS) -> DataFrame:
     """One-vs-rest ROC-AUC per class and its macro mean (Mann-Whitney, ties count 1/2).
 
-    Input is long: one row per (row, class) with that class's score in [0, 1].
+    Input is long: one row per (row, class) with that class's score (any number).
     Counts are first combined per distinct (class, score); negatives below each
     score come from bucket totals (classes x buckets rows) plus a window inside
-    a bucket, so no step ranks all rows together.
+    a bucket.  Buckets end at observed quantiles of the distinct scores, so each
+    has about the same number of them wherever the scores pile up.
     """
     g = list(group or [])
     pos = (F.col(label) == F.col(cls)).cast("long")
     per = scores.groupBy(*g, cls, F.col(score).alias("s")).agg(
         F.sum(pos).alias("np"), F.sum(1 - pos).alias("nn"))
-    per = per.withColumn("b", F.least(F.floor(F.col("s") * buckets), F.lit(buckets - 1)).cast("int"))
+    cuts = F.percentile_approx("s", [(i + 1) / buckets for i in range(buckets - 1)], 20 * buckets)
+    bounds = per.groupBy(*g, cls).agg(F.array_distinct(cuts).alias("cuts"))  # a row per class
+    found = F.size(F.filter("cuts", lambda c: c < F.col("s")))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*g, cls)]
+    per = per.alias("l").join(bounds.alias("r"), same).select("l.*", found.alias("b"))
     bt = per.groupBy(*g, cls, "b").agg(F.sum("nn").alias("bn"))
     wb = Window.partitionBy(*g, cls).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
     bt = bt.withColumn("neg_before", F.coalesce(F.sum("bn").over(wb), F.lit(0)))

@@ -18,13 +18,14 @@ from sylva.frame import Frame, categorical_cols, numeric_cols
 from sylva.functions.hashing import hash_key, hash_u32
 from sylva.functions.stats import exact_quantiles, kth_values, to_long
 
-MAX_LEVELS = 10_000  # guard for collected category / class lists
-
-
 def drop_duplicates(fr: Frame) -> Frame:
-    """Remove repeated full rows (ids excluded from the comparison)."""
+    """Remove repeated full rows (ids excluded from the comparison); of equal rows the smallest id stays."""
     cols = [c for c in fr.df.columns if c not in fr.id_cols]
-    return fr.with_df(fr.df.dropDuplicates(cols))
+    if not [c for c in fr.id_cols if c in fr.df.columns]:
+        return fr.with_df(fr.df.dropDuplicates(cols))
+    least = F.min(F.struct(*fr.id_cols)).alias("_id")
+    kept = fr.df.groupBy(*cols).agg(least)
+    return fr.with_df(kept.select(*[F.col(f"_id.{c}").alias(c) if c in fr.id_cols else F.col(c) for c in fr.df.columns]))
 
 
 def impute_numeric(fr: Frame, cols: list[str] | None = None) -> Frame:
@@ -66,15 +67,13 @@ def impute_categorical(fr: Frame, cols: list[str] | None = None) -> Frame:
 
 
 def categories(df: DataFrame, cols: list[str]) -> dict[str, list[str]]:
-    """Sorted distinct non-null values per column, collected once (guarded)."""
+    """Sorted distinct non-null values per column, collected once: as many as the one-hot result has columns."""
     if not cols:
         return {}
     long = df.select(F.explode(F.array(*[
         F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in cols
     ])).alias("kv")).select("kv.column", "kv.value").where(F.col("value").isNotNull()).distinct()
-    rows = long.limit(MAX_LEVELS * len(cols) + 1).collect()
-    if len(rows) > MAX_LEVELS * len(cols):
-        raise ValueError("too many categories to encode")
+    rows = long.collect()
     out: dict[str, list[str]] = {c: [] for c in cols}
     for r in rows:
         out[r["column"]].append(r["value"])
@@ -99,17 +98,32 @@ def one_hot(fr: Frame, cols: list[str] | None = None) -> Frame:
     return Frame(df, tuple(keep + names), fr.target_col, fr.id_cols, fr.problem_type)
 
 
-def encode_label(fr: Frame, label_col: str = "label") -> tuple[Frame, list[str]]:
-    """String target -> 0..K-1 in sorted order; numeric targets unchanged (as double)."""
+def one_hot_vector(fr: Frame, col: str, out: str = "one_hot") -> DataFrame:
+    """D4 for a column of very many categories: one sparse vector column instead of a column per category.
+
+    Position i is the (i + 1)-th of the sorted categories, counted from the last; the first category and null are all zeros."""
+    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+
+    index = StringIndexer(inputCol=col, outputCol="_index", stringOrderType="alphabetDesc", handleInvalid="keep")
+    indexed = index.fit(fr.df.where(F.col(col).isNotNull())).transform(fr.df)
+    n = indexed.schema["_index"].metadata["ml_attr"]["vals"]
+    first = len(n) - 2  # the first category in sorted order; the last index is for null
+    indexed = indexed.withColumn("_index", F.least(F.col("_index"), F.lit(float(first))))
+    return OneHotEncoder(inputCol="_index", outputCol=out, dropLast=True).fit(indexed).transform(indexed).drop("_index")
+
+
+def encode_label(fr: Frame, label_col: str = "label") -> tuple[Frame, DataFrame | None]:
+    """String target -> 0..K-1 in sorted order; numeric targets unchanged (as double).
+
+    The classes are a table (class, label) with a row per class, joined to the rows."""
     dt = fr.df.schema[fr.target_col].dataType
-    if isinstance(dt, T.StringType):
-        classes = categories(fr.df, [fr.target_col])[fr.target_col]
-        mapping = F.create_map(*[x for i, v in enumerate(classes) for x in (F.lit(v), F.lit(float(i)))])
-        y = mapping[F.col(fr.target_col)]
-    else:
-        classes = []
-        y = F.col(fr.target_col).cast("double")
-    df = fr.df.select(*fr.id_cols, *fr.feature_cols, y.alias(label_col))
+    if not isinstance(dt, T.StringType):
+        df = fr.df.select(*fr.id_cols, *fr.feature_cols, F.col(fr.target_col).cast("double").alias(label_col))
+        return Frame(df, fr.feature_cols, label_col, fr.id_cols, fr.problem_type), None
+    classes = fr.df.select(F.col(fr.target_col).alias("class")).where(F.col("class").isNotNull()).distinct()
+    classes = classes.select("class", (F.row_number().over(Window.orderBy("class")) - 1).cast("double").alias("label"))
+    df = (fr.df.join(classes.withColumnsRenamed({"class": "_class", "label": "_label"}), F.col(fr.target_col) == F.col("_class"), "left")
+          .select(*fr.id_cols, *fr.feature_cols, F.col("_label").alias(label_col)))
     return Frame(df, fr.feature_cols, label_col, fr.id_cols, fr.problem_type), classes
 
 
@@ -158,8 +172,15 @@ def smallest_k_flag(df: DataFrame, h: str, id_col: str, k_by_group: dict, group:
     base = df.select(gcol.alias("k"), F.col(h).cast("double").alias("v"))
     targets = [(str(g), int(k) - 1) for g, k in k_by_group.items() if k > 0]
     known = {str(g): (n, 0.0, HASH_TOP) for g, n in counts.items()} if counts else None
+    # hashes are uniform: the k-th of n lies within some deviations of its expected place
+    likely = {}
+    for g, r in targets if counts else ():
+        n = max(1, counts[g])
+        q = (r + 1) / n
+        wide = 5.0 * math.sqrt(q * (1 - q) / n) + 2.0 / n
+        likely[(g, r)] = (max(0.0, q - wide) * HASH_TOP, min(1.0, q + wide) * HASH_TOP)
     tie_info: dict = {}
-    kth = kth_values(base, targets, stats=known, ties=tie_info)
+    kth = kth_values(base, targets, stats=known, ties=tie_info, guess=likely)
     spark = df.sparkSession
     thr = {g: (kth[(g, r)], r + 1) for g, r in targets if kth.get((g, r)) is not None}
     if not thr:
@@ -191,8 +212,9 @@ def split(fr: Frame, test: float = 0.2, seed: int = 42, stratify: bool = False)
     id_col = fr.id_cols[0]
     df = fr.df.withColumn("_h", split_hash([id_col], seed))
     if stratify:
-        counts = {r[0]: r[1] for r in df.groupBy(F.col(fr.target_col).cast("string")).count().collect()}
-        if counts and min(counts.values()) >= 2:
+        groups = df.groupBy(F.col(fr.target_col).cast("string").alias("g")).count()
+        if groups.where("count < 2").limit(1).count() == 0 and groups.limit(1).count():
+            counts = {r[0]: r[1] for r in groups.collect()}  # classes of two rows or more; a stratified target is a class
             k = {g: int(math.floor(test * n + 0.5)) for g, n in counts.items()}
             return smallest_k_flag(df, "_h", id_col, k, group=fr.target_col, counts=counts).drop("_h")
     n = df.count()
@@ -209,13 +231,6 @@ def sample_split(fr: Frame, n_max: int = 150, frac: float = 0.7, seed: int = 42)
     return flagged.drop("_h")
 
 
-def train_test(flagged: DataFrame, flag: str = "is_test") -> tuple[DataFrame, DataFrame]:
-    body = [c for c in flagged.columns if c != flag]
-    if flag == "is_train":
-        return flagged.where(F.col(flag)).select(*body), flagged.where(~F.col(flag)).select(*body)
-    return flagged.where(~F.col(flag)).select(*body), flagged.where(F.col(flag)).select(*body)
-
-
 # ------------------------------------------------------------------ noise
 def noise_source_col(j: Column, p: int, seed: int = 42) -> Column:
     """Source feature of added column j: md5('seed|j') mod p (same rule in SQL)."""

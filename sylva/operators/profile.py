@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sylva.frame import Frame, numeric_cols
-from sylva.functions.stats import exact_quantiles, pearson, quantile_frame, to_long
+from sylva.functions.stats import exact_mean, exact_quantiles, pearson_pairs, quantile_frame, to_long
 
 QUARTILES = {0.25: "q25", 0.5: "q50", 0.75: "q75"}
 
@@ -22,17 +24,16 @@ def describe(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     aggs = []
     for i, c in enumerate(cols):
         x = F.col(c).cast("double")
-        aggs += [F.count(x).alias(f"n{i}"), F.avg(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
+        aggs += [F.count(x).alias(f"n{i}"), exact_mean(x).alias(f"m{i}"), F.stddev_samp(x).alias(f"s{i}"),
                  F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-    wide = df.agg(*aggs)
-    stack = ", ".join(f"'{c}', n{i}, m{i}, s{i}, lo{i}, hi{i}" for i, c in enumerate(cols))
-    moments = wide.selectExpr(f"stack({len(cols)}, {stack}) as (feature, n, mean, std, min, max)")
-    long = to_long(df, [], cols)
-    qs = quantile_frame(spark, exact_quantiles(long, "feature", "value", list(QUARTILES)), "feature",
-                        QUARTILES, keys=cols)
-    order = spark.createDataFrame([(c, i) for i, c in enumerate(cols)], "feature string, idx int")
-    return (moments.join(F.broadcast(qs), "feature").join(F.broadcast(order), "feature")
-            .select("idx", "feature", "n", "mean", "std", "min", "q25", "q50", "q75", "max"))
+    row = df.agg(*aggs).first()  # one row
+    known = {c: (row[f"n{i}"], row[f"lo{i}"], row[f"hi{i}"]) for i, c in enumerate(cols)}
+    plain = all(v[2] is None or not math.isnan(v[2]) for v in known.values())  # a NaN would be its column's largest value
+    moments = spark.createDataFrame([(i, c, *[row[f"{k}{i}"] for k in ("n", "m", "s", "lo", "hi")]) for i, c in enumerate(cols)],
+                                    "idx int, feature string, n long, mean double, std double, min double, max double")
+    quartiles = exact_quantiles(to_long(df, [], cols), "feature", "value", list(QUARTILES), stats=known if plain else None)
+    qs = quantile_frame(spark, quartiles, "feature", QUARTILES, keys=cols)
+    return moments.join(qs, "feature").select("idx", "feature", "n", "mean", "std", "min", "q25", "q50", "q75", "max")
 
 
 def target_summary(fr: Frame) -> DataFrame:
@@ -77,33 +78,17 @@ def duplicate_report(df: DataFrame) -> DataFrame:
 def correlation_matrix(df: DataFrame, cols: list[str] | None = None) -> DataFrame:
     """Pearson for every numeric pair, pairwise-complete, as a long table (a, b, corr).
 
-    One aggregate with p(p-1)/2 null-safe expressions; the matrix is mirrored
+    Partial sums per pair (``pearson_pairs``), however many columns; the matrix is mirrored
     and the diagonal is 1 (null for a constant column), as pandas prints it.
     """
-    cols = list(cols or numeric_cols(df))
-    x = {c: F.col(c).cast("double") for c in cols}
-    exprs, pairs = [], []
-    for i, a in enumerate(cols):
-        exprs.append(F.stddev_pop(x[a]).alias(f"d{i}"))
-        for j in range(i + 1, len(cols)):
-            exprs.append(pearson(x[a], x[cols[j]]).alias(f"c{i}_{j}"))
-            pairs.append((i, j))
-    wide = df.agg(*exprs)
-    parts = []
-    for i, j in pairs:
-        parts += [f"'{cols[i]}', '{cols[j]}', c{i}_{j}", f"'{cols[j]}', '{cols[i]}', c{i}_{j}"]
-    for i, c in enumerate(cols):
-        parts.append(f"'{c}', '{c}', CASE WHEN d{i} > 0 THEN 1.0D END")
-    return wide.selectExpr(f"stack({len(parts)}, {', '.join(parts)}) as (a, b, corr)")
+    half = pearson_pairs(df, list(cols or numeric_cols(df)))
+    return half.union(half.where("a != b").select("b", "a", "corr"))
 
 
 def target_correlation(fr: Frame, k: int = 10) -> DataFrame:
     """Signed correlation of each numeric feature with the target, largest first, top k."""
     feats = [c for c in numeric_cols(fr.df) if c in fr.feature_cols]
-    y = F.col(fr.target_col).cast("double")
-    wide = fr.df.agg(*[pearson(F.col(c).cast("double"), y).alias(f"c{i}") for i, c in enumerate(feats)])
-    stack = ", ".join(f"'{c}', c{i}" for i, c in enumerate(feats))
-    long = wide.selectExpr(f"stack({len(feats)}, {stack}) as (feature, corr)")
+    long = pearson_pairs(fr.df, feats, fr.target_col).select(F.col("a").alias("feature"), "corr")
     return long.orderBy(F.desc_nulls_last("corr"), "feature").limit(k)
 
 

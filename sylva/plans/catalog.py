@@ -97,7 +97,18 @@ def profile_box(spark, sf):
 
 
 def prep_dedupe(spark, sf):
-    return rounded(fx.line_dup(spark, sf).dropDuplicates())
+    """D1 on all of B-7: the distinct rows, each with how many were removed for it."""
+    from sylva.frame import Frame
+    df = fx.line_dup(spark, sf)
+    fr = Frame(df, tuple(df.columns[:-1]), df.columns[-1], (), None)
+    return rounded(prepare.drop_duplicates(fr).df)
+
+
+def prep_dedupe_ids(spark, sf):
+    """D1 with ids: of rows that are equal but for the key, the smallest key stays."""
+    from sylva.frame import Frame
+    df = load(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    return prepare.drop_duplicates(Frame(df, ("o_custkey",), "o_orderstatus", ("o_orderkey",), None)).df
 
 
 def prep_impute_num(spark, sf):
@@ -420,36 +431,44 @@ QUERIES = {
 # 150-row training sample and every other row as test).
 
 
+def _spread(df, key="row_id"):
+    """Rows dealt by hash over as many partitions as the cluster runs tasks, whatever files they came in."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), F.xxhash64(key))
+
+
 def _assembled_split(fr, test=0.2, seed=42, stratify=False):
     from sylva.models.registry import assemble
-    from sylva.session import cut_lineage
+    from sylva.session import saved
     fr = prepare.standardize(fr)
     flagged = prepare.split(fr, test, seed, stratify=stratify)
-    data = cut_lineage(assemble(fr.with_df(flagged), keep=("is_test",)))  # reused by every fit of the query
+    narrow = assemble(fr.with_df(flagged), keep=("is_test",)).drop("features")
+    data = saved(_spread(narrow), "split")  # read by every fit and score of the query
+    from pyspark.ml.functions import array_to_vector
+    data = _spread(data).withColumn("features", array_to_vector("x"))
     return data.where(~F.col("is_test")).drop("is_test"), data.where(F.col("is_test")).drop("is_test")
 
 
 def _part3(spark, sf, target_p=500, n_train=150, seed=42):
-    from sylva.models.registry import assemble
-    from sylva.session import cut_lineage
-    fr = prepare.standardize(fx.line_reg(spark, sf))
-    ex = prepare.expand_with_noise(fr, target_p, 0.5, seed, as_array="x")
-    data = ex.df.select("row_id", "x", F.col(fr.target_col).cast("double").alias("label"))
-    flagged = prepare.sample_split(
-        type(fr)(data, (), "label", ("row_id",), fr.problem_type), n_train, 0.7, seed)
+    """150 training rows, all others as test; the noise is a hash, so each reader makes it anew and no wide table is kept."""
     from pyspark.ml.functions import array_to_vector
-    flagged = cut_lineage(flagged.withColumn("features", array_to_vector("x")))
+    from sylva.session import saved
+    fr = prepare.standardize(fx.line_reg(spark, sf))
+    flagged = saved(_spread(prepare.sample_split(fr, n_train, 0.7, seed)), "part3")
+
+    def wide(rows):
+        ex = prepare.expand_with_noise(fr.with_df(rows.drop("is_train")), target_p, 0.5, seed, as_array="x")
+        return ex.df.select("row_id", "x", F.col(fr.target_col).cast("double").alias("label")).withColumn("features", array_to_vector("x"))
+
     names = list(fr.feature_cols) + [prepare.noise_name(j) for j in range(fr.p, target_p)]
-    _ = assemble
-    return (flagged.where(F.col("is_train")).drop("is_train"), flagged.where(~F.col("is_train")).drop("is_train"),
-            names)
+    return saved(wide(flagged.where("is_train")).drop("features"), "part3-train").withColumn("features", array_to_vector("x")), wide(_spread(flagged.where(~F.col("is_train")))), names
 
 
 def _fit_one(spark, sf, learner_fn, task="classification"):
     from sylva.models.registry import run_models
     fr = fx.line_bin(spark, sf) if task == "classification" else fx.line_reg(spark, sf)
     tr, te = _assembled_split(fr)
-    return run_models(tr, te, [learner_fn(task, fr.p)], task, fr.p)
+    return run_models(tr, te, [learner_fn(task, fr.p)], task, fr.p, with_time=False)
 
 
 def model_et(spark, sf):
@@ -515,19 +534,40 @@ def model_nmin(spark, sf):
     cube = max(2, int(n ** (1.0 / 3.0)))
     ls = [extra_trees("regression", min_leaf=2, name="ET-nmin=2"),
           extra_trees("regression", min_leaf=cube, name=f"ET-nmin=n^1/3={cube}")]
-    return run_models(tr, te, ls, "regression", len(names))
+    return run_models(tr, te, ls, "regression", len(names), with_time=False)
 
 
 def model_mtry(spark, sf):
-    """H5 for the feature counts in play: 5 lineitem features, the embedding width, 500."""
-    dims = load(spark, sf, "embeddings").select(F.size("embedding").alias("p")).distinct()
-    ps = dims.unionByName(spark.range(1).select(F.lit(5).alias("p"))).unionByName(
-        spark.range(1).select(F.lit(500).alias("p"))).distinct()
+    """H5 for every number of features that the tables give: entries of embeddings, one-hot columns of priorities, sources and languages."""
+    counts = [load(spark, sf, "embeddings").select(F.size("embedding").alias("p")).distinct()]
+    for table, column in (("orders", "o_orderpriority"), ("documents", "source"), ("documents", "lang"), ("part", "p_brand")):
+        counts.append(load(spark, sf, table).agg(F.count_distinct(column).cast("int").alias("p")))
+    ps = counts[0]
+    for c in counts[1:]:
+        ps = ps.unionByName(c)
+    ps = ps.distinct()
     return ps.select(F.col("p").cast("int").alias("p"),
                      F.greatest(F.lit(1), F.floor(F.sqrt("p"))).cast("int").alias("mtry_sqrt"),
                      F.greatest(F.lit(1), F.floor(F.log("p"))).cast("int").alias("mtry_log"))
 
 
+def model_bart_reg(spark, sf):
+    """H12 for regression: gradient boosting under the name BART."""
+    from sylva.models.registry import bart_alias
+    return _fit_one(spark, sf, lambda t, p: bart_alias(t), task="regression")
+
+
+def model_et_level1(spark, sf):
+    """H1, first split: ten trees of depth 1 on all rows of B-2, every feature a candidate."""
+    from sylva.models.registry import assemble
+    from sylva.models.extra_trees import ExtraTrees
+    fr = fx.line_bin(spark, sf)
+    model = ExtraTrees("classification", n_trees=10, mtry=fr.p, max_depth=1, seed=42, local_rows=100, n_classes=2).fit(_spread(assemble(fr)).select("x", "label"))
+    name = F.get(F.array(*[F.lit(c) for c in fr.feature_cols]), F.col("feature"))
+    return rounded(model.splits.select("tree", name.alias("feature"), "threshold", "gain", F.col("n_left").cast("long").alias("n_left"),
+                                       F.col("n_right").cast("long").alias("n_right")))
+
+
 def rlt_flagship(spark, sf):
     """RLT-ExtraTrees (VI -> mute -> LC -> ET) next to plain Extra-Trees (RLT-naive)."""
     from sylva.models.registry import extra_trees, run_models
@@ -535,41 +575,116 @@ def rlt_flagship(spark, sf):
     fr = fx.line_bin(spark, sf)
     tr, te = _assembled_split(fr)
     return run_models(tr, te, [rlt("classification", list(fr.feature_cols)),
-                               extra_trees("classification", name="RLT-naive")], "classification")
+                               extra_trees("classification", name="RLT-naive")], "classification", {"RLT-naive": fr.p}, with_time=False)
+
+
+def study_baselines(task, p):
+    """The eight baselines of the Part 3 study."""
+    from sylva.models.registry import bart_alias, boosting, extra_trees, l1_logistic, lasso, random_forest
+    linear = l1_logistic(name="Lasso") if task == "classification" else lasso(name="Lasso")
+    return [random_forest(task, p=p, name="RF"), random_forest(task, strategy="sqrt", p=p, name="RF- √p"),
+            random_forest(task, strategy="log", p=p, name="RF-log(p)"), extra_trees(task, name="ET"), bart_alias(task), linear,
+            boosting(task, 100, 6, 0.3, "Boosting"), extra_trees(task, name="RLT-naive")]
 
 
 def rlt_grid(spark, sf):
-    """H15 on the Part 3 protocol: 3 muting levels x 5 n_comb x 2 nmin, importance
-    computed once and every distinct resolved plan fitted once; relative errors."""
+    """H15/J8 on the Part 3 protocol: 8 baselines and 30 variants (3 muting levels x 5 n_comb x 2 nmin) in one table of
+    relative errors; importance computed once and every distinct resolved plan fitted once."""
     from sylva.models.registry import run_models
     from sylva.models.rlt import frame_of, importance, rlt
     from sylva.plans.studies import resolved_grid
+    from sylva.session import saved
     tr, te, names = _part3(spark, sf)
-    vi = importance(tr, names, "regression").cache()
-    grid = resolved_grid(spark, frame_of(tr, names, "regression"), vi).collect()  # 30 rows
+    vi = saved(importance(tr, names, "regression"), "importance")
+    grid = resolved_grid(spark, frame_of(tr, names, "regression"), vi, n_train=tr.count()).collect()  # 30 rows
     fits = {}
     for g in grid:
         fits.setdefault(g["fit_key"], g)
-    learners = [rlt("regression", names, g["level"], n_comb=g["n_comb"], min_leaf=g["nmin"], order="asc",
-                    positional=True, name=g["fit_key"], vi=vi) for g in fits.values()]
-    res = run_models(tr, te, learners, "regression")
-    errors = res.select(F.col("model").alias("fit_key"), (F.col("rmse") * F.col("rmse")).alias("error"))
-    gdf = spark.createDataFrame([(g["model"], g["fit_key"]) for g in grid], "model string, fit_key string")
-    return compare.relative_errors(gdf.join(errors, "fit_key").drop("fit_key"))
+    learners = study_baselines("regression", len(names))
+    plain = {lr.name: len(names) for lr in learners}
+    learners += [rlt("regression", names, g["level"], n_comb=g["n_comb"], min_leaf=g["nmin"], order="asc",
+                     positional=True, name=g["fit_key"], vi=vi) for g in fits.values()]
+    res = run_models(tr, te, learners, "regression", plain, with_time=False)
+    errors = res.select(F.col("model").alias("fit_key"), (F.col("rmse") * F.col("rmse")).alias("error"), "features")
+    gdf = spark.createDataFrame([(g["model"], g["fit_key"]) for g in grid] + [(n, n) for n in plain], "model string, fit_key string")
+    ranked = compare.relative_errors(gdf.join(errors.drop("features"), "fit_key").drop("fit_key"))
+    return ranked.join(gdf.join(errors.select("fit_key", "features"), "fit_key").drop("fit_key"), "model")
+
+
+def study_plan(spark, sf):
+    """The 38 models of the Part 3 study with their smallest leaf, for the number of rows there are."""
+    from sylva.plans.studies import LEVELS, N_COMBS, N_TRAIN_MAX, TRAIN_FRAC, study_nmin
+    n = load(spark, sf, "lineitem").agg(F.least(F.lit(N_TRAIN_MAX), F.floor(F.lit(TRAIN_FRAC) * F.count("*"))).alias("n_train"))
+    cube = study_nmin(F.col("n_train"))
+    nmin = F.explode(F.array(F.struct(F.lit("nmin=2").alias("label"), F.lit(2).alias("nmin")),
+                             F.struct(F.concat(F.lit("nmin=n^1/3="), cube.cast("string")).alias("label"), cube.alias("nmin"))))
+    grid = n.select("n_train", F.explode(F.array(*[F.lit(x) for x in LEVELS])).alias("level"))
+    grid = grid.select("n_train", "level", F.explode(F.array(*[F.lit(c) for c in N_COMBS])).alias("n_comb"))
+    grid = grid.select("n_train", "level", "n_comb", nmin.alias("m")).select(
+        variant_name(F.col("level"), F.col("n_comb"), F.col("m.label")).alias("model"), F.col("m.nmin").alias("nmin"), "n_train")
+    plain = n.select(F.explode(F.array(*[F.lit(lr.name) for lr in study_baselines("regression", 500)])).alias("model"), F.lit(1).alias("nmin"), "n_train")
+    return grid.unionByName(plain).select("model", F.col("nmin").cast("int").alias("nmin"), F.col("n_train").cast("long").alias("n_train"))
+
+
+def variant_grid_3x3(spark, sf):
+    """The muting x n_comb grid with long names, resolved against the embeddings data."""
+    from sylva.plans.studies import short_grid
+    return short_grid(spark, fx.emb_wide(spark, sf))
+
+
+def _bakeoff(fr, out_dir, name, n_trees):
+    """Part 1 from a frame with raw columns to the leaderboard in a results file, which is read back."""
+    from sylva.models.registry import assemble, baseline_registry, run_models
+    from sylva.models.rlt import rlt
+    from sylva.session import saved
+    spark = fr.df.sparkSession
+    fr = prepare.drop_duplicates(fr)
+    fr = prepare.impute_categorical(prepare.impute_numeric(fr))
+    fr, _ = prepare.encode_label(prepare.one_hot(fr))
+    fr = prepare.standardize(fr)
+    flagged = prepare.split(fr, 0.2, 42, stratify=True)
+    from pyspark.ml.functions import array_to_vector
+    data = saved(_spread(assemble(fr.with_df(flagged), keep=("is_test",)).drop("features")), "bakeoff")
+    data = _spread(data).withColumn("features", array_to_vector("x"))
+    tr, te = data.where(~F.col("is_test")).drop("is_test"), data.where("is_test").drop("is_test")
+    task = "classification"
+    learners = baseline_registry(task, fr.p, n_trees) + [rlt(task, list(fr.feature_cols), n_trees=n_trees)]
+    res = run_models(tr, te, learners, task, {lr.name: fr.p for lr in learners}, with_time=False)
+    board_ = compare.leaderboard(res.select("model", "type", "features", "train_accuracy", "test_accuracy", "precision", "recall", "f1_score"), "test_accuracy")
+    return tables.read_results(spark, sinks.write_results(board_, out_dir, name))
+
+
+def part1_bakeoff(spark, sf):
+    """The Part 1 run: a CSV of mixed columns (B-10) -> A1, D1-D6, D8, VI, muting, combinations, 8 models, ranks -> A5, read back."""
+    from sylva.session import ensure_checkpoint_dir
+    import uuid
+    out = f"{ensure_checkpoint_dir(spark)}/sylva-part1-{uuid.uuid4().hex}"
+    fx.doc_quality(spark, sf).df.withColumn("quality", F.concat(F.lit("q"), F.col("quality").cast("string"))).write.option("header", True).csv(f"{out}/input.csv")
+    fr = tables.read_table(spark, f"{out}/input.csv")
+    return _bakeoff(fr, out, "doc_quality.csv", 20)
 
 
 def embedded_study(spark, sf):
     from sylva.models.rlt import embedded_study as study
     fr = fx.line_bin(spark, sf)
     tr, te = _assembled_split(fr)
-    return study(tr, te, list(fr.feature_cols), "classification")
+    return study(tr, te, list(fr.feature_cols), "classification", with_time=False)
+
+
+def embedded_study_multi(spark, sf):
+    """H16 for three classes: one-vs-rest where a learner is binary, ROC-AUC per class against the rest."""
+    from sylva.models.rlt import embedded_study as study
+    fr = fx.line_multi(spark, sf)
+    fr, _ = prepare.encode_label(fr.with_df(fr.df, [c for c in fr.feature_cols if c != "l_linestatus"]))
+    tr, te = _assembled_split(fr, stratify=True)
+    return study(tr, te, list(fr.feature_cols), "classification", n_trees=10, with_time=False)
 
 
 def optimised_study(spark, sf):
     from sylva.models.rlt import embedded_study as study
     fr = fx.line_bin(spark, sf)
     tr, te = _assembled_split(fr)
-    return study(tr, te, list(fr.feature_cols), "classification", optimised=True)
+    return study(tr, te, list(fr.feature_cols), "classification", optimised=True, with_time=False)
 
 
 def vi_model(spark, sf):
@@ -592,7 +707,7 @@ def progressive(spark, sf):
     from sylva.models.rlt import progressive_muting
     fr = fx.line_bin(spark, sf)
     tr, te = _assembled_split(fr)
-    return progressive_muting(tr, te, list(fr.feature_cols), "classification")
+    return progressive_muting(tr, te, list(fr.feature_cols), "classification", with_time=False)
 
 
 QUERIES.update({
@@ -602,4 +717,7 @@ QUERIES.update({
     "model_nmin": model_nmin, "model_mtry": model_mtry, "rlt_flagship": rlt_flagship, "rlt_grid": rlt_grid,
     "embedded_study": embedded_study, "optimised_study": optimised_study, "vi_model": vi_model,
     "vi_model_only": vi_model_only, "progressive": progressive,
+    "model_bart_reg": model_bart_reg, "model_et_level1": model_et_level1, "study_plan": study_plan,
+    "variant_grid_3x3": variant_grid_3x3, "part1_bakeoff": part1_bakeoff, "embedded_study_multi": embedded_study_multi,
+    "prep_dedupe_ids": prep_dedupe_ids,
 })

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sylva.functions.stats import exact_mean
 from sylva.operators.importance import variable_importance
 from sylva.sources import fixtures as fx
 
@@ -47,4 +48,4 @@ def board(errors: DataFrame) -> DataFrame:
 
 
 def model_errors(errors: DataFrame) -> DataFrame:
-    return errors.groupBy("model").agg(F.avg("error").alias("error"))
+    return errors.groupBy("model").agg(exact_mean(F.col("error")).alias("error"))

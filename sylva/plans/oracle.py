@@ -6,7 +6,7 @@ registered.  Fixtures are inlined as CTEs from ``sylva.sources.fixtures.SQL``.
 
 from __future__ import annotations
 
-from sylva.sources.fixtures import EMB_DIM, LINE_FEATURES, with_fixtures
+from sylva.sources.fixtures import LINE_FEATURES, with_fixtures
 
 R = 6  # rounding digits (same as the Spark side)
 
@@ -28,7 +28,8 @@ emb_anova AS (SELECT feature,
           (sum(n * (m - gm) * (m - gm)) / nullif(count(*) - 1, 0))
           / nullif(sum(ssw) / nullif(sum(n) - count(*), 0), 0) AS f_stat
           FROM emb_g2 GROUP BY feature),
-emb_idx AS (SELECT printf('e%02d', CAST(i AS INTEGER)) AS feature, CAST(i AS INTEGER) AS idx FROM range({EMB_DIM}) t(i)),
+emb_idx AS (SELECT printf('e%02d', CAST(i AS INTEGER)) AS feature, CAST(i AS INTEGER) AS idx
+            FROM (SELECT unnest(range((SELECT max(len(embedding)) FROM embeddings))) AS i)),
 emb_stat AS (SELECT x.feature, x.idx, coalesce(a.f_stat / 1000.0, 0.0) AS raw
              FROM emb_idx x LEFT JOIN emb_anova a ON x.feature = a.feature),
 emb_vi1 AS (SELECT feature, idx, 0.0 AS vi_model,
@@ -151,12 +152,19 @@ ORACLE["detect_type"] = " UNION ALL ".join([
     _type_sql("lineitem", "l_quantity", "double", False), _type_sql("embeddings", "label", "int", False)])
 
 
+def exact_mean(x: str) -> str:
+    """The oracle twin of ``sylva.functions.stats.exact_mean``."""
+    d = f"TRY_CAST({x} AS DECIMAL(30, 10))"
+    return (f"(CASE WHEN coalesce(bool_and(CAST({d} AS DOUBLE) = {x}), FALSE) AND count({d}) = count({x}) "
+            f"THEN CAST(sum({d}) AS DOUBLE) / count({x}) ELSE avg({x}) END)")
+
+
 def _describe_sql(src: str, cols: list[str], start: int = 0) -> str:
     parts = []
     for i, c in enumerate(cols):
         x = f"CAST({c} AS DOUBLE)"
         parts.append(
-            f"SELECT CAST({i + start} AS INTEGER) AS idx, '{c}' AS feature, count({x}) AS n, {r(f'avg({x})')} AS mean, "
+            f"SELECT CAST({i + start} AS INTEGER) AS idx, '{c}' AS feature, count({x}) AS n, {r(exact_mean(x))} AS mean, "
             f"{r(f'stddev_samp({x})')} AS std, {r(f'min({x})')} AS min, {r(f'quantile_cont({x}, 0.25)')} AS q25, "
             f"{r(f'quantile_cont({x}, 0.5)')} AS q50, {r(f'quantile_cont({x}, 0.75)')} AS q75, "
             f"{r(f'max({x})')} AS max FROM {src}")
@@ -445,7 +453,7 @@ ia AS (SELECT max(CASE WHEN contains(model, 'RLT') THEN test_accuracy END) AS rl
     "CASE WHEN rlt_score > best_other THEN 'better' WHEN abs(rlt_score - best_other) < 0.01 THEN 'equivalent' "
     "ELSE 'worse' END AS verdict FROM ia", "event_errors")
 _RANKED = """
-me AS (SELECT model, avg(error) AS error FROM event_errors GROUP BY model),
+me AS (SELECT model, """ + exact_mean("error") + """ AS error FROM event_errors GROUP BY model),
 rel AS (SELECT model, error, error / min(error) OVER () AS relative_error FROM me),
 ranked AS (SELECT *, row_number() OVER (ORDER BY relative_error, model) AS rank FROM rel),
 ranked2 AS (SELECT *, CASE rank WHEN 1 THEN 'gold' WHEN 2 THEN 'silver' WHEN 3 THEN 'bronze' END AS medal,
@@ -479,9 +487,9 @@ one AS (SELECT 1 AS k)""",
 
 ORACLE["best_per_type"] = _best_per_type_sql(_BOARD, "board", "test_accuracy", True)
 ORACLE["best_per_type_error"] = _best_per_type_sql(
-    "\nme AS (SELECT model, avg(error) AS error FROM event_errors GROUP BY model)", "me", "error", False)
+    "\nme AS (SELECT model, " + exact_mean("error") + " AS error FROM event_errors GROUP BY model)", "me", "error", False)
 _REP = """
-rs AS (SELECT scenario, p, model, avg(error) AS mean, stddev_pop(error) AS std, count(*) AS n_reps
+rs AS (SELECT scenario, p, model, """ + exact_mean("error") + """ AS mean, stddev_pop(error) AS std, count(*) AS n_reps
        FROM event_errors GROUP BY scenario, p, model)"""
 ORACLE["rep_summary"] = _wrap(_REP, f"SELECT scenario, p, model, {r('mean')} AS mean, {r('std')} AS std, n_reps FROM rs",
                               "event_errors")
@@ -507,8 +515,10 @@ ORACLE["top3_auto"] = _wrap(
 ORACLE["time_totals"] = _wrap(
     _BOARD, f"SELECT coalesce(type, 'ALL') AS type, {r('sum(train_time)')} AS seconds, "
             f"{r('sum(train_time) / 60.0')} AS minutes FROM board GROUP BY ROLLUP (type)", "event_errors")
-ORACLE["parts_completed"] = ("SELECT CAST(CASE WHEN count(*) > 0 THEN 3 ELSE 0 END AS BIGINT) AS parts_completed, "
-                             "3 AS parts_total FROM events")
+ORACLE["parts_completed"] = _wrap(
+    _BOARD + ",\n" + _RANKED.strip() + "," + _REP,
+    "SELECT CAST((SELECT count(*) FROM board) > 0 AS BIGINT) + CAST((SELECT count(*) FROM rs) > 0 AS BIGINT) "
+    "+ CAST((SELECT count(*) FROM ranked2) > 0 AS BIGINT) AS parts_completed, 3 AS parts_total", "event_errors")
 ORACLE["feature_report"] = _wrap(
     _EMB_MUTED + "," + banded_ctes() + """,
 fr AS (SELECT count(*) AS n_original, sum(CAST(kept AS INTEGER)) AS n_kept, (SELECT count(*) FROM plan) AS n_pairs
@@ -547,4 +557,55 @@ ORACLE["variant_grid"] = _grid_sql()
 ORACLE["model_mtry"] = (
     "SELECT CAST(p AS INTEGER) AS p, CAST(greatest(1, floor(sqrt(p))) AS INTEGER) AS mtry_sqrt, "
     "CAST(greatest(1, floor(ln(p))) AS INTEGER) AS mtry_log FROM "
-    "(SELECT DISTINCT len(embedding) AS p FROM embeddings UNION SELECT 5 UNION SELECT 500)")
+    "(SELECT DISTINCT len(embedding) AS p FROM embeddings UNION SELECT count(DISTINCT o_orderpriority) FROM orders "
+    "UNION SELECT count(DISTINCT source) FROM documents UNION SELECT count(DISTINCT lang) FROM documents "
+    "UNION SELECT count(DISTINCT p_brand) FROM part)")
+
+ORACLE["variant_grid_3x3"] = _wrap(
+    EMB_VI_CTES + "," + ",".join(mute_ctes(level=lv, name=n) for lv, n in (("no", "m_no"), ("moderate", "m_mod"), ("aggressive", "m_agg"))) + """,
+per_level AS (SELECT 'no' AS level, count(*) AS n_kept FROM m_no WHERE kept UNION ALL SELECT 'moderate', count(*) FROM m_mod WHERE kept
+              UNION ALL SELECT 'aggressive', count(*) FROM m_agg WHERE kept),
+g AS (SELECT level, CAST(c AS INTEGER) AS n_comb, CAST(n_kept AS INTEGER) AS n_kept,
+             CAST(least(CASE WHEN n_kept >= 7 THEN 10 WHEN n_kept <= 1 THEN 0 ELSE 2 * n_kept - 3 END, c * n_kept) AS INTEGER) AS n_pairs
+      FROM per_level, (SELECT unnest([1, 2, 5]) AS c))""",
+    "SELECT 'RLT-' || upper(substr(level, 1, 1)) || substr(level, 2) || '-LC' || n_comb AS model, level, n_comb, n_kept, n_pairs, "
+    "CAST(n_kept + n_pairs AS INTEGER) AS n_features FROM g", "emb_long")
+
+ORACLE["study_plan"] = """
+WITH n AS (SELECT CAST(least(150, floor(0.7 * count(*))) AS BIGINT) AS n_train FROM lineitem),
+c AS (SELECT n_train, CAST(greatest(2, floor(pow(n_train, 1.0 / 3.0))) AS INTEGER) AS cube FROM n),
+m AS (SELECT n_train, 'nmin=2' AS label, 2 AS nmin FROM c UNION ALL SELECT n_train, 'nmin=n^1/3=' || cube, cube FROM c)
+SELECT 'RLT-' || level || '-LC' || k || '-' || label AS model, CAST(nmin AS INTEGER) AS nmin, n_train
+FROM m, (SELECT unnest(['No', 'Mod', 'Agg']) AS level), (SELECT unnest([1, 2, 3, 4, 5]) AS k)
+UNION ALL SELECT unnest(['RF', 'RF- √p', 'RF-log(p)', 'ET', 'BART', 'Lasso', 'Boosting', 'RLT-naive']), 1, n_train FROM n"""
+
+ORACLE["prep_dedupe_ids"] = "SELECT min(o_orderkey) AS o_orderkey, o_custkey, o_orderstatus FROM orders GROUP BY o_custkey, o_orderstatus"
+
+
+def _level1_sql(trees: int = 10, seed: int = 42) -> str:
+    """Depth-1 Extra-Trees: per tree and feature one threshold, uniform in the feature's range; the largest Gini decrease wins.
+
+    The uniform numbers and the order that breaks ties are the forest's draws for its root nodes, as literals."""
+    import numpy as np
+
+    from sylva.models.extra_trees import draws, root_key
+    order, u = draws(np.array([root_key(seed, t) for t in range(trees)]), len(LINE_FEATURES))
+    rank = np.argsort(np.argsort(order, axis=1, kind="stable"), axis=1)
+    rows = ", ".join(f"({t}, '{c}', {float(u[t, i])!r}, {int(rank[t, i])})" for t in range(trees) for i, c in enumerate(LINE_FEATURES))
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS DOUBLE) AS v, big FROM line_bin" for c in LINE_FEATURES)
+    return _wrap(f"""
+draw(tree, feature, u, place) AS (VALUES {rows}),
+long AS ({long}),
+span AS (SELECT feature, min(v) AS lo, max(v) AS hi, count(*) AS n, sum(big) AS pos FROM long GROUP BY feature),
+cand AS (SELECT tree, draw.feature, place, lo + u * (hi - lo) AS threshold, n, pos FROM draw JOIN span ON draw.feature = span.feature),
+side AS (SELECT tree, cand.feature, place, threshold, any_value(n) AS n, any_value(pos) AS pos, count(*) FILTER (v <= threshold) AS nl,
+                coalesce(sum(big) FILTER (v <= threshold), 0) AS pl
+         FROM cand JOIN long ON cand.feature = long.feature GROUP BY ALL),
+gained AS (SELECT *, 2.0 * pos * (n - pos) / n - 2.0 * pl * (nl - pl) / nl - 2.0 * (pos - pl) * (n - nl - pos + pl) / (n - nl) AS gain
+           FROM side WHERE nl > 0 AND nl < n),
+best AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY gain DESC, place) AS k FROM gained)""",
+                 f"SELECT CAST(tree AS INTEGER) AS tree, feature, {r('threshold')} AS threshold, {r('gain')} AS gain, nl AS n_left, "
+                 "n - nl AS n_right FROM best WHERE k = 1", "line_bin")
+
+
+ORACLE["model_et_level1"] = _level1_sql()

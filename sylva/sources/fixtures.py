@@ -16,7 +16,6 @@ from sylva.functions.hashing import hash_key
 from sylva.sources.tables import load
 
 LINE_FEATURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber")
-EMB_DIM = 64
 # Fixed values of the error-table fixture: the p grid of the reference's simulations.
 P_GRID = (200, 500, 1000)
 
@@ -74,14 +73,16 @@ def line_dup(spark, sf) -> DataFrame:
     return load(spark, sf, "lineitem").select("l_linenumber", "l_returnflag", "l_linestatus", "l_quantity")
 
 
-def emb_names(dim: int = EMB_DIM) -> tuple[str, ...]:
+def emb_names(dim: int) -> tuple[str, ...]:
     return tuple(f"e{i:02d}" for i in range(dim))
 
 
-def emb_wide(spark, sf, dim: int = EMB_DIM) -> Frame:
+def emb_wide(spark, sf) -> Frame:
+    """A column per entry of ``embedding``, as many as the longest has."""
     e = load(spark, sf, "embeddings")
+    dim = e.agg(F.max(F.size("embedding"))).first()[0] or 0
     df = e.select(F.col("vec_id").cast("string").alias("row_id"),
-                  *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(emb_names(dim))],
+                  *[F.get("embedding", F.lit(i)).cast("double").alias(n) for i, n in enumerate(emb_names(dim))],
                   F.col("label").cast("string").alias("label"))
     return Frame(df, emb_names(dim), "label", ("row_id",), "classification")
 
@@ -166,9 +167,6 @@ SQL = {
                    "CAST(CAST(('0x' || substr(md5(row_id || '|42'), 1, 8)) AS BIGINT) % 3 AS DOUBLE) AS prediction "
                    f"FROM (SELECT {SQL_ROW_ID} AS row_id, l_returnflag FROM lineitem)"),
 }
-SQL["emb_wide"] = ("SELECT CAST(vec_id AS VARCHAR) AS row_id, "
-                   + ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i:02d}" for i in range(EMB_DIM))
-                   + ", CAST(label AS VARCHAR) AS label FROM embeddings")
 SQL["const_col"] = ("SELECT row_id, l_quantity, l_extendedprice, l_discount, l_tax, l_linenumber, "
                     "1.0 AS const_one, revenue FROM (" + SQL["line_reg"] + ")")
 SQL["doc_quality"] = ("SELECT CAST(d.doc_id AS VARCHAR) AS row_id, d.n_chars, d.lang, d.source, l.quality "

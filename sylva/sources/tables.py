@@ -62,3 +62,8 @@ def column_info(fr: Frame) -> DataFrame:
         "pos int, column string, dtype string")
     # meta is bounded by the number of columns
     return long.join(F.broadcast(meta), "pos").select("pos", "column", "dtype", "non_null")
+
+
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """A results file written by ``sinks.write_results`` as CSV."""
+    return spark.read.option("header", True).option("inferSchema", True).csv(path)

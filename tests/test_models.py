@@ -1,10 +1,11 @@
 """Model fits: bounds on the signal fixtures (rows/metric checks, not oracles)."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from sylva.models.extra_trees import ExtraTrees, grow_local, route
-from sylva.models.registry import assemble, extra_trees, lasso, random_forest, run_models
+from sylva.models.extra_trees import ExtraTrees, _route, grow, root_key
+from sylva.models.registry import adaboost, assemble, extra_trees, lasso, random_forest, run_models
 from sylva.operators import prepare
 from sylva.sources import fixtures as fx
 
@@ -16,18 +17,60 @@ def _split(spark, sf, fixture):
     return fr, data.where(~F.col("is_test")), data.where(F.col("is_test"))
 
 
-def test_grow_local_pure_leaves():
+def test_grow_to_purity():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(300, 4))
     y = (x[:, 0] > 0).astype(float)
-    tree, imp = grow_local(x, y, "classification", 2, 2, 1, None, 42, 0, 0, 0)
-    packed = (np.asarray(tree.feat), np.asarray(tree.thr), np.asarray(tree.left), np.asarray(tree.right))
-    leaves = route(x, packed)
-    vals = np.asarray([tree.value[i] for i in leaves])
-    assert (vals.argmax(axis=1) == y).all()       # grown to purity: fits the training rows
+    feat, thr, left, value, imp = grow(x, y, "classification", 2, 2, 1, None, root_key(42, 0), 0)
+    leaves = _route(x, feat, thr, left)
+    assert (value[leaves].argmax(axis=1) == y).all()       # grown to purity: fits the training rows
     assert imp.argmax() == 0
 
 
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_same_forest_for_any_layout(spark, sf, task):
+    """Where nodes are grown, how rows are dealt and how rows meet the forest change nothing; rows keep repeated ids."""
+    fr, tr, te = _split(spark, sf, fx.line_bin if task == "classification" else fx.line_reg)
+    tr = tr.limit(250).select("x", "label").cache()
+    te = te.limit(100).select(F.lit(7).alias("row_id"), "x", "label", F.monotonically_increasing_id().alias("i")).cache()
+    seen = []
+    for local_rows, parts in ((40, 1), (40, 8), (10_000, 2)):
+        model = ExtraTrees(task, n_trees=3, seed=3, local_rows=local_rows, min_leaf=2).fit(tr.repartition(parts))
+        for nodes in (10**6, 0)[: 2 if parts == 8 else 1]:
+            out = model.transform(te, broadcast_nodes=nodes)
+            assert out.columns[:4] == te.columns
+            rows = sorted((r.i, round(r.prediction, 6)) for r in out.collect())
+            assert len(rows) == te.count()
+            seen.append((rows, np.round(model.importances, 7).tolist()))
+    assert all(x == seen[0] for x in seen)
+
+
+def test_extra_trees_degenerate(spark):
+    one = spark.createDataFrame([([1.0, 2.0], 1.0)] * 5, "x array<double>, label double")
+    out = ExtraTrees("regression", n_trees=2).fit(one).transform(one).collect()
+    assert [r.prediction for r in out] == [1.0] * 5
+    out = ExtraTrees("classification", n_trees=2).fit(one).transform(one).collect()
+    assert [r.prediction for r in out] == [1.0] * 5
+
+
+def test_adaboost_first_stump_useless(spark):
+    """No stump beats chance: the first one stays, rows are scored once each."""
+    from pyspark.ml.functions import array_to_vector
+
+    rows = spark.createDataFrame([(1, [0.0], 0.0), (1, [0.0], 1.0), (2, [0.0], 0.0), (2, [0.0], 1.0)], "row_id int, x array<double>, label double")
+    rows = rows.withColumn("features", array_to_vector("x"))
+    assert adaboost(5, 1.0).fit(rows)(rows).count() == 4
+
+
+def test_adaboost_votes(spark, sf):
+    """The one-projection score equals a vote counted by hand."""
+    fr, tr, te = _split(spark, sf, fx.line_bin)
+    score = adaboost(8, 0.5).fit(tr)
+    for r in score(te.limit(50)).join(te.select("row_id", "x"), "row_id").collect():
+        votes = [sum(a for (f, t, l, g), a in score.stumps if (l if r.x[f] <= t else g) == c) for c in (0, 1)]
+        assert r.prediction == float(np.argmax(votes))
+
+
 def test_extra_trees_classifier_bounds(spark, sf):
     fr, tr, te = _split(spark, sf, fx.line_bin)
     model = ExtraTrees("classification", n_trees=10, seed=1, local_rows=1000, n_classes=2).fit(tr)
@@ -55,9 +98,9 @@ def test_extra_trees_partition_invariant(spark, sf):
     b = ExtraTrees("classification", n_trees=3, seed=7, local_rows=500, n_classes=2).fit(tr.repartition(5))
     assert a.n_nodes == b.n_nodes
     assert np.allclose(a.importances, b.importances)
-    for ta, tb in zip(a.trees, b.trees):
-        assert np.array_equal(np.asarray(ta.feat), np.asarray(tb.feat))
-        assert np.allclose(np.asarray(ta.thr), np.asarray(tb.thr))
+    for table in ("splits", "subtrees"):
+        rows = [sorted(map(str, getattr(m, table).drop("imp").collect())) for m in (a, b)]
+        assert rows[0] == rows[1]
 
 
 def test_extra_trees_regression_layout_stable(spark, sf):
