@@ -10,7 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-AUC_BUCKETS = 128
+from sylva.session import saved
+
+AUC_BUCKETS, STEP = 128, 12
 
 
 def confusion(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -69,11 +71,16 @@ def auc_ovr(scores: DataFrame, label: str = "label", score: str = "score", cls:
     """
     g = list(group or [])
     pos = (F.col(label) == F.col(cls)).cast("long")
-    per = scores.groupBy(*g, cls, F.col(score).alias("s")).agg(
-        F.sum(pos).alias("np"), F.sum(1 - pos).alias("nn"))
+    per = saved(scores.groupBy(*g, cls, F.col(score).alias("s")).agg(
+        F.sum(pos).alias("np"), F.sum(1 - pos).alias("nn")), "auc-scores")  # read three times below
     cuts = F.percentile_approx("s", [(i + 1) / buckets for i in range(buckets - 1)], 20 * buckets)
-    bounds = per.groupBy(*g, cls).agg(F.array_distinct(cuts).alias("cuts"))  # a row per class
-    found = F.size(F.filter("cuts", lambda c: c < F.col("s")))
+    every = F.sequence(F.lit(0), F.size("cuts") - 1, F.lit(STEP))
+    bounds = (per.groupBy(*g, cls).agg(F.array_distinct(cuts).alias("cuts"))  # a row per class
+              .withColumn("coarse", F.transform(every, lambda i: F.get("cuts", i))))
+    # the bucket is the number of cuts below the score: first among every STEP-th one, then between two of them
+    above = F.size(F.filter("coarse", lambda c: c < F.col("s")))
+    first = F.greatest(above - 1, F.lit(0)) * STEP
+    found = first + F.size(F.filter(F.slice("cuts", first + 1, F.lit(STEP)), lambda c: c < F.col("s")))
     same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*g, cls)]
     per = per.alias("l").join(bounds.alias("r"), same).select("l.*", found.alias("b"))
     bt = per.groupBy(*g, cls, "b").agg(F.sum("nn").alias("bn"))

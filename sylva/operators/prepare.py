@@ -268,6 +268,39 @@ def _np_gaussians(rk, js):
     return np.sqrt(-2.0 * np.log(u1)) * np.cos(2.0 * math.pi * u2)
 
 
+def noise_moments(fr: Frame, target_p: int = 500, weight: float = 0.5, seed: int = 42, chunk: int = 2048) -> DataFrame:
+    """(j, n, mean, std) of the columns that ``expand_with_noise`` adds, without the columns: each task keeps count, mean and
+    squared deviations per column, and the tasks' numbers are merged."""
+    import numpy as np
+    p = fr.p
+    js = np.arange(p, target_p, dtype=np.int64)
+    src = np.array(noise_sources(p, target_p, seed), dtype=np.int64)
+    feats = list(fr.feature_cols)
+    base = fr.df.select(*[F.col(c).cast("double").alias(c) for c in feats], hash_u32(F.col(fr.id_cols[0]), F.lit(seed)).alias("_rk"))
+
+    def fn(batches):
+        import pyarrow as pa
+        n, mean, m2 = 0, np.zeros(len(js)), np.zeros(len(js))
+        for batch in batches:
+            for s0 in range(0, batch.num_rows, chunk):
+                part = batch.slice(s0, chunk)
+                x = np.column_stack([part.column(c).to_numpy(zero_copy_only=False) for c in feats]).astype(np.float64)
+                v = weight * x[:, src] + (1.0 - weight) * _np_gaussians(part.column("_rk").to_numpy(zero_copy_only=False), js)
+                k, m = len(v), v.mean(axis=0)
+                d = m - mean
+                m2 += ((v - m) ** 2).sum(axis=0) + d * d * (n * k / (n + k))
+                mean += d * (k / (n + k))
+                n += k
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(js.astype(np.int32)), pa.array(np.full(len(js), n, dtype=np.int64)), pa.array(mean), pa.array(m2)], names=["j", "n", "m", "m2"])
+
+    parts = base.mapInArrow(fn, "j int, n long, m double, m2 double")  # a row per task and column
+    w = Window.partitionBy("j")
+    parts = parts.withColumn("mean", F.sum(F.col("n") * F.col("m")).over(w) / F.sum("n").over(w))
+    dev = F.sum(F.col("m2") + F.col("n") * (F.col("m") - F.col("mean")) * (F.col("m") - F.col("mean")))
+    return parts.groupBy("j", "mean").agg(F.sum("n").alias("n"), dev.alias("d")).select("j", "n", "mean", F.sqrt(F.col("d") / F.col("n")).alias("std"))
+
+
 def expand_with_noise(fr: Frame, target_p: int = 500, weight: float = 0.5, seed: int = 42,
                       as_array: str | None = None, chunk: int = 2048) -> Frame:
     """Append features until p = target_p; column j (p <= j < target_p) is

@@ -148,18 +148,9 @@ def prep_sample_anti(spark, sf):
 def prep_noise(spark, sf):
     """D11 over every lineitem row: per added column, its source, count, mean and std."""
     fr = fx.line_reg(spark, sf)
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-    ex = prepare.expand_with_noise(fr, 500, 0.5, 42, as_array="x")
-    # column moments of the added block in one vectorised aggregate (no explode)
-    vec = ex.df.select(array_to_vector(F.slice("x", fr.p + 1, 500 - fr.p)).alias("v"))
-    summ = vec.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("v")).alias("s"))
-    long = summ.select(F.col("s.count").alias("n"), vector_to_array("s.variance").alias("var"),
-                       F.posexplode(vector_to_array("s.mean")).alias("i", "mean"))
-    std = F.sqrt(F.col("var")[F.col("i")] * (F.col("n") - 1) / F.col("n"))
-    j = F.col("i") + F.lit(fr.p)
-    return rounded(long.select(F.format_string("nz%04d", j).alias("feature"), "n", "mean", std.alias("std"),
-                               prepare.noise_source_col(j, fr.p, 42).alias("src")))
+    m = prepare.noise_moments(fr.with_df(_spread(fr.df)), 500, 0.5, 42)
+    return rounded(m.select(F.format_string("nz%04d", F.col("j")).alias("feature"), "n", "mean", "std",
+                            prepare.noise_source_col(F.col("j"), fr.p, 42).alias("src")))
 
 
 # --------------------------------------------------------------- E: importance

@@ -91,3 +91,55 @@ def test_constant_feature_scores_zero(spark, sf):
     vi = variable_importance(fx.const_col(spark, sf), w_model=0.0, w_stat=1.0)
     row = vi.where("feature = 'const_one'").first()
     assert row["vi"] == 0.0
+
+
+def test_auc_any_scores(spark):
+    """One-vs-rest AUC per group, for scores of any size that pile up on few values."""
+    from sylva.operators.metrics import auc_ovr
+    rng = np.random.default_rng(4)
+    rows = [(g, float(rng.integers(0, 2)), float(c), float(s)) for g in ("a", "b") for c in (0, 1)
+            for s in np.concatenate([rng.normal(size=150) * 9 - 4, np.full(150, 0.5)])]
+    got = {(r.g, r.cls): r.auc for r in auc_ovr(spark.createDataFrame(rows, "g string, label double, cls double, score double"), group=["g"]).collect()}
+    assert len(got) == 4
+    for (g, c), auc in got.items():
+        pos, neg = ([s for h, y, k, s in rows if h == g and k == c and (y == c) == side] for side in (True, False))
+        want = np.mean([(p > q) + 0.5 * (p == q) for p in pos for q in neg])
+        assert abs(auc - want) < 1e-9
+
+
+def test_split_hash_guess_and_dedupe(spark):
+    """Equal rows keep the smallest id; a wrong guess changes no order statistic."""
+    from sylva.frame import Frame
+    df = spark.createDataFrame([(3, "a", 1), (1, "a", 1), (2, "b", 1)], "row_id int, x string, y int")
+    assert sorted(map(tuple, prepare.drop_duplicates(Frame(df, ("x",), "y", ("row_id",), None)).df.collect())) == [(1, "a", 1), (2, "b", 1)]
+    base = spark.range(5000).selectExpr("'k' AS k", "cast(id AS double) AS v")
+    for guess in ((0.0, 10.0), (2400.0, 2600.0), (4000.0, 4999.0)):
+        assert kth_values(base, [("k", 2500)], pick_limit=64, guess={("k", 2500): guess})[("k", 2500)] == 2500.0
+
+
+def test_one_hot_vector(spark):
+    from sylva.frame import Frame
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c"), (4, None)], "row_id int, x string")
+    got = {r.row_id: r.one_hot.toArray().tolist() for r in prepare.one_hot_vector(Frame(df, ("x",), "x", ("row_id",), None), "x").collect()}
+    assert got == {1: [0, 0], 2: [0, 1], 3: [1, 0], 4: [0, 0]}
+
+
+def test_progressive_runs_every_step(spark):
+    """A row for each step asked for, beyond 50 features too."""
+    from sylva.models.registry import Learner
+    from sylva.models.rlt import progressive_muting
+    from sylva.models import rlt
+
+    def constant(task, n_trees):
+        return Learner("RandomForest", lambda train: lambda df: df.select("row_id", "label", F.lit(0.0).alias("prediction")))
+
+    p = 53
+    rows = spark.createDataFrame([(i, [float((i * k) % 7) for k in range(p)], float(i % 2)) for i in range(12)], "row_id int, x array<double>, label double")
+    vi = spark.createDataFrame([(f"f{i}", i, float(i), i) for i in range(p)], "feature string, idx int, vi double, rank int")
+    given, rlt.importance = rlt.importance, lambda *a, **k: vi
+    try:
+        steps = [0, 50, 51, 52]
+        out = progressive_muting(rows, rows, [f"f{i}" for i in range(p)], "classification", steps=steps, with_time=False, learner=constant)
+        assert sorted(r.variables_kept for r in out.collect()) == [1, 2, 3, 53]
+    finally:
+        rlt.importance = given
