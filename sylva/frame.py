@@ -35,12 +35,6 @@ class Frame:
         cols = tuple(feature_cols) if feature_cols is not None else self.feature_cols
         return replace(self, df=df, feature_cols=cols)
 
-    def with_type(self, problem_type: str) -> "Frame":
-        return replace(self, problem_type=problem_type)
-
-    def select_all(self) -> DataFrame:
-        return self.df.select(*self.id_cols, *self.feature_cols, self.target_col)
-
 
 def split_target(df: DataFrame, target: str | None = None, id_cols=("row_id",)) -> Frame:
     """B1: the last (non-id) column is the target unless one is named."""

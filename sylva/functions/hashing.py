@@ -35,18 +35,6 @@ def uniform(*parts) -> Column:
     return hash_u32(*parts) / F.lit(TWO_32)
 
 
-def uniform_open(*parts) -> Column:
-    """Uniform in (0, 1): safe under log()."""
-    return (hash_u32(*parts) + F.lit(0.5)) / F.lit(TWO_32)
-
-
-def gaussian(seed, *parts) -> Column:
-    """Standard normal by Box-Muller from two independent md5 uniforms."""
-    u1 = uniform_open(F.lit(f"{seed}a"), *parts)
-    u2 = uniform_open(F.lit(f"{seed}b"), *parts)
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-
-
 # SQL (DuckDB) spellings of the same functions, for the oracle queries.
 def sql_hash_u32(expr: str) -> str:
     return f"CAST(('0x' || substr(md5({expr}), 1, 8)) AS BIGINT)"
@@ -56,16 +44,6 @@ def sql_uniform(expr: str) -> str:
     return f"({sql_hash_u32(expr)} / {TWO_32})"
 
 
-def sql_uniform_open(expr: str) -> str:
-    return f"(({sql_hash_u32(expr)} + 0.5) / {TWO_32})"
-
-
-def sql_gaussian(seed, key_expr: str) -> str:
-    u1 = sql_uniform_open(f"concat_ws('|', '{seed}a', {key_expr})")
-    u2 = sql_uniform_open(f"concat_ws('|', '{seed}b', {key_expr})")
-    return f"(sqrt(-2.0 * ln({u1})) * cos({2.0 * math.pi!r} * {u2}))"
-
-
 # ---------------------------------------------------------------- cheap streams
 # A public 32-bit integer mixer (two multiply-xorshift rounds) and
 # the golden-ratio stride; every product stays below 2^63, so the arithmetic is
@@ -75,27 +53,6 @@ STRIDE = 0x9E3779B1 & 0x7FFFFFFF
 MASK32 = 0xFFFFFFFF
 
 
-def mix32(x: Column) -> Column:
-    """Bijective 32-bit mix of a bigint in [0, 2^32)."""
-    x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX_MUL)).bitwiseAND(F.lit(MASK32))
-    x = (F.shiftright(x, 16).bitwiseXOR(x) * F.lit(MIX_MUL)).bitwiseAND(F.lit(MASK32))
-    return F.shiftright(x, 16).bitwiseXOR(x)
-
-
-def stream_uniform(row_key: Column, counter: Column) -> Column:
-    """Uniform in (0, 1) for draw ``counter`` of a row whose 32-bit key is ``row_key``:
-    one md5 per row, then a few integer operations per draw."""
-    x = (row_key + counter.cast("bigint") * F.lit(STRIDE)).bitwiseAND(F.lit(MASK32))
-    return (mix32(x) + F.lit(0.5)) / F.lit(TWO_32)
-
-
-def stream_gaussian(row_key: Column, j: Column) -> Column:
-    """Standard normal for column j by Box-Muller over draws 2j and 2j+1."""
-    u1 = stream_uniform(row_key, j * 2)
-    u2 = stream_uniform(row_key, j * 2 + 1)
-    return F.sqrt(F.lit(-2.0) * F.log(u1)) * F.cos(F.lit(2.0 * math.pi) * u2)
-
-
 def sql_mix32(x: str) -> str:
     x = f"((xor(({x}) >> 16, ({x})) * {MIX_MUL}) & {MASK32})"
     x = f"((xor(({x}) >> 16, ({x})) * {MIX_MUL}) & {MASK32})"

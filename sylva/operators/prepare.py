@@ -255,7 +255,7 @@ def _np_mix32(x):
 
 
 def _np_gaussians(rk, js):
-    """NumPy twin of ``stream_gaussian``: rows x columns standard normals."""
+    """Rows x columns standard normals, the NumPy twin of ``hashing.sql_stream_gaussian``."""
     import numpy as np
     from sylva.functions.hashing import MASK32, STRIDE, TWO_32
     rk = rk.astype(np.uint64)[:, None]

@@ -73,7 +73,7 @@ def test_adaboost_votes(spark, sf):
 
 def test_extra_trees_classifier_bounds(spark, sf):
     fr, tr, te = _split(spark, sf, fx.line_bin)
-    model = ExtraTrees("classification", n_trees=10, seed=1, local_rows=1000, n_classes=2).fit(tr)
+    model = ExtraTrees("classification", n_trees=10, seed=1, local_rows=3000, n_classes=2).fit(tr)
     assert abs(model.importances.sum() - 1.0) < 1e-9
     assert int(np.argmax(model.importances)) == 1       # l_extendedprice carries the signal
     pred = model.transform(te)
@@ -94,8 +94,8 @@ def test_bakeoff_regression(spark, sf):
 def test_extra_trees_partition_invariant(spark, sf):
     """Classification sums are exact counts: the forest is identical on any layout."""
     fr, tr, _ = _split(spark, sf, fx.line_bin)
-    a = ExtraTrees("classification", n_trees=3, seed=7, local_rows=500, n_classes=2).fit(tr.repartition(1))
-    b = ExtraTrees("classification", n_trees=3, seed=7, local_rows=500, n_classes=2).fit(tr.repartition(5))
+    a = ExtraTrees("classification", n_trees=2, seed=7, local_rows=2500, n_classes=2).fit(tr.repartition(1))
+    b = ExtraTrees("classification", n_trees=2, seed=7, local_rows=2500, n_classes=2).fit(tr.repartition(5))
     assert a.n_nodes == b.n_nodes
     assert np.allclose(a.importances, b.importances)
     for table in ("splits", "subtrees"):
@@ -106,6 +106,6 @@ def test_extra_trees_partition_invariant(spark, sf):
 def test_extra_trees_regression_layout_stable(spark, sf):
     """Regression sums merge in any order; ties are broken by rule, so importances agree."""
     fr, tr, _ = _split(spark, sf, fx.line_reg)
-    a = ExtraTrees("regression", n_trees=3, seed=7, local_rows=500).fit(tr.repartition(1))
-    b = ExtraTrees("regression", n_trees=3, seed=7, local_rows=500).fit(tr.repartition(5))
+    a = ExtraTrees("regression", n_trees=2, seed=7, local_rows=2500).fit(tr.repartition(1))
+    b = ExtraTrees("regression", n_trees=2, seed=7, local_rows=2500).fit(tr.repartition(5))
     assert np.allclose(a.importances, b.importances, rtol=1e-3, atol=1e-6)
