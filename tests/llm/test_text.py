@@ -93,6 +93,34 @@ def test_line_dedup(spark, run):
     assert got.count() == len(LINES)
 
 
+PARAGRAPH = " ".join(f"p{i}" for i in range(50))
+PARAGRAPHS = [(1, PARAGRAPH), (2, f"head\n  {PARAGRAPH}\t\n\ntail"), (3, f"{PARAGRAPH} more"), (4, " ".join(f"p{i}" for i in range(49))), (5, " ".join(f"p{i}" for i in range(49))),
+              (6, "\n".join([" ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(30)), "x"])), (7, "\n".join(["y", " ".join(f"a{i}" for i in range(20)), " ".join(f"b{i}" for i in range(30))])),
+              (8, f"{PARAGRAPH}\nu\nv\nw"), (9, f"{PARAGRAPH}\nu\nv\nz"), (10, "u\nv"), (11, f"{PARAGRAPH}\n" * 3), (12, None), (None, PARAGRAPH), (13, "")]
+
+
+@pytest.mark.parametrize("run", [1, 2, 3, 5])
+def test_long_paragraphs_are_runs_by_themselves(spark, run):
+    """With words=50, one line or a few of 50 words go as a run of lines does; those of 49 stay."""
+    seen, want = set(), {}
+    for i, t in sorted(PARAGRAPHS, key=lambda x: (x[0] is None, x[0] or 0)):
+        lines = (t or "").split("\n")
+        solid = [(p, x.strip(" \t\r")) for p, x in enumerate(lines) if x.strip(" \t\r")]
+        gone = set()
+        for a in range(len(solid)):
+            for n in range(1, run + 1):
+                part = tuple(x for _, x in solid[a : a + n])
+                if len(part) == n and (n == run or len(" ".join(part).split()) >= 50):
+                    if part in seen:
+                        gone.update(p for p, _ in solid[a : a + n])
+                    seen.add(part)
+        want[i] = (None if t is None else "\n".join(x for p, x in enumerate(lines) if p not in gone), len(gone))
+    got = line_dedup.remove_repeated_runs(as_docs(spark, PARAGRAPHS), run, words=50)
+    assert {r.doc_id: (r.text, r.lines.n_removed) for r in got.collect()} == want
+    if run == 3:
+        assert want[2] == ("head\n\ntail", 1) and want[5][1] == 0 and want[7] == ("y", 2) and want[None] == ("", 1)
+
+
 def test_line_dedup_runs_no_python(spark, sf):
     plan = line_dedup.remove_repeated_runs(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow|InMemoryTableScan", plan)
