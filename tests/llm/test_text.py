@@ -172,6 +172,25 @@ def test_known_strings_are_left_out(spark):
     assert not secret_scan.find_secrets(docs, RANKS, secret_scan_pattern(), known=frozenset(["x9Kq2vLw8ZpT4mNb7RyC5dJh"])).collect()[0].secrets
 
 
+TOKENS = ["x9Kq2vLw8ZpT4mNb7RyC", "Zt7QmX2vB9kLp4WsR8nYd3Hc", "q8-ZrT5vKx_2mWb9LpYc7NdG4", "Hs82kVQz7tXw3mYb9RcLp5JdNf6GaTuE", "vT3xK9qLw7ZmB2sR/Yp8Nc4Hd6JfGt5Q+aXe1"]
+PATHS = ["", "/documentation/configuration/", "/repository/documentation/production/configuration/", "deployment-configuration-production-", "DEADBEEFDEADBEEFDEADBEEFDEADBEEF-documentation/", "0123456789abcdef01/", "123e4567-e89b-12d3-a456-426614174000/configuration/"]
+READABLE = ["/documentation/2024/01/15/release-notes-v2-part3", "/api/production/users/123e4567-e89b-12d3-a456-426614174000/settings", "internationalization_of_things2/configuration-of-Deployment_getUserName",
+            "archive/DEADBEEFDEADBEEFDEADBEEFDEADBEEF/documentation", "deployment-a1-b2-c3-configuration-d4-2024-01-02-production"]
+
+
+def test_secrets_behind_paths(spark):
+    """A random string is found behind and before readable parts, digests and patterns' spans, alone and to its last character."""
+    texts = [(f"see {path}", token, tail) for path in PATHS for token in TOKENS for tail in ("", "/documentation/production" if path else "")]
+    docs = as_docs(spark, list(enumerate([*map("".join, texts), *READABLE])))
+    got = {r.doc_id: [(s.start, s.end) for s in r.secrets if s.kind == "random"] for r in secret_scan.find_secrets(docs, RANKS, secret_scan_pattern()).collect()}
+    for i, (path, token, tail) in enumerate(texts):
+        assert len(got[i]) == 1, (path, token, tail)
+        assert got[i][0][0] <= len(path) and len(path) + len(token) <= got[i][0][1], (path, token, tail)
+    assert all(not got[i] for i in range(len(texts), len(texts) + len(READABLE)))
+    plain = texts.index(("see /repository/documentation/production/configuration/", TOKENS[1], ""))
+    assert got[plain] == [(len(texts[plain][0]), len("".join(texts[plain])))]
+
+
 # 4: decontamination
 
 def brute_hits(rows, items, window=13):
