@@ -33,8 +33,8 @@ def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
 
 
 def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col: str = "doc_id",
-           text_col: str = "text", with_ids: bool = False) -> DataFrame:
-    """One row per piece: id, piece, start, length, ids_crc32 (and ids: little-endian unsigned 32 bit)."""
+           text_col: str = "text", with_ids: bool = False, literal: bool = True) -> DataFrame:
+    """One row per piece: id, piece, start, length, ids_crc32 (and ids: little-endian unsigned 32 bit).  literal: as in tokens."""
     kind = docs.schema[id_col].dataType
     fields = [T.StructField("doc_id", kind), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
               T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())]
@@ -42,7 +42,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int, end_id: int, id_col:
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc = encoder(vocabulary)
+        enc = encoder(vocabulary, literal)
         for batch in batches:
             keys = batch.column(0)
             for first, ids, counts in enc.column(batch.column(1)):
@@ -119,6 +119,6 @@ def pack(parts: DataFrame, capacity: int, open_sequences: int = OPEN_SEQUENCES)
 
 
 def best_fit(docs: DataFrame, vocabulary: str, capacity: int = 2048, end_id: int = 0, open_sequences: int = OPEN_SEQUENCES,
-             id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
+             id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, literal: bool = True) -> DataFrame:
     """Pieces of all documents with the sequence and the place where each stands."""
-    return pack(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids), capacity, open_sequences)
+    return pack(pieces(docs, vocabulary, capacity, end_id, id_col, text_col, with_ids, literal), capacity, open_sequences)

@@ -60,7 +60,7 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes all documents' ids as compressed planes, reads the files back."""
     path = scratch_path(spark, "token-store")
-    token_store.write_tokens(_table(spark, sf_dir, "documents"), path, VOCABULARY, END_ID)
+    token_store.write_tokens(_table(spark, sf_dir, "documents"), path, VOCABULARY, END_ID, literal=False)
     return token_store.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
@@ -82,7 +82,7 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 2048 tokens."""
-    return packing.best_fit(_table(spark, sf_dir, "documents"), VOCABULARY, capacity=2048, end_id=END_ID)
+    return packing.best_fit(_table(spark, sf_dir, "documents"), VOCABULARY, capacity=2048, end_id=END_ID, literal=False)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -58,14 +58,14 @@ def _block_schema(kind: T.DataType) -> T.StructType:
 
 
 def write_tokens(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, block_ids: int = BLOCK_IDS,
-                 planes: str = "byte", id_col: str = "doc_id", text_col: str = "text") -> None:
+                 planes: str = "byte", id_col: str = "doc_id", text_col: str = "text", literal: bool = True) -> None:
     """Write ``path``/blocks and ``path``/index.  doc_no: the document's number in its shard; doc_from: how many of its
-    ids stand in earlier blocks."""
+    ids stand in earlier blocks.  literal: as in tokens."""
     spark = docs.sparkSession
     schema = _block_schema(docs.schema[id_col].dataType)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, shard = encoder(vocabulary), TaskContext.get().partitionId()
+        enc, shard = encoder(vocabulary, literal), TaskContext.get().partitionId()
         block, number, kind = 0, 0, None
         pending: list[np.ndarray] = []
         listed: list[tuple] = []  # documents with ids in the pending ones: id, number, tokens, from

@@ -4,7 +4,9 @@ A byte-level BPE file splits a text by a fixed pattern and merges inside each pa
 runs from a non-blank character into a following blank one, or from an ASCII letter into an ASCII
 character that is none, so a text may be cut there and the ids of the chunks concatenated.  Chunks
 recur, so a worker keeps the ids of those that it has met in a table by hash and encodes only new ones.
-Texts with blanks other than space and line feed are encoded whole.
+Texts with blanks other than space and line feed are encoded whole, and so are texts that hold an added token
+of the vocabulary (such as ``<|endoftext|>``), which the library looks for before it splits.  With ``literal``, special tokens
+in a text are no tokens: their characters are encoded as any others.
 """
 
 from __future__ import annotations
@@ -31,12 +33,14 @@ TABLE_FILL = 0.6
 class Encoder:
     """Ids of whole texts, as arrays of unsigned 32-bit numbers."""
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, literal: bool = True):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_file(vocabulary)
-        self._tok.encode_special_tokens = True
+        self._tok.encode_special_tokens = literal
+        added = [t.content.encode() for t in self._tok.get_added_tokens_decoder().values() if not (literal and t.special)]
+        self._added = re.compile(b"|".join(map(re.escape, added))) if added else None
         self._clear()
 
     def _clear(self) -> None:
@@ -90,6 +94,8 @@ class Encoder:
         for m in _WIDE_LEAD.finditer(text):
             row = int(np.searchsorted(block.start, m.start(), side="right")) - 1
             odd[row] = odd[row] or bool(_WIDE_BLANK.search(text[block.start[row] : block.end[row]].decode()))
+        for m in self._added.finditer(text) if self._added else ():
+            odd[np.searchsorted(block.start, m.start(), side="right") - 1] = True
         begins = np.zeros(len(kind) + 1, dtype=bool)
         begins[1:-1] = ((kind[1:] == 0) & (kind[:-1] != 0)) | ((kind[:-1] == 1) & (kind[1:] == 2))
         begins[block.start[block.start < block.end]] = True
@@ -132,11 +138,11 @@ class Encoder:
             yield block.first, *self.block(block)
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(vocabulary: str) -> Encoder:
-    """One encoder per worker process and vocabulary file."""
-    if vocabulary not in _ENCODERS:
-        _ENCODERS[vocabulary] = Encoder(vocabulary)
-    return _ENCODERS[vocabulary]
+def encoder(vocabulary: str, literal: bool = True) -> Encoder:
+    """One encoder per worker process, vocabulary file and way of reading special tokens."""
+    if (vocabulary, literal) not in _ENCODERS:
+        _ENCODERS[vocabulary, literal] = Encoder(vocabulary, literal)
+    return _ENCODERS[vocabulary, literal]

@@ -11,6 +11,7 @@ from tokenizers import Tokenizer
 from sylva.llm import packing, token_store
 from sylva.llm.common import scratch_path
 from sylva.llm.queries import VOCABULARY, op5_token_store, op9_best_fit
+from tests.llm.conftest import as_docs
 
 
 @pytest.fixture(scope="module")
@@ -72,6 +73,40 @@ def test_op5_on_the_table(spark, sf, sf_rows, encode):
     assert got == want
 
 
+SPECIAL = [(1, "a <|endoftext|> b"), (2, "<|endoftext|>"), (3, "x\n<|endoftext|><|endoftext|> y " * 40), (4, "plain text <|endoftext"), (5, "|> after"), (6, None), (7, "tab\t<|endoftext|>é don't"), (8, "")]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<|endoftext|>", "<|", "|>", "endoftext", " ", "\n", "a", "B's", "12", "\u00a0", "日"]), max_size=12).map("".join), max_size=6))
+def test_chunks_give_the_ids_of_the_library_as_loaded(texts):
+    import pyarrow as pa
+
+    from sylva.llm.tokens import encoder
+
+    tok = Tokenizer.from_file(VOCABULARY)
+    got = []
+    for _, ids, counts in encoder(VOCABULARY, literal=False).column(pa.array(texts, pa.string())):
+        got += [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_op5_and_op9_read_special_tokens_as_the_library_does(spark, tmp_path):
+    """The tokenizer is used as loaded, without any flag."""
+    tok = Tokenizer.from_file(VOCABULARY)
+    as_loaded = lambda t: np.array([*tok.encode(t or "", add_special_tokens=False).ids, 0], dtype="<u4")
+    assert as_loaded(SPECIAL[0][1]).tolist() == [64, 220, 50256, 275, 0]
+    docs = as_docs(spark, SPECIAL)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    at, want = 0, {}
+    for i, t in SPECIAL:
+        ids = as_loaded(t)
+        want[i] = (at, len(ids), crc32(ids.tobytes()))
+        at += len(ids)
+    assert {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in op5_token_store(spark, str(tmp_path)).collect()} == want
+    texts = {i: [t] for i, t in SPECIAL}
+    check_packing(op9_best_fit(spark, str(tmp_path)).collect(), texts, as_loaded, 2048, 8)
+
+
 def check_packing(rows, texts, encode, capacity, slack):
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
