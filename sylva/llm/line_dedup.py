@@ -1,19 +1,16 @@
-"""Line dedup (operator 2) by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup (operator 2) by hashes of whole runs of lines, in DataFrame functions only.
 
-Lines end at line feeds; they are compared without blanks at either end, and blank lines take no part.  Of every
-``run`` consecutive lines, the one with the smallest hash (the first of equal ones) is a fingerprint, so two
-equal runs of that length always share one, at the same place of the run.
+Lines end at line feeds; they are compared without blanks at either end, and blank lines take no part.  A row is made for
+every ``run`` consecutive lines, with a hash of them all and the smallest of their line hashes (the first of equal ones).
 
-1. Fingerprints that occur once are no repeat and go (an aggregate with a partial step).
-2. Positions of the others are joined, and each match is extended both ways: every run of ``run`` lines over the
-   fingerprint, from all lines before it to all lines after it, is compared with the runs that have the
-   fingerprint at the same place.  A longer match is the union of such runs, each with its own fingerprint.
+1. Runs whose smallest line hash stands at one position only are no repeat and go (an aggregate with a partial step).
+2. The others are grouped by the hash of the whole run.  Nothing is extended: a longer match is the union of its runs.
 3. Of equal runs the first stays, by id, then row key, then line; the lines of all later ones are deleted.
 
 Where ``words`` is given, one line or a few are a run by themselves as soon as they hold that many words (split at blanks),
 so a repeated long paragraph goes wherever it stands, also in a document of fewer than ``run`` lines.
 
-Runs are compared by the fingerprint's 64-bit hash, its place, and a 64-bit hash of the whole run.  Each run is compared with
+Runs are compared by a 64-bit hash of the whole run, and by the smallest line hash and its place, which follow from the run.  Each run is compared with
 the first of its kind by an aggregate and a join, never with all others, so a line in a third of all rows is one
 mergeable count.  A run that repeats itself with an overlap (one line again and again) shrinks to its first period.
 
