@@ -58,4 +58,56 @@ SELECT p.page_id, p.host, p.path, r.rule AS rule,
 FROM p LEFT JOIN best ON p.page_id = best.page_id AND p.host = best.host AND p.path = best.path
 """
 
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2, "op4_decontaminate": OP4, "op6_substring_dedup": OP6, "op8_url_filter": OP8}
+def _op12() -> str:
+    """Costs, initials and repaired rows for the four states (nothing, after system, user, assistant), from the last row back."""
+    needs, role, to = "uuau", {2: "user", 3: "assistant"}, (2, 2, 3, 2)
+
+    def best(cost: str, letter: str, ahead: str, line: str | None) -> str:
+        lines = f"{ahead}.r" if line is None else f"list_prepend({line}, {ahead}.r)"
+        return f"struct_pack(c := {ahead}.c + {cost}, a := '{letter}' || {ahead}.a, r := {lines})"
+
+    def options(s: int) -> str:
+        fits = f"left(role, 1) = '{needs[s]}'"
+        keep = f"CASE WHEN NOT faulty AND {fits} THEN {best('cut', 'K', f'w{to[s]}', 'line')} END"
+        if s == 0:
+            keep += f", CASE WHEN NOT faulty AND left(role, 1) = 's' THEN {best('cut', 'K', 'w1', 'line')} END"
+        turned = f"CASE WHEN NOT faulty THEN {best('cut + 1', 'R', f'w{to[s]}', f"""'{role[to[s]]}:' || text""")} END"
+        return f"list_min([{best('2', 'D', f'w{s}', None)}, {keep}, {turned}]) AS n{s}"
+
+    def put(s: int, ahead: str) -> str:
+        return best("5", "I", ahead, f"'{role[to[s]]}:'")
+
+    end = ["struct_pack(c := 0, a := '', r := CAST([] AS VARCHAR[]))", "struct_pack(c := 10, a := 'II', r := ['user:', 'assistant:'])",
+           "struct_pack(c := 5, a := 'I', r := ['assistant:'])", "struct_pack(c := 0, a := '', r := CAST([] AS VARCHAR[]))"]
+    return rf"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda x: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, x)) AS t),
+given AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                 string_split(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '), '') AS k FROM conversations),
+drawn AS (SELECT conv_id, turn, role, text,
+                 xor(list_reduce(list_transform(k, lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295) % 20 AS kind FROM given, crc),
+damaged AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM drawn, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i, count(*) OVER (PARTITION BY conv_id) AS n,
+                  rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid FROM damaged),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed),
+turns AS (SELECT conv_id, turn, role, text, i, n, before, solid = '' AS blank, solid <> '' AND again AS duplicate,
+                 solid <> '' AND NOT again AND right(solid, 1) NOT IN ('.', '!', '?') AS truncated FROM seen),
+marked AS (SELECT *, blank OR duplicate AS faulty, CASE WHEN truncated THEN 5 ELSE 0 END AS cut, role || ':' || text AS line FROM turns),
+counted AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count_if(blank) AS blank, count_if(duplicate) AS duplicate, count_if(truncated) AS truncated,
+                   count_if(before IS NOT NULL AND left(before, 1) || left(role, 1) NOT IN ('su', 'ua', 'au')) AS illegal FROM marked GROUP BY conv_id),
+back AS (SELECT DISTINCT conv_id, n + 1 AS i, {', '.join(f'{e} AS w{s}' for s, e in enumerate(end))} FROM marked
+         UNION ALL
+         SELECT conv_id, i, list_min([n0, {put(0, 'w2')}]) AS w0, list_min([n1, {put(1, 'w2')}]) AS w1, w2, w3
+         FROM (SELECT conv_id, i, n0, n1, list_min([n2, {put(2, 'n3')}]) AS w2, list_min([n3, {put(3, 'n2')}]) AS w3
+               FROM (SELECT marked.conv_id, marked.i, {', '.join(options(s) for s in range(4))}
+                     FROM back JOIN marked ON back.conv_id IS NOT DISTINCT FROM marked.conv_id AND marked.i = back.i - 1))),
+fixed AS (SELECT conv_id, w0.c AS cost, w0.a AS audit, sha256(array_to_string(w0.r, chr(10))) AS repaired_sha256 FROM back WHERE i = 1),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+       CAST(coalesce(cost, 0) AS BIGINT) AS cost, coalesce(audit, '') AS audit, coalesce(repaired_sha256, sha256('')) AS repaired_sha256
+FROM every LEFT JOIN counted ON every.conv_id IS NOT DISTINCT FROM counted.conv_id LEFT JOIN fixed ON every.conv_id IS NOT DISTINCT FROM fixed.conv_id
+"""
+
+
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2, "op4_decontaminate": OP4, "op6_substring_dedup": OP6, "op8_url_filter": OP8, "op12_conversations": _op12()}

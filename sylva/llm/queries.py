@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylva.llm import ann, decontaminate, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, token_store, url_filter
+from sylva.llm import ann, conversations, decontaminate, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, token_store, url_filter
 from sylva.llm.common import scratch_path
 from sylva.llm.url_filter import Rule
 
@@ -90,4 +90,25 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, bits=3)
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_secret_scan, op4_decontaminate, op5_token_store, op6_substring_dedup, op7_ann, op8_url_filter, op9_best_fit, op10_simhash)}
+def _damaged(rows: DataFrame) -> DataFrame:
+    """The contract's damage to conversations, by a checksum of conversation and turn."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.crc32(F.concat(text["conv_id"], F.lit(":"), text["turn"]).cast("binary")) % 20
+    rows = rows.select("conv_id", "turn", text["role"].alias("role"), text["text"].alias("text"), kind.alias("kind")).where("kind != 0")
+    new = F.when(F.col("kind") == 1, "").when(F.col("kind") == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(F.col("kind") == 4, "user").otherwise(F.col("role"))
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("kind") == 3, 2).otherwise(1)))
+    return rows.select("conv_id", "turn", role.alias("role"), new.alias("text"), copies.alias("copy")).drop("copy")
+
+
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of damaged conversations and their cheapest repair."""
+    rows = _table(spark, sf_dir, "conversations")
+    found = conversations.summaries(conversations.plan(conversations.mark(_damaged(rows))))
+    every = rows.select("conv_id").distinct()
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return (every.join(found, every.conv_id.eqNullSafe(found.conv), "left")
+            .select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_secret_scan, op4_decontaminate, op5_token_store, op6_substring_dedup, op7_ann, op8_url_filter, op9_best_fit, op10_simhash, op12_conversations)}
