@@ -58,6 +58,23 @@ SELECT p.page_id, p.host, p.path, r.rule AS rule,
 FROM p LEFT JOIN best ON p.page_id = best.page_id AND p.host = best.host AND p.path = best.path
 """
 
+_TERMS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+OP11 = rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, {_TERMS} AS w FROM documents),
+size AS (SELECT count(*) AS nd, CAST(sum(len(w)) AS BIGINT) AS nt FROM d WHERE len(w) > 0),
+asked AS (SELECT row_number() OVER () AS item, item_id, {_TERMS} AS w FROM benchmark),
+wanted AS (SELECT item, item_id, t, count(*) AS times FROM asked, unnest(w) AS s(t) GROUP BY ALL),
+post AS (SELECT id, doc_id, len(w) AS n, t, count(*) AS tf FROM d, unnest(w) AS s(t) WHERE t IN (SELECT t FROM wanted) GROUP BY ALL),
+weight AS (SELECT t, CAST(floor(1000 * ln((2 * nd + 2) / (2 * df + 1))) AS BIGINT) AS g FROM (SELECT t, count(*) AS df FROM post GROUP BY t), size),
+part AS (SELECT id, doc_id, t, (1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nd) // nt)) AS q FROM post, size),
+scored AS (SELECT item, item_id, id, doc_id, CAST(sum(times * g * q) AS BIGINT) AS score
+           FROM wanted JOIN weight ON wanted.t = weight.t JOIN part ON part.t = wanted.t GROUP BY ALL)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 20
+"""
+
+
 def _op12() -> str:
     """Costs, initials and repaired rows for the four states (nothing, after system, user, assistant), from the last row back."""
     needs, role, to = "uuau", {2: "user", 3: "assistant"}, (2, 2, 3, 2)
@@ -110,4 +127,4 @@ FROM every LEFT JOIN counted ON every.conv_id IS NOT DISTINCT FROM counted.conv_
 """
 
 
-ORACLE: dict[str, str] = {"op2_line_dedup": OP2, "op4_decontaminate": OP4, "op6_substring_dedup": OP6, "op8_url_filter": OP8, "op12_conversations": _op12()}
+ORACLE: dict[str, str] = {"op2_line_dedup": OP2, "op4_decontaminate": OP4, "op6_substring_dedup": OP6, "op8_url_filter": OP8, "op11_lexical": OP11, "op12_conversations": _op12()}

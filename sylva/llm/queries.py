@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylva.llm import ann, conversations, decontaminate, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, token_store, url_filter
+from sylva.llm import ann, conversations, decontaminate, lexical, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, token_store, url_filter
 from sylva.llm.common import scratch_path
 from sylva.llm.url_filter import Rule
 
@@ -90,6 +90,11 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, bits=3)
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for every benchmark item."""
+    return lexical.search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), 20)
+
+
 def _damaged(rows: DataFrame) -> DataFrame:
     """The contract's damage to conversations, by a checksum of conversation and turn."""
     text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
@@ -111,4 +116,4 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_secret_scan, op4_decontaminate, op5_token_store, op6_substring_dedup, op7_ann, op8_url_filter, op9_best_fit, op10_simhash, op12_conversations)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_secret_scan, op4_decontaminate, op5_token_store, op6_substring_dedup, op7_ann, op8_url_filter, op9_best_fit, op10_simhash, op11_lexical, op12_conversations)}
