@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sylva.llm import ann, conversations, decontaminate, lexical, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, token_store, url_filter
+from sylva.llm import ann, context_tree, conversations, decontaminate, lexical, line_dedup, packing, quality, secret_scan, simhash, substring_dedup, token_store, url_filter
 from sylva.llm.common import scratch_path
 from sylva.llm.url_filter import Rule
 
@@ -116,4 +116,11 @@ def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256")))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_secret_scan, op4_decontaminate, op5_token_store, op6_substring_dedup, op7_ann, op8_url_filter, op9_best_fit, op10_simhash, op11_lexical, op12_conversations)}
+def op13_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of every text, learned from the rows that are not held out; a null id is not held out."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
+    return context_tree.score(docs, ~held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes")
+
+
+QUERIES = {f.__name__: f for f in (op1_quality, op2_line_dedup, op3_secret_scan, op4_decontaminate, op5_token_store, op6_substring_dedup, op7_ann, op8_url_filter, op9_best_fit, op10_simhash, op11_lexical, op12_conversations, op13_lm_score)}
