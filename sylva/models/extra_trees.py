@@ -11,7 +11,7 @@ a node is grown.
   candidates' left sides, and a second group step picks the split.  Both group steps run on executors over one row per
   (feature | candidate, statistic); the chosen splits are a table.
 * **Local finish**: the rows of a smaller node meet in one group, and the subtree below is grown there in NumPy, a whole
-  level at a time.  ``local_rows`` follows from a bound on a group's numbers.
+  level at a time.  A table that is small as a whole goes to the tasks once, and trees are dealt instead of rows.  ``local_rows`` follows from a bound on a group's numbers.
 * Trees are grown in batches, so that the open nodes of a level, which go to every task, stay below ``OPEN_NUMBERS``.
 * The forest is two tables in the shared folder: splits of the distributed levels, and one row per subtree.  The driver
   gets its size and the importances, no nodes.
@@ -35,6 +35,7 @@ from sylva.session import saved
 LOCAL_NUMBERS = 4_000_000
 OPEN_NUMBERS = 4_000_000
 TREES_AT_ONCE = 32
+TREES_TOGETHER = 3  # in a task, where the table is held
 BROADCAST_NODES = 2_000_000
 TIE_RTOL = 1e-9
 OPEN, LEAF, LOCAL = 0, 1, 2  # a row's state in a tree; LOCAL + depth of the node
@@ -152,11 +153,12 @@ def _best(total, left, cand, task, min_leaf):
 
 
 # ------------------------------------------------------------------ local growth
-def grow(x, y, task, k, mtry, min_leaf, max_depth, key, depth):
+def grow(x, y, task, k, mtry, min_leaf, max_depth, key, depth, in_order: bool = False):
     """The subtree of one node: feat (-1: leaf), thr, left (right is left + 1), value, importances."""
     n, p = x.shape
-    order = np.lexsort(np.column_stack([x, y]).T[::-1]) if n else np.arange(0)  # sums run in one order for any row order
-    x, y = x[order], y[order]
+    if n and not in_order:
+        order = np.lexsort(np.column_stack([x, y]).T[::-1])  # sums run in one order for any row order
+        x, y = x[order], y[order]
     keys, rows, start = np.array([key], dtype=np.int64), np.arange(n), np.array([0])
     feat, thr, left, value, imp, first = [], [], [], [], np.zeros(p), 0
     while len(keys):
@@ -217,6 +219,12 @@ def _batch(schema: T.StructType, *columns) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, to_arrow_type(f.dataType)) for c, f in zip(columns, schema.fields, strict=True)], names=schema.names)
 
 
+def _subtree(tree: int, key: int, feat, thr, left, value, imp) -> pa.RecordBatch:
+    """A row of SUBTREES."""
+    columns = ((feat.astype(np.int32), pa.int32()), (thr, None), (left.astype(np.int32), pa.int32()), (value.ravel(), None), (imp, None))
+    return _batch(_struct(SUBTREES), [tree], [key], *[_lists(v[None], kind) for v, kind in columns])
+
+
 def _table(ddl: str, rows: list[tuple]) -> pa.Table:
     schema = _struct(ddl)
     columns = list(zip(*rows, strict=True)) if rows else [[] for _ in schema.fields]
@@ -412,7 +420,9 @@ class ExtraTrees:
         root_state = LEAF if p == 0 or _terminal(stats[None], task, 0, self.min_leaf, self.max_depth)[0] else OPEN if n > local_rows else LOCAL
         splits, subtrees = [], []
         if root_state != LEAF:
-            for first in range(0, self.n_trees, per_batch):
+            if root_state == LOCAL:
+                subtrees.append(self._grow_held(data, p))
+            for first in range(0, self.n_trees if root_state == OPEN else 0, per_batch):
                 trees = list(range(first, min(first + per_batch, self.n_trees)))
                 top, low = self._grow_batch(data, trees, p, local_rows, root_state)
                 splits += top
@@ -438,6 +448,26 @@ class ExtraTrees:
         return ExtraTreesModel(task, p, k, self.n_trees, seed, top, low, root_state, [float(v) for v in _value(stats[None], task)[0]],
                                size + 2 * top.count() + self.n_trees, imp, shift, scale)
 
+    def _grow_held(self, data: DataFrame, p: int) -> DataFrame:
+        """The trees of a table of at most ``local_rows`` rows: it goes to the tasks once and the trees are dealt, so that no row is shuffled per tree."""
+        task, k, m, min_leaf, max_depth, seed = self.task, self._k, self._m, self.min_leaf, self.max_depth, self.seed
+        table = data.toArrow()
+        x, y = _matrix(table.column("x")), table.column("y").to_numpy()
+        order = np.lexsort(np.column_stack([x, y]).T[::-1])
+        held = data.sparkSession.sparkContext.broadcast((x[order], y[order]))
+        dealt = data.sparkSession.range(0, self.n_trees, 1, max(1, self.n_trees // TREES_TOGETHER))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for t in batch.column(0).to_pylist():
+                    key = root_key(seed, t)
+                    feat, thr, left, value, imp = grow(*held.value, task, k, m, min_leaf, max_depth, key, 0, in_order=True)
+                    yield _subtree(t, key, feat, thr, left, value, imp)
+
+        out = saved(dealt.mapInArrow(run, SUBTREES), "subtrees")
+        held.destroy()
+        return out
+
     def _grow_batch(self, data: DataFrame, trees: list[int], p: int, local_rows: int, root_state: int) -> tuple[list[DataFrame], DataFrame]:
         """Split tables of each distributed level, and the subtrees, of a batch of trees."""
         task, k, m, width, min_leaf, max_depth, seed = self.task, self._k, self._m, self._width, self.min_leaf, self.max_depth, self.seed
@@ -577,9 +607,7 @@ class ExtraTrees:
 
         def finish(table: pa.Table) -> pa.Table:
             t, key, at = (table.column(c)[0].as_py() for c in ("tree", "node", "depth"))
-            feat, thr, left, value, imp = grow(_matrix(table.column("x")), table.column("y").to_numpy(), task, k, m, min_leaf, max_depth, key, at)
-            return pa.Table.from_batches([_batch(_struct(SUBTREES), [t], [key], *[_lists(v[None], kind) for v, kind in
-                                          ((feat.astype(np.int32), pa.int32()), (thr, None), (left.astype(np.int32), pa.int32()), (value.ravel(), None), (imp, None))])])
+            return pa.Table.from_batches([_subtree(t, key, *grow(_matrix(table.column("x")), table.column("y").to_numpy(), task, k, m, min_leaf, max_depth, key, at))])
 
         low = saved(state.mapInArrow(deal, row_ddl).groupBy("tree", "node").applyInArrow(finish, SUBTREES), "subtrees")
         if earlier is not None:

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sylva.frame import CLASSIFICATION, Frame
+from sylva.models import bounded
 from sylva.models.extra_trees import ExtraTrees
 from sylva.operators.metrics import auc_macro, auc_ovr, classification_metrics, regression_metrics
 from sylva.session import saved
@@ -98,16 +99,36 @@ def extra_trees(task: str, n_trees: int = N_TREES, mtry_: int | None = None, min
 
 def random_forest(task: str, n_trees: int = N_TREES, strategy: str | None = None, p: int | None = None,
                   name: str = "RF", seed: int = 42, max_depth: int = MLLIB_MAX_DEPTH, bins: int = MLLIB_BINS) -> Learner:
-    """H2-H4: strategy None (square root for classes, all features for numbers), 'sqrt' or 'log' (natural log counts)."""
+    """H2-H4: strategy None (square root for classes, all features for numbers), 'sqrt' or 'log' (natural log counts).
+
+    A table of at most ``bounded.LOCAL_NUMBERS`` numbers gets raw thresholds and trees to purity, grown side by side on executors; a
+    larger one MLlib's forest (``bins`` bins, depth ``max_depth``)."""
     if strategy in ("sqrt", "log") and p:
         s, lg = mtry(p)
-        fss = str(s if strategy == "sqrt" else lg)
+        tries = s if strategy == "sqrt" else lg
+        fss = str(tries)
     else:
+        tries = None
         fss = "sqrt" if task == CLASSIFICATION else "all"
     cls = RandomForestClassifier if task == CLASSIFICATION else RandomForestRegressor
     est = cls(numTrees=n_trees, featureSubsetStrategy=fss, maxDepth=max_depth, maxBins=bins, seed=seed, bootstrap=True,
               maxMemoryInMB=1024, cacheNodeIds=True, checkpointInterval=10)
-    return Learner(name, _mllib(est, task == CLASSIFICATION), max_depth)
+    learner = Learner(name, None)
+
+    def fit(train: DataFrame):
+        if not bounded.fits(train):
+            learner.max_depth = max_depth
+            return _mllib(est, task == CLASSIFICATION)(train)
+        k = _n_classes(train) if task == CLASSIFICATION else 0
+        model = bounded.fit_many(train, [bounded.Plan(name, "rf", n_trees, tries, seed=seed)], task, k, seed=seed).model(0)
+
+        def score(df: DataFrame) -> DataFrame:
+            out = model.transform(df.select("row_id", "x", "label"))
+            return out.select("row_id", "label", "prediction", *(["probability"] if task == CLASSIFICATION else []))
+        score.model = model
+        return score
+    learner.fit = fit
+    return learner
 
 
 def _binary_or_ovr(est, k: int):
@@ -259,6 +280,16 @@ def run_models(train: DataFrame, test: DataFrame, learners: list[Learner], task:
             both = out if both is None else both.unionByName(out)
         both = saved(both, "predictions")
         preds = both if preds is None else preds.unionByName(both)
+    out = board(preds, counts, task, with_auc)
+    if not with_time:
+        return out
+    times = spark.createDataFrame(timing, "model string, train_time double")
+    return out.join(times, "model").withColumn("cpu_time", F.col("train_time"))
+
+
+def board(preds: DataFrame, counts: list[tuple], task: str, with_auc: bool = False) -> DataFrame:
+    """The leaderboard of predictions (model, part, label, prediction); counts: (model, features, depth limit) of each model."""
+    spark = preds.sparkSession
     feats = spark.createDataFrame([(k, None if v is None else int(v), d) for k, v, d in counts], "model string, features int, max_depth int")
     if task == CLASSIFICATION:
         m = classification_metrics(preds, group=["model", "part"])
@@ -280,8 +311,12 @@ def run_models(train: DataFrame, test: DataFrame, learners: list[Learner], task:
             F.max(F.when(F.col("part") == "test", F.col("rmse"))).alias("rmse"),
             F.max(F.when(F.col("part") == "test", F.col("mae"))).alias("mae"))
     from sylva.functions.naming import family
-    out = wide.join(feats, "model", "left").withColumn("type", family(F.col("model")))  # a row per model
-    if not with_time:
-        return out
-    times = spark.createDataFrame(timing, "model string, train_time double")
-    return out.join(times, "model").withColumn("cpu_time", F.col("train_time"))
+    return wide.join(feats, "model", "left").withColumn("type", family(F.col("model")))  # a row per model
+
+
+def run_plans(train: DataFrame, test: DataFrame, plans: list, task: str) -> DataFrame:
+    """The leaderboard of ``bounded`` plans: one fitting job, one pass over either part for all of them."""
+    fitted = bounded.fit_many(train, plans, task, _n_classes(train) if task == CLASSIFICATION else 0)
+    preds = fitted.predictions(train).withColumn("part", F.lit("train")).unionByName(fitted.predictions(test).withColumn("part", F.lit("test")))
+    counts = [(p.name, fitted.n_features(i), p.max_depth) for i, p in enumerate(plans)]
+    return saved(board(preds, counts, task), "board")

@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 from sylva.frame import Frame, categorical_cols, numeric_cols
 from sylva.functions.hashing import hash_key, hash_u32
 from sylva.functions.stats import exact_quantiles, kth_values, to_long
+from sylva.session import saved
 
 def drop_duplicates(fr: Frame) -> Frame:
     """Remove repeated full rows (ids excluded from the comparison); of equal rows the smallest id stays."""
@@ -161,12 +162,13 @@ HASH_TOP = float(2 ** 52)
 
 def smallest_k_flag(df: DataFrame, h: str, id_col: str, k_by_group: dict, group: str | None = None,
                     flag: str = "is_test", counts: dict | None = None) -> DataFrame:
-    """Flag the k smallest ``(h, id)`` rows of each group, without a global sort.
+    """Flag the k smallest rows of each group by hash, without a global sort; exactly k, also where ids repeat.
 
     The k-th smallest hash per group comes from the distributed order-statistic
     search over the known hash range; rows below it are flagged by a
-    projection.  Only when several rows share that exact hash (rare for a
-    52-bit hash) are those few ranked by id and broadcast back.
+    projection.  Rows that share that exact hash (equal ids) are told apart by a hash of all their columns, found by the same
+    search; rows that are equal altogether are numbered by counted ranges, a count per partition, so none of this joins
+    rows by an id or gathers equal rows in one task.
     """
     gcol = F.col(group).cast("string") if group else F.lit("*")
     base = df.select(gcol.alias("k"), F.col(h).cast("double").alias("v"))
@@ -194,15 +196,30 @@ def smallest_k_flag(df: DataFrame, h: str, id_col: str, k_by_group: dict, group:
     at = F.coalesce(F.col(h) == F.col("_t"), F.lit(False))
     if not partial:
         return tagged.select(*df.columns, (below | at).alias(flag))
-    n_below = {g: tie_info[(g, r)][0] for g, r in targets if g in partial}
-    nb = spark.createDataFrame([(g, int(v)) for g, v in n_below.items()], "_k string, _nb long")
-    tie_w = Window.partitionBy("_k").orderBy(id_col)   # only rows sharing the exact k-th hash
-    ties = (tagged.where(at & F.col("_k").isin(list(partial))).join(F.broadcast(nb), "_k")
-            .withColumn("_r", F.row_number().over(tie_w) + F.col("_nb"))
-            .where(F.col("_r") <= F.col("_need")).select(id_col, F.lit(True).alias("_tie")))
-    out = tagged.join(F.broadcast(ties), id_col, "left")
-    full = at & ~F.col("_k").isin(list(partial))
-    return out.select(*df.columns, (below | full | F.coalesce(F.col("_tie"), F.lit(False))).alias(flag))
+    cut = F.coalesce(at & F.col("_k").isin(list(partial)), F.lit(False))
+    rest = tagged.where(~cut).select(*df.columns, (below | at).alias(flag))
+    need = {g: r + 1 - tie_info[(g, r)][0] for g, r in targets if g in partial}
+    own = F.shiftrightunsigned(F.xxhash64(*[F.col(f"`{c}`") for c in df.columns]), 12).cast("double")
+    tied = saved(tagged.where(cut).select(*df.columns, "_k", own.alias("_own")), "tied")
+    return rest.unionByName(_flag_tied(tied, need, df.columns, flag))
+
+
+def _flag_tied(tied: DataFrame, need: dict, columns: list[str], flag: str) -> DataFrame:
+    """Flags ``need`` rows of each group ``_k``: by the hash ``_own`` of all columns, equal rows by number."""
+    spark = tied.sparkSession
+    info: dict = {}
+    kth = kth_values(tied.select(F.col("_k").alias("k"), F.col("_own").alias("v")), [(g, n - 1) for g, n in need.items()], ties=info)
+    left = {g: n - info[(g, n - 1)][0] for g, n in need.items()}  # of the rows at the threshold
+    th = spark.createDataFrame([(g, float(kth[(g, n - 1)]), int(left[g])) for g, n in need.items()], "_k string, _t double, _left long")
+    placed = tied.join(F.broadcast(th), "_k")  # a row per group
+    apart = placed.where(F.col("_own") != F.col("_t")).select(*columns, (F.col("_own") < F.col("_t")).alias(flag))
+    place = F.monotonically_increasing_id()
+    same = saved(placed.where(F.col("_own") == F.col("_t")).withColumn("_at", place).withColumn("_part", F.shiftright("_at", 33)), "equal-rows")
+    counts = same.groupBy("_k", "_part").count()  # a row per group and partition
+    before = F.coalesce(F.sum("count").over(Window.partitionBy("_k").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = same.join(counts.select("_k", "_part", before.alias("_before")), ["_k", "_part"])
+    nth = F.row_number().over(Window.partitionBy("_k", "_part").orderBy("_at"))  # no more rows than a partition had
+    return apart.unionByName(numbered.withColumn("_nth", F.col("_before") + nth).select(*columns, (F.col("_nth") <= F.col("_left")).alias(flag)))
 
 
 def split(fr: Frame, test: float = 0.2, seed: int = 42, stratify: bool = False) -> DataFrame:

@@ -569,6 +569,9 @@ def rlt_flagship(spark, sf):
                                extra_trees("classification", name="RLT-naive")], "classification", {"RLT-naive": fr.p}, with_time=False)
 
 
+STUDY_P = 500
+
+
 def study_baselines(task, p):
     """The eight baselines of the Part 3 study."""
     from sylva.models.registry import bart_alias, boosting, extra_trees, l1_logistic, lasso, random_forest
@@ -578,11 +581,22 @@ def study_baselines(task, p):
             boosting(task, 100, 6, 0.3, "Boosting"), extra_trees(task, name="RLT-naive")]
 
 
+def study_baseline_plans(min_leaf=1):
+    """The same eight as plans for one bounded training table, for numbers: boosting of second order (leaf penalty 1) under its name."""
+    from sylva.models.bounded import Plan
+    from sylva.models.registry import GB_DEPTH, LASSO_ALPHA, XGB_DEPTH, mtry
+    root, log = mtry(STUDY_P)
+    return [Plan("RF", "rf"), Plan("RF- √p", "rf", mtry=root), Plan("RF-log(p)", "rf", mtry=log), Plan("ET", "et"),
+            Plan("BART", "boost", max_depth=GB_DEPTH, rate=0.1), Plan("Lasso", "lasso", alpha=LASSO_ALPHA),
+            Plan("Boosting", "boost", max_depth=XGB_DEPTH, rate=0.3, l2=1.0), Plan("RLT-naive", "et")]
+
+
 def rlt_grid(spark, sf):
     """H15/J8 on the Part 3 protocol: 8 baselines and 30 variants (3 muting levels x 5 n_comb x 2 nmin) in one table of
-    relative errors; importance computed once and every distinct resolved plan fitted once."""
-    from sylva.models.registry import run_models
-    from sylva.models.rlt import frame_of, importance, rlt
+    relative errors.  The training rows go to the tasks once, every distinct plan's trees are grown side by side, and one pass over the wide
+    test rows scores all of them."""
+    from sylva.models.registry import run_plans
+    from sylva.models.rlt import frame_of, importance, rlt_plans
     from sylva.plans.studies import resolved_grid
     from sylva.session import saved
     tr, te, names = _part3(spark, sf)
@@ -590,14 +604,11 @@ def rlt_grid(spark, sf):
     grid = resolved_grid(spark, frame_of(tr, names, "regression"), vi, n_train=tr.count()).collect()  # 30 rows
     fits = {}
     for g in grid:
-        fits.setdefault(g["fit_key"], g)
-    learners = study_baselines("regression", len(names))
-    plain = {lr.name: len(names) for lr in learners}
-    learners += [rlt("regression", names, g["level"], n_comb=g["n_comb"], min_leaf=g["nmin"], order="asc",
-                     positional=True, name=g["fit_key"], vi=vi) for g in fits.values()]
-    res = run_models(tr, te, learners, "regression", plain, with_time=False)
+        fits.setdefault(g["fit_key"], (g["fit_key"], g["level"], g["n_comb"], g["nmin"]))
+    plain = study_baseline_plans()
+    res = run_plans(tr, te, plain + rlt_plans(vi, names, fits.values()), "regression")
     errors = res.select(F.col("model").alias("fit_key"), (F.col("rmse") * F.col("rmse")).alias("error"), "features")
-    gdf = spark.createDataFrame([(g["model"], g["fit_key"]) for g in grid] + [(n, n) for n in plain], "model string, fit_key string")
+    gdf = spark.createDataFrame([(g["model"], g["fit_key"]) for g in grid] + [(p.name, p.name) for p in plain], "model string, fit_key string")
     ranked = compare.relative_errors(gdf.join(errors.drop("features"), "fit_key").drop("fit_key"))
     return ranked.join(gdf.join(errors.select("fit_key", "features"), "fit_key").drop("fit_key"), "model")
 

@@ -143,3 +143,36 @@ def test_progressive_runs_every_step(spark):
         assert sorted(r.variables_kept for r in out.collect()) == [1, 2, 3, 53]
     finally:
         rlt.importance = given
+
+
+def _parts(flagged, flag="is_test"):
+    """How often each row is in either part."""
+    from collections import Counter
+    out = Counter()
+    for r in flagged.collect():
+        out[tuple(v for c, v in r.asDict().items() if c != flag), r[flag]] += 1
+    return out
+
+
+def test_split_is_exact_where_ids_repeat(spark):
+    """Rows out are rows in and exactly k of them are test rows: with one id only, ids repeated in groups, and rows equal altogether."""
+    from sylva.frame import Frame
+    one = [(7, float(i), "a") for i in range(40)]
+    groups = [(i // 9, float(i), "ab"[i % 2]) for i in range(90)]
+    equal = [(3, 1.0, "a")] * 53 + [(3, 1.0, "b")] * 24
+    for rows in (one, groups, equal, equal + one + groups):
+        df = spark.createDataFrame(rows, "row_id long, v double, c string").repartition(5)
+        fr = Frame(df, ("v",), "c", ("row_id",), "classification")
+        for stratify in (False, True):
+            got = _parts(prepare.split(fr, 0.2, 42, stratify=stratify))
+            seen = {}
+            for (row, _), n in got.items():
+                seen[row] = seen.get(row, 0) + n
+            assert seen == {row: rows.count(row) for row in set(rows)}
+            test = {c: sum(n for (row, t), n in got.items() if t and row[2] == c) for c in "ab"}
+            if stratify:
+                assert test == {c: math.floor(0.2 * sum(r[2] == c for r in rows) + 0.5) for c in "ab"}
+            else:
+                assert sum(test.values()) == math.ceil(0.2 * len(rows))
+        drawn = _parts(prepare.sample_split(fr, 15, 0.7, 42), "is_train")
+        assert sum(n for (_, t), n in drawn.items() if t) == 15 and sum(drawn.values()) == len(rows)
