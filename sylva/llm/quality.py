@@ -128,6 +128,7 @@ def train(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "qua
             return pa.table({"z": pa.array([z], pa.list_(pa.float64())), "n": pa.array([n], pa.list_(pa.float64()))})
 
         states = sample.groupBy("shard").applyInArrow(shard_pass, "z array<double>, n array<double>").toArrow()
+        state.destroy()  # else every round leaves its state on the driver's and the executors' disks
         z, n = (np.mean([states.column(c)[i].values.to_numpy() for i in range(states.num_rows)], axis=0) for c in ("z", "n"))
     return weights(z, n)
 
