@@ -20,6 +20,7 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
@@ -37,7 +38,7 @@ _CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 _IDENTIFIER = r"[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})"
 _KNOWN = re.compile(rf"[0-9]+|{_IDENTIFIER}")
 _KNOWN_INSIDE = re.compile(rf"(?<![A-Za-z0-9])(?:{_IDENTIFIER})(?![A-Za-z0-9])")
-_MIXED = re.compile(r"[0-9].*[A-Za-z]|[A-Za-z].*[0-9]|[a-z][A-Z].*[a-z][A-Z]")
+_DIGIT, _LETTER, _CASE_CHANGE = re.compile("[0-9]"), re.compile("[A-Za-z]"), re.compile("[a-z][A-Z]")
 
 #: Parts of a candidate are joined until a readable one takes so many characters more than its tokens pay for; one part of this length at least passes alone.
 _PART = re.compile(r"[A-Za-z0-9]+")
@@ -75,8 +76,15 @@ def _outside(a: int, b: int, cuts: list[tuple[int, int]]) -> Iterator[tuple[int,
         a = max(a, y)
 
 
+def _mixed(word: str) -> bool:
+    """Letters and digits, or two changes from a small to a large letter; a few searches, each linear."""
+    if not _LETTER.search(word):
+        return False
+    return bool(_DIGIT.search(word)) or len(list(islice(_CASE_CHANGE.finditer(word), 2))) == 2
+
+
 def _is_random(word: str, encoding, known: frozenset[str], ratio: float) -> bool:
-    if word in known or _KNOWN.fullmatch(word) or not _MIXED.search(word):
+    if word in known or _KNOWN.fullmatch(word) or not _mixed(word):
         return False
     return len(word) <= ratio * len(encoding.encode_ordinary(word))
 
@@ -107,14 +115,14 @@ def random_spans(text: str, base: list[tuple[int, int, int]], encoding, known: f
     out = []
     for m in _CANDIDATE.finditer(text):
         word, a, b = m[0], m.start(), m.end()
-        if word in known or _KNOWN.fullmatch(word) or not _MIXED.search(word):
+        if word in known or _KNOWN.fullmatch(word) or not _mixed(word):
             continue
         for x, y in _outside(a, b, [(x, y) for x, _, y in base if x < b and a < y]):
             if _is_random(text[x:y], encoding, known, ratio):
                 out.append((x, 3, y))
                 continue
             for p, q in _outside(x, y, [(x + k.start(), x + k.end()) for k in _KNOWN_INSIDE.finditer(text[x:y])]):
-                if _MIXED.search(text[p:q]):
+                if _mixed(text[p:q]):
                     out += [(p + i, 3, p + j) for i, j in _joined_parts(text[p:q], encoding, known, ratio)
                             if j - i >= MIN_RANDOM and _is_random(text[p + i : p + j], encoding, known, ratio)]
     return out

@@ -251,3 +251,19 @@ def test_url_rules(spark):
     for r in got:
         assert tuple(r.judged) == judged(r.url), r.url
     assert url_filter.judge(pages.limit(0), rules).count() == 0
+
+
+def test_secret_scan_stays_fast_on_long_runs():
+    """A million letters, or parts, in one run: linear work."""
+    import time
+
+    import public_tokenizers
+
+    from sylva.llm import secret_scan
+    from sylva.llm.queries import RANKS
+
+    encoding = secret_scan._encoding(RANKS, public_tokenizers.PATTERN)
+    for text in ("a" * 1_000_000, "ab-" * 300_000, "aB1-" * 250_000):
+        began = time.time()
+        secret_scan.random_spans(text, secret_scan.base_spans(text), encoding, frozenset(), 2.0)
+        assert time.time() - began < 5
