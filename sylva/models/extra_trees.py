@@ -12,10 +12,12 @@ a node is grown.
   (feature | candidate, statistic); the chosen splits are a table.
 * **Local finish**: the rows of a smaller node meet in one group, and the subtree below is grown there in NumPy, a whole
   level at a time.  A table that is small as a whole goes to the tasks once, and trees are dealt instead of rows.  ``local_rows`` follows from a bound on a group's numbers.
-* Trees are grown in batches, so that the open nodes of a level, which go to every task, stay below ``OPEN_NUMBERS``.
+* Trees are grown in batches, so that the open nodes of a level, which go to every task, stay below ``OPEN_NUMBERS``.  Where one tree's level is
+  larger, rows meet candidates and splits by joins on the node, and the driver sees their number only.
 * The forest is two tables in the shared folder: splits of the distributed levels, and one row per subtree.  The driver
   gets its size and the importances, no nodes.
-* Scoring sends the forest to the tasks if it has at most ``BROADCAST_NODES`` nodes, else rows and subtrees meet by (tree, node).
+* Scoring sends the forest to the tasks if it has at most ``BROADCAST_NODES`` nodes, else rows and subtrees (and, beyond as many, the upper
+  levels' splits, a join a level) meet by (tree, node).
   Rows keep all their columns and are never joined by an id of theirs.
 """
 
@@ -286,7 +288,7 @@ class ExtraTreesModel:
         if self.n_nodes <= broadcast_nodes:
             votes = self._votes_by_broadcast(df, features)
         else:
-            votes = self._votes_by_join(df, features)
+            votes = self._votes_by_join(df, features, self.splits.count() > broadcast_nodes)
         mean = F.transform("_votes", lambda v: v / F.lit(float(self.n_trees)))
         if self.task == "classification":
             return (votes.withColumn("probability", mean).drop("_votes")
@@ -337,9 +339,44 @@ class ExtraTreesModel:
 
         return df.mapInArrow(run, schema)
 
-    def _votes_by_join(self, df: DataFrame, features: str) -> DataFrame:
-        """Rows and subtrees meet by (tree, node); a subtree comes first and the rows stream past it."""
-        top, n_trees, width = self._top(), self.n_trees, len(self.root_value)
+    def _routed(self, rows: DataFrame, features: str) -> DataFrame:
+        """(tree, node, kind, _row, x, value) of rows at every tree, one join a level with the splits, for forests whose splits are too many to send."""
+        trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.lit(root_key(self.seed, t)).cast("long").alias("node")) for t in range(self.n_trees)])).alias("t")
+        value = F.array(*[F.lit(float(v)) for v in self.root_value])
+        at = rows.select("_row", F.col(features).alias("x"), trees).select("t.tree", "t.node", F.lit(self.root_state).alias("state"), "_row", "x", value.alias("value"))
+        schema = at.schema
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x, value = _matrix(batch.column("x")), _matrix(batch.column("value")).copy()
+                node, state = batch.column("node").to_numpy().copy(), batch.column("state").to_numpy().copy()
+                has = np.asarray(batch.column("feature").is_valid()) & (state == OPEN)
+                state[(state == OPEN) & ~has] = LEAF
+                rows = np.flatnonzero(has)
+                f, v, l, r = (batch.column(c).fill_null(0).to_numpy()[rows] for c in ("feature", "threshold", "left_state", "right_state"))
+                right = x[rows, f.astype(np.int64)] > v
+                node[rows] = np.where(right, child_keys(node[rows], 1), child_keys(node[rows], 0))
+                state[rows] = np.where(right, r, l)
+                for side, c in ((right, "right_value"), (~right, "left_value")):
+                    mine = rows[side]
+                    if len(mine):
+                        value[mine] = _matrix(batch.column(c).take(pa.array(mine)))
+                yield pa.RecordBatch.from_arrays([batch.column("tree"), pa.array(node), pa.array(state), batch.column("_row"), batch.column("x"), _lists(value)], names=schema.names)
+
+        for (depth,) in sorted(tuple(r) for r in self.splits.select("depth").distinct().collect()):  # a row per level
+            level = self.splits.where(F.col("depth") == depth).select("tree", F.col("node").alias("_n"), "feature", "threshold", "left_state", "right_state", "left_value", "right_value")
+            key = F.when(F.col("state") == OPEN, F.col("node")).otherwise(F.xxhash64("_row"))  # others meet nothing and spread
+            at = saved(at.withColumn("_n", key).join(level, ["tree", "_n"], "left").select(*schema.names, *level.columns[2:]).mapInArrow(step, schema), "routed")
+        local = F.col("state") >= LOCAL
+        zero = F.array(*[F.lit(0.0)] * len(self.root_value))
+        return at.select("tree", "node", F.when(local, 1).otherwise(2).alias("kind"), "_row", "x", F.when(local, zero).otherwise(F.col("value")).alias("value"))
+
+    def _votes_by_join(self, df: DataFrame, features: str, levels: bool = False) -> DataFrame:
+        """Rows and subtrees meet by (tree, node); a subtree comes first and the rows stream past it.  ``levels``: rows meet the splits of the upper
+        levels by joins as well."""
+        top, n_trees, width = None if levels else self._top(), self.n_trees, len(self.root_value)
         rows = saved(df.withColumn("_row", F.monotonically_increasing_id()), "scored-rows")
         order = _struct(f"{SUBTREES}, kind int, _row long, x array<double>").names
         told = "tree int, node long, kind int, _row long, x array<double>, value array<double>"
@@ -375,7 +412,7 @@ class ExtraTreesModel:
                 if ids:
                     yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(np.concatenate(votes))], names=["_row", "value"])
 
-        given = rows.select("_row", F.col(features).alias("x")).mapInArrow(spread, told)
+        given = self._routed(rows, features) if levels else rows.select("_row", F.col(features).alias("x")).mapInArrow(spread, told)
         done = given.where("kind = 2").select("_row", "value")
         empty = {c: F.lit(None).cast(t) for c, t in (("feat", "array<int>"), ("thr", "array<double>"), ("left", "array<int>"), ("value", "array<double>"), ("imp", "array<double>"))}
         asked = given.where("kind = 1").drop("value").withColumns(empty).select(order)
@@ -409,7 +446,7 @@ class ExtraTrees:
         local_rows = self.local_rows or max(1000, LOCAL_NUMBERS // (p + 1))
         open_nodes = 2 * n // local_rows + 1
         per_batch = max(1, min(self.n_trees, TREES_AT_ONCE, OPEN_NUMBERS // max(1, open_nodes * (2 * p + self._m * self._width))))
-        data = data.repartition(max(spark.sparkContext.defaultParallelism, n * (p + 1) // LOCAL_NUMBERS + 1), F.xxhash64("x", "y")).persist()
+        data = data.repartition(max(spark.sparkContext.defaultParallelism, n * (p + 1) // LOCAL_NUMBERS + 1)).persist()  # in turn: equal rows spread
 
         if task == "classification":
             total = {int(r.y): r["count"] for r in data.groupBy("y").count().collect()}  # a row per class
@@ -492,13 +529,56 @@ class ExtraTrees:
                             if len(rows):
                                 keys, a = np.unique(node[rows, i], return_inverse=True)
                                 visit(held, t, keys, a, x[rows], y[rows])
-                for (t, key), (low, high, add) in held.items():
-                    size = len(add)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(size, t, dtype=np.int32)), pa.array(np.full(size, key)), pa.array(np.arange(size, dtype=np.int32)), pa.array(low), pa.array(high), pa.array(add)], names=names)
+                    if len(held) * (2 * p + m * width) > OPEN_NUMBERS:  # partial sums are added up again anyway
+                        yield from told(held)
+                        held = {}
+                yield from told(held)
 
             return run
 
+        def told(held: dict) -> Iterator[pa.RecordBatch]:
+            for (t, key), (low, high, add) in held.items():
+                size = len(add)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(size, t, dtype=np.int32)), pa.array(np.full(size, key)), pa.array(np.arange(size, dtype=np.int32)), pa.array(low), pa.array(high), pa.array(add)], names=names)
+
+        def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Left sides from rows that hold their node's candidates themselves; rows of a node lie together."""
+            held = {}
+            for batch in batches:
+                nodes = batch.column("_n").to_numpy()
+                x, y = _matrix(batch.column("x")), batch.column("y").to_numpy()
+                order = np.argsort(nodes, kind="stable")
+                keys, start = np.unique(nodes[order], return_index=True)
+                for key, a, b in zip(keys.tolist(), start.tolist(), [*start[1:].tolist(), len(nodes)], strict=True):
+                    rows = order[a:b]
+                    f, v = (batch.column(c)[int(rows[0])].values.to_numpy() for c in ("feature", "threshold"))
+                    cand, thr = np.full((1, m), -1, dtype=np.int64), np.zeros((1, m))
+                    cand[0, : len(f)], thr[0, : len(f)] = f, v
+                    add = _left_stats(x[rows], y[rows], np.zeros(len(rows), dtype=np.int64), cand, thr, task, k, 1).ravel()
+                    old = held.get((trees[0], key))
+                    held[trees[0], key] = (np.zeros(m * width), np.zeros(m * width), add if old is None else old[2] + add)
+                if len(held) * m * width > OPEN_NUMBERS:
+                    yield from told(held)
+                    held = {}
+            yield from told(held)
+
+        def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            """Moves rows that hold their node's split themselves."""
+            for batch in batches:
+                if batch.num_rows:
+                    x, _, node, at = read(batch)
+                    node, at = node.copy(), at.copy()
+                    has = np.asarray(batch.column("feature").is_valid()) & (at[:, 0] == OPEN)
+                    at[(at[:, 0] == OPEN) & ~has, 0] = LEAF
+                    rows = np.flatnonzero(has)
+                    f, v, l, r = (batch.column(c).fill_null(0).to_numpy()[rows] for c in ("feature", "threshold", "left_state", "right_state"))
+                    right = x[rows, f.astype(np.int64)] > v
+                    old = node[rows, 0]
+                    node[rows, 0] = np.where(right, child_keys(old, 1), child_keys(old, 0))
+                    at[rows, 0] = np.where(right, r, l)
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(node), _lists(at.astype(np.int32))], names=schema.names)
+
         def ranges(held, t, keys, a, x, y):
             order = np.argsort(a, kind="stable")
             start = np.searchsorted(a[order], np.arange(len(keys)))
@@ -513,7 +593,7 @@ class ExtraTrees:
         names = ["tree", "node", "slot", "low", "high", "total"]
         ddl = "tree int, node long, slot int, low double, high double, total double"
         cand_ddl = "tree int, node long, depth int, stats array<double>, feature array<int>, threshold array<double>"
-        found, depth = [], 0
+        found, depth, sent = [], 0, []
         earlier = None
         while root_state == OPEN:
             state = state.persist()
@@ -534,7 +614,9 @@ class ExtraTrees:
             cands = saved(gathered.groupBy("tree", "node").applyInArrow(draw, cand_ddl), "candidates")
             if earlier is not None:
                 earlier.unpersist()
-            held_cands = spark.sparkContext.broadcast(cands.drop("stats", "depth").toArrow())  # at most OPEN_NUMBERS numbers
+            # what of the open level goes to every task is counted first; beyond the bound (then a batch is one tree) rows meet it by node
+            by_join = n_trees == 1 and cands.count() * 2 * m > OPEN_NUMBERS
+            held_cands = None if by_join else spark.sparkContext.broadcast(cands.drop("stats", "depth").toArrow())
 
             def visitor(held_cands=held_cands):
                 known = {(r["tree"], r["node"]): (r["feature"], r["threshold"]) for r in held_cands.value.to_pylist()}
@@ -570,11 +652,17 @@ class ExtraTrees:
                 values = _value(children, task).tolist()
                 return _table(SPLITS, [(c["tree"], c["node"], c["depth"], int(cand[0, b[0]]), float(thr[0, b[0]]), float(gain[0]), float(rows[0]), float(rows[1]), *states, *values)])
 
-            sides = state.mapInArrow(sums(visitor, names), ddl).groupBy("tree", "node", "slot").agg(F.sum("total").alias("total"))
+            if by_join:
+                open_rows = state.where(F.col("state")[0] == OPEN).select("x", "y", F.col("node")[0].alias("_n"))
+                sides = open_rows.join(cands.select(F.col("node").alias("_n"), "feature", "threshold"), "_n").mapInArrow(met, ddl)
+            else:
+                sides = state.mapInArrow(sums(visitor, names), ddl)
+            sides = sides.groupBy("tree", "node", "slot").agg(F.sum("total").alias("total"))
             level = saved(sides.groupBy("tree", "node").cogroup(cands.groupBy("tree", "node")).applyInArrow(pick, SPLITS), "splits")
             found.append(level)
             left_open = level.where(f"left_state = {OPEN} or right_state = {OPEN}").limit(1).count()
-            held_level = spark.sparkContext.broadcast(level.toArrow())  # open nodes of this batch
+            held_level = None if by_join else spark.sparkContext.broadcast(level.toArrow())
+            sent += [b for b in (held_cands, held_level) if b is not None]
 
             def move(batches: Iterator[pa.RecordBatch], held_level=held_level) -> Iterator[pa.RecordBatch]:
                 splits = _Splits(held_level.value)
@@ -588,7 +676,14 @@ class ExtraTrees:
                             node[:, i], at[:, i] = mine, states
                         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _lists(node), _lists(at.astype(np.int32))], names=schema.names)
 
-            earlier, state, depth = state, state.mapInArrow(move, schema), depth + 1
+            if by_join:
+                # rows that are no longer open meet nothing; keys of their own spread them
+                key = F.when(F.col("state")[0] == OPEN, F.col("node")[0]).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+                moved = (state.withColumn("_n", key).join(level.select(F.col("node").alias("_n"), "feature", "threshold", "left_state", "right_state"), "_n", "left")
+                         .select("x", "y", "node", "state", "feature", "threshold", "left_state", "right_state").mapInArrow(step, schema))
+            else:
+                moved = state.mapInArrow(move, schema)
+            earlier, state, depth = state, moved, depth + 1
             if not left_open:
                 break
 
@@ -612,4 +707,6 @@ class ExtraTrees:
         low = saved(state.mapInArrow(deal, row_ddl).groupBy("tree", "node").applyInArrow(finish, SUBTREES), "subtrees")
         if earlier is not None:
             earlier.unpersist()
+        for held in sent:
+            held.destroy()
         return found, low

@@ -45,6 +45,24 @@ def test_same_forest_for_any_layout(spark, sf, task):
     assert all(x == seen[0] for x in seen)
 
 
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_same_forest_without_anything_sent(spark, sf, task, monkeypatch):
+    """With a bound of one number, rows meet candidates, splits and subtrees by joins only; the forest and its scores are the same."""
+    from sylva.models import extra_trees as module
+
+    fr, tr, te = _split(spark, sf, fx.line_bin if task == "classification" else fx.line_reg)
+    tr = tr.limit(250).select("x", "label").cache()
+    te = te.limit(60).select("x", "label", F.monotonically_increasing_id().alias("i")).cache()
+    fit = lambda: ExtraTrees(task, n_trees=2, seed=3, local_rows=40, min_leaf=2).fit(tr)
+    sent = fit()
+    monkeypatch.setattr(module, "OPEN_NUMBERS", 1)
+    met = fit()
+    shown = lambda m: sorted((r.tree, r.node, r.feature, round(r.threshold, 9)) for r in m.splits.collect())
+    assert shown(sent) == shown(met) and len(shown(met)) > 2
+    scores = [sorted((r.i, round(r.prediction, 6)) for r in m.transform(te, broadcast_nodes=b).collect()) for m, b in ((sent, 10**6), (met, 10**6), (met, 0))]
+    assert scores[0] == scores[1] == scores[2] and len(scores[0]) == te.count()
+
+
 def test_extra_trees_degenerate(spark):
     one = spark.createDataFrame([([1.0, 2.0], 1.0)] * 5, "x array<double>, label double")
     out = ExtraTrees("regression", n_trees=2).fit(one).transform(one).collect()
