@@ -7,12 +7,12 @@ bounded by groups x classes^2, whatever the number of rows.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-
-from sylva.session import saved
-
-AUC_BUCKETS, STEP = 128, 12
+from pyspark.sql import types as T
 
 
 def confusion(pred: DataFrame, label: str = "label", prediction: str = "prediction",
@@ -60,40 +60,53 @@ def regression_metrics(pred: DataFrame, label: str = "label", prediction: str =
 
 
 def auc_ovr(scores: DataFrame, label: str = "label", score: str = "score", cls: str = "cls",
-            group: list[str] | None = None, buckets: int = AUC_BUCKETS) -> DataFrame:
+            group: list[str] | None = None) -> DataFrame:
     """One-vs-rest ROC-AUC per class and its macro mean (Mann-Whitney, ties count 1/2).
 
     Input is long: one row per (row, class) with that class's score (any number).
-    Counts are first combined per distinct (class, score); negatives below each
-    score come from bucket totals (classes x buckets rows) plus a window inside
-    a bucket.  Buckets end at observed quantiles of the distinct scores, so each
-    has about the same number of them wherever the scores pile up.
+    Counts are first combined per distinct (class, score) and sorted by ranges of (class, score), so equal scores lie in one partition.  A
+    partition adds up, for each class it holds, positives, negatives and positives times the negatives below them there; the negatives of
+    earlier partitions come in by prefix sums over these few rows.
     """
     g = list(group or [])
     pos = (F.col(label) == F.col(cls)).cast("long")
-    per = saved(scores.groupBy(*g, cls, F.col(score).alias("s")).agg(
-        F.sum(pos).alias("np"), F.sum(1 - pos).alias("nn")), "auc-scores")  # read three times below
-    cuts = F.percentile_approx("s", [(i + 1) / buckets for i in range(buckets - 1)], 20 * buckets)
-    every = F.sequence(F.lit(0), F.size("cuts") - 1, F.lit(STEP))
-    bounds = (per.groupBy(*g, cls).agg(F.array_distinct(cuts).alias("cuts"))  # a row per class
-              .withColumn("coarse", F.transform(every, lambda i: F.get("cuts", i))))
-    # the bucket is the number of cuts below the score: first among every STEP-th one, then between two of them
-    above = F.size(F.filter("coarse", lambda c: c < F.col("s")))
-    first = F.greatest(above - 1, F.lit(0)) * STEP
-    found = first + F.size(F.filter(F.slice("cuts", first + 1, F.lit(STEP)), lambda c: c < F.col("s")))
-    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in (*g, cls)]
-    per = per.alias("l").join(bounds.alias("r"), same).select("l.*", found.alias("b"))
-    bt = per.groupBy(*g, cls, "b").agg(F.sum("nn").alias("bn"))
-    wb = Window.partitionBy(*g, cls).orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    bt = bt.withColumn("neg_before", F.coalesce(F.sum("bn").over(wb), F.lit(0)))
-    ws = Window.partitionBy(*g, cls, "b").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    per = (per.join(bt.select(*g, cls, "b", "neg_before"), [*g, cls, "b"])
-           .withColumn("below", F.col("neg_before") + F.coalesce(F.sum("nn").over(ws), F.lit(0))))
-    per_cls = per.groupBy(*g, cls).agg(
-        F.sum(F.col("np") * (F.col("below") + 0.5 * F.col("nn"))).alias("u"),
-        F.sum("np").alias("n_pos"), F.sum("nn").alias("n_neg"))
-    return per_cls.select(*g, cls, (F.col("u") / F.nullif(F.col("n_pos") * F.col("n_neg"), F.lit(0)))
-                          .alias("auc"))
+    per = scores.groupBy(*g, cls, F.col(score).alias("s")).agg(F.sum(pos).alias("np"), F.sum(1 - pos).alias("nn"))
+    keys = [*g, cls]
+    dealt = per.withColumn("_k", F.xxhash64(*keys)).repartitionByRange(*keys, "s").sortWithinPartitions(*keys, "s")
+    told = T.StructType([*[per.schema[c] for c in keys], T.StructField("part", T.IntegerType()), T.StructField("n_pos", T.LongType()), T.StructField("n_neg", T.LongType()),
+                         T.StructField("u", T.DoubleType())])
+    totals = dealt.select(*keys, "_k", "np", "nn").mapInArrow(_rank_sums(told, len(keys)), told)
+    earlier = Window.partitionBy(*keys).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per class and partition
+    whole = totals.withColumn("below", F.coalesce(F.sum("n_neg").over(earlier), F.lit(0)))
+    per_cls = whole.groupBy(*keys).agg(F.sum(F.col("u") + F.col("n_pos").cast("double") * F.col("below")).alias("u"), F.sum("n_pos").alias("n_pos"), F.sum("n_neg").alias("n_neg"))
+    return per_cls.select(*keys, (F.col("u") / F.nullif(F.col("n_pos").cast("double") * F.col("n_neg"), F.lit(0.0))).alias("auc"))
+
+
+def _rank_sums(schema: T.StructType, n_keys: int):
+    """From sorted rows (keys, their hash, positives, negatives): sums for each key of a partition, one row each."""
+    def run(batches):
+        part, now, first, sums = TaskContext.get().partitionId(), None, None, [0, 0, 0.0]
+
+        def row():
+            return pa.RecordBatch.from_arrays([*first.columns[:n_keys], pa.array([part], pa.int32()), pa.array([sums[0]], pa.int64()), pa.array([sums[1]], pa.int64()), pa.array([sums[2]], pa.float64())], names=schema.names)
+
+        for batch in batches:
+            key, pos, neg = (batch.column(n_keys + i).to_numpy() for i in range(3))
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if now is not None and key[a] != now:
+                    yield row()
+                    sums = [0, 0, 0.0]
+                if now is None or key[a] != now:
+                    now, first = key[a], batch.slice(a, 1)
+                below = sums[1] + np.cumsum(neg[a:b]) - neg[a:b]
+                sums = [sums[0] + int(pos[a:b].sum()), sums[1] + int(neg[a:b].sum()), sums[2] + float((pos[a:b] * (below + 0.5 * neg[a:b])).sum())]
+        if now is not None:
+            yield row()
+
+    return run
 
 
 def auc_macro(per_class: DataFrame, group: list[str] | None = None) -> DataFrame:

@@ -29,6 +29,12 @@ def drop_duplicates(fr: Frame) -> Frame:
     return fr.with_df(kept.select(*[F.col(f"_id.{c}").alias(c) if c in fr.id_cols else F.col(c) for c in fr.df.columns]))
 
 
+def duplicate_counts(fr: Frame, name: str = "removed") -> DataFrame:
+    """D1's account: every row that stays (ids left out), with how many equal ones ``drop_duplicates`` removes."""
+    cols = [c for c in fr.df.columns if c not in fr.id_cols]
+    return fr.df.groupBy(*cols).agg((F.count(F.lit(1)) - 1).alias(name))
+
+
 def impute_numeric(fr: Frame, cols: list[str] | None = None) -> Frame:
     """Fill numeric nulls with the column's exact median (target included)."""
     cols = list(cols or numeric_cols(fr.df, exclude=fr.id_cols))

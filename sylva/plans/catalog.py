@@ -101,7 +101,7 @@ def prep_dedupe(spark, sf):
     from sylva.frame import Frame
     df = fx.line_dup(spark, sf)
     fr = Frame(df, tuple(df.columns[:-1]), df.columns[-1], (), None)
-    return rounded(prepare.drop_duplicates(fr).df)
+    return rounded(prepare.drop_duplicates(fr).df.join(prepare.duplicate_counts(fr), df.columns))
 
 
 def prep_dedupe_ids(spark, sf):
@@ -262,7 +262,8 @@ def _auc_scores(spark, sf):
 
 
 def metrics_auc(spark, sf):
-    per = metrics.auc_ovr(_auc_scores(spark, sf))
+    from sylva.session import saved
+    per = saved(metrics.auc_ovr(_auc_scores(spark, sf)), "auc")  # a row per class, read twice
     macro = metrics.auc_macro(per).select(F.lit(-1.0).alias("cls"), F.col("roc_auc").alias("auc"))
     return rounded(per.unionByName(macro))
 
@@ -340,7 +341,8 @@ def rep_summary(spark, sf):
 
 
 def rep_matrix(spark, sf):
-    return compare.result_matrix(compare.rep_summary(fx.event_errors(spark, sf)))
+    from sylva.session import saved
+    return compare.result_matrix(saved(compare.rep_summary(fx.event_errors(spark, sf)), "summary"))  # a row per cell, read for its columns too
 
 
 def best_per_scenario(spark, sf):
@@ -559,6 +561,35 @@ def model_et_level1(spark, sf):
                                        F.col("n_right").cast("long").alias("n_right")))
 
 
+def _study_sample(fr, label=None):
+    """The training rows of Part 3 (at most 150, by hash) as a model table."""
+    from sylva.models.registry import assemble
+    flagged = prepare.sample_split(fr, 150, 0.7, 42)
+    rows = assemble(fr.with_df(flagged.where("is_train").drop("is_train")))
+    return rows if label is None else rows.withColumn("label", label)
+
+
+def model_rf_level1(spark, sf):
+    """H2, first split: 100 trees of depth 1 on Part 3's training rows of B-2 (bootstrap weights, every threshold of every feature)."""
+    from sylva.models.bounded import Plan, fit_many
+    fr = fx.line_bin(spark, sf)
+    fitted = fit_many(_study_sample(fr), [Plan("RF", "rf", mtry=fr.p, max_depth=1)], "classification", 2)
+    name = F.get(F.array(*[F.lit(c) for c in fr.feature_cols]), F.col("feat")[0])
+    return rounded(fitted.table.where(F.col("feat")[0] >= 0).select("tree", name.alias("feature"), F.col("thr")[0].alias("threshold"), F.get("imp", F.col("feat")[0]).alias("gain")))
+
+
+def model_boost_level1(spark, sf):
+    """H9/H10, first round: the first stump of either boosting on Part 3's training rows of B-1 (revenue in 100 000), with its leaf values."""
+    from sylva.models.bounded import Plan, fit_many
+    fr = fx.line_reg(spark, sf)
+    plans = [Plan("XGBoost", "boost", 1, max_depth=1, rate=0.3, l2=1.0), Plan("Gradient Boosting", "boost", 1, max_depth=1, rate=0.1)]
+    fitted = fit_many(_study_sample(fr, F.col("label") / 100000.0), plans, "regression")
+    name = F.get(F.array(*[F.lit(c) for c in fr.feature_cols]), F.col("feat")[0])
+    model = F.get(F.array(*[F.lit(p.name) for p in plans]), F.col("model"))
+    return rounded(fitted.table.select(model.alias("model"), name.alias("feature"), F.col("thr")[0].alias("threshold"), F.get("imp", F.col("feat")[0]).alias("gain"),
+                                       F.col("value")[1].alias("left_leaf"), F.col("value")[2].alias("right_leaf")))
+
+
 def rlt_flagship(spark, sf):
     """RLT-ExtraTrees (VI -> mute -> LC -> ET) next to plain Extra-Trees (RLT-naive)."""
     from sylva.models.registry import extra_trees, run_models
@@ -634,7 +665,7 @@ def variant_grid_3x3(spark, sf):
     return short_grid(spark, fx.emb_wide(spark, sf))
 
 
-def _bakeoff(fr, out_dir, name, n_trees):
+def _bakeoff(fr, out_dir, name):
     """Part 1 from a frame with raw columns to the leaderboard in a results file, which is read back."""
     from sylva.models.registry import assemble, baseline_registry, run_models
     from sylva.models.rlt import rlt
@@ -650,7 +681,7 @@ def _bakeoff(fr, out_dir, name, n_trees):
     data = _spread(data).withColumn("features", array_to_vector("x"))
     tr, te = data.where(~F.col("is_test")).drop("is_test"), data.where("is_test").drop("is_test")
     task = "classification"
-    learners = baseline_registry(task, fr.p, n_trees) + [rlt(task, list(fr.feature_cols), n_trees=n_trees)]
+    learners = baseline_registry(task, fr.p) + [rlt(task, list(fr.feature_cols))]
     res = run_models(tr, te, learners, task, {lr.name: fr.p for lr in learners}, with_time=False)
     board_ = compare.leaderboard(res.select("model", "type", "features", "train_accuracy", "test_accuracy", "precision", "recall", "f1_score"), "test_accuracy")
     return tables.read_results(spark, sinks.write_results(board_, out_dir, name))
@@ -663,7 +694,14 @@ def part1_bakeoff(spark, sf):
     out = f"{ensure_checkpoint_dir(spark)}/sylva-part1-{uuid.uuid4().hex}"
     fx.doc_quality(spark, sf).df.withColumn("quality", F.concat(F.lit("q"), F.col("quality").cast("string"))).write.option("header", True).csv(f"{out}/input.csv")
     fr = tables.read_table(spark, f"{out}/input.csv")
-    return _bakeoff(fr, out, "doc_quality.csv", 20)
+    return _bakeoff(fr, out, "doc_quality.csv")
+
+
+def part1_bakeoff_multi(spark, sf):
+    """The Part 1 run for three classes (B-3, all rows): one-vs-rest where a learner is binary."""
+    from sylva.session import ensure_checkpoint_dir
+    import uuid
+    return _bakeoff(fx.line_multi(spark, sf), f"{ensure_checkpoint_dir(spark)}/sylva-part1-{uuid.uuid4().hex}", "line_multi.csv")
 
 
 def embedded_study(spark, sf):
@@ -679,7 +717,7 @@ def embedded_study_multi(spark, sf):
     fr = fx.line_multi(spark, sf)
     fr, _ = prepare.encode_label(fr.with_df(fr.df, [c for c in fr.feature_cols if c != "l_linestatus"]))
     tr, te = _assembled_split(fr, stratify=True)
-    return study(tr, te, list(fr.feature_cols), "classification", n_trees=10, with_time=False)
+    return study(tr, te, list(fr.feature_cols), "classification", with_time=False)
 
 
 def optimised_study(spark, sf):
@@ -721,5 +759,6 @@ QUERIES.update({
     "vi_model_only": vi_model_only, "progressive": progressive,
     "model_bart_reg": model_bart_reg, "model_et_level1": model_et_level1, "study_plan": study_plan,
     "variant_grid_3x3": variant_grid_3x3, "part1_bakeoff": part1_bakeoff, "embedded_study_multi": embedded_study_multi,
-    "prep_dedupe_ids": prep_dedupe_ids,
+    "prep_dedupe_ids": prep_dedupe_ids, "model_rf_level1": model_rf_level1, "model_boost_level1": model_boost_level1,
+    "part1_bakeoff_multi": part1_bakeoff_multi,
 })

@@ -253,7 +253,7 @@ def _cols(cols, src_alias=""):
 
 
 ORACLE["prep_dedupe"] = with_fixtures(
-    "SELECT DISTINCT l_linenumber, l_returnflag, l_linestatus, " + r("l_quantity") + " AS l_quantity FROM line_dup",
+    "SELECT l_linenumber, l_returnflag, l_linestatus, " + r("l_quantity") + " AS l_quantity, count(*) - 1 AS removed FROM line_dup GROUP BY ALL",
     "line_dup")
 ORACLE["prep_impute_num"] = with_fixtures(
     "SELECT row_id, " + r("l_quantity") + " AS l_quantity, " + r("l_extendedprice") + " AS l_extendedprice, "
@@ -609,3 +609,51 @@ best AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY gain DESC, plac
 
 
 ORACLE["model_et_level1"] = _level1_sql()
+
+
+def _sample_ctes(fixture: str, target: str, seed: int = 42) -> str:
+    """The training rows of Part 3, long by feature, with their 32-bit keys."""
+    from sylva.functions.hashing import sql_hash_u32
+    key = sql_hash_u32(f"concat_ws('|', row_id, '{seed}')")
+    long = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS f, CAST({c} AS DOUBLE) AS v, y, rk FROM sample" for i, c in enumerate(LINE_FEATURES))
+    return f"""
+sample AS (SELECT *, {key} AS rk, CAST({target} AS DOUBLE) AS y FROM {fixture}
+           QUALIFY row_number() OVER (ORDER BY {_h52('row_id')}, row_id) <= least(150, floor(0.7 * count(*) OVER ()))),
+long AS ({long})"""
+
+
+def _rf_level1_sql(trees: int = 100) -> str:
+    """Depth-1 forest: Poisson weights from the rows' keys, every threshold between neighbouring drawn values, largest Gini decrease."""
+    from sylva.functions.hashing import MASK32, STRIDE, sql_mix32
+    from sylva.models.bounded import POISSON_CDF
+    u = "((" + sql_mix32(f"((rk + tree * {STRIDE}) & {MASK32})") + ") + 0.5) / 4294967296.0"
+    weight = " + ".join(f"CAST(u >= {float(c)!r} AS INTEGER)" for c in POISSON_CDF)
+    square = "({p} * {p} + ({n} - {p}) * ({n} - {p})) / {n}"
+    return _wrap(_sample_ctes("line_bin", "big") + f""",
+drawn AS (SELECT tree, feature, f, v, y, {u} AS u FROM long, (SELECT unnest(range({trees})) AS tree)),
+weighed AS (SELECT tree, feature, f, v, sum({weight}) AS n, sum(({weight}) * y) AS p FROM drawn GROUP BY ALL),
+found AS (SELECT tree, feature, f, v, CAST(n AS DOUBLE) AS n, p FROM weighed WHERE n > 0),
+side AS (SELECT *, sum(n) OVER w AS nl, sum(p) OVER w AS pl, lead(v) OVER w AS nxt, sum(n) OVER (PARTITION BY tree, f) AS n0, sum(p) OVER (PARTITION BY tree, f) AS p0
+         FROM found WINDOW w AS (PARTITION BY tree, f ORDER BY v)),
+gained AS (SELECT *, {square.format(p='pl', n='nl')} + {square.format(p='(p0 - pl)', n='(n0 - nl)')} - {square.format(p='p0', n='n0')} AS gain FROM side WHERE nxt IS NOT NULL),
+top AS (SELECT *, max(gain) OVER (PARTITION BY tree) AS most FROM gained),
+best AS (SELECT *, row_number() OVER (PARTITION BY tree ORDER BY f, v) AS k FROM top WHERE gain >= most - 1e-9 * n0 AND most > 1e-9 * n0)""",
+                 f"SELECT CAST(tree AS INTEGER) AS tree, feature, {r('v + (nxt - v) / 2')} AS threshold, {r('most')} AS gain FROM best WHERE k = 1", "line_bin")
+
+
+def _boost_level1_sql() -> str:
+    """First stump of second-order boosting on residuals from the mean: weight of a leaf is sum / (rows + penalty), times the rate."""
+    return _wrap(_sample_ctes("line_reg", "revenue / 100000.0") + """,
+model AS (SELECT * FROM (VALUES ('XGBoost', 0.3, 1.0), ('Gradient Boosting', 0.1, 0.0)) AS t(model, rate, l2)),
+base AS (SELECT avg(y) AS m FROM sample),
+sums AS (SELECT feature, f, v, CAST(count(*) AS DOUBLE) AS n, sum(y - m) AS g FROM long, base GROUP BY ALL),
+side AS (SELECT *, sum(n) OVER w AS nl, sum(g) OVER w AS gl, lead(v) OVER w AS nxt, sum(n) OVER (PARTITION BY f) AS n0, sum(g) OVER (PARTITION BY f) AS g0
+         FROM sums WINDOW w AS (PARTITION BY f ORDER BY v)),
+gained AS (SELECT *, gl * gl / (nl + l2) + (g0 - gl) * (g0 - gl) / (n0 - nl + l2) - g0 * g0 / (n0 + l2) AS gain FROM side, model WHERE nxt IS NOT NULL),
+best AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY gain DESC, f, v) AS k FROM gained)""",
+                 f"SELECT model, feature, {r('v + (nxt - v) / 2')} AS threshold, {r('gain')} AS gain, {r('rate * gl / (nl + l2)')} AS left_leaf, "
+                 f"{r('rate * (g0 - gl) / (n0 - nl + l2)')} AS right_leaf FROM best WHERE k = 1", "line_reg")
+
+
+ORACLE["model_rf_level1"] = _rf_level1_sql()
+ORACLE["model_boost_level1"] = _boost_level1_sql()
