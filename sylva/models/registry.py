@@ -14,8 +14,7 @@ import time
 from dataclasses import dataclass
 from typing import Callable
 
-from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest,
-                                       RandomForestClassifier)
+from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
@@ -24,6 +23,7 @@ from pyspark.sql import functions as F
 from sylva.frame import CLASSIFICATION, Frame
 from sylva.models import bounded
 from sylva.models.extra_trees import ExtraTrees
+from sylva.models.stumps import CUTS, Stump, boost
 from sylva.operators.metrics import auc_macro, auc_ovr, classification_metrics, regression_metrics
 from sylva.session import saved
 
@@ -171,61 +171,22 @@ def lasso(alpha: float = LASSO_ALPHA, name: str = "LASSO") -> Learner:
     return Learner(name, _mllib(est, False))
 
 
-def _stump(model) -> tuple[int, float, int, int]:
-    """A depth-1 tree as (feature, threshold, class left, class right); one leaf predicts the same on both sides."""
-    root = model._java_obj.rootNode()
-    if model.numNodes == 1:
-        return 0, math.inf, int(root.prediction()), int(root.prediction())
-    split = root.split()
-    return split.featureIndex(), split.threshold(), int(root.leftChild().prediction()), int(root.rightChild().prediction())
+def _says(stump: Stump) -> Column:
+    return F.when(F.col("x")[stump.feature] <= F.lit(stump.threshold), F.lit(stump.left)).otherwise(F.lit(stump.right))
 
 
-def _says(stump) -> Column:
-    feature, threshold, left, right = stump
-    return F.when(F.col("x")[feature] <= F.lit(threshold), F.lit(left)).otherwise(F.lit(right))
-
-
-def adaboost(rounds: int = N_TREES, rate: float = 0.1, name: str = "AdaBoost", seed: int = 42,
-             checkpoint_every: int = 10) -> Learner:
-    """SAMME with decision stumps; sample weights live in a column.
-
-    Each round is one stump fit, one aggregate and one projection updating the weights, which are checkpointed (to the
-    shared folder) every ``checkpoint_every`` rounds so that lineage stays short.  A first stump no better than chance stays as the
-    only one.  Scoring is one projection: a sum of comparisons per class."""
-    from sylva.session import cut_lineage
-
+def adaboost(rounds: int = N_TREES, rate: float = 0.1, name: str = "AdaBoost", cuts: int = CUTS) -> Learner:
+    """SAMME with decision stumps (``stumps``); scoring is one projection, a sum of comparisons per class."""
     def fit(train: DataFrame):
         k = _n_classes(train)
-        n = train.count()
-        cur = train.select("x", "features", "label").withColumn("w", F.lit(1.0 / max(1, n))).persist()
-        stumps, before = [], None
-        for r in range(rounds):
-            stump = _stump(DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=seed + r).fit(cur))  # fills the cache of cur
-            if before is not None:
-                before.unpersist()
-            miss = _says(stump) != F.col("label")
-            # weights sum to 1 after every update, so one aggregate gives the weighted error
-            err = float(cur.agg(F.sum(F.when(miss, F.col("w")).otherwise(0.0))).first()[0] or 0.0)
-            if err >= 1.0 - 1.0 / k or err <= 0:
-                if err <= 0 or not stumps:
-                    stumps.append((stump, 1.0))
-                break
-            alpha = rate * (math.log((1.0 - err) / err) + math.log(k - 1.0))
-            stumps.append((stump, alpha))
-            boost = math.exp(alpha)
-            total = (1.0 - err) + err * boost          # new weight total, known analytically
-            nxt = cur.select("x", "features", "label", (F.when(miss, F.col("w") * F.lit(boost)).otherwise(F.col("w")) / F.lit(total)).alias("w"))
-            before, cur = cur, (cut_lineage(nxt) if (r + 1) % checkpoint_every == 0 else nxt).persist()
-        for frame in (before, cur):
-            if frame is not None:
-                frame.unpersist()
+        found = boost(train, k, rounds, rate, cuts)
 
         def score(df: DataFrame) -> DataFrame:
-            votes = [sum((F.when(_says(s) == c, F.lit(a)).otherwise(F.lit(0.0)) for s, a in stumps), F.lit(0.0)) for c in range(k)]
+            votes = [sum((F.when(_says(s) == c, F.lit(s.alpha)).otherwise(F.lit(0.0)) for s in found), F.lit(0.0)) for c in range(k)]
             voted = df.select("row_id", "label", F.array(*votes).alias("probability"))
             best = F.array_position("probability", F.array_max("probability")) - 1
             return voted.select("row_id", "label", best.cast("double").alias("prediction"), "probability")
-        score.stumps = stumps
+        score.stumps = found
         return score
     return Learner(name, fit)
 

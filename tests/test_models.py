@@ -80,12 +80,46 @@ def test_adaboost_first_stump_useless(spark):
     assert adaboost(5, 1.0).fit(rows)(rows).count() == 4
 
 
+@pytest.mark.parametrize("classes", [2, 3])
+def test_adaboost_rounds_by_hand(spark, monkeypatch, classes):
+    """Stumps, errors and votes' weights equal a plain loop over all cuts, also where weights are written in between."""
+    from sylva.models import stumps as module
+
+    monkeypatch.setattr(module, "FOLD", 2)
+    rng = np.random.default_rng(4)
+    x = np.round(rng.normal(size=(300, 3)), 1)
+    y = ((x[:, 0] > 0).astype(int) + (x[:, 1] > 0.8 * (classes - 2))) % classes
+    y = np.where(rng.random(300) < 0.1, rng.integers(0, classes, 300), y)
+    table = spark.createDataFrame([([float(v) for v in r], float(c)) for r, c in zip(x, y)], "x array<double>, label double").repartition(3)
+    got = module.boost(table, classes, 6, 0.5, cuts=9)
+    points = module.cut_points(table, 3, 9)
+    for j in range(3):
+        q = np.quantile(x[:, j], np.arange(1, 10) / 10)
+        assert np.allclose(points[j], np.unique(q[q < x[:, j].max()]))
+    w = np.ones(300)
+    for stump in got:
+        best = (-1.0,)
+        share = lambda m: np.array([w[m & (y == c)].sum() for c in range(classes)])
+        for j in range(3):
+            for t in points[j]:
+                a, b = share(x[:, j] <= t), share(x[:, j] > t)
+                gain = (a**2).sum() / a.sum() + (b**2).sum() / b.sum() - ((a + b) ** 2).sum() / (a + b).sum()
+                if gain > best[0] + 1e-9 * w.sum():
+                    best = (gain, j, t, a.argmax(), b.argmax())
+        assert (stump.feature, stump.left, stump.right) == (best[1], *best[3:]) and stump.threshold == pytest.approx(best[2])
+        miss = np.where(x[:, stump.feature] <= stump.threshold, stump.left, stump.right) != y
+        error = w[miss].sum() / w.sum()
+        assert stump.error == pytest.approx(error) and stump.alpha == pytest.approx(0.5 * (np.log((1 - error) / error) + np.log(classes - 1)))
+        w = w * np.exp(stump.alpha * miss)
+    assert len(got) == 6
+
+
 def test_adaboost_votes(spark, sf):
     """The one-projection score equals a vote counted by hand."""
     fr, tr, te = _split(spark, sf, fx.line_bin)
     score = adaboost(8, 0.5).fit(tr)
     for r in score(te.limit(50)).join(te.select("row_id", "x"), "row_id").collect():
-        votes = [sum(a for (f, t, l, g), a in score.stumps if (l if r.x[f] <= t else g) == c) for c in (0, 1)]
+        votes = [sum(s.alpha for s in score.stumps if (s.left if r.x[s.feature] <= s.threshold else s.right) == c) for c in (0, 1)]
         assert r.prediction == float(np.argmax(votes))
 
 
