@@ -578,6 +578,18 @@ def model_rf_level1(spark, sf):
     return rounded(fitted.table.where(F.col("feat")[0] >= 0).select("tree", name.alias("feature"), F.col("thr")[0].alias("threshold"), F.get("imp", F.col("feat")[0]).alias("gain")))
 
 
+def model_ada_rounds(spark, sf):
+    """H11, first three rounds on all rows of B-2 (two classes) and B-3 (three): stump, weighted error and vote."""
+    from sylva.models.registry import assemble
+    from sylva.models.stumps import boost
+    two = fx.line_bin(spark, sf)
+    three, _ = prepare.encode_label(fx.line_multi(spark, sf))
+    three = three.with_df(three.df, fx.LINE_FEATURES)
+    rows = [(k, i + 1, fx.LINE_FEATURES[s.feature], s.threshold, s.left, s.right, s.error, s.alpha)
+            for fr, k in ((two, 2), (three, 3)) for i, s in enumerate(boost(_spread(assemble(fr)).select("row_id", "x", "label"), k, 3, 0.1))]  # three stumps each
+    return rounded(spark.createDataFrame(rows, "classes int, round int, feature string, threshold double, left_class int, right_class int, error double, alpha double"))
+
+
 def model_boost_level1(spark, sf):
     """H9/H10, first round: the first stump of either boosting on Part 3's training rows of B-1 (revenue in 100 000), with its leaf values."""
     from sylva.models.bounded import Plan, fit_many
@@ -759,6 +771,6 @@ QUERIES.update({
     "vi_model_only": vi_model_only, "progressive": progressive,
     "model_bart_reg": model_bart_reg, "model_et_level1": model_et_level1, "study_plan": study_plan,
     "variant_grid_3x3": variant_grid_3x3, "part1_bakeoff": part1_bakeoff, "embedded_study_multi": embedded_study_multi,
-    "prep_dedupe_ids": prep_dedupe_ids, "model_rf_level1": model_rf_level1, "model_boost_level1": model_boost_level1,
+    "prep_dedupe_ids": prep_dedupe_ids, "model_rf_level1": model_rf_level1, "model_boost_level1": model_boost_level1, "model_ada_rounds": model_ada_rounds,
     "part1_bakeoff_multi": part1_bakeoff_multi,
 })

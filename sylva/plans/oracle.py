@@ -657,3 +657,37 @@ best AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY gain DESC, f,
 
 ORACLE["model_rf_level1"] = _rf_level1_sql()
 ORACLE["model_boost_level1"] = _boost_level1_sql()
+
+
+def _ada_sql(rounds: int = 3, rate: float = 0.1, cuts: int = 63, sample: int = 10_000) -> str:
+    """Boosting rounds of stumps: cuts are quantiles of the rows with the smallest hashes; a round's weights follow from the rounds before."""
+    probs = "[" + ", ".join(f"{(i + 1) / (cuts + 1)!r}" for i in range(cuts)) + "]"
+    cols = ", ".join(LINE_FEATURES)
+
+    def chain(name: str, k: int, source: str) -> str:
+        listed = " UNION ALL ".join(f"SELECT '{c}' AS feature, {i} AS f, CAST({c} AS DOUBLE) AS v, row_id, y, w FROM {name}_w{{r}}" for i, c in enumerate(LINE_FEATURES))
+        taken = " UNION ALL ".join(f"SELECT {i} AS f, CAST({c} AS DOUBLE) AS v FROM {name}_s" for i, c in enumerate(LINE_FEATURES))
+        out = f"""
+{name}_w1 AS ({source}),
+{name}_s AS (SELECT * FROM {name}_w1 QUALIFY row_number() OVER (ORDER BY {_h52('row_id')}, row_id) <= {sample}),
+{name}_c AS (SELECT DISTINCT f, cut FROM (SELECT f, max(v) AS top, unnest(quantile_cont(v, {probs})) AS cut FROM ({taken}) GROUP BY f) WHERE cut < top)"""
+        for r_ in range(1, rounds + 1):
+            out += f""",
+{name}_l{r_} AS ({listed.format(r=r_)}),
+{name}_h{r_} AS (SELECT feature, l.f, cut, y, coalesce(sum(w) FILTER (v <= cut), 0) AS a, sum(w) AS t FROM {name}_l{r_} l JOIN {name}_c c ON l.f = c.f GROUP BY ALL),
+{name}_g{r_} AS (SELECT feature, f, cut, sum(t) AS whole, sum(a * a) / sum(a) + sum((t - a) * (t - a)) / sum(t - a) - sum(t * t) / sum(t) AS gain, max(a) AS ma, max(t - a) AS mb,
+                        -max(struct_pack(n := a, c := -y)).c AS lc, -max(struct_pack(n := t - a, c := -y)).c AS rc FROM {name}_h{r_} GROUP BY ALL HAVING sum(a) > 0 AND sum(t - a) > 0),
+{name}_b{r_} AS (SELECT *, 1 - (ma + mb) / whole AS e FROM {name}_g{r_} WHERE gain >= (SELECT max(gain) FROM {name}_g{r_}) - 1e-9 * whole ORDER BY f, cut LIMIT 1),
+{name}_a{r_} AS (SELECT *, {rate} * (ln((1 - e) / e) + ln({k} - 1)) AS alpha FROM {name}_b{r_}),
+{name}_w{r_ + 1} AS (SELECT row_id, {cols}, y, w * exp(CASE WHEN (CASE WHEN v <= cut THEN lc ELSE rc END) <> y THEN alpha ELSE 0 END) AS w
+                     FROM (SELECT x.*, l.v, a.cut, a.lc, a.rc, a.alpha FROM {name}_w{r_} x JOIN {name}_l{r_} l ON x.row_id = l.row_id JOIN {name}_a{r_} a ON l.f = a.f))"""
+        return out
+
+    shown = " UNION ALL ".join(
+        f"SELECT CAST({k} AS INTEGER) AS classes, CAST({i} AS INTEGER) AS round, feature, {r('cut')} AS threshold, CAST(lc AS INTEGER) AS left_class, CAST(rc AS INTEGER) AS right_class, "
+        f"{r('e')} AS error, {r('alpha')} AS alpha FROM {n}_a{i}" for n, k in (("two", 2), ("three", 3)) for i in range(1, rounds + 1))
+    return with_fixtures("," + chain("two", 2, f"SELECT row_id, {cols}, big AS y, 1.0::DOUBLE AS w FROM line_bin") + ","
+                         + chain("three", 3, f"SELECT row_id, {cols}, CAST(dense_rank() OVER (ORDER BY l_returnflag) - 1 AS INTEGER) AS y, 1.0::DOUBLE AS w FROM line_multi") + shown, "line_bin", "line_multi")
+
+
+ORACLE["model_ada_rounds"] = _ada_sql()
