@@ -23,6 +23,7 @@ a node is grown.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -279,6 +280,20 @@ class ExtraTreesModel:
         self.splits, self.subtrees, self.root_state, self.root_value = splits, subtrees, root_state, root_value
         self.n_nodes, self.importances, self.shift, self.scale = n_nodes, importances, shift, scale
 
+    def save(self, path: str) -> None:
+        """The forest as two Parquet tables and one line of facts below ``path``, which driver and executors share."""
+        self.splits.write.parquet(f"{path}/splits")
+        self.subtrees.write.parquet(f"{path}/subtrees")
+        facts = {"task": self.task, "n_features": self.n_features, "n_classes": self.n_classes, "n_trees": self.n_trees, "seed": self.seed, "root_state": int(self.root_state),
+                 "root_value": self.root_value, "n_nodes": int(self.n_nodes), "importances": [float(v) for v in self.importances], "shift": self.shift, "scale": self.scale}
+        self.splits.sparkSession.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.text(f"{path}/facts")
+
+    @staticmethod
+    def load(spark, path: str) -> ExtraTreesModel:
+        facts = json.loads(spark.read.text(f"{path}/facts").first().value)
+        importances = np.array(facts.pop("importances"))
+        return ExtraTreesModel(**facts, importances=importances, splits=spark.read.schema(SPLITS).parquet(f"{path}/splits"), subtrees=spark.read.schema(SUBTREES).parquet(f"{path}/subtrees"))
+
     def feature_importances(self, spark, names) -> DataFrame:
         """``(feature, vi_model_raw)`` for the importance blend."""
         return spark.createDataFrame([(n, float(v)) for n, v in zip(names, self.importances, strict=True)], "feature string, vi_model_raw double")

@@ -612,6 +612,21 @@ def rlt_flagship(spark, sf):
                                extra_trees("classification", name="RLT-naive")], "classification", {"RLT-naive": fr.p}, with_time=False)
 
 
+def rlt_saved(spark, sf):
+    """H14 kept and loaded again: test rows, and how many of them the loaded model scores differently."""
+    from sylva.models.rlt import RLTModel, rlt
+    from sylva.session import ensure_checkpoint_dir
+    import uuid
+    fr = fx.line_bin(spark, sf)
+    tr, te = _assembled_split(fr)
+    path = f"{ensure_checkpoint_dir(spark)}/sylva-rlt-{uuid.uuid4().hex}"
+    model = rlt("classification", list(fr.feature_cols)).fit(tr).model
+    model.save(path)
+    rows = te.select("row_id", "x")
+    both = model.transform(rows).select("row_id", "probability").join(RLTModel.load(spark, path).transform(rows).select("row_id", F.col("probability").alias("again")), "row_id", "full")
+    return both.agg(F.count("*").alias("n_rows"), F.count(F.when(~F.col("probability").eqNullSafe(F.col("again")), 1)).alias("n_different"))
+
+
 STUDY_P = 500
 
 
@@ -771,6 +786,6 @@ QUERIES.update({
     "vi_model_only": vi_model_only, "progressive": progressive,
     "model_bart_reg": model_bart_reg, "model_et_level1": model_et_level1, "study_plan": study_plan,
     "variant_grid_3x3": variant_grid_3x3, "part1_bakeoff": part1_bakeoff, "embedded_study_multi": embedded_study_multi,
-    "prep_dedupe_ids": prep_dedupe_ids, "model_rf_level1": model_rf_level1, "model_boost_level1": model_boost_level1, "model_ada_rounds": model_ada_rounds,
+    "prep_dedupe_ids": prep_dedupe_ids, "model_rf_level1": model_rf_level1, "model_boost_level1": model_boost_level1, "rlt_saved": rlt_saved, "model_ada_rounds": model_ada_rounds,
     "part1_bakeoff_multi": part1_bakeoff_multi,
 })

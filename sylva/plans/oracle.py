@@ -691,3 +691,5 @@ def _ada_sql(rounds: int = 3, rate: float = 0.1, cuts: int = 63, sample: int = 1
 
 
 ORACLE["model_ada_rounds"] = _ada_sql()
+# the test part is ceil(0.2 n) rows, and a model that is kept and loaded gives every one the same shares
+ORACLE["rlt_saved"] = "SELECT CAST(ceil(0.2 * count(*)) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM lineitem"

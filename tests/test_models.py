@@ -161,3 +161,18 @@ def test_extra_trees_regression_layout_stable(spark, sf):
     a = ExtraTrees("regression", n_trees=2, seed=7, local_rows=2500).fit(tr.repartition(1))
     b = ExtraTrees("regression", n_trees=2, seed=7, local_rows=2500).fit(tr.repartition(5))
     assert np.allclose(a.importances, b.importances, rtol=1e-3, atol=1e-6)
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_rlt_model_is_kept_and_loaded(spark, sf, tmp_path, task):
+    """All of it comes back from the path: features, combinations, upper levels, subtrees, scaling."""
+    from sylva.models.rlt import RLTModel, rlt
+
+    fr, tr, te = _split(spark, sf, fx.line_bin if task == "classification" else fx.line_reg)
+    tr, te = tr.limit(300).cache(), te.limit(80).cache()
+    model = rlt(task, list(fr.feature_cols), n_trees=5, top_n=4).fit(tr).model
+    model.save(f"{tmp_path}/m")
+    again = RLTModel.load(spark, f"{tmp_path}/m")
+    assert again.features == model.features and again.forest.n_nodes == model.forest.n_nodes
+    assert sorted(map(str, again.transform(te).select("row_id", "prediction").collect())) == sorted(map(str, model.transform(te).select("row_id", "prediction").collect()))
+    assert again.forest.importances.tolist() == model.forest.importances.tolist()
