@@ -8,8 +8,9 @@ halves differ in at most ``t`` bits share the anchor nearest to one of them.  At
 
 Equal fingerprints are merged before, so copies cost nothing.  At an anchor a search over those not
 yet reached gives a spanning forest of the links, not all pairs.  A task that meets more fingerprints at an anchor than
-``dense`` does not compare them but passes them on, and they are dealt anew by the bytes of the other half (four bytes, at
-most three differing bits: one is equal).
+``dense`` does not compare them but passes them on, and they are dealt anew by parts of the other half: of ``bits + 1`` parts one is equal.  Where
+too many meet there too, sixteen parts of two bits are taken, of which all but ``bits`` are equal: what meets then has 26 bits (for three)
+of one half in common and lies within the radius in the other, so it can't be more than 64 times 994 fingerprints, whatever the table.
 
 Defined results: null, empty and blank texts have fingerprint zero and are linked like any other; repeated
 rows are returned each, with the same values; component_id is the smallest id that is not null, null if
@@ -31,8 +32,9 @@ from sylva.llm.common import LOWER_TABLE, fresh, row_keys, saved
 from sylva.llm.components import components
 
 SEED = 42
-#: Anchors with more fingerprints than this are dealt anew by bytes of the other half.
-DENSE = 4096
+#: Anchors with more fingerprints than this are dealt anew by parts of the other half, and cells there with more once again.
+DENSE, DENSE_CELL = 4096, 65_536
+FINE_PARTS = 16
 _CODE_BITS, _CHECKS = 31, 5
 
 
@@ -125,15 +127,12 @@ def _groups(rows: np.ndarray, bits: int, dense: int) -> tuple[list[tuple[int, in
 
 
 def _compare(bits: int, dense: int):
-    """From rows sorted by their keys (fingerprint last): (cell -1, a, b) for links, (cell, anchor, fp) for what is dealt anew."""
+    """From rows sorted by their keys (anchor first, fingerprint last): (false, a, b) for links, (true, anchor, fp) for what is passed on."""
     def table(found: list[tuple[int, int]], large: list[np.ndarray]) -> pa.RecordBatch:
-        parts = [(np.full(len(found), -1), *np.array(found, dtype=np.int64).reshape(-1, 2).T)]
-        for rows in large:
-            anchor, fp = rows[0], rows[-1]
-            shift = np.where(anchor >= 1 << 32, 32, 0).astype(np.uint64)  # the half that this anchor does not cover
-            parts += [(256 * k + (fp.view(np.uint64) >> (shift + np.uint64(8 * k)) & np.uint64(255)).astype(np.int64), anchor, fp) for k in range(4)]
-        cell, a, b = (np.concatenate(c) for c in zip(*parts, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(cell.astype(np.int32)), pa.array(a), pa.array(b)], names=["cell", "a", "b"])
+        parts = [np.array(found, dtype=np.int64).reshape(-1, 2).T, *(rows[[0, -1]] for rows in large)]
+        passed = np.arange(sum(p.shape[1] for p in parts)) >= len(found)
+        a, b = np.concatenate(parts, axis=1)
+        return pa.RecordBatch.from_arrays([pa.array(passed), pa.array(a), pa.array(b)], names=["passed", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, passed = None, None  # the last group so far; the key of a group that is being passed on
@@ -162,13 +161,28 @@ def _compare(bits: int, dense: int):
     return run
 
 
-def links(fps: DataFrame, bits: int, dense: int = DENSE) -> DataFrame:
+def part_masks(parts: int, bits: int) -> list[int]:
+    """Masks of a 32-bit half that hold all but ``bits`` of so many parts: two halves that differ in at most ``bits`` bits are equal under one."""
+    each = [sum(1 << i for i in range(32 * k // parts, 32 * (k + 1) // parts)) for k in range(parts)]
+    return [sum(c) for c in combinations(each, parts - bits)]
+
+
+def links(fps: DataFrame, bits: int, dense: int = DENSE, dense_cell: int = DENSE_CELL) -> DataFrame:
     """(a, b) links among different fingerprints, enough of them to join all within ``bits`` of each other."""
-    schema = "cell int, a long, b long"
+    schema = "passed boolean, a long, b long"
     found, _ = saved(anchored(fps, bits // 2).repartition("anchor").sortWithinPartitions("anchor", "fp").mapInArrow(_compare(bits, dense), schema), "compared")
-    anew = (found.where("cell >= 0").select(F.col("a").alias("anchor"), "cell", F.col("b").alias("fp"))
-            .repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", "fp").mapInArrow(_compare(bits, 1 << 62), schema))
-    return found.where("cell < 0").select("a", "b").union(anew.select("a", "b"))
+    out = found.where("not passed").select("a", "b")
+    other = F.when(F.col("anchor") >= 1 << 32, F.shiftrightunsigned("fp", 32)).otherwise(F.col("fp").bitwiseAND((1 << 32) - 1))  # the half that the anchor does not cover
+    for parts, most in ((bits + 1, dense_cell), (FINE_PARTS, 1 << 62)):  # the last cells are bounded by themselves
+        crowd = found.where("passed")
+        if crowd.isEmpty():
+            break
+        mask = F.posexplode(F.array(*[F.lit(m).cast("long") for m in part_masks(parts, bits)])).alias("which", "mask")
+        dealt = (crowd.select(F.col("a").alias("anchor"), F.col("b").alias("fp")).distinct().select("anchor", "fp", mask)
+                 .select("anchor", (F.col("which").cast("long") * (1 << 32) + other.bitwiseAND(F.col("mask"))).alias("cell"), "fp"))
+        found, _ = saved(dealt.repartition("anchor", "cell").sortWithinPartitions("anchor", "cell", "fp").mapInArrow(_compare(bits, most), schema), "compared")
+        out = out.union(found.where("not passed").select("a", "b"))
+    return out
 
 
 def _labelled(docs: DataFrame, shingle: int, bits: int, id_col: str, text_col: str) -> DataFrame:

@@ -129,13 +129,25 @@ def test_links_lose_none(spark, bits):
     brute = [(i, j) for i in range(len(fps)) for j in range(i) if ((fps[i] ^ fps[j]) & (2**64 - 1)).bit_count() <= bits]
     want = roots(len(fps), brute)
     table = spark.createDataFrame([(x,) for x in fps], "fp long")
-    for dense in (5, 10**6):
-        found = [(r.a, r.b) for r in simhash.links(table, bits, dense).collect()]
+    for dense, cell in ((5, 10**6), (10**6, 10**6), (3, 2)):
+        found = [(r.a, r.b) for r in simhash.links(table, bits, dense, cell).collect()]
         at = {x: i for i, x in enumerate(fps)}
         got = roots(len(fps), [(at[a], at[b]) for a, b in found])
         assert len({*zip(want, got)}) == len(set(want)) == len(set(got))
 
 
+@pytest.mark.parametrize(("parts", "bits"), [(4, 3), (16, 3), (2, 1), (16, 1), (6, 5)])
+def test_halves_within_the_distance_share_a_masked_part(parts, bits):
+    rnd = np.random.default_rng(1)
+    masks = simhash.part_masks(parts, bits)
+    for _ in range(300):
+        x = int(rnd.integers(0, 2**32))
+        y = x
+        for b in rnd.choice(32, bits, replace=False):
+            y ^= 1 << int(b)
+        assert any(x & m == y & m for m in masks)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.tuples(st.integers(-30, 30), st.integers(-30, 30)), max_size=60))
 def test_components(spark, links):
