@@ -105,20 +105,43 @@ def one_hot(fr: Frame, cols: list[str] | None = None) -> Frame:
     return Frame(df, tuple(keep + names), fr.target_col, fr.id_cols, fr.problem_type)
 
 
+def dictionary(df: DataFrame, col: str) -> DataFrame:
+    """(value, code): the different values of a column, not null, numbered from 0 in sorted order, however many they are.
+
+    Values are sorted by ranges; a value's code is its place in its partition and the sizes of the partitions before (a row each), so
+    no task sees them all and nothing passes through the driver."""
+    values = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
+    placed = saved(values.repartitionByRange("value").sortWithinPartitions("value").withColumn("_at", F.monotonically_increasing_id()), "dictionary")
+    placed = placed.select("value", F.shiftright("_at", 33).alias("_part"), F.col("_at").bitwiseAND((1 << 33) - 1).alias("_nth"))
+    sizes = placed.groupBy("_part").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row per partition
+    return placed.join(sizes.select("_part", before.alias("_before")), "_part").select("value", (F.col("_before") + F.col("_nth")).alias("code"))
+
+
 def one_hot_vector(fr: Frame, col: str, out: str = "one_hot") -> DataFrame:
-    """D4 for a column of very many categories: one sparse vector column instead of a column per category.
+    """D4 for a column of very many categories: one sparse vector column for the learners instead of a column per category.
 
     Position i is the (i + 1)-th of the sorted categories, counted from the last; the first category and null are all zeros."""
-    from pyspark.ml.feature import OneHotEncoder, StringIndexer
+    from pyspark.ml.feature import OneHotEncoder
 
-    index = StringIndexer(inputCol=col, outputCol="_index", stringOrderType="alphabetDesc", handleInvalid="keep")
-    indexed = index.fit(fr.df.where(F.col(col).isNotNull())).transform(fr.df)
-    n = indexed.schema["_index"].metadata["ml_attr"]["vals"]
-    first = len(n) - 2  # the first category in sorted order; the last index is for null
-    indexed = indexed.withColumn("_index", F.least(F.col("_index"), F.lit(float(first))))
+    sparse = one_hot_sparse(fr, col, "_sparse")
+    # the encoder drops its last index: the one of the first category and of null
+    indexed = sparse.withColumn("_index", F.coalesce(F.col("_sparse.size") - 1 - F.get("_sparse.indices", F.lit(0)), F.col("_sparse.size")).cast("double")).drop("_sparse")
     return OneHotEncoder(inputCol="_index", outputCol=out, dropLast=True).fit(indexed).transform(indexed).drop("_index")
 
 
+def one_hot_sparse(fr: Frame, col: str, out: str = "one_hot") -> DataFrame:
+    """D4 in plain columns: ``out`` is a struct of size, indices and values; index i is the (i + 2)-th of the sorted categories, the first one and null
+    have none."""
+    codes = dictionary(fr.df, col)
+    size = codes.agg(F.greatest(F.count(F.lit(1)) - 1, F.lit(0)).alias("_size"))  # one row
+    hot = F.col("_code") > 0
+    none = F.array().cast("array<bigint>"), F.array().cast("array<double>")
+    sparse = F.struct(F.col("_size").alias("size"), F.when(hot, F.array(F.col("_code") - 1)).otherwise(none[0]).alias("indices"), F.when(hot, F.array(F.lit(1.0))).otherwise(none[1]).alias("values"))
+    coded = fr.df.join(codes.withColumnsRenamed({"value": "_value", "code": "_code"}), F.col(col) == F.col("_value"), "left")
+    return coded.join(F.broadcast(size)).select(*fr.df.columns, sparse.alias(out))
+
+
 def encode_label(fr: Frame, label_col: str = "label") -> tuple[Frame, DataFrame | None]:
     """String target -> 0..K-1 in sorted order; numeric targets unchanged (as double).
 
@@ -127,8 +150,7 @@ def encode_label(fr: Frame, label_col: str = "label") -> tuple[Frame, DataFrame
     if not isinstance(dt, T.StringType):
         df = fr.df.select(*fr.id_cols, *fr.feature_cols, F.col(fr.target_col).cast("double").alias(label_col))
         return Frame(df, fr.feature_cols, label_col, fr.id_cols, fr.problem_type), None
-    classes = fr.df.select(F.col(fr.target_col).alias("class")).where(F.col("class").isNotNull()).distinct()
-    classes = classes.select("class", (F.row_number().over(Window.orderBy("class")) - 1).cast("double").alias("label"))
+    classes = dictionary(fr.df, fr.target_col).select(F.col("value").alias("class"), F.col("code").cast("double").alias("label"))
     df = (fr.df.join(classes.withColumnsRenamed({"class": "_class", "label": "_label"}), F.col(fr.target_col) == F.col("_class"), "left")
           .select(*fr.id_cols, *fr.feature_cols, F.col("_label").alias(label_col)))
     return Frame(df, fr.feature_cols, label_col, fr.id_cols, fr.problem_type), classes

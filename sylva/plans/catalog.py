@@ -128,6 +128,20 @@ def prep_label(spark, sf):
     return rounded(fr.df)
 
 
+def prep_label_wide(spark, sf):
+    """D5 for a label of very many classes: all parts' names, numbered in sorted order."""
+    codes = prepare.dictionary(load(spark, sf, "part"), "p_name")
+    return load(spark, sf, "part").select("p_partkey", "p_name").join(codes, F.col("p_name") == F.col("value")).select("p_partkey", "p_name", F.col("code").alias("label"))
+
+
+def prep_onehot_wide(spark, sf):
+    """D4 for a column of very many categories: the customers of all orders as sparse vectors, first category dropped."""
+    from sylva.frame import Frame
+    df = load(spark, sf, "orders").select("o_orderkey", "o_custkey")
+    hot = prepare.one_hot_sparse(Frame(df, ("o_custkey",), "o_orderkey", ("o_orderkey",), None), "o_custkey")
+    return hot.select("o_orderkey", F.col("one_hot.size").alias("size"), F.get("one_hot.indices", F.lit(0)).alias("hot_index"), F.size("one_hot.values").cast("long").alias("n_hot"))
+
+
 def prep_scale(spark, sf):
     return rounded(prepare.standardize(fx.line_reg(spark, sf)).df)
 
@@ -786,6 +800,6 @@ QUERIES.update({
     "vi_model_only": vi_model_only, "progressive": progressive,
     "model_bart_reg": model_bart_reg, "model_et_level1": model_et_level1, "study_plan": study_plan,
     "variant_grid_3x3": variant_grid_3x3, "part1_bakeoff": part1_bakeoff, "embedded_study_multi": embedded_study_multi,
-    "prep_dedupe_ids": prep_dedupe_ids, "model_rf_level1": model_rf_level1, "model_boost_level1": model_boost_level1, "rlt_saved": rlt_saved, "model_ada_rounds": model_ada_rounds,
+    "prep_dedupe_ids": prep_dedupe_ids, "model_rf_level1": model_rf_level1, "model_boost_level1": model_boost_level1, "rlt_saved": rlt_saved, "prep_label_wide": prep_label_wide, "prep_onehot_wide": prep_onehot_wide, "model_ada_rounds": model_ada_rounds,
     "part1_bakeoff_multi": part1_bakeoff_multi,
 })

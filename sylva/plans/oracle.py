@@ -693,3 +693,7 @@ def _ada_sql(rounds: int = 3, rate: float = 0.1, cuts: int = 63, sample: int = 1
 ORACLE["model_ada_rounds"] = _ada_sql()
 # the test part is ceil(0.2 n) rows, and a model that is kept and loaded gives every one the same shares
 ORACLE["rlt_saved"] = "SELECT CAST(ceil(0.2 * count(*)) AS BIGINT) AS n_rows, CAST(0 AS BIGINT) AS n_different FROM lineitem"
+ORACLE["prep_label_wide"] = "SELECT p_partkey, p_name, dense_rank() OVER (ORDER BY p_name) - 1 AS label FROM part"
+ORACLE["prep_onehot_wide"] = """
+WITH c AS (SELECT o_orderkey, dense_rank() OVER (ORDER BY o_custkey) - 1 AS code FROM orders)
+SELECT o_orderkey, (SELECT max(code) FROM c) AS size, CASE WHEN code > 0 THEN code - 1 END AS hot_index, CAST(code > 0 AS BIGINT) AS n_hot FROM c"""
