@@ -4,6 +4,8 @@ A byte-level BPE file splits a text by a fixed pattern and merges inside each pa
 runs from a non-blank character into a following blank one, or from an ASCII letter into an ASCII
 character that is none, so a text may be cut there and the ids of the chunks concatenated.  Chunks
 recur, so a worker keeps the ids of those that it has met in a table by hash and encodes only new ones.
+A chunk found in the table is compared byte by byte with the one met before, so equal hashes are no assumption; chunks of more than
+``LONG`` bytes are encoded each time, so the table stays small.
 Texts with blanks other than space and line feed are encoded whole, and so are texts that hold an added token
 of the vocabulary (such as ``<|endoftext|>``), which the library looks for before it splits.  With ``literal``, special tokens
 in a text are no tokens: their characters are encoded as any others.
@@ -26,8 +28,20 @@ _KIND = np.array([0 if b in (0x20, 0x0A) else 4 if b in (9, 11, 12, 13, 28, 29,
 #: Bytes that begin a blank beyond ASCII (and many other characters).
 _WIDE_LEAD = re.compile(b"\xc2[\x85\xa0]|\xe1[\x9a\xa0]|\xe2[\x80\x81]|\xe3\x80|\xef\xbb")
 _WIDE_BLANK = re.compile("[^\\S \\n]|[\u180e\u200b\u2060\ufeff]")
-TABLE_BITS = 21
+TABLE_BITS = 20
 TABLE_FILL = 0.6
+#: Chunks of more bytes are not kept.
+LONG = 64
+#: Bytes of text handled at once: a worker's arrays are some fifty times as large.
+ENCODED_BYTES = 1 << 18
+
+
+def _filled(pool: np.ndarray, used: int, new: np.ndarray) -> np.ndarray:
+    """``pool`` with ``new`` from place ``used`` on, grown by doubling."""
+    while used + len(new) > len(pool):
+        pool = np.concatenate([pool, np.zeros_like(pool)])
+    pool[used : used + len(new)] = new
+    return pool
 
 
 class Encoder:
@@ -46,10 +60,13 @@ class Encoder:
     def _clear(self) -> None:
         size = 1 << TABLE_BITS
         self._keys = np.zeros(size, dtype=np.uint64)
-        self._at = np.zeros(size, dtype=np.int64)
-        self._count = np.zeros(size, dtype=np.int32)
+        self._at = np.zeros(size, dtype=np.int32)
+        self._count = np.zeros(size, dtype=np.int16)
         self._pool = np.zeros(1 << 16, dtype=np.uint32)
-        self._used = self._known = 0
+        self._bytes_at = np.zeros(size, dtype=np.int32)
+        self._length = np.zeros(size, dtype=np.int16)
+        self._bytes = np.zeros(1 << 16, dtype=np.uint8)
+        self._used = self._known = self._bytes_used = 0
 
     def raw(self, texts: list[str]) -> list[array]:
         return [array("I", x.ids) for x in self._tok.encode_batch_fast(texts, add_special_tokens=False)]
@@ -69,20 +86,29 @@ class Encoder:
             open_ = open_[~hit & (there != 0)]
         return out
 
-    def _add(self, keys: np.ndarray, ids: list[array]) -> None:
+    def _add(self, keys: np.ndarray, chunks: list[bytes]) -> None:
+        """Encodes new chunks and keeps their ids and bytes."""
         mask = (1 << TABLE_BITS) - 1
-        flat = np.frombuffer(b"".join(x.tobytes() for x in ids), dtype=np.uint32)
-        while self._used + len(flat) > len(self._pool):
-            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
-        self._pool[self._used : self._used + len(flat)] = flat
-        at = self._used
+        ids = self.raw([x.decode() for x in chunks])
+        self._pool = _filled(self._pool, self._used, np.frombuffer(b"".join(x.tobytes() for x in ids), dtype=np.uint32))
+        self._bytes = _filled(self._bytes, self._bytes_used, np.frombuffer(b"".join(chunks), dtype=np.uint8))
         slots = (keys >> np.uint64(64 - TABLE_BITS)).tolist()
-        for key, slot, x in zip(keys, slots, ids, strict=True):
+        for key, slot, x, chunk in zip(keys, slots, ids, chunks, strict=True):
             while self._keys[slot]:
                 slot = (slot + 1) & mask
-            self._keys[slot], self._at[slot], self._count[slot] = key, at, len(x)
-            at += len(x)
-        self._used, self._known = at, self._known + len(ids)
+            self._keys[slot], self._at[slot], self._count[slot] = key, self._used, len(x)
+            self._bytes_at[slot], self._length[slot] = self._bytes_used, len(chunk)
+            self._used, self._bytes_used = self._used + len(x), self._bytes_used + len(chunk)
+        self._known += len(ids)
+
+    def _same(self, slot: np.ndarray, data: np.ndarray, a: np.ndarray, b: np.ndarray) -> bool:
+        """Whether the chunks [a, b) of ``data`` are those of the table's slots."""
+        size = b - a
+        if (self._length[slot] != size).any():
+            return False
+        before = np.cumsum(size) - size
+        step = np.arange(int(size.sum()))
+        return bool((self._bytes[np.repeat(self._bytes_at[slot].astype(np.int64) - before, size) + step] == data[np.repeat(a - before, size) + step]).all())
 
     def block(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block's rows one after another, and the number of ids of each row."""
@@ -106,6 +132,27 @@ class Encoder:
             whole = odd[row]
             keep = ~whole | (a == block.start[row])
             a, b, row = a[keep], np.where(odd[row], block.end[row], b)[keep], row[keep]
+        long = np.flatnonzero(b - a > LONG)
+        short = np.flatnonzero(b - a <= LONG)
+        slot = self._slots(block, text, a[short], b[short])
+        if slot is None:
+            return self._whole(block, text)
+        if not len(long):
+            count = self._count[slot].astype(np.int64)
+            at, pool = self._at[slot].astype(np.int64), self._pool
+        else:
+            ids = self.raw([text[i:j].decode() for i, j in zip(a[long].tolist(), b[long].tolist(), strict=True)])
+            count, at = np.zeros(len(a), dtype=np.int64), np.zeros(len(a), dtype=np.int64)
+            count[short], at[short] = self._count[slot], self._at[slot]
+            count[long] = [len(x) for x in ids]
+            at[long] = self._used + np.cumsum(count[long]) - count[long]
+            pool = np.concatenate([self._pool[: self._used], np.frombuffer(b"".join(x.tobytes() for x in ids), dtype=np.uint32)])
+        stop = np.cumsum(count)
+        total = int(stop[-1]) if len(stop) else 0
+        return pool[np.repeat(at - (stop - count), count) + np.arange(total)], np.bincount(row, weights=count, minlength=n).astype(np.int64)
+
+    def _slots(self, block: Block, text: bytes, a: np.ndarray, b: np.ndarray) -> np.ndarray | None:
+        """The table slots of chunks, new ones added; none if two different chunks share a hash or the table can't hold them."""
         keys = span_hash(byte_prefix(block.data), a, b)
         keys[keys == 0] = 1
         slot = self._find(keys)
@@ -117,24 +164,20 @@ class Encoder:
                 new_keys, one = np.unique(keys, return_index=True)
                 new = np.arange(len(keys))
             if len(new_keys) > TABLE_FILL * (1 << TABLE_BITS):
-                return self._whole(block, text)
+                return None
             one = new[one]
-            self._add(new_keys, self.raw([text[i:j].decode() for i, j in zip(a[one].tolist(), b[one].tolist(), strict=True)]))
+            self._add(new_keys, [text[i:j] for i, j in zip(a[one].tolist(), b[one].tolist(), strict=True)])
             slot[new] = self._find(keys[new])
-        count = self._count[slot].astype(np.int64)
-        stop = np.cumsum(count)
-        total = int(stop[-1]) if len(stop) else 0
-        ids = self._pool[np.repeat(self._at[slot] - (stop - count), count) + np.arange(total)]
-        return ids, np.bincount(row, weights=count, minlength=n).astype(np.int64)
+        return slot if self._same(slot, block.data, a, b) else None
 
     def _whole(self, block: Block, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """A block with more different chunks than the table holds."""
+        """A block that the table can't serve."""
         got = self.raw([text[i:j].decode() for i, j in zip(block.start.tolist(), block.end.tolist(), strict=True)])
         return np.frombuffer(b"".join(x.tobytes() for x in got), dtype=np.uint32), np.array([len(x) for x in got], dtype=np.int64)
 
     def column(self, column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """For runs of rows of a text column (null: empty): the first row, all ids, the number of ids of each row."""
-        for block in blocks(column):
+        for block in blocks(column, ENCODED_BYTES):
             yield block.first, *self.block(block)
 
 

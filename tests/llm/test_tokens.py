@@ -36,6 +36,38 @@ def test_chunks_give_the_library_s_ids(texts):
     assert got == want
 
 
+def thue_morse(n):
+    return "".join("ab"[i.bit_count() & 1] for i in range(n))
+
+
+@pytest.mark.parametrize("size", [64, 2048, 4096])
+def test_words_with_equal_hashes_get_their_own_ids(size, encode):
+    """The Thue-Morse word and its complement have one polynomial hash modulo 2**64 from 2048 characters on."""
+    import pyarrow as pa
+
+    from sylva.llm import tokens
+
+    word = thue_morse(size)
+    other = word.translate(str.maketrans("ab", "ba"))
+    enc = tokens.Encoder(VOCABULARY)
+    for _ in range(2):
+        got = [x.tolist() for _, ids, counts in enc.column(pa.array([word, other, f"{word} {other}"])) for x in np.split(ids, np.cumsum(counts)[:-1])]
+        assert got == [encode(t).tolist()[:-1] for t in (word, other, f"{word} {other}")]
+
+
+def test_a_hash_shared_by_short_chunks_is_noticed(monkeypatch, encode):
+    """All chunks get one hash: the ids still are the library's."""
+    import pyarrow as pa
+
+    from sylva.llm import tokens
+
+    monkeypatch.setattr(tokens, "span_hash", lambda sums, a, b: np.full(len(a), 7, dtype=np.uint64))
+    enc = tokens.Encoder(VOCABULARY)
+    texts = ["one two three", "four", "one one", ""]
+    got = [x.tolist() for _, ids, counts in enc.column(pa.array(texts)) for x in np.split(ids, np.cumsum(counts)[:-1])]
+    assert got == [encode(t).tolist()[:-1] for t in texts]
+
+
 @pytest.mark.parametrize("planes", ["bit", "byte"])
 @given(ids=st.lists(st.integers(0, 2**32 - 1), min_size=1, max_size=300))
 @settings(max_examples=40, deadline=None)
@@ -48,7 +80,7 @@ def test_planes_round_trip(planes, ids):
 @pytest.mark.parametrize(("planes", "block"), [("bit", 1000), ("byte", 65536)])
 def test_store_reads_back_every_id(spark, odd, odd_rows, encode, planes, block):
     path = scratch_path(spark, "test")
-    token_store.write_tokens(odd, path, VOCABULARY, block_ids=block, planes=planes)
+    token_store.write_tokens(odd, path, VOCABULARY, block_ids=block, planes=planes, shard_bytes=40_000 if block == 1000 else 1 << 24)
     got = token_store.read_tokens(spark, path).collect()
     assert sorted((str(r.doc_id), bytes(r.ids)) for r in got) == sorted((str(i), encode(t).tobytes()) for i, t in odd_rows)
     at = 0
