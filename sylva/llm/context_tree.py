@@ -13,7 +13,7 @@ Nothing of the model passes through the driver or is sent to all tasks:
 2. ``tree``: counts are added up and climb from the longest contexts to the empty one by aggregates, with the weighted probabilities;
    mixture weights come down again by one join a level, as the two coefficients a, b of ``a * (deeper mixture) + b``.  Strings that no training text has
    take part with counts of 0, which changes no other node, so every string to be scored has its node and no rule for unknown ones is needed.
-3. ``scores``: each packet's strings and words are joined with their probabilities and counts, and meet the packet's texts in one sorted stream.
+3. ``score``: each packet's strings and words are joined with their probabilities and counts, and meet the packet's texts in one row.
 
 Beside it stands a base of single words: the sum of log10((c + 1) / (N + V + 1)) over words and the end.
 
@@ -37,8 +37,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from sylva.llm.bytespans import blocks
 from sylva.llm.common import LOWER_TABLE, discard, saved
 
-DEPTH = 5
-PACKET_BYTES = 32 << 20
+DEPTH = 4
+PACKET_BYTES = 24 << 20
 #: Positions handled at once.
 PIECE = 1 << 19
 #: Strings that a task holds before equal ones are added up.
@@ -56,21 +56,51 @@ def strings(texts: list[bytes], depth: int) -> Iterator[tuple[int, np.ndarray]]:
     """For pieces of all texts one after another: the place of the first byte, and of every byte the string of it and the ``depth`` before
     (zero before a text's begin) as one number."""
     size = np.array([len(t) for t in texts], dtype=np.int64)
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    start = np.cumsum(size) - size
+    pad = bytes(depth)
+    data = np.frombuffer(b"".join([pad + t for t in texts]), dtype=np.uint8)
+    real = np.ones(len(data), dtype=bool)
+    begin = np.cumsum(size + depth) - size - depth
+    real[(begin[:, None] + np.arange(depth)).ravel()] = False
+    done = 0
     for lo in range(0, len(data), PIECE):
         hi = min(len(data), lo + PIECE)
-        part = data[max(0, lo - depth) : hi].astype(np.int64)
-        shift = lo - max(0, lo - depth)
-        place = np.arange(lo, hi)
-        before = place - start[np.searchsorted(start, place, side="right") - 1] if depth else place
-        out = part[shift:].copy()
+        part = np.zeros(hi - lo + depth, dtype=np.int64)
+        part[max(0, depth - lo) :] = data[max(0, lo - depth) : hi]
+        out = part[depth:].copy()
         for k in range(1, depth + 1):
-            past = np.zeros(hi - lo, dtype=np.int64)
-            there = np.flatnonzero(before >= k)
-            past[there] = part[there + shift - k]
-            out |= past << (8 * k)
-        yield lo, out
+            out |= part[depth - k : len(part) - k] << (8 * k)
+        out = out[real[lo:hi]]
+        if len(out):
+            yield done, out
+        done += len(out)
+
+
+class Lookup:
+    """Numbers by key, found for many keys at once: an open table, at most a quarter full, each probe one vectorised step."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits)
+        slot, left = self._slot(keys), np.arange(len(keys))
+        while len(left):
+            free = left[self.keys[slot[left]] == -1]
+            self.keys[slot[free]] = keys[free]  # of several keys at one slot the last stays
+            mine = free[self.keys[slot[free]] == keys[free]]
+            self.values[slot[mine]] = values[mine]
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Values of keys that are all there."""
+        slot = self._slot(keys)
+        left = np.flatnonzero(self.keys[slot] != keys)
+        while len(left):
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            left = left[self.keys[slot[left]] != keys[left]]
+        return self.values[slot]
 
 
 def _added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +147,7 @@ def gather(docs: DataFrame, learn: Column, depth: int, id_col: str = "doc_id", t
             keys_, sizes = pa.concat_arrays(ids), pa.array([len(t) for t in texts], pa.int64())
             one = [0, len(texts)]
             yield _rows(schema, 1, packet=pa.array([packet]), kind=pa.array([TEXTS], pa.int32()), ids=pa.ListArray.from_arrays(one, keys_), sizes=pa.ListArray.from_arrays(one, sizes),
-                        texts=pa.array([zstandard.ZstdCompressor(level=1).compress(b"".join(texts))], pa.binary()))
+                        texts=pa.array([zstandard.ZstdCompressor(level=3).compress(b"".join(texts))], pa.binary()))
 
         for batch in batches:
             trains = batch.column(1).to_pylist()
@@ -137,7 +167,10 @@ def gather(docs: DataFrame, learn: Column, depth: int, id_col: str = "doc_id", t
         if texts:
             yield from close()
 
-    return docs.select(F.col(id_col).alias("doc_id"), learn.alias("learn"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+    given = docs.select(F.col(id_col).alias("doc_id"), learn.alias("learn"), F.col(text_col).cast("string").alias("text"))
+    total = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    # neighbouring partitions of small files fill a packet together: the fewer packets, the fewer strings are asked for twice
+    return given.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, total // packet_bytes + 1)).mapInArrow(run, schema)
 
 
 # ------------------------------------------------------------------ the tree, in DataFrame functions
@@ -170,23 +203,29 @@ def tree(counts: DataFrame, depth: int) -> DataFrame:
     # rows of a context meet before they are multiplied: grouping by context and node then shuffles nothing
     each = decisions(counts.withColumn("ctx", F.shiftright("key", 8)).repartition("ctx"))
     zeros, ones = F.col("zeros").cast("double"), F.col("ones").cast("double")
+    own = _estimate(zeros, ones)
+
+    def weighted(d: int) -> Column:
+        """ln of the weighted probability of a node's zeros and ones."""
+        if d == depth:
+            return own
+        return F.greatest(own, F.col("below")) + F.log1p(F.exp(-F.abs(own - F.col("below")))) - math.log(2)
+
     level = each.groupBy("ctx", "node").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones"))
-    level = level.withColumn("below", F.lit(None).cast("double")).withColumn("own", _estimate(zeros, ones)).withColumn("weighted", F.col("own"))
     levels, paths = {}, []
     for d in range(depth, -1, -1):
         if d < depth:
             parent = F.col("ctx").bitwiseAND((1 << 8 * d) - 1)
-            level = (levels[d + 1].groupBy(parent.alias("ctx"), "node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below"))
-                     .withColumn("own", _estimate(zeros, ones))
-                     .withColumn("weighted", F.greatest("own", "below") + F.log1p(F.exp(-F.abs(F.col("own") - F.col("below")))) - math.log(2)))
+            level = (levels[d + 1].select(parent.alias("ctx"), "node", "zeros", "ones", weighted(d + 1).alias("weighted")).groupBy("ctx", "node")
+                     .agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("below")))
         levels[d], path = saved(level, f"contexts-{d}")
         paths.append(path)
     here = (ones + 0.5) / (zeros + ones + 1.0)
     mixed = levels[0].withColumn("a", F.lit(1.0)).withColumn("b", F.lit(0.0))
     for d in range(depth):
         # at a node: its own estimate has the weight 1 / (1 + exp(below - own)), the child's mixture the rest
-        mine = 1 / (1 + F.exp(F.col("below") - F.col("own")))
-        parents = mixed.select(F.col("ctx").alias("up"), "node", (F.col("a") / (1 + F.exp(F.col("own") - F.col("below")))).alias("a"), (F.col("b") + F.col("a") * mine * here).alias("b"))
+        mine = 1 / (1 + F.exp(F.col("below") - own))
+        parents = mixed.select(F.col("ctx").alias("up"), "node", (F.col("a") / (1 + F.exp(own - F.col("below")))).alias("a"), (F.col("b") + F.col("a") * mine * here).alias("b"))
         up = F.col("ctx").bitwiseAND((1 << 8 * d) - 1)
         mixed = levels[d + 1].withColumn("up", up).join(parents, ["up", "node"]).drop("up")
     one = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("b") + F.col("a") * here))
@@ -229,60 +268,49 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, id_col: str = "doc
     spark, kind = docs.sparkSession, docs.schema[id_col].dataType
     packets, _ = saved(gather(docs, learn, depth, id_col, text_col, packet_bytes), "packets")
     found = packets.where(F.col("kind") == STRING).select("packet", "key", "n")
-    logs = tree(found.groupBy("key").agg(F.sum("n").alias("n")), depth)
+    counts, path = saved(found.groupBy("key").agg(F.sum("n").alias("n")), "string-counts")
+    logs = tree(counts, depth)
+    discard(spark, path)
+    found = found.drop("n")
     listed = packets.where(F.col("kind") == WORD).select("packet", "word", "n")
     words, _ = saved(listed.groupBy("word").agg(F.sum("n").alias("c")), "word-counts")
     total = words.agg(F.sum("c").alias("n"), F.count(F.when(F.col("c") > 0, 1)).alias("v")).first()
     n_train, different = total.n or 0, total.v
 
-    stream = T.StructType([T.StructField("packet", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("word", T.BinaryType()),
-                           T.StructField("value", T.DoubleType()), *_schema(kind).fields[5:]])
-    empty = {f.name: F.lit(None).cast(f.dataType) for f in stream.fields}
+    texts = packets.where(F.col("kind") == TEXTS).select("packet", "ids", "sizes", "texts")
+    n = max(1, texts.count())
 
-    def part(rows: DataFrame, which: int) -> DataFrame:
-        return rows.select(*[F.lit(which).alias(c) if c == "kind" else F.col(c) if c in rows.columns else v.alias(c) for c, v in empty.items()])
+    def gathered(rows: DataFrame, *columns: str) -> DataFrame:
+        """A packet's rows as arrays side by side: as many as the packet has different strings or words."""
+        return rows.repartition(n, "packet").groupBy("packet").agg(*[F.collect_list(c).alias(f"{c}s") for c in columns])
 
-    answers = (part(found.join(logs, "key").select("packet", "key", F.col("log10p").alias("value")), STRING)
-               .union(part(listed.join(words, "word").select("packet", "word", F.col("c").cast("double").alias("value")), WORD))
-               .union(part(packets.where(F.col("kind") == TEXTS).select("packet", "ids", "sizes", "texts"), TEXTS)))
+    answers = (texts.repartition(n, "packet").join(gathered(found.join(logs, "key").select("packet", "key", "log10p"), "key", "log10p"), "packet")
+               .join(gathered(listed.join(words, "word").select("packet", "word", "c"), "word", "c"), "packet"))
     schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(c, T.LongType()) for c in ("n_bytes", "n_tokens", "n_known")], T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType())])
-    return (answers.repartition("packet").sortWithinPartitions("packet", "kind", "key")
-            .mapInArrow(_scorer(schema, depth, math.log10(n_train + different + 1)), schema)
+    return (answers.select("ids", "sizes", "texts", "keys", "log10ps", "words", "cs").mapInArrow(_scorer(schema, depth, math.log10(n_train + different + 1)), schema)
             .select("doc_id", "n_bytes", "n_tokens", "n_known", F.lit(n_train).cast("long").alias("train_tokens"), "base_score", "score"))
 
 
 def _scorer(schema: T.StructType, depth: int, scale: float):
-    """A packet's strings come first, in order, then its words, then its texts."""
+    """Scores the texts of packets, each with the answers for all its strings and words."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs, words = [], [], {}
         for batch in batches:
-            kind = batch.column("kind").to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(kind)) + 1).tolist(), len(kind)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                mine = batch.slice(a, b - a)
-                if a == b:
-                    continue
-                if kind[a] == STRING:
-                    keys.append(mine.column("key").to_numpy())
-                    logs.append(mine.column("value").to_numpy())
-                elif kind[a] == WORD:
-                    counts = mine.column("value").to_numpy()
-                    words.update(zip(mine.column("word").to_pylist(), np.log10(counts + 1).tolist(), strict=True))
-                else:
-                    yield _scored(schema, mine, np.concatenate(keys), np.concatenate(logs), words, depth, scale)  # one row: every packet has strings
-                    keys, logs, words = [], [], {}
+            for i in range(batch.num_rows):
+                yield _scored(schema, {c: batch.column(c)[i] for c in batch.schema.names}, depth, scale)
 
     return run
 
 
-def _scored(schema: T.StructType, row: pa.RecordBatch, keys: np.ndarray, logs: np.ndarray, words: dict[bytes, float], depth: int, scale: float) -> pa.RecordBatch:
-    ids, sizes = row.column("ids")[0].values, row.column("sizes")[0].values.to_numpy()
-    raw = zstandard.ZstdDecompressor().decompress(row.column("texts")[0].as_py(), max_output_size=int(sizes.sum()) + 1)
+def _scored(schema: T.StructType, row: dict[str, pa.Scalar], depth: int, scale: float) -> pa.RecordBatch:
+    ids, sizes = row["ids"].values, row["sizes"].values.to_numpy()
+    raw = zstandard.ZstdDecompressor().decompress(row["texts"].as_buffer(), max_output_size=int(sizes.sum()) + 1)
+    table = Lookup(row["keys"].values.to_numpy(), row["log10ps"].values.to_numpy())
+    words = dict(zip(row["words"].values.to_pylist(), np.log10(row["cs"].values.to_numpy() + 1.0).tolist(), strict=True))
     ends = np.cumsum(sizes)
     texts = [raw[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
     total = np.zeros(len(texts))
     for lo, found in strings(texts, depth):
-        value = logs[np.searchsorted(keys, found)]
+        value = table.find(found)
         first = int(np.searchsorted(ends, lo, side="right"))
         last = int(np.searchsorted(ends, lo + len(found) - 1, side="right"))
         begin = np.maximum((ends - sizes)[first : last + 1] - lo, 0)
