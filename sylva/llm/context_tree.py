@@ -42,7 +42,7 @@ PACKET_BYTES = 24 << 20
 #: Positions handled at once.
 PIECE = 1 << 19
 #: Strings that a task holds before equal ones are added up.
-HELD_STRINGS = 1 << 21
+HELD_STRINGS = 1 << 19
 #: The end of a text as a word: no word holds a blank.
 END = b"\n"
 STRING, WORD, TEXTS = 1, 2, 3
@@ -278,7 +278,7 @@ def score(docs: DataFrame, learn: Column, depth: int = DEPTH, id_col: str = "doc
     n_train, different = total.n or 0, total.v
 
     texts = packets.where(F.col("kind") == TEXTS).select("packet", "ids", "sizes", "texts")
-    n = max(1, texts.count())
+    n = 4 * max(1, texts.count())  # so that few packets share a task, and with it an Arrow batch
 
     def gathered(rows: DataFrame, *columns: str) -> DataFrame:
         """A packet's rows as arrays side by side: as many as the packet has different strings or words."""
