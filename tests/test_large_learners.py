@@ -65,6 +65,14 @@ def test_rows_of_equal_bins_are_one_cell(spark):
     assert sizes[0] == sizes[1] <= 3 * 2 * 2 * 2
 
 
+@pytest.mark.parametrize("x, y", [([1.0, None], 0.0), ([1.0, 2.0], None)])
+def test_nulls_are_refused_not_learned_from(spark, x, y):
+    rows = spark.createDataFrame([(x, y), ([1.0, 2.0], 1.0)], "x array<double>, label double")
+    for make in (lambda: cells(rows, [np.array([1.5])] * 2, True), lambda: logistic.fit(rows)):
+        with pytest.raises(Exception, match="must not be null"):
+            make()
+
+
 @pytest.mark.parametrize("l1, l2", [(0.02, 0.0), (0.0, 0.01), (0.0, 0.0)])
 def test_newton_reaches_the_optimum(spark, l1, l2):
     table = _table(spark, classes=2)
