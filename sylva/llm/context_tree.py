@@ -54,14 +54,26 @@ def normal(words: list[bytes]) -> bytes:
 
 def strings(texts: list[bytes], depth: int) -> Iterator[tuple[int, np.ndarray]]:
     """For pieces of all texts one after another: the place of the first byte, and of every byte the string of it and the ``depth`` before
-    (zero before a text's begin) as one number."""
+    (zero before a text's begin) as one number.  Texts are joined in groups of about ``PIECE`` bytes, so no second copy of all of them is held."""
+    done, first = 0, 0
+    while first < len(texts):
+        last, held = first, 0
+        while last < len(texts) and held < PIECE:
+            held += len(texts[last]) + depth
+            last += 1
+        for out in _joined_strings(texts[first:last], depth):
+            yield done, out
+            done += len(out)
+        first = last
+
+
+def _joined_strings(texts: list[bytes], depth: int) -> Iterator[np.ndarray]:
     size = np.array([len(t) for t in texts], dtype=np.int64)
     pad = bytes(depth)
     data = np.frombuffer(b"".join([pad + t for t in texts]), dtype=np.uint8)
     real = np.ones(len(data), dtype=bool)
     begin = np.cumsum(size + depth) - size - depth
     real[(begin[:, None] + np.arange(depth)).ravel()] = False
-    done = 0
     for lo in range(0, len(data), PIECE):
         hi = min(len(data), lo + PIECE)
         part = np.zeros(hi - lo + depth, dtype=np.int64)
@@ -71,15 +83,14 @@ def strings(texts: list[bytes], depth: int) -> Iterator[tuple[int, np.ndarray]]:
             out |= part[depth - k : len(part) - k] << (8 * k)
         out = out[real[lo:hi]]
         if len(out):
-            yield done, out
-        done += len(out)
+            yield out
 
 
 class Lookup:
-    """Numbers by key, found for many keys at once: an open table, at most a quarter full, each probe one vectorised step."""
+    """Numbers by key, found for many keys at once: an open table, at most half full, each probe one vectorised step."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        self.bits = max(4, int(4 * max(1, len(keys)) - 1).bit_length())
+        self.bits = max(4, int(2 * max(1, len(keys)) - 1).bit_length())
         self.keys, self.values = np.full(1 << self.bits, -1, dtype=np.int64), np.zeros(1 << self.bits)
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):
@@ -308,6 +319,7 @@ def _scored(schema: T.StructType, row: dict[str, pa.Scalar], depth: int, scale:
     words = dict(zip(row["words"].values.to_pylist(), np.log10(row["cs"].values.to_numpy() + 1.0).tolist(), strict=True))
     ends = np.cumsum(sizes)
     texts = [raw[b - n : b] for b, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+    del raw
     total = np.zeros(len(texts))
     for lo, found in strings(texts, depth):
         value = table.find(found)

@@ -151,3 +151,24 @@ def test_chances_add_up_to_one(spark):
     counts = spark.createDataFrame(rows, "key long, n long")
     got = context_tree.tree(counts, 2).groupBy(F.shiftright("key", 8).alias("ctx")).agg(F.sum(F.pow(F.lit(10.0), "log10p")).alias("s"), F.count("*").alias("n")).collect()
     assert len(got) == 6 and all(r.n == 256 and r.s == pytest.approx(1.0, abs=1e-9) for r in got)
+
+
+def test_strings_hold_no_second_copy_of_the_texts(monkeypatch):
+    """What is held beside the texts follows from the piece, not from the packet."""
+    import tracemalloc
+
+    monkeypatch.setattr(context_tree, "PIECE", 1 << 14)
+    texts = [bytes([97 + i % 20]) * 900 + b" \n" for i in range(4000)]
+    tracemalloc.start()
+    try:
+        seen = sum(len(found) for _, found in context_tree.strings(texts, 4))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert seen == sum(map(len, texts)) and peak < 1 << 20
+
+
+def test_lookup_is_at_most_half_full():
+    keys = np.arange(1000, dtype=np.int64) * 7919
+    table = context_tree.Lookup(keys, keys / 2)
+    assert 2 * len(keys) <= len(table.keys) < 4 * len(keys) and (table.find(keys[::-1]) == keys[::-1] / 2).all()
