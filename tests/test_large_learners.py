@@ -116,3 +116,47 @@ def test_draws_by_32_bit_numbers_and_the_sine_series():
     np.testing.assert_allclose(_np_gaussians(rk, js), want, rtol=0, atol=1e-14)
     turn = np.linspace(0, 1, 10_001)
     np.testing.assert_allclose(_np_cos_turn(turn), np.cos(2 * math.pi * turn), rtol=0, atol=2e-15)
+
+
+def test_forest_on_cells_is_grown_from_all_rows(spark, monkeypatch):
+    """Large tables of classes: the same forest for any layout, of counted cells; pure leaves, MLlib's accuracy, cuts at MLlib's places."""
+    from sylva.models import forest
+    from sylva.models.registry import random_forest
+    table = _table(spark, 1200, classes=3)
+    monkeypatch.setattr(bounded, "LOCAL_NUMBERS", 0)
+    scores = [random_forest("classification", 20, "sqrt", 3).fit(t) for t in (table.repartition(5), table.coalesce(1))]
+    shown = [sorted((r.tree, tuple(r.feat), tuple(r.thr), tuple(r.value)) for r in s.model.subtrees.collect()) for s in scores]
+    assert shown[0] == shown[1] and len(shown[0]) == 20 and scores[0].model.importances.sum() == pytest.approx(1)
+    got = scores[0](table)
+    assert got.columns == ["row_id", "label", "prediction", "probability"] and got.count() == 1200
+    assert (_by_id(got, "prediction") == _by_id(table, "label")).mean() > 0.85
+    middles = [np.unique(np.array([r.x for r in table.collect()])[:, j]) for j in range(3)]
+    for _, feat, thr, _ in shown[0]:
+        for f, t in zip(feat, thr):
+            assert f < 0 or t in ((middles[f][1:] + middles[f][:-1]) / 2)
+    monkeypatch.setattr(forest, "held", lambda *_: False)  # too many cells: MLlib's
+    assert not hasattr(random_forest("classification", 3, "sqrt", 3).fit(table), "model")
+
+
+def test_cell_weights_are_bootstrap_sums(spark, monkeypatch):
+    """A cell of many rows has the weight of as many Poisson(1) draws: root shares spread as a bootstrap's."""
+    from sylva.models import forest
+    rows = spark.range(4000).selectExpr("id AS row_id", "array(CAST(id % 4 AS double)) AS x", "CAST(id % 4 >= 2 AS double) AS label")
+    model = forest.fit(rows, 2, 200, None, 30, 128, 42)
+    share = np.array([r.value[0] for r in model.subtrees.collect()])
+    assert abs(share.mean() - 0.5) < 0.003 and 0.6 < share.std() / np.sqrt(0.25 / 4000) < 1.4
+
+
+def test_trees_in_groups_score_alike(spark):
+    """A forest of more nodes than may be sent is scored by groups of trees, without a join of rows and subtrees."""
+    from sylva.models.extra_trees import ExtraTrees
+    table = _table(spark, 500, classes=3).drop("features")
+    for rows in (50, 10_000):
+        model = ExtraTrees("classification", 6, seed=2, local_rows=rows).fit(table)
+        few = max(len(g) for g in model._groups(model.n_nodes // 3))
+        assert 1 <= few < 6
+        want = {r.row_id: r.probability for r in model.transform(table).collect()}
+        out = model.transform(table, broadcast_nodes=model.n_nodes // 3)
+        assert out.columns == [*table.columns, "probability", "prediction"] and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+        got = {r.row_id: r.probability for r in out.collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
