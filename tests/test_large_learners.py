@@ -151,12 +151,25 @@ def test_trees_in_groups_score_alike(spark):
     """A forest of more nodes than may be sent is scored by groups of trees, without a join of rows and subtrees."""
     from sylva.models.extra_trees import ExtraTrees
     table = _table(spark, 500, classes=3).drop("features")
-    for rows in (50, 10_000):
-        model = ExtraTrees("classification", 6, seed=2, local_rows=rows).fit(table)
-        few = max(len(g) for g in model._groups(model.n_nodes // 3))
-        assert 1 <= few < 6
-        want = {r.row_id: r.probability for r in model.transform(table).collect()}
-        out = model.transform(table, broadcast_nodes=model.n_nodes // 3)
-        assert out.columns == [*table.columns, "probability", "prediction"] and "Join" not in out._jdf.queryExecution().executedPlan().toString()
-        got = {r.row_id: r.probability for r in out.collect()}
-        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
+    model = ExtraTrees("classification", 4, seed=2, local_rows=200).fit(table)
+    assert 1 <= max(len(g) for g in model._groups(model.n_nodes // 2)) < 4
+    want = {r.row_id: r.probability for r in model.transform(table).collect()}
+    out = model.transform(table, broadcast_nodes=model.n_nodes // 2)
+    assert out.columns == [*table.columns, "probability", "prediction"] and "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {r.row_id: r.probability for r in out.collect()}
+    assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-12) for i in want)
+
+
+def test_the_root_is_read_once_for_all_trees(spark, monkeypatch):
+    """Ranges of the root are gathered once, not once a tree, and a forest of one level deals no rows out."""
+    from sylva.models import extra_trees as module
+    table = _table(spark, 300, classes=2)
+    seen = []
+    monkeypatch.setattr(module, "saved", lambda df, name: seen.append(name) or kept(df, name))
+    from sylva.session import saved as kept
+    model = module.ExtraTrees("classification", 5, 3, max_depth=1, local_rows=10, n_classes=2).fit(table)
+    assert seen == ["candidates", "splits"] and model.subtrees.count() == 0
+    rows = [(r.x, r.label) for r in table.collect()]
+    for s in model.splits.collect():
+        assert s.n_left == sum(x[s.feature] <= s.threshold for x, _ in rows) and s.n_left + s.n_right == 300
+        assert s.left_value[1] == pytest.approx(sum(y for x, y in rows if x[s.feature] <= s.threshold) / s.n_left)
