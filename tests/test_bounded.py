@@ -152,3 +152,32 @@ def test_nested_forests_of_progressive_muting_equal_separate_ones(spark, sf):
     for step in (1, 4):
         one = progressive_muting(tr, te, names, "classification", [step - 1], 6, with_time=False).collect()
         assert [(r.variables_kept, r.test_accuracy) for r in one] == [together[step]]
+
+
+def test_wide_rows_are_scored_where_they_are_made(spark, sf):
+    """The noise columns and the scores come from one function over batches, with the same numbers as from a wide DataFrame."""
+    from dataclasses import replace
+
+    from sylva.operators import prepare
+    from sylva.sources import fixtures as fx
+    fr = fx.line_reg(spark, sf)
+    fr = replace(fr, df=fr.df.limit(300).localCheckpoint().withColumn("label", F.col("revenue") / 1000), target_col="label")
+    made = prepare.noise_rows(fr, 20, 0.5, 42, chunk=64, block=10)
+    wide = prepare.expand_with_noise(fr, 20, 0.5, 42, as_array="x").df
+    assert sorted(made.select("x", "row_id").rows().collect()) == sorted(wide.select("x", "row_id").collect())
+    fitted = fit_many(wide.limit(60), PLANS[:4], "regression")
+    once = fitted.predictions(made)
+    assert once._jdf.queryExecution().executedPlan().toString().count("MapInArrow") == 1
+    assert by_model(fitted, made) == by_model(fitted, wide)
+
+
+def test_model_nmin_scores_both_forests_in_one_pass(spark, sf):
+    """One reader of the wide test rows, however many models."""
+    from sylva.plans import catalog
+    tr, te, names = catalog._part3(spark, sf)
+    assert len(names) == 500 and {"row_id", "label", "x"} <= set(te.columns)
+    got = {r.model: r for r in catalog.model_nmin(spark, sf).collect()}
+    assert sorted(got) == ["ET-nmin=2", "ET-nmin=n^1/3=5"] and all(r.features == 500 and r.max_depth is None for r in got.values())
+    model = ExtraTrees("regression", 100, min_leaf=5).fit(tr).transform(te.rows())
+    rmse = model.agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0]
+    assert got["ET-nmin=n^1/3=5"].rmse == pytest.approx(rmse, rel=1e-9)
