@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sylva.models import bounded
 from sylva.models.bounded import Plan, bootstrap, fit_many, grow_best, lasso_fit
-from sylva.models.extra_trees import ExtraTrees, _route, root_key
+from sylva.models.extra_trees import ExtraTrees, _route, grow, root_key
 
 
 def explained(y, w, task):
@@ -181,3 +181,33 @@ def test_model_nmin_scores_both_forests_in_one_pass(spark, sf):
     model = ExtraTrees("regression", 100, min_leaf=5).fit(tr).transform(te.rows())
     rmse = model.agg(F.sqrt(F.avg((F.col("label") - F.col("prediction")) ** 2))).first()[0]
     assert got["ET-nmin=n^1/3=5"].rmse == pytest.approx(rmse, rel=1e-9)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.integers(0, 2**32))
+def test_compared_trees_give_the_leaves_of_a_walk(seed):
+    """Trees of different depth together, single leaves, NaN, numbers on a threshold, kept features and pairs."""
+    rng = np.random.default_rng(seed)
+    n, p = int(rng.integers(1, 80)), int(rng.integers(1, 6))
+    x, y = np.round(rng.normal(size=(n, p)), 1), np.round(rng.normal(size=n), 1)
+    w = rng.poisson(1, n).astype(float)
+    trees = [grow(x, y, "regression", 0, p, 1 + t % 3, None, root_key(1, t), 0)[:3] for t in range(3)]
+    trees += [grow_best(x, y, w, "regression", 0, p, 1, depth, root_key(1, 9), 0.0)[:3] for depth in (0, 2, None)]
+    seen = np.concatenate([x, rng.normal(size=(20, p)), np.full((1, p), np.nan)])
+    if any((f >= 0).any() for f, _, _ in trees):
+        found = list(bounded.Compared(trees).leaves(Plan("a", "et").columns(np.ascontiguousarray(seen.T)), len(seen)))
+        assert len(found) == len(trees) and all(np.array_equal(leaf, _route(seen, *t)) for leaf, t in zip(found, trees, strict=True))
+    plan = Plan("b", "et", keep=(p - 1, 0), pairs=((0, p - 1, 0.3, -0.7),))
+    column, view = plan.columns(np.ascontiguousarray(seen.T)), plan.view(seen)
+    assert all(np.array_equal(column(f), view[:, f], equal_nan=True) for f in range(3))
+
+
+def test_trees_are_grouped_in_order_and_large_ones_walked():
+    rng = np.random.default_rng(1)
+    x, y = rng.normal(size=(600, 3)), rng.normal(size=600)
+    large, little = grow(x, y, "regression", 0, 3, 1, None, root_key(1, 0), 0), grow(x[:100], y[:100], "regression", 0, 3, 1, None, root_key(1, 1), 0)
+    trees = [(i, *(little if i != 2 else large)[:4]) for i in range(60)]
+    groups = list(bounded._groups(trees))
+    assert [t[0] for g, _ in groups for t in g] == list(range(60))
+    assert [c is None for _, c in groups].count(True) == 1 and [t[0] for t in groups[1][0]] == [2]
+    assert len(groups) > 3 and all(len(c.thr) <= bounded.SPLITS_AT_ONCE for _, c in groups if c is not None)
