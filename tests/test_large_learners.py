@@ -173,3 +173,22 @@ def test_the_root_is_read_once_for_all_trees(spark, monkeypatch):
     for s in model.splits.collect():
         assert s.n_left == sum(x[s.feature] <= s.threshold for x, _ in rows) and s.n_left + s.n_right == 300
         assert s.left_value[1] == pytest.approx(sum(y for x, y in rows if x[s.feature] <= s.threshold) / s.n_left)
+
+
+@pytest.mark.parametrize("classes", [0, 2, 3])
+def test_cells_in_one_task_are_boosted_alike(spark, monkeypatch, classes):
+    """The trees over held cells are those of a job a level, and no level is a job."""
+    from sylva.models import boosting as module
+    table = _table(spark, 700, classes=classes or None)
+    monkeypatch.setattr(module, "FOLD", 2)
+    args = (table, classes, 5, 3, 0.3)
+    jobs = []
+    monkeypatch.setattr(module, "summed", lambda *a, of=module.summed: jobs.append(1) or of(*a))
+    held = module.Boosted(*args)
+    assert not jobs
+    monkeypatch.setattr(module, "HELD_BYTES", 0)
+    dealt = module.Boosted(*args)
+    assert jobs and len(held.models) == len(dealt.models) == (3 if classes == 3 else 1)
+    for a, b in zip(sum(held.models, []), sum(dealt.models, []), strict=True):
+        assert a.feat.tolist() == b.feat.tolist() and a.cut.tolist() == b.cut.tolist()
+        np.testing.assert_allclose(a.value, b.value, rtol=1e-9, atol=1e-12)
