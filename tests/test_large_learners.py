@@ -192,3 +192,15 @@ def test_cells_in_one_task_are_boosted_alike(spark, monkeypatch, classes):
     for a, b in zip(sum(held.models, []), sum(dealt.models, []), strict=True):
         assert a.feat.tolist() == b.feat.tolist() and a.cut.tolist() == b.cut.tolist()
         np.testing.assert_allclose(a.value, b.value, rtol=1e-9, atol=1e-12)
+
+
+def test_three_classes_are_studied_with_whole_forests(spark, sf, monkeypatch):
+    """``embedded_study_multi`` fits as many trees and rounds as the reference."""
+    from sylva.models import rlt
+    from sylva.models.registry import N_TREES
+    from sylva.plans.catalog import QUERIES
+    told = {}
+    monkeypatch.setattr(rlt, "importance", lambda train, names, task, n_trees=None, **_: told.update(vi=n_trees) or (_ for _ in ()).throw(StopIteration))
+    with pytest.raises(StopIteration):
+        QUERIES["embedded_study_multi"](spark, sf)
+    assert told == {"vi": N_TREES} == {"vi": 100}
