@@ -176,3 +176,54 @@ def test_rlt_model_is_kept_and_loaded(spark, sf, tmp_path, task):
     assert again.features == model.features and again.forest.n_nodes == model.forest.n_nodes
     assert sorted(map(str, again.transform(te).select("row_id", "prediction").collect())) == sorted(map(str, model.transform(te).select("row_id", "prediction").collect()))
     assert again.forest.importances.tolist() == model.forest.importances.tolist()
+
+
+@pytest.mark.parametrize("task", ["classification", "regression"])
+def test_held_columns_grow_the_same_forest(spark, monkeypatch, task):
+    """A table that is too large for a group but small as coded columns is held by the tasks: the forest of the distributed levels, for any layout; for
+    importances alone no node is written."""
+    from sylva.models import extra_trees as module
+
+    rng = np.random.default_rng(6)
+    x = np.column_stack([rng.integers(0, 7, 3000), rng.normal(size=3000), rng.integers(0, 300, 3000) / 4, np.ones(3000)]).astype(float)
+    y = x[:, 0] * x[:, 1] + x[:, 2] / 9 + rng.normal(size=3000)
+    y = (y > 4).astype(float) + (y > 9) if task == "classification" else y
+    table = spark.createDataFrame([([float(v) for v in r], float(t)) for r, t in zip(x, y)], "x array<double>, label double").repartition(3).cache()
+    fit = lambda **how: ExtraTrees(task, n_trees=2, seed=5, **how).fit(table)
+    monkeypatch.setattr(module, "LOCAL_NUMBERS", 5000)
+    held, levels, alone = fit(), fit(local_rows=1000), fit(nodes=False)
+    assert held.splits.count() == 0 and held.root_state == module.LOCAL and levels.splits.count() > 0
+    score = lambda m: np.array([r.prediction for r in m.transform(table).select("prediction").collect()])
+    np.testing.assert_allclose(score(levels), score(held), rtol=1e-9)
+    for model in (levels, alone):
+        np.testing.assert_allclose(model.importances, held.importances, rtol=1e-9)
+    assert alone.subtrees.selectExpr("max(size(feat))").first()[0] == 0
+    with pytest.raises(ValueError, match="importances only"):
+        alone.transform(table)
+
+
+def test_rows_split_in_groups_grow_the_same_tree(monkeypatch):
+    """Bounding the rows that are split together changes the order of nodes only."""
+    from sylva.models import extra_trees as module
+
+    rng = np.random.default_rng(7)
+    x = np.column_stack([rng.integers(0, 7, 900), rng.normal(size=900), rng.integers(0, 3, 900)]).astype(float)
+    for task, y in (("classification", (x[:, 0] > 3) + (rng.random(900) < 0.2).astype(float)), ("regression", x[:, 0] * x[:, 1])):
+        told = []
+        for rows in (1000, 40):
+            monkeypatch.setattr(module, "TOGETHER", rows)
+            feat, thr, left, value, imp = grow(x, y, task, 3, 2, 2, None, root_key(4, 1), 0)
+            assert (np.sort(np.concatenate([left[feat >= 0], left[feat >= 0] + 1, [0]])) == np.arange(len(feat))).all()
+            told.append((len(feat), value[_route(x, feat, thr, left)], imp))
+        assert told[0][0] == told[1][0]
+        np.testing.assert_allclose(told[1][1], told[0][1])
+        np.testing.assert_allclose(told[1][2], told[0][2])
+
+
+def test_columns_of_few_values_are_bytes():
+    from sylva.models.extra_trees import code
+
+    got, values = code(np.array([2.5, -1.0, 2.5, 0.0]))
+    assert got.dtype == np.uint8 and values[got].tolist() == [2.5, -1.0, 2.5, 0.0]
+    for odd in (np.array([1.0, np.nan]), np.arange(257.0), np.append(np.zeros(5000), np.arange(300.0))):
+        assert code(odd)[1] is None
