@@ -204,3 +204,40 @@ def test_three_classes_are_studied_with_whole_forests(spark, sf, monkeypatch):
     with pytest.raises(StopIteration):
         QUERIES["embedded_study_multi"](spark, sf)
     assert told == {"vi": N_TREES} == {"vi": 100}
+
+
+@pytest.mark.parametrize("tries, depth, at_once", [(1, 30, 1 << 20), (2, 30, 300), (4, 3, 1 << 20)])
+def test_counted_cells_grow_the_tree_of_sorted_ones(monkeypatch, tries, depth, at_once):
+    """Weights added up by bin give the tree that sorting the cells gives, so more cells need not go to MLlib's forest."""
+    from sylva.models import forest
+    from sylva.models.extra_trees import _route
+    monkeypatch.setattr(forest, "SUMS_AT_ONCE", at_once)
+    rng = np.random.default_rng(3)
+    x = np.column_stack([rng.integers(0, 40, 2500), rng.integers(0, 7, 2500), np.full(2500, 3), rng.integers(0, 2, 2500)]).astype(np.uint8)
+    y = ((x[:, 0] > 17).astype(int) + (x[:, 1] > 4)) % 3
+    y = np.where(rng.random(2500) < 0.1, rng.integers(0, 3, 2500), y)
+    w = rng.poisson(rng.integers(1, 5, 2500))
+    want = bounded.grow_best(x, y.astype(float), w.astype(float), "classification", 3, tries, 1, depth, 77, 0.0)
+    got = forest.grow_cells([np.ascontiguousarray(c) for c in x.T], y, w, 3, tries, depth, 77, 40)
+    assert len(got[0]) == len(want[0]) > 5
+    np.testing.assert_allclose(got[4], want[4])
+    np.testing.assert_allclose(got[3][_route(x, *got[:3])], want[3][_route(x, *want[:3])])
+    assert sorted(zip(got[0].tolist(), got[1])) == sorted(zip(want[0].tolist(), np.floor(want[1])))
+
+
+def test_more_cells_than_local_numbers_stay_in_the_forest(spark, monkeypatch):
+    """What a task may hold of cells is counted in bytes of bins, class and rows; they no longer go to MLlib's forest beyond ``LOCAL_NUMBERS`` numbers."""
+    from sylva.models import forest
+    monkeypatch.setattr(forest, "LOCAL_NUMBERS", 10, raising=False)
+    rows = spark.range(3000).selectExpr("id AS row_id", "array(CAST(id % 50 AS double), CAST(id % 7 AS double)) AS x", "CAST(id % 50 >= 20 AS double) AS label")
+    model = forest.fit(rows, 2, 3, None, 30, 128, 42)
+    assert model is not None and {r.prediction == r.label for r in model.transform(rows).collect()} == {True}
+
+
+def test_predictions_are_written_without_ids(spark, monkeypatch):
+    from sylva.models import registry
+    seen = []
+    monkeypatch.setattr(registry, "saved", lambda df, name, **how: seen.append((name, df.columns)) or df)
+    table = _table(spark, 60, classes=2)
+    registry.run_models(table, table, [registry.Learner("L", lambda t: lambda df: df.select("row_id", "label", F.col("label").alias("prediction")))], "classification").collect()
+    assert seen == [("predictions", ["label", "prediction", "probability", "part", "model"])]
